@@ -1 +1,214 @@
-"""Queries."""
+"""Queries over decision ledgers: events as decisions, conversations as chains."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from slotforge.functions import values as V
+from slotforge.operators import ledger, routing
+from slotforge.queries import base, query
+from slotforge.queries.base import table
+from slotforge.queries.slots import POLICIES, routable, routed_sql
+
+KINDS = {"signup": "accept", "purchase": "correct", "error": "reject", "view": "confirm_absent", "click": "abstain"}
+_CASE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items()) + " END"
+DEC = f"""dec AS (SELECT event_id seq, 'T' || event_id % 700 target_id, CASE WHEN event_id % 9 <> 0 THEN 'D' || event_id END decision_id, {_CASE} decision, user_id reviewer, ts decided_at,
+ CASE WHEN event_id % 50 = 0 THEN 'S0' ELSE 'S1' END snapshot, CASE WHEN event_id % 9 <> 0 AND event_id % 4 <> 0 THEN 'D' || (event_id - 700) END supersedes0, event_id FROM events),
+rep AS (SELECT *, coalesce(decision_id, 'legacy-' || substr(sha256(target_id || '|' || seq || '|' || decision), 1, 8)) did, decision_id IS NULL legacy, snapshot <> 'S1' orphan FROM dec),
+rep2 AS (SELECT *, CASE WHEN legacy THEN lag(did) OVER (PARTITION BY target_id ORDER BY seq) ELSE supersedes0 END supersedes FROM rep)"""
+
+
+def decisions(spark, d):
+    """Each event as an entry on one of 700 slots; some lack ids, some belong to another snapshot, some break chains."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    named = i % 9 != 0
+    return e.select(
+        i.alias("seq"), F.concat(F.lit("T"), (i % 700).cast("string")).alias("target_id"), F.when(named, F.concat(F.lit("D"), i.cast("string"))).alias("decision_id"),
+        F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")].alias("decision"), F.col("user_id").alias("reviewer"), F.col("ts").alias("decided_at"),
+        F.when(i % 50 == 0, "S0").otherwise("S1").alias("snapshot"), F.when(named & (i % 4 != 0), F.concat(F.lit("D"), (i - 700).cast("string"))).alias("supersedes"),
+    )
+
+
+def repaired(spark, d):
+    return ledger.repair(decisions(spark, d), F.lit("S1"))
+
+
+@query("s7_ledger_repair", f"WITH {DEC} SELECT seq, did AS decision_id, supersedes, orphan FROM rep2")
+def s7(spark, d):
+    return repaired(spark, d).select("seq", "decision_id", "supersedes", "orphan")
+
+
+_TIPS = DEC + """, own AS (SELECT * FROM rep2 WHERE NOT orphan), gone AS (SELECT DISTINCT target_id, supersedes did FROM own WHERE supersedes IS NOT NULL),
+mk AS (SELECT own.*, gone.did IS NULL open_ FROM own LEFT JOIN gone USING (target_id, did)),
+proj AS (SELECT target_id, count(*) entries, count_if(open_) tips, max(CASE WHEN open_ THEN did END) tip FROM mk GROUP BY 1)"""
+
+
+@query("v2_supersession_tips", f"WITH {_TIPS} SELECT target_id, entries, tips, tips <> 1 AS conflict, CASE WHEN tips = 1 THEN tip END AS tip_id FROM proj")
+def v2(spark, d):
+    return ledger.project(repaired(spark, d))
+
+
+@query("v17_chain_faults", f"""WITH {DEC}, l AS (SELECT r.did, r.target_id, r.seq, e.target_id of_, e.seq of_seq FROM rep2 r LEFT JOIN rep2 e ON e.did = r.supersedes WHERE r.supersedes IS NOT NULL)
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN of_ IS NULL THEN 'dangling' WHEN of_ <> target_id THEN 'cross_slot' WHEN of_seq >= seq THEN 'forward' END kind FROM l
+ UNION ALL SELECT 'duplicate_id' FROM rep2 GROUP BY did HAVING count(*) > 1) WHERE kind IS NOT NULL GROUP BY 1""")
+def v17(spark, d):
+    return ledger.chain_faults(repaired(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("v16_hash_chains", """WITH c AS (SELECT conv_id chain_id, turn seq, sha256(conv_id || '|' || turn || '|' || coalesce(text, '')) digest FROM conversations),
+p AS (SELECT *, CASE WHEN (chain_id + seq) % 11 = 0 THEN 'x' ELSE lag(digest) OVER (PARTITION BY chain_id ORDER BY seq) END previous FROM c),
+f AS (SELECT chain_id, previous IS DISTINCT FROM lag(digest) OVER w OR seq <> row_number() OVER w - 1 fault FROM p WINDOW w AS (PARTITION BY chain_id ORDER BY seq))
+SELECT chain_id, count(*) AS entries, count_if(fault) AS broken FROM f GROUP BY 1""")
+def v16(spark, d):
+    """Turns as chained records; one in eleven names a wrong predecessor."""
+    digest = F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.coalesce("text", F.lit(""))), 256)
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("seq"), digest.alias("digest"))
+    before = F.lag("digest").over(Window.partitionBy("chain_id").orderBy("seq"))
+    return ledger.hash_chain(c.withColumn("previous", F.when((F.col("chain_id") + F.col("seq")) % 11 == 0, "x").otherwise(before)))
+
+
+_WORK = """g AS (SELECT user_id reviewer, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) gap FROM events)"""
+
+
+@query("v1_a27_working_time", f"""WITH {_WORK}, t AS (SELECT reviewer, CAST(coalesce(sum(gap) FILTER (WHERE gap BETWEEN 0 AND 3600000000), 0) AS BIGINT) micros, count_if(gap BETWEEN 0 AND 3600000000) intervals,
+ count_if(gap NOT BETWEEN 0 AND 3600000000) excluded FROM g GROUP BY 1) SELECT reviewer, micros, intervals, excluded, greatest(7200000000 - micros, 0) AS remaining, micros >= 7200000000 AS exhausted FROM t""")
+def v1(spark, d):
+    """Working time of each reviewer against a budget of two hours."""
+    used = ledger.working_time(table(spark, d, "events").select(F.col("user_id").alias("reviewer"), F.col("ts").alias("decided_at"), F.col("event_id").alias("seq")), "reviewer")
+    budget = 7_200_000_000
+    return used.withColumns({"remaining": F.greatest(budget - F.col("micros"), F.lit(0)).cast("long"), "exhausted": F.col("micros") >= budget})
+
+
+@query("a25_reviewer_timing", """WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) gap FROM events)
+SELECT event_type, count(*) AS timed, CAST(round(quantile_cont(gap, 0.5)) AS BIGINT) AS median_micros FROM g WHERE gap BETWEEN 0 AND 86400000000 GROUP BY 1""")
+def a25(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, d, "events").select("event_type", gap.alias("gap")).where("gap BETWEEN 0 AND 86400000000")
+    return rows.groupBy("event_type").agg(F.count("*").alias("timed"), F.round(F.percentile("gap", 0.5)).cast("long").alias("median_micros"))
+
+
+@query("r7_decision_validation", f"""WITH {DEC}, v AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'v' END cv, CASE WHEN seq % 5 <> 0 THEN 'C' END claim, CASE WHEN seq % 7 <> 0 THEN 'r' ELSE ' ' END why FROM dec)
+SELECT CASE WHEN decision = 'correct' AND cv IS NULL THEN 'correction_without_value' WHEN decision <> 'correct' AND cv IS NOT NULL THEN 'value_without_correction'
+ WHEN decision = 'accept' AND claim IS NULL THEN 'accept_without_claim' WHEN decision = 'confirm_absent' AND claim IS NOT NULL THEN 'absent_with_claim' WHEN trim(why) = '' THEN 'no_rationale' END AS refused, count(*) AS n FROM v GROUP BY 1""")
+def r7(spark, d):
+    s = F.col("seq")
+    rows = decisions(spark, d).withColumns({"corrected_value": F.when(s % 3 == 0, "v"), "claim_id": F.when(s % 5 != 0, "C"), "rationale": F.when(s % 7 != 0, "r").otherwise(" ")})
+    return ledger.validate(rows).groupBy("refused").agg(F.count("*").alias("n"))
+
+
+def tips(spark, d):
+    """The last event of each (document, field) as its tip."""
+    rows = decisions(spark, d).select(F.col("seq"), "decision", (F.col("seq") % 3000).alias("doc_id"), F.get(F.array(*[F.lit(n) for n in V.NAMES]), (F.floor(F.col("seq") / 3000) % 10).cast("int")).alias("field"))
+    return rows.groupBy("doc_id", "field").agg(F.max_by("decision", "seq").alias("decision"))
+
+
+_NAMES = "[" + ", ".join(f"'{n}'" for n in V.NAMES) + "]"
+_DELIVER = f"""tip AS (SELECT event_id % 3000 doc_id, ({_NAMES})[event_id // 3000 % 10 + 1] field, max_by({_CASE}, event_id) decision FROM events GROUP BY 1, 2),
+dl AS (SELECT r.doc_id, r.field, r.tier, coalesce(CASE decision {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ledger.STATUS.items())} END,
+ CASE WHEN route = 'auto_absent' THEN 'policy_confirmed_absent' WHEN route <> 'auto_accept' THEN 'pending' WHEN tier = 'TIER1' THEN 'pending_tier1' ELSE 'unreviewed_corroborated' END) status
+ FROM routed r LEFT JOIN tip USING (doc_id, field) WHERE policy_id = 'P2'),
+dd AS (SELECT doc_id, CASE WHEN bool_or(tier = 'TIER1' AND status = 'rejected') THEN 'blocked' WHEN bool_or(CASE WHEN tier = 'TIER1' THEN status NOT IN ({", ".join(f"'{s}'" for s in ledger.RESOLVED)}) ELSE status IN ('pending', 'abstained') END) THEN 'pending' ELSE 'ready_for_approval' END status,
+ count_if(status IN ('pending', 'pending_tier1')) pending, coalesce(string_agg(field, '+' ORDER BY field) FILTER (WHERE status IN ('policy_accepted', 'policy_confirmed_absent', 'unreviewed_corroborated')), '') policy_disposed FROM dl GROUP BY 1)"""
+
+
+def delivered(spark, d):
+    return ledger.deliver(routing.route(routable(spark, d), POLICIES[1]), tips(spark, d))
+
+
+@query("r6_deliverable_slots", routed_sql("SELECT field, status, count(*) AS n FROM dl GROUP BY 1, 2", _DELIVER))
+def r6(spark, d):
+    return delivered(spark, d).groupBy("field", "status").agg(F.count("*").alias("n"))
+
+
+@query("a5_f20_document_status", routed_sql("SELECT doc_id, status, pending, policy_disposed FROM dd", _DELIVER))
+def a5(spark, d):
+    return ledger.documents(delivered(spark, d))
+
+
+@query("a6_workload", routed_sql("SELECT status, count(*) AS docs, CAST(sum(pending) AS BIGINT) AS pending, max(pending) AS most, quantile_disc(pending, 0.5) AS upper_median FROM dd GROUP BY 1", _DELIVER))
+def a6(spark, d):
+    return ledger.documents(delivered(spark, d)).groupBy("status").agg(
+        F.count("*").alias("docs"), F.sum("pending").alias("pending"), F.max("pending").alias("most"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY pending)").alias("upper_median")
+    )
+
+
+@query("v14_r9_approvals", routed_sql("""SELECT doc_id, seq, signed <> digest OR status <> 'ready_for_approval' AS stale, CASE WHEN signed = digest AND status = 'ready_for_approval' THEN 'approved_for_export' ELSE status END AS status
+ FROM (SELECT *, sha256(status || '|' || policy_disposed) digest FROM dd) JOIN (SELECT doc_id, max(seq) seq, max_by(CASE WHEN seq % 2 = 0 THEN 'old' ELSE sha256('ready_for_approval|' || pd) END, seq) signed
+ FROM (SELECT o_orderkey doc_id, o_custkey seq FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 2 = 0) JOIN (SELECT doc_id, policy_disposed pd FROM dd) USING (doc_id) GROUP BY 1) USING (doc_id)""", _DELIVER))
+def v14(spark, d):
+    """One or two approvals of each document, of which even ones signed another digest."""
+    digest = lambda status: F.sha2(F.concat(status, F.lit("|"), F.col("policy_disposed")), 256)
+    docs = ledger.documents(delivered(spark, d))
+    docs = docs.withColumn("digest", digest(F.col("status")))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("seq"))
+    signed = o.union(o.where("doc_id % 2 = 0").select("doc_id", F.col("seq") + 1))
+    approvals = signed.join(docs, "doc_id").select("doc_id", "seq", F.when(F.col("seq") % 2 == 0, "old").otherwise(digest(F.lit("ready_for_approval"))).alias("digest"))
+    return ledger.approvals_state(docs, approvals)
+
+
+@query("j13_carry_over", """WITH o AS (SELECT o_custkey target, max_by({'d': CASE o_orderkey % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'correct' ELSE 'confirm_absent' END, 'v': CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 4 AS VARCHAR) END,
+ 'r': CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE 'why' END, 'q': o_orderkey % 13 = 0}, o_orderkey) o FROM orders GROUP BY 1),
+n AS (SELECT c_custkey target, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 4 AS VARCHAR) END now FROM customer WHERE c_custkey % 17 <> 0)
+SELECT CASE WHEN n.target IS NULL THEN 'skipped_gone' WHEN o.q THEN 'skipped_qa' WHEN trim(o.r) = '' THEN 'skipped_no_rationale' WHEN o.d = 'confirm_absent' THEN CASE WHEN now IS NULL THEN 'carried' ELSE 'skipped_changed' END
+ WHEN o.v IS NOT DISTINCT FROM now THEN 'carried' ELSE 'skipped_changed' END AS outcome, count(*) AS n FROM o LEFT JOIN n USING (target) GROUP BY 1""")
+def j13(spark, d):
+    k = F.col("o_orderkey")
+    old = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("target"), k.alias("seq"), F.when(k % 3 == 0, "accept").when(k % 3 == 1, "correct").otherwise("confirm_absent").alias("decision"),
+        F.when(k % 3 < 2, (k % 4).cast("string")).alias("value"), F.when(k % 10 == 0, " ").otherwise("why").alias("rationale"), (k % 13 == 0).alias("qa"),
+    )
+    c = F.col("c_custkey")
+    new = table(spark, d, "customer").where(c % 17 != 0).select(c.alias("target"), F.when(c % 5 != 0, (c % 4).cast("string")).alias("value"))
+    return ledger.carry(old, new).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("a13_feedback_events", f"""WITH {_TIPS} SELECT decision, count(*) AS events, count_if(NOT open_) AS superseded, count_if(decision <> 'abstain' AND seq % 6 <> 0) AS actionable, count_if(seq % 20 = 0) AS random_qa,
+ count_if(open_ AND decision <> 'abstain' AND seq % 6 <> 0 AND seq % 20 <> 0) AS qualified FROM mk GROUP BY 1""")
+def a13(spark, d):
+    return feedback(spark, d).groupBy("decision").agg(
+        F.count("*").alias("events"), F.count_if("superseded").alias("superseded"), F.count_if("actionable").alias("actionable"), F.count_if("random_qa").alias("random_qa"), F.count_if("qualified").alias("qualified")
+    )
+
+
+def feedback(spark, d):
+    """Entries with the flags that decide whether they count for mining."""
+    own = repaired(spark, d).where("NOT orphan")
+    gone = own.where("supersedes IS NOT NULL").select("target_id", F.col("supersedes").alias("decision_id"), F.lit(True).alias("gone")).distinct()
+    rows = own.join(gone, ["target_id", "decision_id"], "left").withColumns({
+        "superseded": F.col("gone").isNotNull(), "actionable": (F.col("decision") != "abstain") & (F.col("seq") % 6 != 0), "random_qa": F.col("seq") % 20 == 0,
+    })
+    return rows.withColumn("qualified", F.col("actionable") & ~F.col("superseded") & ~F.col("random_qa"))
+
+
+@query("a14_cohort_mining", f"""WITH {_TIPS} SELECT ({_NAMES})[seq % 10 + 1] AS field, reviewer % 3 AS route, count(*) AS reviewed, count_if(decision = 'accept') AS accepted, count_if(decision = 'correct') AS corrected,
+ count_if(decision = 'reject') AS rejected, count(*) >= 3 AND count_if(decision IN ('correct', 'reject')) = 0 AS low_yield, count(*) >= 3 AND count_if(decision = 'confirm_absent') >= 0.8 * count(*) AS absence_candidate
+ FROM mk WHERE open_ AND decision <> 'abstain' AND seq % 6 <> 0 AND seq % 20 <> 0 GROUP BY 1, 2""")
+def a14(spark, d):
+    act = lambda *names: F.count_if(F.col("decision").isin(*names))
+    rows = feedback(spark, d).where("qualified").withColumns({"field": F.get(F.array(*[F.lit(n) for n in V.NAMES]), (F.col("seq") % 10).cast("int")), "route": F.col("reviewer") % 3})
+    return rows.groupBy("field", "route").agg(
+        F.count("*").alias("reviewed"), act("accept").alias("accepted"), act("correct").alias("corrected"), act("reject").alias("rejected"),
+        ((F.count("*") >= 3) & (act("correct", "reject") == 0)).alias("low_yield"), ((F.count("*") >= 3) & (act("confirm_absent") >= 0.8 * F.count("*"))).alias("absence_candidate"),
+    )
+
+
+@query("j15_claim_integrity", """WITH d AS (SELECT l_orderkey doc_id, l_linenumber field, l_orderkey * 10 + l_linenumber - CAST(l_partkey % 40 = 0 AS INT) claim_id FROM lineitem),
+c AS (SELECT l_orderkey * 10 + l_linenumber claim_id, l_orderkey c_doc, l_linenumber c_field FROM lineitem WHERE l_linenumber < 7)
+SELECT CASE WHEN c_doc IS NULL THEN 'claim_missing' WHEN c_doc <> doc_id OR c_field <> field THEN 'claim_of_other_slot' END AS kind, count(*) AS n FROM d LEFT JOIN c USING (claim_id) GROUP BY 1 HAVING kind IS NOT NULL""")
+def j15(spark, d):
+    """Decisions whose claim does not exist or belongs to another slot."""
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("field"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("own"), "l_partkey")
+    made = line.select("doc_id", "field", (F.col("own") - (F.col("l_partkey") % 40 == 0).cast("int")).alias("claim_id"))
+    claims = line.where("field < 7").select(F.col("own").alias("claim_id"), F.col("doc_id").alias("c_doc"), F.col("field").alias("c_field"))
+    kind = F.when(F.col("c_doc").isNull(), "claim_missing").when((F.col("c_doc") != F.col("doc_id")) | (F.col("c_field") != F.col("field")), "claim_of_other_slot")
+    return made.join(claims, "claim_id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).where("kind IS NOT NULL")
+
+
+@query("j16_projection_check", routed_sql("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN d.status IN ('confirmed_absent', 'policy_confirmed_absent') AND s.v IS NOT NULL THEN 'absent_with_value'
+ WHEN d.status = 'accepted' AND s.v IS NULL THEN 'accepted_without_value' END kind FROM dl d JOIN slots s USING (doc_id, field)) WHERE kind IS NOT NULL GROUP BY 1""", _DELIVER))
+def j16(spark, d):
+    absent = F.col("status").isin("confirmed_absent", "policy_confirmed_absent") & F.col("v").isNotNull()
+    kind = F.when(absent, "absent_with_value").when((F.col("status") == "accepted") & F.col("v").isNull(), "accepted_without_value")
+    return delivered(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).where("kind IS NOT NULL")

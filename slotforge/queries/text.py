@@ -1 +1,199 @@
-"""Queries."""
+"""Queries over token streams, phrases and geometry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotforge.functions import values as V
+from slotforge.operators import text
+from slotforge.queries import query
+from slotforge.queries.base import table
+
+TOKENS = "tk AS (SELECT doc_id, unnest(t) tok, generate_subscripts(t, 1) - 1 pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t FROM documents))"
+PHRASES = [("p1", ["the"]), ("p2", ["of", "the"]), ("p3", ["licensed", "under", "the"]), ("p4", ["apache", "license"])]
+FUZZY = [("f1", ["the", "apache", "licence"]), ("f2", ["licensed"]), ("f3", ["under", "the", "apoche"])]
+
+
+def _stream(spark, d):
+    return text.token_stream(table(spark, d, "documents"))
+
+
+def _lexicon(spark, rows):
+    return spark.createDataFrame(rows, "phrase_id string, toks array<string>")
+
+
+@query("s2_lines", "SELECT doc_id, count(*) AS lines, CAST(sum(length(l)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') l FROM documents) WHERE l <> '' GROUP BY 1")
+def s2(spark, d):
+    return text.lines(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"))
+
+
+@query("s16_tokens", f"WITH {TOKENS} SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS docs, min(pos) AS first_pos FROM tk GROUP BY 1")
+def s16(spark, d):
+    per_doc = _stream(spark, d).groupBy("tok", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
+    return per_doc.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("p").alias("first_pos"))
+
+
+def _drafts(spark, d):
+    """Each benchmark text as a draft for the document with a fixed multiple of its id, and for the one that holds it."""
+    n = table(spark, d, "documents").count()
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("draft_id"), F.explode(F.array(F.col("item_id") * 7 % n, F.col("item_id") * 3 % n)).alias("doc_id"), F.col("text").alias("value"))
+    return items.distinct()
+
+
+@query("j1_f8_binding", f"""WITH {TOKENS}, n AS (SELECT count(*) n FROM documents), dr AS (SELECT DISTINCT item_id draft_id, unnest([item_id * 7 % n, item_id * 3 % n]) doc_id, text FROM benchmark, n),
+own AS (SELECT DISTINCT draft_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok FROM dr), hay AS (SELECT DISTINCT doc_id, tok, 1 hit FROM tk)
+SELECT draft_id, doc_id, count(hit) AS matched, count(*) AS wanted, count(hit) >= 0.8 * count(*) AS admitted FROM own LEFT JOIN hay USING (doc_id, tok) GROUP BY 1, 2""")
+def j1(spark, d):
+    return text.bind(_drafts(spark, d), _stream(spark, d))
+
+
+@query("j2_binding_anywhere", f"""WITH {TOKENS}, own AS (SELECT DISTINCT item_id draft_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok FROM benchmark), hay AS (SELECT DISTINCT doc_id, tok FROM tk),
+w AS (SELECT draft_id, count(*) wanted FROM own GROUP BY 1) SELECT draft_id, doc_id, count(*) AS matched, wanted FROM own JOIN hay USING (tok) JOIN w USING (draft_id) GROUP BY 1, 2, 4 HAVING count(*) >= 0.8 * wanted""")
+def j2(spark, d):
+    drafts = table(spark, d, "benchmark").select(F.col("item_id").alias("draft_id"), F.col("text").alias("value"))
+    return text.bind_anywhere(drafts, _stream(spark, d))
+
+
+@query("r5_a4_freeze_outcomes", f"""WITH {TOKENS}, dr AS (SELECT item_id ord, CASE WHEN item_id % 7 = 0 THEN 'C-1' END claim_id, CASE WHEN item_id % 5 = 0 THEN 'colour' ELSE 'seller_name' END field,
+ CASE WHEN item_id % 11 = 3 THEN ' ' ELSE text END v, item_id % 3 doc_id, item_id % 2 by_ FROM benchmark),
+own AS (SELECT DISTINCT ord, doc_id, unnest(regexp_extract_all(lower(v), '[a-z0-9]+')) tok FROM dr), hay AS (SELECT DISTINCT doc_id, tok, 1 hit FROM tk WHERE doc_id < 3),
+cov AS (SELECT ord, count(hit) >= 0.3 * count(*) ok FROM own LEFT JOIN hay USING (doc_id, tok) GROUP BY 1)
+SELECT CASE WHEN claim_id IS NOT NULL THEN 'prewritten_id' WHEN field = 'colour' THEN 'unknown_field' WHEN trim(v) = '' THEN 'empty' WHEN NOT coalesce(ok, false) THEN 'unbound' ELSE 'admitted' END AS outcome, by_ AS drafted_by, count(*) AS n
+FROM dr LEFT JOIN cov USING (ord) GROUP BY 1, 2""")
+def r5(spark, d):
+    """Admission of drafts: the first reason that applies, counted by drafter."""
+    i = F.col("item_id")
+    drafts = table(spark, d, "benchmark").select(
+        i.alias("draft_id"), F.when(i % 7 == 0, "C-1").alias("claim_id"), F.when(i % 5 == 0, "colour").otherwise("seller_name").alias("field"),
+        F.when(i % 11 == 3, " ").otherwise(F.col("text")).alias("value"), (i % 3).alias("doc_id"), (i % 2).alias("drafted_by"),
+    )
+    bound = text.bind(drafts, _stream(spark, d).where("doc_id < 3"), 0.3).select("draft_id", "admitted")
+    outcome = (
+        F.when(F.col("claim_id").isNotNull(), "prewritten_id").when(~F.col("field").isin(*V.NAMES), "unknown_field").when(V.blank_to_null(F.col("value")).isNull(), "empty")
+        .when(~F.coalesce("admitted", F.lit(False)), "unbound").otherwise("admitted")
+    )
+    return drafts.join(bound, "draft_id", "left").groupBy(outcome.alias("outcome"), "drafted_by").agg(F.count("*").alias("n"))
+
+
+def _phrase_sql(rows, match):
+    listed = ", ".join(f"('{i}', {t!r})" for i, t in rows)
+    longest = max(len(t) for _, t in rows)
+    ahead = ", ".join(f"lead(tok, {k}) OVER w" if k else "tok" for k in range(longest))
+    return f"""WITH {TOKENS}, lex(phrase_id, toks) AS (VALUES {listed}), ah AS (SELECT doc_id, pos, [{ahead}] run FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS (SELECT phrase_id, doc_id, pos, len(toks) n FROM ah, lex WHERE {match})"""
+
+
+_EXACT = "run[1:len(toks)] = toks"
+_NEAR = "(run[1:len(toks)] = toks OR (len(list_filter(range(1, len(toks) + 1), lambda i: run[i] IS DISTINCT FROM toks[i])) = 1 AND len(list_filter(range(1, len(toks) + 1), lambda i: run[i] <> toks[i] AND length(toks[i]) >= 6 AND levenshtein(run[i], toks[i]) = 1)) = 1))"
+
+
+@query("p1_p3_phrases", _phrase_sql(PHRASES, _EXACT) + " SELECT phrase_id, doc_id, count(*) AS hits, min(pos) AS first_pos FROM hits GROUP BY 1, 2")
+def p1(spark, d):
+    return text.phrase_hits(_stream(spark, d), _lexicon(spark, PHRASES), 3).groupBy("phrase_id", "doc_id").agg(F.count("*").alias("hits"), F.min("pos").alias("first_pos"))
+
+
+@query("p2_fuzzy_labels", _phrase_sql(FUZZY, _NEAR) + " SELECT doc_id, phrase_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, n DESC, phrase_id) r FROM hits) WHERE r = 1")
+def p2(spark, d):
+    """The first label of each document, the longest at its place; one long token may be misread by one letter."""
+    hits = text.phrase_hits(_stream(spark, d), _lexicon(spark, FUZZY), 3, fuzzy=True)
+    first = hits.groupBy("doc_id").agg(F.min(F.struct("pos", -F.col("n"), "phrase_id")).alias("m"))
+    return first.select("doc_id", "m.phrase_id", "m.pos")
+
+
+@query("g10_absence_probes", _phrase_sql(FUZZY, _NEAR) + """, st AS (SELECT d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN 'ocr_unavailable' WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) = 0 THEN 'ocr_unavailable'
+ WHEN EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id) THEN 'label_present' ELSE 'absent_corroborated' END status FROM documents d) SELECT status, count(*) AS n FROM st GROUP BY 1""")
+def g10(spark, d):
+    docs = table(spark, d, "documents")
+    seen = text.phrase_hits(_stream(spark, d), _lexicon(spark, FUZZY), 3, fuzzy=True).select("doc_id", F.lit(True).alias("label")).distinct()
+    blind = (F.col("doc_id") % 13 == 0) | (F.size(V.tokens(F.col("text"))) == 0)
+    status = F.when(blind, "ocr_unavailable").when(F.col("label"), "label_present").otherwise("absent_corroborated")
+    return docs.join(seen, "doc_id", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("p4_v3_context", _phrase_sql(PHRASES, _EXACT) + """, terms AS (SELECT doc_id, pos tp FROM tk WHERE tok IN ('and', 'with', 'apache')),
+near AS (SELECT h.phrase_id, h.doc_id, h.pos, coalesce(bool_or(tp BETWEEN h.pos - 12 AND h.pos + n - 1 + 12), false) ctx FROM hits h LEFT JOIN terms t ON t.doc_id = h.doc_id AND tp BETWEEN h.pos - 12 AND h.pos + n - 1 + 12 GROUP BY 1, 2, 3)
+SELECT phrase_id, count(*) AS hits, count_if(ctx) AS in_context FROM near GROUP BY 1""")
+def p4(spark, d):
+    stream = _stream(spark, d)
+    hits = text.near_terms(stream, text.phrase_hits(stream, _lexicon(spark, PHRASES), 3), ["and", "with", "apache"])
+    return hits.groupBy("phrase_id").agg(F.count("*").alias("hits"), F.count_if("in_context").alias("in_context"))
+
+
+@query("f16_term_classes", f"""WITH {TOKENS}, c AS (SELECT doc_id, count_if(regexp_matches(tok, '^[kw][a-z]{{2,3}}$')) strong, count_if(tok IN ('licensed', 'license', 'copyright')) weak FROM tk GROUP BY 1)
+SELECT CASE WHEN strong >= 2 THEN 'strong' WHEN strong + weak > 0 THEN 'weak' ELSE 'none' END AS evidence, count(*) AS docs FROM c GROUP BY 1""")
+def f16(spark, d):
+    c = _stream(spark, d).groupBy("doc_id").agg(F.count_if(F.col("tok").rlike("^[kw][a-z]{2,3}$")).alias("strong"), F.count_if(F.col("tok").isin("licensed", "license", "copyright")).alias("weak"))
+    return c.groupBy(F.when(F.col("strong") >= 2, "strong").when(F.col("strong") + F.col("weak") > 0, "weak").otherwise("none").alias("evidence")).agg(F.count("*").alias("docs"))
+
+
+GEO = """pts AS (SELECT vec_id word_id, vec_id % 50 page, 'w' || label AS value, label, CAST(floor((embedding[1] + 1) * 500) AS BIGINT) x, CAST(floor((embedding[2] + 1) * 500) AS BIGINT) y FROM embeddings)"""
+
+
+def _points(spark, d):
+    """Vectors as words of 50 pages: two components as a place on a grid of thousandths."""
+    grid = lambda i: F.floor((F.get("embedding", F.lit(i)) + 1) * 500)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("word_id"), (F.col("vec_id") % 50).alias("page"), F.concat(F.lit("w"), F.col("label").cast("string")).alias("value"), "label", grid(0).alias("x"), grid(1).alias("y"))
+
+
+def _words(spark, d):
+    p = _points(spark, d)
+    return p.select("word_id", "page", "value", "label", (F.col("x") / 1000).alias("x0"), (F.col("y") / 1000).alias("y0"), ((F.col("x") + 20) / 1000).alias("x1"), ((F.col("y") + 10) / 1000).alias("y1"))
+
+
+def _boxes(spark, d):
+    return _words(spark, d).where("word_id % 10 = 3").select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1")
+
+
+@query("j4_region_text", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y FROM pts WHERE word_id % 10 = 3)
+SELECT box_id, string_agg(value, ' ' ORDER BY w.y, w.x, value, word_id) AS text FROM b JOIN pts w USING (page) WHERE w.x <= b.x + 50 AND w.x + 20 >= b.x - 30 AND w.y <= b.y + 40 AND w.y + 10 >= b.y - 30 GROUP BY 1""")
+def j4(spark, d):
+    grid = _words(spark, d).select("word_id", "page", "value", *[F.round(F.col(c) * 1000, 0).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    boxes = grid.where("word_id % 10 = 3").select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1")
+    return text.region_text(grid, boxes, pad=30, height=1000)
+
+
+@query("j5_left_labels", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y FROM pts WHERE word_id % 10 = 3)
+SELECT box_id, coalesce(string_agg(value, ' ' ORDER BY w.y, w.x, value, word_id), 'NONE') AS label FROM b LEFT JOIN pts w ON w.page = b.page AND w.x + 20 <= b.x AND w.y <= b.y + 10 AND w.y + 10 >= b.y GROUP BY 1""")
+def j5(spark, d):
+    grid = _words(spark, d).select("word_id", "page", "value", *[F.round(F.col(c) * 1000, 0).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return text.left_label(grid, grid.where("word_id % 10 = 3").select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1"))
+
+
+@query("j6_citation", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y, label FROM pts WHERE word_id % 10 = 3),
+t AS (SELECT box_id, b.label, string_agg(value, '' ORDER BY w.y, w.x, value, word_id) txt FROM b JOIN pts w USING (page) WHERE w.x <= b.x + 50 AND w.x + 20 >= b.x - 30 AND w.y <= b.y + 40 AND w.y + 10 >= b.y - 30 GROUP BY 1, 2)
+SELECT box_id, contains(txt, 'w' || (label + 1) % 10) AS holds FROM t""")
+def j6(spark, d):
+    region = j4(spark, d)
+    labels = _points(spark, d).select(F.col("word_id").alias("box_id"), "label")
+    return region.join(labels, "box_id").select("box_id", text.folded_contains(F.concat(F.lit("W-"), ((F.col("label") + 1) % 10).cast("string")), F.col("text")).alias("holds"))
+
+
+@query("j12_nearest_label", f"""WITH {GEO}, l AS (SELECT word_id label_id, page, CASE WHEN label % 2 = 0 THEN 'seller' ELSE 'buyer' END side, x lx, y ly FROM pts WHERE word_id % 500 > 250),
+p AS (SELECT word_id point_id, page, x, y FROM pts WHERE word_id % 500 <= 250)
+SELECT point_id, label_id, side, d2 AS distance2 FROM (SELECT *, (x - lx) * (x - lx) + (y - ly) * (y - ly) d2, row_number() OVER (PARTITION BY point_id ORDER BY (x - lx) * (x - lx) + (y - ly) * (y - ly), label_id) r FROM p JOIN l USING (page)) WHERE r = 1""")
+def j12(spark, d):
+    p = _points(spark, d)
+    side = F.when(F.col("label") % 2 == 0, "seller").otherwise("buyer")
+    labels = p.where("word_id % 500 > 250").select(F.col("word_id").alias("label_id"), "page", side.alias("side"), "x", "y")
+    points = p.where("word_id % 500 <= 250").select(F.col("word_id").alias("point_id"), "page", "x", "y")
+    return text.nearest(points, labels).withColumn("distance2", F.col("distance2").cast("long"))
+
+
+@query("a33_nearest_side_accuracy", f"""WITH {GEO}, l AS (SELECT word_id label_id, page, label % 2 side, x lx, y ly FROM pts WHERE word_id % 500 > 250), p AS (SELECT word_id point_id, page, label % 2 truth, x, y FROM pts WHERE word_id % 500 <= 250),
+n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY (x - lx) * (x - lx) + (y - ly) * (y - ly), label_id) r FROM p JOIN l USING (page))
+SELECT truth, count(*) AS points, count_if(side = truth) AS hits FROM n WHERE r = 1 GROUP BY 1""")
+def a33(spark, d):
+    p = _points(spark, d)
+    labels = p.where("word_id % 500 > 250").select(F.col("word_id").alias("label_id"), "page", (F.col("label") % 2).alias("side"), "x", "y")
+    points = p.where("word_id % 500 <= 250").select(F.col("word_id").alias("point_id"), "page", "x", "y", (F.col("label") % 2).alias("truth"))
+    found = text.nearest(points, labels).join(points.select("point_id", "truth"), "point_id")
+    return found.groupBy("truth").agg(F.count("*").alias("points"), F.count_if(F.col("side") == F.col("truth")).alias("hits"))
+
+
+@query("f12_f13_boxes", f"WITH {GEO} SELECT page, min(x) AS x0, min(y) AS y0, max(x + 20) AS x1, max(y + 10) AS y1 FROM pts GROUP BY 1")
+def f12(spark, d):
+    """Pixel boxes of each page as shares of it, joined to one; written back as thousandths."""
+    p = _points(spark, d)
+    boxes = p.select(F.lit(0).alias("box_id"), "page", (F.col("x") * 2).alias("x"), (F.col("y") * 3).alias("y"), F.lit(40).alias("width"), F.lit(30).alias("height"))
+    pages = p.select("page").distinct().select("page", F.lit(2000).alias("width"), F.lit(3000).alias("height"))
+    return text.relative_boxes(boxes, pages).select("page", *[F.round(F.col(c) * 1000, 0).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
