@@ -1 +1,243 @@
-"""Queries."""
+"""Queries that measure slots, routes and arms against truth."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotforge.operators import gates, metrics, routing
+from slotforge.queries import base, query
+from slotforge.queries.base import table, with_sql
+from slotforge.queries.slots import POLICIES, routable, routed, routed_sql
+
+TRUTH = """truth AS (SELECT doc_id, field, CASE WHEN (3 * doc_id + ord) % 12 = 0 THEN coalesce(v, '') || 'x' WHEN (3 * doc_id + ord) % 12 <> 1 THEN v END want FROM slots WHERE doc_id % 29 <> 0),
+ts AS (SELECT r.*, t.want, r.doc_id % 29 <> 0 scored FROM routed r LEFT JOIN truth t USING (doc_id, field))"""
+
+
+def truth(slots):
+    h = (3 * F.col("doc_id") + F.col("ord")) % 12
+    want = F.when(h == 0, F.concat(F.coalesce("v", F.lit("")), F.lit("x"))).when(h != 1, F.col("v"))
+    return slots.where("doc_id % 29 <> 0").select("doc_id", "field", want.alias("want"))
+
+
+def scored(spark, d, policies=POLICIES):
+    s = routable(spark, d)
+    docs = table(spark, d, "orders").where("o_orderkey % 29 <> 0").select(F.col("o_orderkey").alias("doc_id"))
+    return metrics.with_truth(routing.route_all(s, policies), truth(s), docs)
+
+
+_SILENT = """count(*) AS slots, count_if(NOT scored) AS unscored, count_if(route = 'review') AS review, count_if(scored AND route = 'auto_absent') AS absent_hits, count_if(scored AND route = 'auto_absent' AND want IS NOT NULL) AS silent_absent,
+ count_if(scored AND route = 'auto_accept') AS value_hits, count_if(scored AND route = 'auto_accept' AND v IS DISTINCT FROM want) AS silent_wrong"""
+
+
+@query("a9_j14_silent_errors", routed_sql(f"SELECT policy_id, {_SILENT} FROM ts GROUP BY 1", TRUTH))
+def a9(spark, d):
+    return metrics.silent_errors(scored(spark, d), "policy_id")
+
+
+@query("a17_rule_search", routed_sql(f"SELECT field, {_SILENT} FROM ts WHERE policy_id = 'P3' GROUP BY 1", TRUTH))
+def a17(spark, d):
+    """The effect of the third policy field by field, from which a search keeps what lowers review and no more."""
+    return metrics.silent_errors(scored(spark, d, POLICIES[2:]), "field")
+
+
+_CONF = "CASE WHEN (31 * doc_id + ord) % 10 <> 0 THEN (31 * doc_id + 7 * ord) % 100 END"
+_SCORED = f"""sc AS (SELECT *, {_CONF} confidence, v IS DISTINCT FROM want OR v IS NULL deviation, v IS NOT NULL AND v IS DISTINCT FROM want wrong FROM ts WHERE policy_id = 'P1' AND tier = 'TIER1' AND scored)"""
+
+
+def rated(spark, d):
+    doc, ord_ = F.col("doc_id"), F.col("ord")
+    rows = scored(spark, d, POLICIES[:1]).where("tier = 'TIER1' AND scored")
+    wrong = F.col("v").isNotNull() & ~F.col("v").eqNullSafe(F.col("want"))
+    return rows.withColumns({"confidence": F.when((31 * doc + ord_) % 10 != 0, (31 * doc + 7 * ord_) % 100), "deviation": F.col("v").isNull() | wrong, "wrong": wrong})
+
+
+_SYSTEMS = {"all": "true", "present": "v IS NOT NULL", "confident": "coalesce(confidence >= 95, false)", "modes": "v IS NOT NULL AND cross_mode_agreement = 'pass'", "routed": "route = 'auto_accept'"}
+
+
+@query("a11_system_comparison", routed_sql("SELECT system, CAST(sum(n) AS BIGINT) AS slots, CAST(sum(dev) AS BIGINT) AS deviations, CAST(sum(acc) AS BIGINT) AS accepted, CAST(sum(silent) AS BIGINT) AS silent, CAST(sum(sw) AS BIGINT) AS silent_wrong, count_if(rel) AS docs_released, count_if(rel AND silent > 0) AS docs_silent FROM (SELECT system, doc_id, count(*) n, count_if(deviation) dev, count_if(accept) acc, count_if(accept AND deviation) silent, count_if(accept AND wrong) sw, bool_and(accept) rel FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' system, doc_id, deviation, wrong, {c} accept FROM sc" for n, c in _SYSTEMS.items()) + ") GROUP BY 1, 2) GROUP BY 1", TRUTH + ",\n" + _SCORED))
+def a11(spark, d):
+    return metrics.compare(rated(spark, d), {n: F.expr(c) for n, c in _SYSTEMS.items()})
+
+
+_BUDGETS = [10, 20, 30, 40]
+
+
+@query("v7_recall_at_budget", routed_sql(f"""SELECT percent, count_if(p < n * percent // 100) AS reviewed, count_if(p < n * percent // 100 AND deviation) AS found, max(total) AS total FROM
+ (SELECT deviation, row_number() OVER (ORDER BY coalesce(confidence, -1), doc_id, field) - 1 p, count(*) OVER () n, count_if(deviation) OVER () total FROM sc), (SELECT unnest({_BUDGETS}) percent) GROUP BY 1""", TRUTH + ",\n" + _SCORED))
+def v7(spark, d):
+    return metrics.recall_at_budgets(rated(spark, d), [F.coalesce("confidence", F.lit(-1)), F.col("doc_id"), F.col("field")], _BUDGETS)
+
+
+@query("v8_tie_range", routed_sql(f"""SELECT percent, CAST(dv - d + least(k - (up - n), d) AS BIGINT) AS best, CAST(dv - d + greatest(0, k - (up - n) - (n - d)) AS BIGINT) AS worst FROM
+ (SELECT *, sum(n) OVER (ORDER BY c) up, sum(d) OVER (ORDER BY c) dv FROM (SELECT coalesce(confidence, -1) c, count(*) n, count_if(deviation) d FROM sc GROUP BY 1)),
+ (SELECT percent, (SELECT count(*) FROM sc) * percent // 100 k FROM (SELECT unnest({_BUDGETS}) percent)) WHERE up - n < k AND k <= up""", TRUTH + ",\n" + _SCORED))
+def v8(spark, d):
+    return metrics.tie_range(rated(spark, d), _BUDGETS)
+
+
+@query("v6_a12_lift", routed_sql("""SELECT count(*) AS slots, count_if(p < n // 2 AND deviation) AS first_half, count_if(p >= n // 2 AND deviation) AS second_half, count_if(p < n * 46 // 100 AND deviation) AS covered,
+ count_if(route = 'review' AND deviation) AS queue_hits, count_if(v IS NULL) AS missing FROM (SELECT *, row_number() OVER (ORDER BY CASE strength WHEN 'unsupported' THEN 0 WHEN 'single_source' THEN 1 ELSE 2 END, CAST(route NOT IN ('review', 'block') AS INT), doc_id, field) - 1 p, count(*) OVER () n FROM sc)""", TRUTH + ",\n" + _SCORED))
+def v6(spark, d):
+    """Deviations in the halves of the triage order, in its first 46 per cent, and in the queue."""
+    rows = routing.triage(rated(spark, d))
+    half, most = F.floor(F.col("n") / 2), F.floor(F.col("n") * 46 / 100)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    dev, p = F.col("deviation"), F.col("position")
+    return rows.agg(
+        F.count("*").alias("slots"), F.count_if((p < half) & dev).alias("first_half"), F.count_if((p >= half) & dev).alias("second_half"), F.count_if((p < most) & dev).alias("covered"),
+        F.count_if((F.col("route") == "review") & dev).alias("queue_hits"), F.count_if(F.col("v").isNull()).alias("missing"),
+    )
+
+
+@query("v5_walk_order", routed_sql("""SELECT doc_id, field, dense_rank() OVER (ORDER BY weakest, doc_id) - 1 AS walk FROM (SELECT *, min(CASE strength WHEN 'unsupported' THEN 0 WHEN 'single_source' THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id) weakest FROM routed WHERE policy_id = 'P1' AND route = 'review')"""))
+def v5(spark, d):
+    """Documents in the order in which a reviewer walks them, the weakest first."""
+    rows = routed(spark, d).where("policy_id = 'P1' AND route = 'review'")
+    rank = F.when(F.col("strength") == "unsupported", 0).when(F.col("strength") == "single_source", 1).otherwise(2)
+    docs = rows.groupBy("doc_id").agg(F.min(rank).alias("weakest"))
+    walk = routing.ranked(docs, F.col("weakest"), F.col("doc_id")).select("doc_id", F.col("position").alias("walk"))
+    return rows.select("doc_id", "field").join(walk, "doc_id")
+
+
+@query("v9_bootstrap_interval")
+def v9(spark, d):
+    """Share of documents' deviations, with an interval by document (seeds are this engine's own)."""
+    docs = rated(spark, d).groupBy("doc_id").agg(F.count_if("deviation").alias("dev"), F.count("*").alias("n"))
+    return metrics.bootstrap(docs, 200, "dev", "n")
+
+
+@query("a15_a16_absence_ledger", routed_sql("""SELECT doc_class, field, corroborated, count(DISTINCT doc_id) AS docs, count_if(scored AND want IS NULL) AS saves, count_if(scored AND want IS NOT NULL) AS silent, count_if(NOT scored) AS unscored,
+ count_if(scored AND want IS NOT NULL) = 0 AND count_if(NOT scored) = 0 AND count_if(scored AND want IS NULL) >= 3 AS safe FROM ts WHERE policy_id = 'P1' AND v IS NULL GROUP BY 1, 2, 3""", TRUTH))
+def a15(spark, d):
+    rows = scored(spark, d, POLICIES[:1]).withColumn("corroborated", F.col("absence_evidence") == "absent_corroborated")
+    return metrics.absence_ledger(rows, "doc_class", "field", "corroborated")
+
+
+_CF = """cf AS (SELECT a.field, a.v, a.route IN ('auto_accept', 'auto_absent') o, b.route IN ('auto_accept', 'auto_absent') n, b.route br, t.want FROM routed a JOIN routed b ON a.doc_id = b.doc_id AND a.field = b.field AND a.policy_id = 'P1' AND b.policy_id = 'P3'
+ LEFT JOIN truth t ON t.doc_id = a.doc_id AND t.field = a.field), ev AS (SELECT field, count_if(n AND NOT o) relaxed, count_if(o AND NOT n) tightened, count_if(n AND NOT o AND CASE WHEN br = 'auto_absent' THEN want IS NOT NULL ELSE v IS DISTINCT FROM want END) conflicts, count_if(NOT n) - count_if(NOT o) load_delta FROM cf GROUP BY 1)"""
+
+
+def _evaluation(spark, d):
+    s = routable(spark, d)
+    return metrics.counterfactual(routing.route(s, POLICIES[0]), routing.route(s, POLICIES[2]), truth(s))
+
+
+@query("a19_counterfactual", routed_sql("SELECT field, relaxed, tightened, conflicts, load_delta FROM ev", TRUTH + ",\n" + _CF))
+def a19(spark, d):
+    return _evaluation(spark, d)
+
+
+@query("a20_promotion_gate", routed_sql("SELECT field, array_to_string(list_filter([CASE WHEN conflicts > 0 THEN 'truth_conflict' END, CASE WHEN tightened > 0 THEN 'not_monotone' END, CASE WHEN relaxed = 0 THEN 'no_effect' END], lambda x: x IS NOT NULL), ',') AS refusals FROM ev", TRUTH + ",\n" + _CF))
+def a20(spark, d):
+    return metrics.gate(_evaluation(spark, d))
+
+
+_ARMS = """arm AS (SELECT m1.doc_id, m1.field, CASE WHEN n1.v IS NULL THEN 'absent' ELSE 'value' END a, CASE WHEN n2.v IS NULL THEN 'absent' WHEN n2.v = n1.v THEN 'value' ELSE 'other' END b FROM m1 JOIN n1 USING (doc_id, field) JOIN n2 USING (doc_id, field))"""
+
+
+@query("a22_paired_confusion", with_sql("n2", "SELECT a, count_if(b = 'value') AS \"value\", count_if(b = 'absent') AS absent, count_if(b = 'other') AS other FROM arm GROUP BY 1", _ARMS))
+def a22(spark, d):
+    m1 = base.long(base.wide(spark, d))
+    both = gates.agreement(m1, base.mode2(m1))
+    b = F.when(F.col("second").isNull(), "absent").when(F.col("second") == F.col("first"), "value").otherwise("other")
+    return both.select(F.when(F.col("first").isNull(), "absent").otherwise("value").alias("a"), b.alias("b")).groupBy("a").pivot("b", ["value", "absent", "other"]).count().na.fill(0)
+
+
+@query("a21_a23_arm_scores", routed_sql("""SELECT field, count_if(NOT scored) AS no_truth, count_if(scored AND v IS NOT DISTINCT FROM want) AS agree, count_if(scored AND v IS NOT NULL AND want IS NOT NULL AND v <> want) AS disagree,
+ count_if(scored AND v IS NULL AND want IS NOT NULL) AS missed, count_if(scored AND v IS NOT NULL AND want IS NULL) AS false_presence FROM ts WHERE policy_id = 'P1' GROUP BY 1""", TRUTH))
+def a21(spark, d):
+    s, v, w = F.col("scored"), F.col("v"), F.col("want")
+    return scored(spark, d, POLICIES[:1]).groupBy("field").agg(
+        F.count_if(~s).alias("no_truth"), F.count_if(s & v.eqNullSafe(w)).alias("agree"), F.count_if(s & (v != w)).alias("disagree"), F.count_if(s & v.isNull() & w.isNotNull()).alias("missed"), F.count_if(s & v.isNotNull() & w.isNull()).alias("false_presence")
+    )
+
+
+@query("a24_adaptive_calls", with_sql("n2", """SELECT escalate, count(*) AS docs, CAST(sum(lost) AS BIGINT) AS disagreements FROM (SELECT w.doc_id, invoice_number IS NULL OR total_gross IS NULL OR total_vat IS NULL OR seller_vat_id IS NULL escalate, lost FROM wide w
+ JOIN (SELECT doc_id, count_if(n1.v IS DISTINCT FROM n2.v) lost FROM n1 JOIN n2 USING (doc_id, field) GROUP BY 1) USING (doc_id)) GROUP BY 1"""))
+def a24(spark, d):
+    """Documents that need the second mode, and disagreements that would be lost by not asking it."""
+    w = base.wide(spark, d)
+    m1 = base.long(w)
+    lost = gates.agreement(m1, base.mode2(m1)).groupBy("doc_id").agg(F.count_if(~F.col("agree")).alias("lost"))
+    need = F.col("invoice_number").isNull() | F.col("total_gross").isNull() | F.col("total_vat").isNull() | F.col("seller_vat_id").isNull()
+    return w.select("doc_id", need.alias("escalate")).join(lost, "doc_id").groupBy("escalate").agg(F.count("*").alias("docs"), F.sum("lost").alias("disagreements"))
+
+
+@query("a10_caliber_disputes", routed_sql("""SELECT t.kind, count(*) AS n FROM (SELECT 'T1' kind FROM truth a JOIN truth b ON a.doc_id = b.doc_id AND a.want = b.want AND a.field < b.field WHERE a.field LIKE 'total%' OR b.field LIKE 'total%'
+ UNION ALL SELECT 'T2' FROM truth a JOIN truth b USING (doc_id) WHERE a.field = 'due_date' AND b.field = 'issue_date' AND a.want = b.want) t GROUP BY 1""", TRUTH))
+def a10(spark, d):
+    """T1: one amount in two fields; T2: a due date equal to the issue date."""
+    t = truth(base.slots(spark, d))
+    other = t.select("doc_id", F.col("field").alias("field2"), F.col("want").alias("want2"))
+    pairs = t.join(other, "doc_id").where(F.col("want") == F.col("want2"))
+    t1 = pairs.where((F.col("field") < F.col("field2")) & (F.col("field").startswith("total") | F.col("field2").startswith("total"))).select(F.lit("T1").alias("kind"))
+    t2 = pairs.where("field = 'due_date' AND field2 = 'issue_date'").select(F.lit("T2").alias("kind"))
+    return t1.union(t2).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("a28_class_crosstab", """SELECT lang, count_if(quality = 0) AS q0, count_if(quality = 1) AS q1, count_if(toxic = 1) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+def a28(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    quality = rows.groupBy("lang").pivot("quality", [0, 1]).count().na.fill(0).toDF("lang", "q0", "q1")
+    return quality.join(rows.groupBy("lang").agg(F.count_if(F.col("toxic") == 1).alias("toxic")), "lang")
+
+
+@query("a29_a31_block_impact", routed_sql("SELECT doc_class, count(DISTINCT doc_id) AS docs, count(DISTINCT CASE WHEN doc_blocked THEN doc_id END) AS blocked_docs, count_if(route = 'block') AS blocked_slots, count_if(route IN ('review', 'block')) AS queue, count_if(route = 'block' AND cardinality(fails0) = 0) AS spared FROM routed WHERE policy_id = 'P1' GROUP BY 1"))
+def a29(spark, d):
+    fails = sum((F.col(g) == "fail").cast("int") for g in gates.GATES)
+    return routed(spark, d).where("policy_id = 'P1'").groupBy("doc_class").agg(
+        F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.when(F.col("doc_blocked"), F.col("doc_id"))).alias("blocked_docs"), F.count_if(F.col("route") == "block").alias("blocked_slots"),
+        F.count_if(F.col("route").isin("review", "block")).alias("queue"), F.count_if((F.col("route") == "block") & (fails == 0)).alias("spared"),
+    )
+
+
+_TITLE = "lower(regexp_extract(html, '<title>([^<]*)', 1))"
+_WORDS = {"the": r"\bthe\b", "ation": "ation", "de": r"\bde\b", "und": r"\bund\b", "none_of_it": "zzqqx"}
+
+
+@query("a30_vocabulary_ablation", " UNION ALL ".join(
+    f"SELECT '{name}' AS dropped, count_if(({' OR '.join(f'regexp_matches(t, \'{p}\')' for p in _WORDS.values())}) <> ({' OR '.join(f'regexp_matches(t, \'{p}\')' for n, p in _WORDS.items() if n != name)})) AS changed FROM (SELECT {_TITLE} t FROM pages)" for name in _WORDS
+))
+def a30(spark, d):
+    """How many pages' verdict depends on each alternative of a vocabulary."""
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)", 1))
+    rows = table(spark, d, "pages").select(F.array(*[title.rlike(p) for p in _WORDS.values()]).alias("hits"))
+    variants = F.explode(F.array(*[F.struct(F.lit(n).alias("dropped"), F.lit(i).alias("i")) for i, n in enumerate(_WORDS)])).alias("x")
+    flat = rows.select("hits", variants).select("hits", "x.*")
+    now = F.exists(F.transform("hits", lambda h, k: h & (k != F.col("i"))), lambda h: h)
+    return flat.groupBy("dropped").agg(F.count_if(F.exists("hits", lambda h: h) != now).alias("changed"))
+
+
+@query("a37_call_statistics", "SELECT event_type, count(*) AS calls, CAST(round(sum(round(value * 100))) AS BIGINT) AS total_cents, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+def a37(spark, d):
+    at = lambda q, n: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n)
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(base.cents(F.col("value"))).alias("total_cents"), at(0.5, "median"), at(0.95, "p95"))
+
+
+@query("a26_suggestion_adoption", """SELECT state, count(*) AS n, count_if(value > 50) AS adopted FROM (SELECT value, CASE event_id % 4 WHEN 0 THEN 'agree' WHEN 1 THEN 'none' WHEN 2 THEN 'differs' ELSE 'agree' END state FROM events) GROUP BY 1""")
+def a26(spark, d):
+    seen = F.concat(F.get(F.array(F.lit("agree"), F.lit("none"), F.lit("differs"), F.lit("agree")), (F.col("event_id") % 4).cast("int")), F.lit(":"), F.col("value").cast("string"))
+    return table(spark, d, "events").select(F.split_part(seen, F.lit(":"), F.lit(1)).alias("state"), "value").groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("adopted"))
+
+
+@query("a39_review_report", "SELECT event_type, count(*) AS decided, count_if(event_type = 'purchase') AS corrections, max(event_id) AS last_entry FROM events GROUP BY 1")
+def a39(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("decided"), F.count_if(F.col("event_type") == "purchase").alias("corrections"), F.max("event_id").alias("last_entry"))
+
+
+@query("a41_sample_profile", routed_sql("SELECT field, strength, count(*) AS slots, count(DISTINCT doc_id) AS docs, count_if(v IS NULL) AS empty, count_if(reasons[-1] LIKE 'QA_SAMPLE:%') AS probes FROM routed WHERE policy_id = 'P3' GROUP BY 1, 2"))
+def a41(spark, d):
+    rows = routing.route(routable(spark, d), POLICIES[2])
+    return rows.groupBy("field", "strength").agg(F.count("*").alias("slots"), F.count_distinct("doc_id").alias("docs"), F.count_if(F.col("v").isNull()).alias("empty"), F.count_if(F.element_at("reasons", -1).startswith("QA_SAMPLE:")).alias("probes"))
+
+
+@query("a8_touch_economics", routed_sql("""SELECT scope, queued, count(*) AS docs FROM (SELECT scope, doc_id, count_if(route IN ('review', 'block') AND (scope = 'all' OR (scope = 'tier1' AND tier = 'TIER1') OR (scope = 'three' AND field IN ('invoice_number', 'total_gross', 'seller_name')))) queued
+ FROM routed, (VALUES ('all'), ('tier1'), ('three')) s(scope) WHERE policy_id = 'P3' GROUP BY 1, 2) GROUP BY 1, 2"""))
+def a8(spark, d):
+    """How many fields of a document are to be reviewed, under three scopes; 0 is a document that nobody touches."""
+    scopes = {"all": F.lit(True), "tier1": F.col("tier") == "TIER1", "three": F.col("field").isin("invoice_number", "total_gross", "seller_name")}
+    rows = routing.route(routable(spark, d), POLICIES[2])
+    flat = rows.select("doc_id", F.inline(F.array(*[F.struct(F.lit(n).alias("scope"), (c & F.col("route").isin("review", "block")).alias("open")) for n, c in scopes.items()])))
+    return flat.groupBy("scope", "doc_id").agg(F.count_if("open").alias("queued")).groupBy("scope", "queued").agg(F.count("*").alias("docs"))
+
