@@ -53,19 +53,29 @@ def _clean(value) -> str:
     return "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in str(value if value is not None else ""))
 
 
-def record(page_id, url, payload: bytes, refers_to, date: str) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header, with the payload's length, and no payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+def _record(kind: str, page_id, url, sha: bytes, date: str, more: list[str], block: bytes) -> bytes:
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{_digest(payload)}", "Content-Type: application/http; msgtype=response",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_clean(url)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}", "Content-Type: application/http; msgtype=response", *more,
     ]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def _http(length: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
+def record(page_id, url, payload: bytes, date: str) -> bytes:
+    """A response record."""
+    return _record("response", page_id, url, hashlib.sha1(payload).digest(), date, [], _http(len(payload)) + payload)
+
+
+def revisit(page_id, url, sha: bytes, length: int, refers_to, date: str) -> bytes:
+    """A revisit record: the HTTP header, with the payload's length, and no payload."""
+    more = [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    return _record("revisit", page_id, url, sha, date, more, _http(length))
+
+
 def parse(raw: bytes) -> dict:
     """The record's fields; a response's payload must have the length and digest that its headers give."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -87,15 +97,26 @@ def write(
     least_bytes: int = 0, entries: int = 64, date: str = "1970-01-01T00:00:00Z",
 ) -> DataFrame:
     """Write all pages; one row for each archive: where it is and the keys that it spans."""
-    rows = textops.keyed(pages, {"page_id": id_column, "url": url_column, "html": html_column}).withColumns(
-        {"page_id": F.col("page_id").cast("long"), "html": F.coalesce("html", F.lit(""))}
+    rows = textops.keyed(pages, {"page_id": id_column, "url": url_column, "html": html_column}).select(
+        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")
     )
-    rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textops.slices(batch, 2):
+                out = []
+                for page, url, html in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
+                    payload = html.encode()
+                    out.append((page, url, hashlib.sha1(payload).digest(), len(payload), gzip.compress(record(page, url, payload, date), 6, mtime=0)))
+                kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "url", "sha", "size", "packed"])
+
+    # each page becomes a packed response at once, so that shuffles carry compressed records only
+    rows = rows.mapInArrow(pack, "page_id long, url string, sha binary, size long, packed binary")
     first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"))
+    rows = rows.join(first, ["sha", "size"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     rows = (
-        rows.join(first, ["sha", "size"], "left")
-        .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-        .select(url_key(F.col("url")).alias("url_key"), "page_id", "url", "html", "refers_to")
+        rows.select(url_key(F.col("url")).alias("url_key"), "page_id", "url", "sha", "size", F.when(F.col("refers_to").isNull(), F.col("packed")).alias("packed"), "refers_to")
         .repartitionByRange("url_key", "page_id")
         .sortWithinPartitions("url_key", "page_id")
     )
@@ -119,7 +140,7 @@ def write(
 
             for batch in batches:
                 for row in batch.to_pylist():
-                    packed = gzip.compress(record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date), mtime=0)
+                    packed = row["packed"] or gzip.compress(revisit(row["page_id"], row["url"], row["sha"], row["size"], row["refers_to"], date), mtime=0)
                     out.write(packed)
                     block.append((row["url_key"], row["page_id"], at, len(packed)))
                     at += len(packed)

@@ -68,7 +68,7 @@ def test_url_keys(spark):
 
 
 def test_damage_is_noticed():
-    raw = warc.record(1, "u", b"abc", None, "d").replace(b"abc", b"abd")
+    raw = warc.record(1, "u", b"abc", "d").replace(b"abc", b"abd")
     with pytest.raises(ValueError):
         warc.parse(raw)
 
