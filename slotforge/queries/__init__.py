@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from slotforge.queries import ledger, metrics, sampling, slots, text  # noqa: E402, F401
+from slotforge.queries import ledger, metrics, sampling, slots, streaming, text  # noqa: E402, F401
