@@ -1,3 +1,46 @@
 """DuckDB SQL for the queries whose results SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Least draw of each shard's leaf; with equal leaves the tree's descent ends at the least leaf of all.
+OP3 = """WITH k AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') key FROM documents),
+draws AS (SELECT DISTINCT key, s, CAST('0x' || substr(md5(key || '/' || s), 1, 12) AS BIGINT) u FROM k, range(17) r(s)),
+pick AS (SELECT key, arg_max(s, u) FILTER (WHERE s < 16) shard, arg_max(s, u) grown FROM draws GROUP BY 1),
+tab AS (SELECT list(c ORDER BY i) t FROM (WITH RECURSIVE step(i, c, b) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL
+ SELECT i, CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c // 2) ELSE c // 2 END, b + 1 FROM step WHERE b < 8) SELECT i, c FROM step WHERE b = 8)),
+raw AS (SELECT k.*, hex(encode(coalesce(text, ''))) h FROM k),
+crc AS (SELECT raw.*, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+ lambda a, b: xor(t[CAST(xor(a, b) % 256 AS INT) + 1], a // 256), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) text_crc32 FROM raw, tab)
+SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+ row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 1024, doc_id, length(h), text_crc32) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM crc JOIN pick USING (key)"""
+
+OP4 = f"""WITH d AS (SELECT row_number() OVER () rid, doc_id, {_WORDS.format("text")} w FROM documents),
+win AS (SELECT rid, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) p FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+first AS (SELECT h, min(doc_id) f FROM win GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) i FROM win JOIN first USING (h) WHERE doc_id > f),
+listed AS (SELECT rid, list(i) g FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+ sha256(array_to_string(list_filter(w, lambda x, i: g IS NULL OR NOT list_contains(g, i)), ' ')) AS kept_sha256 FROM d LEFT JOIN listed USING (rid)"""
+
+OP5 = """WITH p AS (SELECT page_id, coalesce(html, '') html, sha1(coalesce(html, '')) s FROM pages),
+f AS (SELECT s, max(page_id) first FROM p GROUP BY 1)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 AS INT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f USING (s)"""
+
+OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' .'] ELSE [] END) s FROM d),
+n AS (SELECT doc_id, count(*) n FROM sh GROUP BY 1),
+ranked AS (SELECT doc_id, sh.s, n.n, row_number() OVER (PARTITION BY doc_id ORDER BY df, sh.s) r FROM sh JOIN n USING (doc_id) JOIN (SELECT s, count(*) df FROM sh GROUP BY 1) c ON c.s = sh.s),
+pre AS (SELECT doc_id, s, n FROM ranked WHERE r <= n - (85 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.doc_id x, b.doc_id y, a.n nx, b.n ny FROM pre a JOIN pre b ON a.s = b.s AND a.doc_id > b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+links AS (SELECT x, y FROM (SELECT x, y, nx, ny, count(*) c FROM cand JOIN sh a ON a.doc_id = x JOIN sh b ON b.doc_id = y AND b.s = a.s GROUP BY 1, 2, 3, 4) WHERE 100 * c >= 85 * (nx + ny - c)),
+both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT DISTINCT x, x FROM both_ UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON both_.x = reach.y),
+comp AS (SELECT x doc_id, min(y) c FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(coalesce(c, doc_id) = doc_id, true) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_sharding": OP3, "op4_substring_dedup": OP4, "op5_warc": OP5, "op9_near_duplicates": OP9}
