@@ -8,9 +8,10 @@ verified on their full shingle sets. Links make components; each is named by its
 
 No group is expanded into pairs. Documents with equal sets are one representative. Then (1) each representative is
 compared with the smallest one of the bands it shares, the one met most often, and links are joined to components;
-(2) bands whose members still are in several components are worked off in square tiles of bounded size, only
-members of different components are compared there, and what passes the estimate is verified. So no link
-between different components stays unseen, and near copies in the thousands cost a few comparisons each.
+(2) in bands whose members still are in several components, those whose estimate may reach the threshold form
+clusters. Clusters are worked off in square tiles of bounded size; only members of different components are compared
+there, and links are reported only where they join what was apart. So no link between different components stays unseen, and near copies in the
+thousands cost a few comparisons each.
 
 Cases: A-Z count as lower case; a text with fewer words than a shingle is one shingle; null texts and texts without
 words have no shingles and are linked with nothing; rows with equal ids are one node (its links are those of all its
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotforge.llm import textops
@@ -91,9 +92,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the estimate is within five standard errors of the threshold."""
+    """Whether the estimate is within four standard errors of the threshold."""
     n = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
-    return estimate(a, b) >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / n)
+    return estimate(a, b) >= threshold - 4 * np.sqrt(threshold * (1 - threshold) / n)
 
 
 def sketch(docs: DataFrame, width: int, size: int) -> DataFrame:
@@ -119,7 +120,10 @@ def sketch(docs: DataFrame, width: int, size: int) -> DataFrame:
 
 
 def connect(links: DataFrame) -> DataFrame:
-    """(id, component) for the ends of the links (x, y): large-star and small-star rounds until nothing changes."""
+    """(id, component) for the ends of the links (x, y), but for each component's least id itself.
+
+    Large-star and small-star rounds until nothing changes.
+    """
     edges = textops.cut(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
     last = None
     while True:
@@ -137,14 +141,48 @@ def connect(links: DataFrame) -> DataFrame:
         last = now
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, prepared: DataFrame | None = None) -> DataFrame:
-    """Those pairs (x, y) of ids whose full shingle sets have 100 * intersection >= percent * union."""
+SLOTS = 1 << 24
+
+
+def id_slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+
+
+def id_bitmap(ids: DataFrame):
+    """A broadcast bitmap of fixed size (``SLOTS`` bits, 2 MB) of the ids' hashes.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    It tells which ids are surely not among the given ones; where it fills up it tells less, and what follows is exact.
+    """
+    marked = ids.select(id_slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bitmap = np.zeros((SLOTS // 32768, 4096), np.uint8)
+    for row in marked.collect():  # SLOTS / 32768 rows of 4 KB at most
+        bitmap[row["bucket"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+
+def among(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    at = slot.astype(np.int64) - 1
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, own) of the documents with the given ids, and a few others; no text is shuffled."""
+    shared = id_bitmap(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            for part in textops.slices(batch, 1):
+            wanted = batch.filter(pa.array(among(bits, batch.column(2).to_numpy())))
+            for part in textops.slices(wanted, 1):
                 own = pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), own], ["id", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), own], ["doc_id", "own"])
+
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", id_slot().alias("slot"))
+    return rows.mapInArrow(run, "doc_id long, own binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (x, y) of ids whose full shingle sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +193,105 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, prepar
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    own = textops.cut(docs.join(ends, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, own binary"))
-    first, second = own.toDF("x", "own_x"), own.toDF("y", "own_y")
+    one, other = pairs.select(F.col("x").alias("doc_id")).distinct(), pairs.select(F.col("y").alias("doc_id")).distinct()
+    first, second = sets_of(docs, one, width).toDF("x", "own_x"), sets_of(docs, other, width).toDF("y", "own_y")
     return pairs.join(first, "x").join(second, "y").select("x", "y", "own_x", "own_y").mapInArrow(check, "x long, y long").distinct()
 
 
+def _tiles(rows: DataFrame, key: str, size: str, buckets: int) -> DataFrame:
+    """Each group dealt to parts of about ``TILE`` rows; (bucket, i, j) are pairs of parts, and a row is in each of its
+    part's. Small groups have one part and share buckets, so that a call has many of them."""
+    dealt = rows.withColumn("__t", F.ceil(F.col(size) / TILE).cast("int")).withColumn("part", F.pmod(F.hash("doc_id"), "__t"))
+    other = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__t") - 1)))
+    bucket = F.when(F.col("__t") == 1, F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(F.xxhash64(key))
+    return other.withColumns({"bucket": bucket, "i": F.least("part", "__other"), "j": F.greatest("part", "__other")}).drop("__t", "__other", size)
+
+
+def _groups(table: pa.Table, key: str) -> Iterator[dict]:
+    """The columns of each group of a call, as arrays."""
+    names = table.column(key).to_numpy()
+    order = np.argsort(names, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1])), len(names)) if len(names) else np.zeros(1, np.int64)
+    columns = {c: table.column(c).to_numpy()[order] for c in ("doc_id", "component", "part", "sets")}
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)[order]
+    own = table.column("own").to_pylist() if "own" in table.column_names else None
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        group = {c: v[a:b] for c, v in columns.items()} | {"regs": regs[a:b]}
+        yield group | ({"own": [np.frombuffer(own[k], np.uint64) for k in order[a:b]]} if own else {})
+
+
+def _links(x: list[int], y: list[int]) -> pa.Table:
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
+def similar(inside: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) that connect all documents of one band whose estimate may reach the threshold; a spanning set of them.
+
+    ``inside`` has band, doc_id, component, members; documents of one component are connected already.
+    """
+    tiles = _tiles(inside, "band", "members", -(-inside.count() // 20_000) + 1).join(regs.select("doc_id", "regs", "sets"), "doc_id")
+
+    def spanning(key: tuple, table: pa.Table) -> pa.Table:
+        i, j, x, y = key[1].as_py(), key[2].as_py(), [], []
+        for g in _groups(table, "band"):
+            ids, before, part, r, several = g["doc_id"], g["component"], g["part"], g["regs"], g["sets"] > 1
+            label, met = before.copy(), []
+            right = np.flatnonzero(part == j)
+            for k in np.flatnonzero(part == i):
+                against = right[label[right] != label[k]]
+                if len(against):
+                    hit = against[several[against] | several[k] | may_reach(r[against], r[k], threshold)]
+                    if len(hit):
+                        found = np.unique(label[hit])
+                        x += [int(label[k])] * len(found)
+                        y += found.tolist()
+                        met += [int(label[k]), *found.tolist()]
+                        label[np.isin(label, found)] = label[k]
+            if met:
+                # every document here of a component that meets another one
+                own = np.isin(before, np.array(met, np.int64))
+                x += ids[own].tolist()
+                y += before[own].tolist()
+        return _links(x, y)
+
+    return tiles.groupBy("bucket", "i", "j").applyInArrow(spanning, "x long, y long").distinct()
+
+
+def cross_links(members: DataFrame, docs: DataFrame, regs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (x, y) between the components of each cluster: (doc_id, component, cluster) to a spanning set of links.
+
+    A cluster's documents are dealt to parts of about ``TILE``; each pair of parts is a group, in which documents of
+    different components are estimated and, if that may reach the threshold, verified. A group emits a link only if it
+    joins what was apart in it, so it emits fewer links than it has documents.
+    """
+    threshold = percent / 100
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
+    full = sets_of(docs, members, width).join(members.join(sizes, "cluster"), "doc_id").join(regs.select("doc_id", "regs", "sets"), "doc_id")
+    tiles = _tiles(full, "cluster", "members", -(-members.count() // TILE) + 1)
+
+    def crossing(key: tuple, table: pa.Table) -> pa.Table:
+        i, j, x, y = key[1].as_py(), key[2].as_py(), [], []
+        for g in _groups(table, "cluster"):
+            ids, label, part, r, own, several = g["doc_id"], g["component"].copy(), g["part"], g["regs"], g["own"], g["sets"] > 1
+            right = np.flatnonzero(part == j)
+            for k in np.flatnonzero(part == i):
+                against = right[(label[right] != label[k]) & ((ids[right] < ids[k]) | (i != j))]
+                if not len(against):
+                    continue
+                about = estimate(r[against], r[k])
+                may = may_reach(r[against], r[k], threshold) | several[against] | several[k]
+                for n in against[may][np.argsort(-about[may], kind="stable")]:
+                    if label[n] != label[k]:
+                        both = len(np.intersect1d(own[k], own[n], assume_unique=True))
+                        if 100 * both >= percent * (len(own[k]) + len(own[n]) - both):
+                            label[label == label[n]] = label[k]
+                            x.append(int(ids[k]))
+                            y.append(int(ids[n]))
+        return _links(x, y)
+
+    return tiles.groupBy("bucket", "i", "j").applyInArrow(crossing, "x long, y long")
+
+
 def components(
     docs: DataFrame, *, width: int = 3, percent: int = 85, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -195,35 +326,15 @@ def components(
     first = textops.cut(verified(textops.cut(pairs), docs, width, percent).union(copies.where("x <> y")))
     named = textops.cut(connect(first))
 
-    # bands whose members are in several components
+    # bands whose members are in several components; documents of theirs that may be similar are one cluster
     placed = shared.join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = textops.cut(placed.select("band", "doc_id", "component"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a < b")
-    # tiles: members are dealt to t parts, and each pair of parts is one group
-    tiled = placed.join(open_.select("band", F.ceil(F.col("members") / TILE).cast("int").alias("t")), "band").withColumn("part", F.pmod(F.hash("doc_id"), "t"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select(
-        "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component"
-    )
-    tiled = tiled.join(regs.select("doc_id", "regs", (F.col("sets") > 1).alias("several")), "doc_id")
-
-    def crossing(key: tuple, table: pa.Table) -> pa.Table:
-        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        part, sure = table.column("part").to_numpy(), np.array(table.column("several").to_pylist(), bool)
-        r = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        x, y = [], []
-        i, j = key[1].as_py(), key[2].as_py()
-        right = np.flatnonzero(part == j)
-        for k in np.flatnonzero(part == i):
-            against = right[(comp[right] != comp[k]) & (ids[right] < ids[k])] if i == j else right[comp[right] != comp[k]]
-            if len(against):
-                hit = against[sure[against] | sure[k] | may_reach(r[against], r[k], threshold)]
-                x += [ids[k]] * len(hit)
-                y += ids[hit].tolist()
-        x, y = np.array(x, np.int64), np.array(y, np.int64)
-        return pa.table({"x": np.maximum(x, y), "y": np.minimum(x, y)})
-
-    more = textops.cut(tiled.groupBy("band", "i", "j").applyInArrow(crossing, "x long, y long").distinct())
-    second = verified(more, docs, width, percent)
+    inside = placed.join(open_.select("band", "members"), "band")
+    cluster = connect(similar(inside, regs, threshold)).toDF("doc_id", "cluster")
+    cluster = cluster.union(cluster.select("cluster", "cluster").distinct())  # the least of each has no row of its own
+    members = cluster.join(named.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    second = cross_links(textops.cut(members), docs, regs, width, percent)
     final = connect(first.union(second))
     return (
         known.select("doc_id", F.col("n").alias("n_shingles"))
@@ -234,8 +345,23 @@ def components(
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each component, with all its columns; of rows that repeat an id, those with equal values once."""
-    found = components(docs, width=width, percent=percent, id_column=id_column, text_column=text_column)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(f"`{id_column}`") == F.col("__gone"), "left_anti")
-    return left.dropDuplicates() if not any(t.startswith("map") for _, t in left.dtypes) else left
+    """One document of each component, with all its columns; of rows that repeat an id, those with equal values once.
+
+    Only rows that may have to go are shuffled; the others pass as they are.
+    """
+    found = components(docs, width=width, percent=percent, id_column=id_column, text_column=text_column).where("doc_id IS NOT NULL")
+    gone = textops.cut(found.where("NOT kept").select("doc_id").distinct())
+    again = textops.cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    shared = id_bitmap(gone.union(again))
+
+    @F.pandas_udf("boolean")
+    def doubtful(slot):
+        return slot.notna() & among(shared.value, slot.fillna(1).to_numpy())
+
+    slot = F.pmod(F.xxhash64(F.col(f"`{id_column}`").cast("long")), F.lit(SLOTS)) + 1
+    marked = F.when(F.col(f"`{id_column}`").isNotNull(), slot)
+    passed = docs.where(~doubtful(marked))
+    rest = docs.where(doubtful(marked)).join(gone.select(F.col("doc_id").alias("__gone")), F.col(f"`{id_column}`") == F.col("__gone"), "left_anti")
+    repeats = F.col(f"`{id_column}`") == F.col("__again")
+    twice = again.select(F.col("doc_id").alias("__again"))
+    return passed.unionByName(rest.join(twice, repeats, "left_anti")).unionByName(rest.join(twice, repeats, "left_semi").dropDuplicates())
