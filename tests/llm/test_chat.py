@@ -12,7 +12,7 @@ SCHEMA = "conv_id long, turn long, role string, text string, window int"
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.tuples(st.text(alphabet=st.sampled_from("a:\\# \n</turn>"), max_size=8), st.text(alphabet=st.sampled_from(["### ", "</turn>", "\\", "\n", "<", "#", " ", "é", "### user:\n"]), max_size=8)), max_size=5))
+@given(st.lists(st.tuples(st.text(alphabet=st.sampled_from("a:\\# \n</turn>"), max_size=8), st.lists(st.sampled_from(["### ", "</turn>", "\\", "\n", "<", "#", " ", "é", "### user:\n"]), max_size=8).map("".join)), max_size=5))
 def test_template_round_trip(turns):
     turns = [(r.replace("\n", ""), t) for r, t in turns]
     text = "".join(chat.render(r, t)[0] for r, t in turns)
