@@ -7,7 +7,8 @@ walks are taken; each samples a few output places as a key, and equal keys make
 by exact edit distance of the item against the stretch around the window, ends free.
 
 Before they are embedded, windows are screened: an item of n words within d edits shares at least n - 1 - 2d word
-pairs with the stretch, and of the windows around a passage those that share most are its best aligned. Pairs of items are held in a table of fixed size (``slots``), with a mask of
+pairs with the stretch, and every window that holds so many in its own row is embedded: passages may stand side by
+side, so none is left out for a better neighbour. Pairs of items are held in a table of fixed size (``slots``), with a mask of
 size classes, so the table can be broadcast however large the benchmark is; so are the keys of items. Candidates then meet their items in a shuffled (or, if Spark finds it small, broadcast)
 join.
 
@@ -30,14 +31,17 @@ from slotforge.llm.textops import Words, mix, rolling
 
 _U = np.uint64
 CLASSES = 64
+#: Windows that are embedded at a time.
+BLOCK = 4096
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of rows of word hashes: (rows, n) to (rows, 3n); past its end a row gives blanks."""
+def walk(windows: np.ndarray, seed: int, steps: int | None = None) -> np.ndarray:
+    """CGK embedding of rows of word hashes: (rows, n) to (rows, 3n), or the first ``steps``; past its end a row gives blanks."""
     rows, n = windows.shape
     padded = np.concatenate((windows, np.zeros((rows, 1), np.uint64)), axis=1)
-    at, out, every = np.zeros(rows, np.int64), np.empty((rows, 3 * n), np.uint64), np.arange(rows)
-    for step in range(3 * n):
+    steps = 3 * n if steps is None else steps
+    at, out, every = np.zeros(rows, np.int64), np.empty((rows, steps), np.uint64), np.arange(rows)
+    for step in range(steps):
         out[:, step] = word = padded[every, at]
         move = mix(word + _U((seed * 1_000_003 + step) & 0xFFFFFFFF)) >> _U(63)
         at = np.minimum(at + move.astype(np.int64), n)
@@ -52,7 +56,7 @@ def keys(windows: np.ndarray, repeats: int, places: int) -> np.ndarray:
         # only the steps up to the last sampled place matter; sampling favours none
         chosen = np.sort(np.random.default_rng((seed, n)).choice(3 * n, min(places, 3 * n), replace=False))
         key = np.full(len(windows), mix(np.array([seed * 65_536 + n], np.uint64))[0])
-        for column in walk(windows, seed)[:, chosen].T:
+        for column in walk(windows, seed, int(chosen[-1]) + 1)[:, chosen].T:
             key = mix(key * _U(0x9E3779B97F4A7C15) + column)
         out[seed] = key
     return out
@@ -73,18 +77,12 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes >> _U(20)).astype(np.int64) & (slots - 1)
 
 
-def _peaks(at: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """Which positions have as many pairs as the best around them; two passages are further apart."""
-    if not len(at):
-        return np.zeros(0, bool)
-    bucket = at // size
-    names, first = np.unique(bucket, return_index=True)
-    best = np.maximum.reduceat(count, first)
-    around = best.copy()
-    near = np.diff(names) == 1
-    around[1:] = np.where(near, np.maximum(around[1:], best[:-1]), around[1:])
-    around[:-1] = np.where(near, np.maximum(around[:-1], best[1:]), around[:-1])
-    return count >= np.repeat(around, np.diff(np.append(first, len(at))))
+def _stretches(row: np.ndarray, at: np.ndarray, gap: int, width: int) -> np.ndarray:
+    """The number of the stretch of each window: runs of neighbours of one row, cut where they get longer than ``width``."""
+    new = np.append(True, (np.diff(at) > gap) | (np.diff(row) != 0))
+    run = np.cumsum(new) - 1
+    piece = (at - at[new][run]) // (width + 1)
+    return np.cumsum(np.append(True, (np.diff(run) != 0) | (np.diff(piece) != 0))) - 1
 
 
 def find(
@@ -144,9 +142,9 @@ def find(
                             continue
                         spread = np.unique((first[:, None] + np.arange(-2 * int(ratio * n) - 1, 1)[None, :]).ravel())
                         spread = spread[spread >= 0]
-                        count = np.searchsorted(own, spread + n - 1, "left") - np.searchsorted(own, spread, "left")
-                        spread, count = spread[count >= need[n]], count[count >= need[n]]
-                        spread = spread[_peaks(spread, count, max(1, n // 3))]
+                        # pairs of the window that lie in its own row
+                        count = np.searchsorted(own, spread + np.minimum(n, left[spread]) - 1, "left") - np.searchsorted(own, spread, "left")
+                        spread = spread[count >= need[n]]
                         # a window at a text's end may be shorter than the item: take the last whole one
                         short = left[spread] < n
                         spread = np.unique(np.where(short, spread - (n - left[spread]), spread))
@@ -154,17 +152,20 @@ def find(
                         spread = spread[left[spread] >= n]
                         if not len(spread):
                             continue
-                        found = keys(w.hashes[spread[:, None] + np.arange(n)[None, :]], repeats, places)
                         # neighbouring windows are one stretch, reported once for each of their keys
-                        new = np.append(True, (np.diff(spread) > max(1, n // 3)) | (np.diff(row[spread]) != 0))
-                        group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
-                        last, d = spread[np.append(begin[1:], len(spread)) - 1], int(ratio * n)
-                        r, j = np.nonzero(known[_slot(found, slots)])
-                        hits = np.unique(np.stack([group[j], found[r, j].view(np.int64)], axis=1), axis=0) if len(r) else []
-                        for g, key in hits:
+                        group = _stretches(row[spread], spread, max(1, n // 3), n)
+                        begin = np.flatnonzero(np.append(True, np.diff(group) != 0))
+                        # a window that holds enough pairs is so many words off its passage at most
+                        last, off = spread[np.append(begin[1:], len(spread)) - 1], 2 * int(ratio * n) + 1
+                        hits = set()
+                        for k in range(0, len(spread), BLOCK):
+                            found = keys(w.hashes[spread[k : k + BLOCK, None] + np.arange(n)[None, :]], repeats, places)
+                            r, j = np.nonzero(known[_slot(found, slots)])
+                            hits.update(zip(group[k + j].tolist(), found[r, j].view(np.int64).tolist(), strict=True))
+                        for g, key in sorted(hits):
                             i = int(row[last[g]])
-                            a, b = max(int(w.bounds[i]), int(spread[begin[g]]) - d), min(int(w.bounds[i + 1]), int(last[g]) + n + d)
-                            out.append((int(key), n, part.column(0)[i].as_py(), a - int(w.bounds[i]), w.hashes[a:b].tobytes()))
+                            a, b = max(int(w.bounds[i]), int(spread[begin[g]]) - off), min(int(w.bounds[i + 1]), int(last[g]) + n + off)
+                            out.append((key, n, part.column(0)[i].as_py(), a - int(w.bounds[i]), w.hashes[a:b].tobytes()))
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "n", "doc_id", "at", "stretch"])

@@ -80,3 +80,31 @@ def test_empty_tables(planted):
     df, benchmark, _, _ = planted
     assert decontam.find(df.limit(0), benchmark).count() == 0
     assert decontam.find(df, benchmark.limit(0)).count() == 0
+
+
+def test_edited_items_beside_exact_ones_are_found(spark):
+    """Lists of leaked items of one size, in one document and over the ends of neighbouring rows."""
+    rng = random.Random(7)
+    words = lambda n: [f"u{rng.randrange(5000)}" for _ in range(n)]
+    items = [(i, words(40)) for i in range(80)]
+
+    def edited(item):
+        out = list(item)
+        for at in rng.sample(range(40), 4):
+            out[at] = words(1)[0]
+        return out
+
+    docs, want = [], set()
+    for i in range(0, 80, 2):
+        a, b = items[i][1], items[i + 1][1]
+        docs.append((i, " ".join(words(9) + edited(a) + b + edited(a) + words(9))))
+        docs += [(1000 + i, " ".join(words(9) + edited(a))), (2000 + i, " ".join(b + words(9)))]
+        want |= {(i, i), (i, i + 1), (1000 + i, i), (2000 + i, i + 1)}
+    docs.append((5000, " ".join(" ".join(edited(x)) for _, x in items)))
+    want |= {(5000, i) for i, _ in items}
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.item_id) for r in decontam.find(df, spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")).collect()}
+    assert found <= want
+    for low, high in ((0, 1000), (1000, 2000), (5000, 6000)):
+        part = {k for k in want if low <= k[0] < high}
+        assert len(part & found) >= 0.97 * len(part)
