@@ -8,7 +8,8 @@ by exact edit distance of the item against the stretch around the window, ends f
 
 Before they are embedded, windows are screened: an item of n words within d edits shares at least n - 1 - 2d word
 pairs with the stretch, and every window that holds so many in its own row is embedded: passages may stand side by
-side, so none is left out for a better neighbour. Pairs of items are held in a table of fixed size (``slots``), with a mask of
+side, so none is left out for a better neighbour. At a row's ends windows reach over it, filled with blanks, by as
+many words as may be missing, so a document that is an item cut short has windows as well. Pairs of items are held in a table of fixed size (``slots``), with a mask of
 size classes, so the table can be broadcast however large the benchmark is; so are the keys of items. Candidates then meet their items in a shuffled (or, if Spark finds it small, broadcast)
 join.
 
@@ -85,6 +86,13 @@ def _stretches(row: np.ndarray, at: np.ndarray, gap: int, width: int) -> np.ndar
     return np.cumsum(np.append(True, (np.diff(run) != 0) | (np.diff(piece) != 0))) - 1
 
 
+def _padded(w: Words, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Windows of n words; blanks stand where a window goes beyond its row."""
+    places = at[:, None] + np.arange(n)[None, :]
+    inside = (places >= w.bounds[row][:, None]) & (places < w.bounds[row + 1][:, None])
+    return np.where(inside, w.hashes[np.clip(places, 0, len(w.hashes) - 1)], _U(0))
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text_column: str = "text", ratio: float = 0.2, repeats: int = 12, places: int = 3, least: int = 5, slots: int = 1 << 20,
@@ -140,31 +148,33 @@ def find(
                         first = own[count >= need[n] - 1]
                         if not len(first):
                             continue
-                        spread = np.unique((first[:, None] + np.arange(-2 * int(ratio * n) - 1, 1)[None, :]).ravel())
-                        spread = spread[spread >= 0]
+                        d = int(ratio * n)
+                        at = (first[:, None] + np.arange(-2 * d - 1, 1)[None, :]).ravel()
+                        own_row = np.repeat(row[first], 2 * d + 2)
+                        # a window may stand over its row's ends by as many words as a passage may lack there
+                        inside = (at >= w.bounds[own_row] - d) & (at + n <= w.bounds[own_row + 1] + d) & (w.counts[own_row] >= n - d)
+                        span = len(w.hashes) + 2 * n
+                        own_row, at = np.divmod(np.unique(own_row[inside] * span + at[inside] + n), span)
+                        at -= n
                         # pairs of the window that lie in its own row
-                        count = np.searchsorted(own, spread + np.minimum(n, left[spread]) - 1, "left") - np.searchsorted(own, spread, "left")
-                        spread = spread[count >= need[n]]
-                        # a window at a text's end may be shorter than the item: take the last whole one
-                        short = left[spread] < n
-                        spread = np.unique(np.where(short, spread - (n - left[spread]), spread))
-                        spread = spread[spread >= 0]
-                        spread = spread[left[spread] >= n]
-                        if not len(spread):
+                        lo, hi = np.maximum(at, w.bounds[own_row]), np.minimum(at + n, w.bounds[own_row + 1]) - 1
+                        enough = np.searchsorted(own, hi, "left") - np.searchsorted(own, lo, "left") >= need[n]
+                        own_row, at = own_row[enough], at[enough]
+                        if not len(at):
                             continue
                         # neighbouring windows are one stretch, reported once for each of their keys
-                        group = _stretches(row[spread], spread, max(1, n // 3), n)
+                        group = _stretches(own_row, at, max(1, n // 3), n)
                         begin = np.flatnonzero(np.append(True, np.diff(group) != 0))
                         # a window that holds enough pairs is so many words off its passage at most
-                        last, off = spread[np.append(begin[1:], len(spread)) - 1], 2 * int(ratio * n) + 1
+                        last, off = np.append(begin[1:], len(at)) - 1, 2 * d + 1
                         hits = set()
-                        for k in range(0, len(spread), BLOCK):
-                            found = keys(w.hashes[spread[k : k + BLOCK, None] + np.arange(n)[None, :]], repeats, places)
+                        for k in range(0, len(at), BLOCK):
+                            found = keys(_padded(w, own_row[k : k + BLOCK], at[k : k + BLOCK], n), repeats, places)
                             r, j = np.nonzero(known[_slot(found, slots)])
                             hits.update(zip(group[k + j].tolist(), found[r, j].view(np.int64).tolist(), strict=True))
                         for g, key in sorted(hits):
-                            i = int(row[last[g]])
-                            a, b = max(int(w.bounds[i]), int(spread[begin[g]]) - off), min(int(w.bounds[i + 1]), int(last[g]) + n + off)
+                            i = int(own_row[begin[g]])
+                            a, b = max(int(w.bounds[i]), int(at[begin[g]]) - off), min(int(w.bounds[i + 1]), int(at[last[g]]) + n + off)
                             out.append((key, n, part.column(0)[i].as_py(), a - int(w.bounds[i]), w.hashes[a:b].tobytes()))
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -108,3 +108,25 @@ def test_edited_items_beside_exact_ones_are_found(spark):
     for low, high in ((0, 1000), (1000, 2000), (5000, 6000)):
         part = {k for k in want if low <= k[0] < high}
         assert len(part & found) >= 0.97 * len(part)
+
+
+def test_documents_that_are_items_cut_short_are_found(spark):
+    """The whole text is an item without its last, its first or some middle words: fewer words than the item."""
+    rng = random.Random(11)
+    items = [(i, [f"t{rng.randrange(5000)}" for _ in range(rng.randrange(5, 60))]) for i in range(60)]
+    docs, want = [], set()
+    for i, item in items:
+        n, most = len(item), int(0.2 * len(item))
+        middle = set(rng.sample(range(1, n - 1), max(1, most // 2)))
+        cuts = [item[:-1], item[: n - most], item[1:], item[most:], [x for k, x in enumerate(item) if k not in middle], item[: n - most - 1]]
+        for k, words in enumerate(cuts):
+            docs.append((i * 10 + k, " ".join(words)))
+            if distance(item, words) <= most:
+                want.add((i * 10 + k, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.item_id) for r in decontam.find(df, spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")).collect()}
+    assert found <= want
+    for k in range(5):
+        part = {x for x in want if x[0] % 10 == k}
+        assert len(part) > 50
+        assert len(part & found) >= 0.9 * len(part), k
