@@ -1,7 +1,8 @@
 """Sequence packing by Karmarkar-Karp multiway differencing (operator 1).
 
 Each document's ids (with an end id) are cut at the capacity: whole cuts fill a sequence alone. The rests, in pieces
-of at most ``rest_piece`` ids, are dealt, a few hundred at a time, into near-equal windows. Differencing
+of at most ``rest_piece`` ids, are dealt, a few hundred at a time, into near-equal windows; tiny ones are joined into
+bundles first, and a group is dealt only when its ids fill many windows. Differencing
 keeps a heap of partial partitions and merges the two that are most uneven with their loads opposed; the number of
 windows rises while the fullest one is above capacity. A task holds one such group at most; nothing is shuffled, so one hot source or key makes no
 difference, and a lost executor only has its own partitions packed again, to the same result.
@@ -31,15 +32,16 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Tokenizer:
     """Ids of a ``tokenizers`` file as little-endian 32-bit bytes.
 
-    With ``ranks_path``, the same byte-level vocabulary as ranks, texts of Latin-1 characters go to ``tiktoken``, which
-    gives the same ids several times faster; the libraries may class newer characters differently.
+    With ``ranks_path``, the same byte-level vocabulary as ranks, texts of Latin-1 characters without an added token's
+    string go to ``tiktoken``, which gives the same ids several times faster; the libraries may class newer characters differently.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer as Base
 
         self.base, self.fast = Base.from_file(path), None
-        self.base.encode_special_tokens = True
+        # their strings in a text are single ids, which the ranks do not have
+        self.added = [t.content for t in self.base.get_added_tokens_decoder().values()]
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -49,7 +51,7 @@ class Tokenizer:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast:
+        if self.fast and not any(t in text for t in self.added):
             with contextlib.suppress(UnicodeEncodeError):
                 text.encode("latin-1")
                 return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
@@ -101,7 +103,7 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text",
-    ranks_path: str | None = None, capacity: int = 2048, end_id: int = 1, rest_piece: int = 512, group: int = 256,
+    ranks_path: str | None = None, capacity: int = 2048, end_id: int = 1, rest_piece: int = 512, group: int = 256, fill: int = 32,
 ) -> DataFrame:
     """One row for each piece of each document: where it lies in its document and in its sequence.
 
@@ -112,19 +114,22 @@ def pack(
         encode = Tokenizer(tokenizer_path, ranks_path)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
-        rests: list[tuple] = []
+        bundles: list[list[tuple]] = []
+        sizes: list[int] = []
         whole, width = 4 * capacity, 4 * rest_piece
 
         def deal() -> list[tuple]:
             nonlocal sequence
             out = []
-            for window in windows_of([r[2] for r in rests], capacity):
+            for window in windows_of(sizes, capacity):
                 at = 0
                 for i in window:
-                    out.append((*rests[i], sequence, at))
-                    at += rests[i][2]
+                    for row in bundles[i]:
+                        out.append((*row, sequence, at))
+                        at += row[2]
                 sequence += 1
-            rests.clear()
+            bundles.clear()
+            sizes.clear()
             return out
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
@@ -146,9 +151,13 @@ def pack(
                         if len(piece) == whole:
                             out.append((*row, sequence, 0))
                             sequence += 1
+                        elif sizes and sizes[-1] + row[2] <= rest_piece // 2:
+                            bundles[-1].append(row)
+                            sizes[-1] += row[2]
                         else:
-                            rests.append(row)
-                    if len(rests) >= group:
+                            bundles.append([row])
+                            sizes.append(row[2])
+                    if len(sizes) >= group and sum(sizes) >= fill * capacity:
                         out += deal()
                 yield rows(out)
         yield rows(deal())

@@ -82,3 +82,18 @@ def test_padding_is_small(spark, base):
 
 def test_empty_table(nothing):
     assert packing.pack(nothing, JSON).count() == 0
+
+
+def test_added_tokens_in_texts_have_the_ids_of_the_plain_call():
+    plain = Tokenizer.from_file(JSON)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|>日"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(FAST(text), "<u4").tolist() == want
+        assert np.frombuffer(packing.Tokenizer(JSON)(text), "<u4").tolist() == want
+
+
+def test_padding_of_short_texts_is_small(spark):
+    rows = [(i, " ".join(["word"] * (i % 12 + 3))) for i in range(30_000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), JSON, ranks_path=RANKS)
+    total, windows = found.agg({"length": "sum"}).first()[0], found.select("sequence_id").distinct().count()
+    assert found.count() == 30_000 and total > 0.95 * 2048 * windows
