@@ -49,6 +49,14 @@ def content_digest(frame: DataFrame, *columns: str) -> DataFrame:
     return hashed.agg(F.count("*").alias("rows"), word(0).alias("a"), word(1).alias("b")).select("rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("digest"))
 
 
+def set_digests(frame: DataFrame, key: str, *groups: str) -> DataFrame:
+    """(groups, n, digest) of the distinct ids of each group, in any order; sums of id hashes, so no group is gathered."""
+    word = lambda i: F.coalesce(F.sum(F.conv(F.substring("__h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    ids = frame.select(*groups, F.col(key).cast("string").alias("__id")).distinct().withColumn("__h", F.sha2("__id", 256))
+    summed = ids.groupBy(*groups).agg(F.count("__id").alias("n"), word(0).alias("__a"), word(1).alias("__b"))
+    return summed.select(*groups, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "__a", "__b"), 256).alias("digest"))
+
+
 def snapshot(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
     """(name, rows, digest) of each table, in the order of names; equal inputs have equal rows."""
     parts = [content_digest(f, *c).select(F.lit(n).alias("name"), "rows", "digest") for n, (f, c) in sorted(tables.items())]

@@ -33,6 +33,16 @@ def a35(spark, d):
     return table(spark, d, "documents").where("doc_id % 20 = 0").groupBy("lang").agg(F.count_distinct("doc_id").alias("n"), V.set_digest(F.col("doc_id")).alias("digest"))
 
 
+def _id_sum(i: int) -> str:
+    return f"coalesce(sum(CAST(('0x' || substr(h, {1 + 12 * i}, 12)) AS BIGINT)), 0)"
+
+
+@query("a35_set_digests_all", f"SELECT lang, count(doc_id) AS n, sha256(count(doc_id) || '|' || {_id_sum(0)} || '|' || {_id_sum(1)}) AS digest FROM (SELECT lang, doc_id, sha256(CAST(doc_id AS VARCHAR)) h FROM (SELECT DISTINCT lang, doc_id FROM documents)) GROUP BY 1")
+def a35_all(spark, d):
+    """All ids of each language; ``a35_set_digest`` reads one id in twenty."""
+    return sampling.set_digests(table(spark, d, "documents"), "doc_id", "lang")
+
+
 def _digest_sql(name: str, t: str, columns: tuple[str, ...]) -> str:
     h = "sha256(" + " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns) + ")"
     word = lambda i: f"sum(CAST(('0x' || substr(h, {1 + 12 * i}, 12)) AS BIGINT))"

@@ -169,3 +169,19 @@ def test_digest_ignores_order_but_not_rows(spark):
     digest = lambda f: sampling.content_digest(f, "id", "k").first().digest
     assert digest(df) == digest(df.orderBy(F.desc("id")).repartition(3)) != digest(df.where("id < 49"))
     assert digest(df) != digest(df.union(df.limit(1)))
+
+
+def test_set_digests_see_each_id_and_not_order_or_copies(spark):
+    df = spark.range(200).select("id", (F.col("id") % 3).alias("k"))
+    digests = lambda f: {r.k: (r.n, r.digest) for r in sampling.set_digests(f, "id", "k").collect()}
+    want = digests(df)
+    assert want == digests(df.union(df).orderBy(F.desc("id")).repartition(3))
+    less = digests(df.where("id <> 101"))
+    assert less[101 % 3] != want[101 % 3] and all(less[k] == want[k] for k in want if k != 101 % 3)
+
+
+def test_whole_set_digest_query_reads_every_document(spark):
+    from slotforge.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    assert sum(r.n for r in QUERIES["a35_set_digests_all"](spark, d).collect()) == spark.read.parquet(f"{d}/documents.parquet").select("lang", "doc_id").distinct().count()
