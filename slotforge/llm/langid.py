@@ -11,7 +11,8 @@ the shortest code wins; ``score`` is its posterior under a uniform prior, from t
 Training uses at most about ``sample`` documents of each language, chosen by a hash of the id (a documented bound, the
 only one: it bounds the model; scoring covers all bytes of all texts). Gram counts are summed by Spark.
 
-Cases: null text, or text without a letter, is ``und`` with score 0; rows are judged alone, so repeated rows and null
+Cases: null text, or text without a letter, is ``und`` with score 0; of languages with equal code lengths the first by
+name wins; rows are judged alone, so repeated rows and null
 ids get results of their own; with nothing to learn from all is ``und``; an empty table gives an empty result; other
 columns are not read.
 """
@@ -41,64 +42,66 @@ def _grams(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the rows of (lang, text)."""
+    """(lang, gram, n) over the rows of (lang, text), where a language is a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            for lang in sorted(set(langs)):
+            langs = batch.column(0).to_numpy()
+            for lang in np.unique(langs).tolist():
                 own = batch.filter(pa.array(langs == lang))
                 for part in textops.slices(own, 1):
                     gram, n = np.unique(_grams(*textops.buffers(part.column(1))), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang, np.int32)), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Code lengths in bits: ``cost[context * symbols + symbol]`` has a column for each language."""
+    """Code lengths in bits: ``cost[context * symbols + symbol]`` has a column for each language.
 
-    def __init__(self, langs: list[str], grams: np.ndarray, lang: np.ndarray, n: np.ndarray):
+    The table is filled by parts of the contexts, so that building it takes little more than the table itself.
+    """
+
+    def __init__(self, langs: list[str], grams: np.ndarray, lang: np.ndarray, n: np.ndarray, part: int = 2048):
         self.langs = langs
         seen = np.unique(grams & 0xFF)
         self.symbol = np.zeros(256, np.int32)  # 0: bytes that no language has
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.size = size = len(seen) + 1
-        part = [self.symbol[(grams >> s) & 0xFF].astype(np.int64) for s in (24, 16, 8, 0)]
-        contexts = [np.zeros(1, np.int64)]
-        self.levels, costs = [], [np.full((size, len(langs)), 8.0)]
-        parents = np.zeros(1, np.int64)
-        code = np.zeros(len(grams), np.int64)
-        for order in range(ORDER + 1):
-            if order:
-                code = code + part[ORDER - order] * size ** (order - 1)
-            keys = np.unique(code)
-            self.levels.append(keys)
-            if order:
-                shorter = keys % size ** (order - 1) if order > 1 else np.zeros(len(keys), np.int64)
-                parents = np.searchsorted(self.levels[order - 1], shorter)
-            table = np.zeros((len(keys) * size, len(langs)))
-            np.add.at(table, (np.searchsorted(keys, code) * size + part[3], lang), n)
-            table = table.reshape(len(keys), size, len(langs))
-            total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            below = costs[-1].reshape(-1, size, len(langs))[parents] if order else costs[-1].reshape(1, size, len(langs))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen_cost = -np.log2(table / (total + distinct))
-                escape = np.where(total > 0, -np.log2(np.where(total > 0, distinct / (total + distinct), 1)), 0)
-            costs.append(np.where(table > 0, seen_cost, escape + below).reshape(-1, len(langs)))
-            contexts.append(keys)
+        oldest, older, old, last = (self.symbol[(grams >> s) & 0xFF].astype(np.int64) for s in (24, 16, 8, 0))
+        # codes of the contexts of each order, the newest byte lowest
+        codes = [np.zeros(len(grams), np.int64), old, old + size * older, old + size * older + size * size * oldest]
+        levels = [np.unique(c) for c in codes]
+        first = np.cumsum([0, *[len(k) for k in levels]])
+        self.cost = np.empty((int(first[-1]) * size, len(langs)), np.float32)
+        for order, (code, known) in enumerate(zip(codes, levels, strict=True)):
+            place = np.searchsorted(known, code)
+            by_place = np.argsort(place, kind="stable")
+            place = place[by_place]
+            for a in range(0, len(known), part):
+                b = min(a + part, len(known))
+                own = by_place[slice(*np.searchsorted(place, (a, b)))]
+                count = np.zeros(((b - a) * size, len(langs)))
+                np.add.at(count, ((np.searchsorted(known, code[own]) - a) * size + last[own], lang[own]), n[own])
+                count = count.reshape(b - a, size, len(langs))
+                if order:
+                    shorter = first[order - 1] + np.searchsorted(levels[order - 1], known[a:b] % size ** (order - 1))
+                    below = self.cost.reshape(-1, size, len(langs))[shorter]
+                else:
+                    below = np.full(count.shape, 8.0)
+                total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    found = -np.log2(count / (total + distinct))
+                    escape = np.where(total > 0, -np.log2(np.where(total > 0, distinct / (total + distinct), 1)), 0)
+                self.cost[(first[order] + a) * size : (first[order] + b) * size] = np.where(count > 0, found, escape + below).reshape(-1, len(langs))
         # each order-3 code leads to its longest known context
-        base = np.cumsum([0, *[len(k) for k in self.levels]])
-        where = np.full(size**ORDER, 0, np.int32)
-        codes = np.arange(size**ORDER)
-        for order in range(ORDER + 1):
-            keys = self.levels[order]
-            short = codes % size**order if order else np.zeros(len(codes), np.int64)
-            at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-            hit = keys[at] == short
-            where[hit] = (base[order] + at[hit]).astype(np.int32)
-        self.where = where * np.int32(size)
-        self.cost = np.concatenate(costs[1:]).astype(np.float32)
+        self.where = np.zeros(size**ORDER, np.int32)
+        for order, known in enumerate(levels):
+            for a in range(0, len(self.where), 1 << 20):
+                short = np.arange(a, min(a + (1 << 20), len(self.where))) % size**order
+                at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                hit = np.flatnonzero(known[at] == short)
+                self.where[a + hit] = ((first[order] + at[hit]) * size).astype(np.int32)
 
     def bits(self, data: np.ndarray, rows: np.ndarray, most: int = 1 << 19) -> np.ndarray:
         """The code length of each text in each language."""
@@ -128,11 +131,11 @@ def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share).select("lang", "text")
-    table = count_grams(chosen).toArrow()  # bounded by the sample
+    chosen = rows.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)) < share)
     langs = sorted(sizes)
-    lang = np.searchsorted(langs, np.array(table.column("lang").to_pylist(), str))
-    return Model(langs, table.column("gram").to_numpy(), lang, table.column("n").to_numpy()) if table.num_rows else None
+    number = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1
+    table = count_grams(chosen.select(number.alias("lang"), "text")).toArrow()  # bounded by the sample
+    return Model(langs, table.column("gram").to_numpy(), table.column("lang").to_numpy(), table.column("n").to_numpy()) if table.num_rows else None
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -147,21 +150,48 @@ def predict(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for part in textops.slices(batch, 2):
-                data, at = textops.buffers(part.column(2))
-                size = np.maximum(np.diff(at), 1)
-                known = np.array(part.column(3).to_pylist(), bool) & (model is not None)
-                lang, score, best = ["und"] * len(known), np.zeros(len(known)), np.full(len(known), np.nan)
-                if model is not None:
-                    bits = model.bits(data, at)
-                    order = np.argmin(bits, axis=1)
-                    best = bits.min(axis=1) / size
-                    apart = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(size, evidence) / size)[:, None]
-                    score = np.where(known, 1 / np.exp2(-np.minimum(apart, 1000)).sum(1), 0.0)
-                    lang = [model.langs[k] if ok else "und" for k, ok in zip(order, known, strict=True)]
-                columns = [part.column(0).cast(pa.int64()), part.column(1), pa.array(lang), pa.array(score), pa.array(np.where(known, best, np.nan), from_pandas=True)]
+                lang, score, best = _judge(shared.value, part.column(2), part.column(3), evidence)
+                columns = [part.column(0).cast(pa.int64()), part.column(1), lang, pa.array(score), pa.array(best, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def _judge(model: Model | None, texts: pa.Array, letter: pa.Array, evidence: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Language, posterior and bits for each byte of each text."""
+    known = np.array(letter.to_pylist(), bool) & (model is not None)
+    if model is None:
+        return pa.array(["und"] * len(known), pa.string()), np.zeros(len(known)), np.full(len(known), np.nan)
+    data, at = textops.buffers(texts)
+    size = np.maximum(np.diff(at), 1)
+    bits = model.bits(data, at)
+    least = bits.min(axis=1, keepdims=True)
+    apart = (bits - least) * (np.minimum(size, evidence) / size)[:, None]
+    score = np.where(known, 1 / np.exp2(-np.minimum(apart, 1000)).sum(1), 0.0)
+    lang = [model.langs[k] if ok else "und" for k, ok in zip(np.argmin(bits, axis=1), known, strict=True)]
+    return pa.array(lang, pa.string()), score, np.where(known, least[:, 0] / size, np.nan)
+
+
+def accept(docs: DataFrame, model: Model | None, *, text_column: str = "text", lang_column: str = "lang", least: float = 0.5, evidence: int = 64) -> DataFrame:
+    """The rows whose language is known with a posterior of ``least`` or more, with all their columns; theirs is set to it.
+
+    Nothing is shuffled or joined: each row is judged and passed on where it lies.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    text, lang_at = names.index(text_column), names.index(lang_column)
+    given = [F.col(f"`{c}`").cast("string").alias(c) if c == lang_column else F.col(f"`{c}`") for c in names]
+    letter = F.coalesce(F.col(f"`{text_column}`").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(*given, letter.alias("_".join(["letter", *names])))  # no other column's name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textops.slices(batch, text):
+                lang, score, _ = _judge(shared.value, part.column(text), part.column(len(names)), evidence)
+                columns = [lang if i == lang_at else part.column(i) for i in range(len(names))]
+                sure = (score >= least) & np.array([x != "und" for x in lang.to_pylist()], bool)
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(sure))
+
+    return rows.mapInArrow(run, docs.select(*given).schema)

@@ -91,3 +91,11 @@ def test_prediction_reads_the_text_alone(spark, model):
     a = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.predict(docs, model).collect())
     b = sorted((r.doc_id - 10_000, r.lang_pred, r.score) for r in langid.predict(shifted, model).collect())
     assert a == b
+
+
+def test_accept_passes_all_columns_on(spark, model):
+    rows = [(1, "the and of", None, 7, 1), (1, "12", "en", 8, 2), (None, "der und die das", "xx", 9, 3), (2, None, "en", 1, 4), (1, "the and of", None, 7, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, __letter int")
+    found = sorted(map(tuple, langid.accept(df, model).collect()), key=str)
+    assert found == sorted([(1, "the and of", "en", 7, 1)] * 2 + [(None, "der und die das", "de", 9, 3)], key=str)
+    assert langid.accept(df, model).columns == df.columns and langid.accept(df, None).count() == 0
