@@ -16,10 +16,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: rejected are those without a letter and those of which no language is likely."""
-    model = langid.train(docs)
-    found = langid.predict(docs, model).where("lang_pred <> 'und' AND score >= 0.5")
-    accepted = found.select(F.col("doc_id").alias("__id"), F.col("lang_pred").alias("__lang")).dropDuplicates(["__id"])
-    return docs.join(accepted, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("lang", F.col("__lang")).drop("__id", "__lang")
+    return langid.accept(docs, langid.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
