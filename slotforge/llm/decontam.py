@@ -14,12 +14,15 @@ size classes, so the table can be broadcast however large the benchmark is; so a
 join.
 
 Words are those of the text with A-Z in lower case. Cases: null or empty texts and items have no words and match
-nothing; items of fewer than ``least`` words are skipped, as any text would match; rows with equal or null ids are
-reported once for each (id, item); an empty table gives an empty result; other columns are not read.
+nothing; items of fewer than five words allow no edits, so an item of one word is in every text that has the word; rows
+with equal or null ids are reported once for each (id, item), the stretch with the fewest edits, of several the one that
+ends first; very long texts are worked off like others, by their words; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,33 +36,77 @@ from slotforge.llm.textops import Words, mix, rolling
 _U = np.uint64
 CLASSES = 64
 #: Windows that are embedded at a time.
-BLOCK = 4096
+BLOCK = 1024
+
+
+def _own_blank(windows: np.ndarray) -> np.ndarray:
+    """The windows with one more column, a blank that tells the row's words and their order."""
+    blank = mix((windows * mix(np.arange(1, windows.shape[1] + 1, dtype=np.uint64))[None, :]).sum(axis=1, dtype=np.uint64))
+    return np.concatenate((windows, blank[:, None]), axis=1)
+
+
+def _turns(seed: int, steps: int) -> np.ndarray:
+    """Two random numbers for each step: a walk moves on if the top bit of (word * first + second) is set."""
+    return mix(np.arange(1, 2 * steps + 1, dtype=np.uint64) + mix(np.array([seed + 1], np.uint64))).reshape(steps, 2) | _U(1)
 
 
 def walk(windows: np.ndarray, seed: int, steps: int | None = None) -> np.ndarray:
-    """CGK embedding of rows of word hashes: (rows, n) to (rows, 3n), or the first ``steps``; past its end a row gives blanks."""
+    """CGK embedding of rows of word hashes: (rows, n) to (rows, 3n), or the first ``steps``.
+
+    Past its end a row gives a blank of its own, so that only equal rows agree there.
+    """
     rows, n = windows.shape
-    padded = np.concatenate((windows, np.zeros((rows, 1), np.uint64)), axis=1)
-    steps = 3 * n if steps is None else steps
+    padded, steps = _own_blank(windows), 3 * n if steps is None else steps
     at, out, every = np.zeros(rows, np.int64), np.empty((rows, steps), np.uint64), np.arange(rows)
-    for step in range(steps):
+    for step, (times, plus) in enumerate(_turns(seed, steps)):
         out[:, step] = word = padded[every, at]
-        move = mix(word + _U((seed * 1_000_003 + step) & 0xFFFFFFFF)) >> _U(63)
-        at = np.minimum(at + move.astype(np.int64), n)
+        at = np.minimum(at + ((word * times + plus) >> _U(63)).astype(np.int64), n)
     return out
 
 
+def inner_steps(n: int) -> int:
+    """Steps before which a walk of n words hardly ends: it moves k/2 of k steps, and two deviations more once in 40."""
+    return max(1, int((np.sqrt(1 + 2 * n) - 1) ** 2))
+
+
+def sampled(n: int, seed: int, places: int) -> np.ndarray:
+    """The places of a walk that make its key; none is favoured."""
+    return np.sort(np.random.default_rng((seed, n)).choice(inner_steps(n), min(places, inner_steps(n)), replace=False))
+
+
+@functools.lru_cache(maxsize=1024)
+def _courses(n: int, repeats: int, places: int) -> tuple[list[int], list[list[int]], np.ndarray]:
+    """Seeds, those that go furthest first, with their places and random numbers."""
+    chosen = {seed: sampled(n, seed, places).tolist() for seed in range(repeats)}
+    order = sorted(chosen, key=lambda s: -chosen[s][-1])
+    steps = chosen[order[0]][-1] + 1
+    return order, [chosen[s] for s in order], np.stack([_turns(s, steps) for s in order])
+
+
 def keys(windows: np.ndarray, repeats: int, places: int) -> np.ndarray:
-    """(repeats, rows): a hash of sampled places of each walk; windows of other sizes have other keys."""
-    n = windows.shape[1]
-    out = np.empty((repeats, len(windows)), np.uint64)
-    for seed in range(repeats):
-        # only the steps up to the last sampled place matter; sampling favours none
-        chosen = np.sort(np.random.default_rng((seed, n)).choice(3 * n, min(places, 3 * n), replace=False))
-        key = np.full(len(windows), mix(np.array([seed * 65_536 + n], np.uint64))[0])
-        for column in walk(windows, seed, int(chosen[-1]) + 1)[:, chosen].T:
-            key = mix(key * _U(0x9E3779B97F4A7C15) + column)
-        out[seed] = key
+    """(repeats, rows): a hash of sampled places of each walk; windows of other sizes have other keys.
+
+    All walks go on side by side, each to its last sampled place.
+    """
+    rows, n = windows.shape
+    order, chosen, turns = _courses(n, repeats, places)
+    padded = _own_blank(windows).ravel()
+    start = np.arange(rows) * (n + 1)
+    at, end = np.tile(start, (repeats, 1)), start + n
+    key = np.repeat(mix(np.array([s * 65_536 + n for s in order], np.uint64))[:, None], rows, axis=1)
+    for step in range(turns.shape[1]):
+        on = sum(places[-1] >= step for places in chosen)
+        word = padded[at[:on]]
+        for k in range(on):
+            if step in chosen[k]:
+                key[k] = mix(key[k] * _U(0x9E3779B97F4A7C15) + word[k])
+        word *= turns[:on, step, 0][:, None]
+        word += turns[:on, step, 1][:, None]
+        word >>= _U(63)
+        at[:on] += word.view(np.int64)
+        np.minimum(at[:on], end, out=at[:on])
+    out = np.empty_like(key)
+    out[order] = key
     return out
 
 
@@ -93,29 +140,106 @@ def _padded(w: Words, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.where(inside, w.hashes[np.clip(places, 0, len(w.hashes) - 1)], _U(0))
 
 
-def find(
-    docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
-    item_text_column: str = "text", ratio: float = 0.2, repeats: int = 12, places: int = 3, least: int = 5, slots: int = 1 << 20,
-) -> DataFrame:
-    """(doc_id, item_id, distance, item_words, end_word): one row for each document and item that it contains."""
-    docs = textops.keyed(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    items = textops.keyed(benchmark, {"item_id": item_column, "text": item_text_column}).where("text IS NOT NULL")
+class Screen:
+    """What a task needs to find candidates: tables of fixed size of the items' word pairs and keys, and the items' sizes."""
+
+    def __init__(self, mask: np.ndarray, known: np.ndarray, sizes: list[int], ratio: float, repeats: int, places: int):
+        self.mask, self.known, self.sizes, self.ratio, self.repeats, self.places = mask, known, sizes, ratio, repeats, places
+
+    def need(self, n: int) -> int:
+        """Word pairs that n words within the allowed edits share with an item of n words (of one word: itself)."""
+        return max(1, n - 1 - 2 * int(self.ratio * n))
+
+    def _windows(self, w: Words, left: np.ndarray, row: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, first words) of the windows that hold enough of the pairs, which start at the places ``own``."""
+        d, need = int(self.ratio * n), self.need(n)
+        if n == 1:
+            return row[own], own
+        # a window with enough pairs has a first one, and the others within n words of it
+        far = own[need - 1 :] - own[: len(own) - need + 1] <= n - 2
+        first = own[: len(own) - need + 1][far]
+        if not len(first):
+            return first, first
+        at = (first[:, None] + np.arange(-2 * d, 1)[None, :]).ravel()
+        own_row = np.repeat(row[first], 2 * d + 1)
+        # a window may stand over its row's ends by as many words as a passage may lack there
+        inside = (at >= w.bounds[own_row] - d) & (at + n <= w.bounds[own_row + 1] + d) & (w.counts[own_row] >= n - d)
+        span = len(w.hashes) + 2 * n
+        own_row, at = np.divmod(np.unique(own_row[inside] * span + at[inside] + n), span)
+        at -= n
+        # pairs of the window that lie in its own row
+        lo, hi = np.maximum(at, w.bounds[own_row]), np.minimum(at + n, w.bounds[own_row + 1]) - 1
+        enough = np.searchsorted(own, hi, "left") - np.searchsorted(own, lo, "left") >= need
+        return own_row[enough], at[enough]
+
+    def candidates(self, texts: pa.Array) -> list[tuple[int, int, int, int, bytes]]:
+        """(key, item size, row, first word in the row, words) of the stretches that have a key of an item."""
+        w = Words(texts, lower=True)
+        out: list[tuple] = []
+        if not self.sizes or not len(w.starts):
+            return out
+        slots, left, row = len(self.mask), w.left(), w.row()
+        hit = np.append(self.mask[_slot(rolling(w.hashes, 2), slots)], _U(0))[: len(w.hashes)] * (left > 1)
+        dense = np.flatnonzero(hit != 0)
+        dense_hit = hit[dense]
+        for n in self.sizes:
+            if n == 1:
+                own = np.flatnonzero(self.mask[_slot(mix(w.hashes), slots)] & _U(2))
+            else:
+                own = dense[(dense_hit & _U(1 << (n % CLASSES))) != 0]
+            if len(own) < self.need(n):
+                continue
+            own_row, at = self._windows(w, left, row, own, n)
+            if not len(at):
+                continue
+            # neighbouring windows are one stretch, reported once for each of their keys
+            group = _stretches(own_row, at, max(1, n // 3), n)
+            begin = np.flatnonzero(np.append(True, np.diff(group) != 0))
+            # a window that holds enough pairs is so many words off its passage at most
+            last, off = np.append(begin[1:], len(at)) - 1, 2 * int(self.ratio * n) + 1
+            hits = set()
+            for k in range(0, len(at), BLOCK):
+                found = keys(_padded(w, own_row[k : k + BLOCK], at[k : k + BLOCK], n), self.repeats, self.places)
+                r, j = np.nonzero(self.known[_slot(found, slots)])
+                hits.update(zip(group[k + j].tolist(), found[r, j].view(np.int64).tolist(), strict=True))
+            for g, key in sorted(hits):
+                i = int(own_row[begin[g]])
+                a, b = max(int(w.bounds[i]), int(at[begin[g]]) - off), min(int(w.bounds[i + 1]), int(at[last[g]]) + n + off)
+                out.append((key, n, i, a - int(w.bounds[i]), w.hashes[a:b].tobytes()))
+        return out
+
+
+def _item_slots(words: np.ndarray, slots: int) -> list[int]:
+    return _slot(rolling(words, 2) if len(words) > 1 else mix(words), slots).tolist()
+
 
-    def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prepare(benchmark: DataFrame, *, item_column: str, text_column: str, repeats: int, places: int, slots: int) -> DataFrame:
+    """(item_id, n, words, keys, pairs): word hashes, keys and pair slots of each item that has a word."""
+    items = textops.keyed(benchmark, {"item_id": item_column, "text": text_column}).where("text IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             w = Words(batch.column(1), lower=True)
             ids, out = batch.column(0).to_pylist(), []
-            for n in sorted({int(c) for c in w.counts if c >= least}):
+            for n in sorted({int(c) for c in w.counts if c}):
                 chosen = np.flatnonzero(w.counts == n)
                 words = w.hashes[w.bounds[chosen][:, None] + np.arange(n)[None, :]]
                 found = keys(words, repeats, places).view(np.int64)
-                for k, i in enumerate(chosen):
-                    out.append((ids[i], n, words[k].tobytes(), found[:, k].tolist(), _slot(rolling(words[k], 2), slots).tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                out += [(ids[i], n, words[k].tobytes(), found[:, k].tolist(), _item_slots(words[k], slots)) for k, i in enumerate(chosen)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "words", "keys", "pairs"])
 
-    prepared = textops.cut(items.mapInArrow(item_rows, "item_id long, n long, words binary, keys array<long>, pairs array<long>"))
+    return textops.cut(items.mapInArrow(run, "item_id long, n long, words binary, keys array<long>, pairs array<long>"))
+
+
+def find(
+    docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
+    item_text_column: str = "text", ratio: float = 0.2, repeats: int = 16, places: int = 2, slots: int = 1 << 20,
+) -> DataFrame:
+    """(doc_id, item_id, distance, item_words, end_word): one row for each document and item that it contains."""
+    docs = textops.keyed(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
+    prepared = prepare(benchmark, item_column=item_column, text_column=item_text_column, repeats=repeats, places=places, slots=slots)
     # both at most `slots` rows of a few numbers, whatever the benchmark's size
     masks = prepared.select(F.explode("pairs").alias("slot"), F.expr(f"shiftleft(1L, int(n % {CLASSES}))").alias("bit"))
     masks = masks.groupBy("slot").agg(F.bit_or("bit").alias("mask")).toArrow()
@@ -125,59 +249,15 @@ def find(
     mask[masks.column(0).to_numpy()] = masks.column(1).to_numpy().view(np.uint64)
     known = np.zeros(slots, bool)
     known[key_slots.column(0).to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast((mask, known))
-    need = {n: max(1, n - 1 - 2 * int(ratio * n)) for n in sizes}
+    shared = docs.sparkSession.sparkContext.broadcast(Screen(mask, known, sizes, ratio, repeats, places))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, known = shared.value
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for part in textops.slices(batch, 1):
-                w = Words(part.column(1), lower=True)
-                out: list[tuple] = []
-                if sizes and len(w.starts) > 1:
-                    hit = mask[_slot(rolling(w.hashes, 2), slots)]
-                    hit = np.append(hit, _U(0)) * (w.left() > 1)
-                    dense = np.flatnonzero(hit != 0)
-                    dense_hit = hit[dense]
-                    left, row = w.left(), w.row()
-                    for n in sizes:
-                        own = dense[(dense_hit & _U(1 << (n % CLASSES))) != 0]
-                        if len(own) < need[n]:
-                            continue
-                        count = np.searchsorted(own, own + n - 1, "left") - np.arange(len(own))
-                        first = own[count >= need[n] - 1]
-                        if not len(first):
-                            continue
-                        d = int(ratio * n)
-                        at = (first[:, None] + np.arange(-2 * d - 1, 1)[None, :]).ravel()
-                        own_row = np.repeat(row[first], 2 * d + 2)
-                        # a window may stand over its row's ends by as many words as a passage may lack there
-                        inside = (at >= w.bounds[own_row] - d) & (at + n <= w.bounds[own_row + 1] + d) & (w.counts[own_row] >= n - d)
-                        span = len(w.hashes) + 2 * n
-                        own_row, at = np.divmod(np.unique(own_row[inside] * span + at[inside] + n), span)
-                        at -= n
-                        # pairs of the window that lie in its own row
-                        lo, hi = np.maximum(at, w.bounds[own_row]), np.minimum(at + n, w.bounds[own_row + 1]) - 1
-                        enough = np.searchsorted(own, hi, "left") - np.searchsorted(own, lo, "left") >= need[n]
-                        own_row, at = own_row[enough], at[enough]
-                        if not len(at):
-                            continue
-                        # neighbouring windows are one stretch, reported once for each of their keys
-                        group = _stretches(own_row, at, max(1, n // 3), n)
-                        begin = np.flatnonzero(np.append(True, np.diff(group) != 0))
-                        # a window that holds enough pairs is so many words off its passage at most
-                        last, off = np.append(begin[1:], len(at)) - 1, 2 * d + 1
-                        hits = set()
-                        for k in range(0, len(at), BLOCK):
-                            found = keys(_padded(w, own_row[k : k + BLOCK], at[k : k + BLOCK], n), repeats, places)
-                            r, j = np.nonzero(known[_slot(found, slots)])
-                            hits.update(zip(group[k + j].tolist(), found[r, j].view(np.int64).tolist(), strict=True))
-                        for g, key in sorted(hits):
-                            i = int(own_row[begin[g]])
-                            a, b = max(int(w.bounds[i]), int(at[begin[g]]) - off), min(int(w.bounds[i + 1]), int(at[last[g]]) + n + off)
-                            out.append((key, n, part.column(0)[i].as_py(), a - int(w.bounds[i]), w.hashes[a:b].tobytes()))
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            for part in textops.slices(batch, 1, 4 << 20):
+                ids = part.column(0)
+                found = [(key, n, ids[i].as_py(), at, words) for key, n, i, at, words in shared.value.candidates(part.column(1))]
+                columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "n", "doc_id", "at", "stretch"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

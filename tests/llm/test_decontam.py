@@ -36,7 +36,7 @@ def test_walk_of_equal_words_is_equal_and_near_words_stay_near():
 def planted(spark):
     rng = random.Random(3)
     word = lambda: f"v{rng.randrange(900)}"
-    items = [(i, " ".join(word() for _ in range(rng.randrange(12, 50)))) for i in range(40)] + [(90, None), (91, ""), (92, "a b"), (93, items_twice := "q w e r t y u i")]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(12, 50)))) for i in range(40)] + [(90, None), (91, ""), (92, "a b"), (94, "solo"), (95, "x1 x2 x3 x4"), (93, items_twice := "q w e r t y u i")]
     docs, n = [], 0
     for _ in range(300):
         item, text = rng.choice(items[:40])
@@ -48,7 +48,7 @@ def planted(spark):
         around = [[word() for _ in range(rng.randrange(0, 60))] for _ in range(2)]
         docs.append((n, " ".join(around[0] + words + around[1])))
         n += 1
-    docs += [(n + i, " ".join(word() for _ in range(200))) for i in range(60)] + [(2000, None), (2001, ""), (2002, items_twice.upper()), (None, items_twice), (2003, "A b"), (2002, items_twice)]
+    docs += [(n + i, " ".join(word() for _ in range(200))) for i in range(60)] + [(2000, None), (2001, ""), (2002, items_twice.upper()), (None, items_twice), (2003, "A b"), (2002, items_twice), (2004, "then SOLO ends"), (2005, "b a x1 x2 x3 x4 y"), (2006, "x1 x2 x4")]
     return spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"), docs, items
 
 
@@ -59,7 +59,7 @@ def test_recall_and_exactness_against_brute_force(planted):
     for doc, text in docs:
         for item, own in items:
             a, b = (own or "").lower().split(), (text or "").lower().split()
-            if len(a) >= 5 and (d := distance(a, b)) <= int(0.2 * len(a)):
+            if a and (d := distance(a, b)) <= int(0.2 * len(a)):
                 want[doc, item] = min(d, want.get((doc, item), d))
     assert set(found) <= set(want)
     assert all(found[k] >= want[k] for k in found)
@@ -130,3 +130,33 @@ def test_documents_that_are_items_cut_short_are_found(spark):
         part = {x for x in want if x[0] % 10 == k}
         assert len(part) > 50
         assert len(part & found) >= 0.9 * len(part), k
+
+
+def test_keys_are_sampled_places_of_the_walks():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 23, 60):
+        rows = rng.integers(1, 2**63, (7, n)).astype(np.uint64)
+        rows[3] = rows[0]
+        got = decontam.keys(rows, 6, 2)
+        for seed in range(6):
+            places = decontam.walk(rows, seed)[:, decontam.sampled(n, seed, 2)]
+            same = (places[:, None, :] == places[None, :, :]).all(2)
+            assert (same == (got[seed][:, None] == got[seed][None, :])).all() and same[0, 3]
+
+
+def test_no_key_is_common_among_other_windows():
+    """Past their ends walks share nothing: a key that many windows have would pair them with all items of its size."""
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 8, 15, 40, 59):
+        found = decontam.keys(rng.integers(1, 2**63, (3000, n)).astype(np.uint64), 16, 2)
+        assert all(np.unique(k, return_counts=True)[1].max() <= 2 for k in found)
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(2)
+    words = [f"z{rng.randrange(3000)}" for _ in range(60_000)]
+    items = [(i, " ".join(words[k : k + 30])) for i, k in enumerate((0, 20_000, 59_970))]
+    df = spark.createDataFrame([(1, " ".join(words), 5, 6, 7, "q"), (2, "z1 z2", 5, 6, 7, "q")], "doc_id long, text string, key int, n int, at int, stretch string")
+    benchmark = spark.createDataFrame([(*x, 1, 2) for x in items], "item_id long, text string, n int, keys int")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontam.find(df, benchmark).collect()} == {(1, i, 0) for i in range(3)}
+    assert decontam.drop_contaminated(df, benchmark).collect() == [(2, "z1 z2", 5, 6, 7, "q")]
