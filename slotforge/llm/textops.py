@@ -25,9 +25,9 @@ _U = np.uint64
 _BYTES_U = np.arange(1, 257, dtype=np.uint64)
 _LOWER_U = _BYTES_U[_LOWER]
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-#: Byte weights inside a word; longer words reuse them, with the length mixed in.
+#: Byte weights inside a word, for each block of so many bytes; longer words weigh each block by its number as well.
 _POW = np.cumprod(np.full(1 << 12, _BASE, dtype=np.uint64))
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,6 +98,9 @@ class Words:
             raw = self.data[part][self.solid[part]]
             value = _POW[inside & np.int32(len(_POW) - 1)]
             value *= (_LOWER_U if lower else _BYTES_U)[raw]
+            if lens.max() > len(_POW):
+                block = inside // np.int32(len(_POW))
+                value *= np.where(block > 0, mix(block.astype(np.uint64) + _STEP) | _U(1), _U(1))
             out[first:last] = mix(np.add.reduceat(value, begin[:-1]) + lens.astype(np.uint64) * _STEP)
             first = last
         return out
