@@ -31,8 +31,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.write(_table(spark, sf_dir, "pages"), warc.new_folder(spark))
-    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _table(spark, sf_dir, "pages")
+    archives = warc.write(pages, warc.new_folder(spark))
+    return warc.lookup(archives, pages, id_column="page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,11 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, row offsets) of a string column; a null row is empty."""
+    """(bytes, row offsets) of a string or binary column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32

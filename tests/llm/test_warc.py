@@ -53,6 +53,24 @@ def test_lookup_reads_what_a_full_read_has(spark, archives, pages):
     assert warc.lookup(archives, none).count() == 0
 
 
+def test_lookup_of_pages_finds_each_record_once(spark, archives, pages):
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert Counter(tuple(r) for r in warc.lookup(archives, pages, id_column="page_id").select(names).collect()) == expected()
+    one = spark.createDataFrame([("http://a.example.com/x?q=1", 3), ("http://a.example.com/x?q=1", 99)], "url string, page_id long")
+    assert [r.page_id for r in warc.lookup(archives, one, id_column="page_id").collect()] == [3]
+
+
+def test_many_captures_of_one_url(spark):
+    rows = [(i, "http://hot.example.com/", f"<p>{i % 7}</p>") for i in range(500)] + [(1000 + i, f"http://h{i}.example.com/", "x" * i) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    archives = warc.write(pages, warc.new_folder(spark), entries=8)
+    found = warc.lookup(archives, pages, id_column="page_id", task_bytes=4000)
+    assert sorted(r.page_id for r in found.collect()) == sorted(r[0] for r in rows) and found.rdd.getNumPartitions() > 4
+    assert warc.lookup(archives, pages.where("page_id = 3")).count() == 500
+    kinds = Counter(r.record_type for r in found.where("page_id < 1000").collect())
+    assert kinds == {"response": 7, "revisit": 493}
+
+
 def test_archives_are_sorted_members(archives):
     keys = []
     for row in archives.orderBy("first_key").collect():
@@ -75,4 +93,4 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark, pages):
     archives = warc.write(pages.limit(0), warc.new_folder(spark))
-    assert warc.read(archives).count() == 0
+    assert warc.read(archives).count() == 0 and warc.lookup(archives, pages, id_column="page_id").count() == 0
