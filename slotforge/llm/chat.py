@@ -2,13 +2,16 @@
 
 A conversation's turns, in order, become windows of a token budget. Running (prefix) sums of turn tokens choose spans
 aligned with turns; each window opens with the system turn, repeats at most ``history`` tokens of the turns before its
-span, and masks what it repeats, so each assistant text is a target once. The template is::
+span, and masks what it repeats, so each assistant text is a target once. Where a turn does not fit beside the history,
+the oldest repeated turns give way, so a window is above the budget only if the system turn and one more turn alone
+are. The template is::
 
     ### <Role>:\\n<text></turn>\\n
 
 In texts and roles a backslash is doubled, and ``### `` and ``</turn>`` get one before them, so a text can hold no
-mark of the template and is read back exactly. Conversations are dealt by id and read in turn order as a stream: a
-task holds the turns of one window, never a whole conversation, so one that has a third of all rows stays bounded.
+mark of the template and is read back exactly. Turns are tokenized where they lie; then conversations are dealt by id
+and read in turn order as a stream: a task holds the turns of one window, never a whole conversation, so one that has
+a third of all rows stays bounded. Its digests run over all its turns in order, so one task has to stream them.
 
 Cases: null text is empty and a null role is the empty role; rows of one (conversation, turn) are ordered by role and
 text, repeated rows are turns of their own; a null conversation id is one conversation; a turn above the budget is a
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotforge.llm import textops
+from slotforge.llm.packing import Tokenizer
 
 WINDOW = "conv_id long, window long, n_repeated int, text string, loss_starts array<long>, loss_ends array<long>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 _CONTROL = re.compile(r"\\|### |</turn>")
 _BACK = re.compile(r"\\(\\|### |</turn>)")
 #: A turn of the template; marks that a backslash stands before are text.
-_TURN = re.compile(r"### ((?:[^\\]|\\.)*?):\n((?:[^\\<]|\\(?:\\|### |</turn>)|<(?!/turn>))*)</turn>\n", re.DOTALL)
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+):\n((?:[^\\<]++|\\(?:\\|### |</turn>)|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -82,6 +86,8 @@ class Writer:
     def add(self, role: str, text: str, tokens: int) -> Iterator[dict]:
         if self.span and self._fixed() + self.total + tokens - self.begin > self.budget:
             yield self._close()
+        while not self.span and self.recent and self._fixed() + tokens > self.budget:
+            self.recent.pop(0)
         self.span.append((role, text, tokens))
         self.total += tokens
 
@@ -122,25 +128,27 @@ class Writer:
 
 def format_windows(
     turns: DataFrame, tokenizer_path: str, *, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role",
-    text_column: str = "text", budget: int = 1024, history: int = 256,
+    text_column: str = "text", ranks_path: str | None = None, budget: int = 1024, history: int = 256,
 ) -> DataFrame:
     """The windows of every conversation, with the places of their targets; rows of a conversation follow each other."""
     rows = textops.keyed(turns, {"conv_id": conv_column, "turn": turn_column, "role": role_column, "text": text_column})
-    rows = rows.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Tokenizer(tokenizer_path, ranks_path)
+        for batch in batches:
+            sizes = [len(encode(render(r, t)[0])) // 4 for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "tokens"])
 
-        encode = Tokenizer.from_file(tokenizer_path)
-        encode.encode_special_tokens = True
+    counted = rows.mapInArrow(count, "conv_id long, turn long, role string, text string, tokens long")
+    counted = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, schema = None, pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_repeated", pa.int32()), ("text", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
         for batch in batches:
             for part in textops.slices(batch, 3, 1 << 20):
-                conv, role, text = (part.column(i).to_pylist() for i in (0, 2, 3))
-                sizes = [len(e.ids) for e in encode.encode_batch([render(r, t)[0] for r, t in zip(role, text, strict=True)], add_special_tokens=False)]
                 out = []
-                for c, r, t, n in zip(conv, role, text, sizes, strict=True):
+                for c, r, t, n in zip(*[part.column(i).to_pylist() for i in (0, 2, 3, 4)], strict=True):
                     if writer is None or writer.conv != c:
                         out += writer.end() if writer else ()
                         writer = Writer(c, budget, history)
@@ -149,7 +157,7 @@ def format_windows(
         if writer:
             yield pa.RecordBatch.from_pylist(list(writer.end()), schema)
 
-    return rows.mapInArrow(run, WINDOW)
+    return counted.mapInArrow(run, WINDOW)
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -284,5 +284,4 @@ def find(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows of documents without any item; all columns stay. Rows with a null id stay."""
-    bad = find(docs, benchmark, id_column=id_column, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_column}`") == F.col("__bad"), "left_anti")
+    return textops.without_ids(docs, id_column, find(docs, benchmark, id_column=id_column, **options).select("doc_id"))

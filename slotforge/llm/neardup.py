@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotforge.llm import textops
@@ -33,7 +33,8 @@ from slotforge.llm.textops import Words, mix, rolling
 
 _U = np.uint64
 REGISTERS, MANTISSA = 256, 10
-TILE = 2000
+#: Bytes of a row's registers with what belongs to them, and of a part of a tile.
+ROW_BYTES, TILE_BYTES = 700, 2 << 20
 
 
 def band_size(threshold: float, miss: float = 1e-5) -> int:
@@ -141,44 +142,17 @@ def connect(links: DataFrame) -> DataFrame:
         last = now
 
 
-SLOTS = 1 << 24
-
-
-def id_slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
-
-
-def id_bitmap(ids: DataFrame):
-    """A broadcast bitmap of fixed size (``SLOTS`` bits, 2 MB) of the ids' hashes.
-
-    It tells which ids are surely not among the given ones; where it fills up it tells less, and what follows is exact.
-    """
-    marked = ids.select(id_slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    bitmap = np.zeros((SLOTS // 32768, 4096), np.uint8)
-    for row in marked.collect():  # SLOTS / 32768 rows of 4 KB at most
-        bitmap[row["bucket"] - 1] = np.frombuffer(row["bits"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bitmap.ravel())
-
-
-def among(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    at = slot.astype(np.int64) - 1
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, own) of the documents with the given ids, and a few others; no text is shuffled."""
-    shared = id_bitmap(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            wanted = batch.filter(pa.array(among(bits, batch.column(2).to_numpy())))
-            for part in textops.slices(wanted, 1):
+            for part in textops.slices(batch, 1):
                 own = pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), own], ["doc_id", "own"])
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", id_slot().alias("slot"))
-    return rows.mapInArrow(run, "doc_id long, own binary")
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    return rows.where(textops.IdBits(ids.select("doc_id")).among(F.col("doc_id"))).mapInArrow(run, "doc_id long, own binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -198,13 +172,17 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(first, "x").join(second, "y").select("x", "y", "own_x", "own_y").mapInArrow(check, "x long, y long").distinct()
 
 
-def _tiles(rows: DataFrame, key: str, size: str, buckets: int) -> DataFrame:
-    """Each group dealt to parts of about ``TILE`` rows; (bucket, i, j) are pairs of parts, and a row is in each of its
-    part's. Small groups have one part and share buckets, so that a call has many of them."""
-    dealt = rows.withColumn("__t", F.ceil(F.col(size) / TILE).cast("int")).withColumn("part", F.pmod(F.hash("doc_id"), "__t"))
+def _tiles(rows: DataFrame, key: str, weight: str, buckets: int) -> DataFrame:
+    """Each group dealt to parts of about ``TILE_BYTES``, by its ``weight`` in bytes; (bucket, i, j) are pairs of parts,
+    and a row is in each of its part's. Small groups have one part and share buckets, so that a call has many of them."""
+    dealt = rows.withColumn("__t", F.ceil(F.col(weight) / TILE_BYTES).cast("int")).withColumn("part", F.pmod(F.hash("doc_id"), "__t"))
     other = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__t") - 1)))
     bucket = F.when(F.col("__t") == 1, F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(F.xxhash64(key))
-    return other.withColumns({"bucket": bucket, "i": F.least("part", "__other"), "j": F.greatest("part", "__other")}).drop("__t", "__other", size)
+    return other.withColumns({"bucket": bucket, "i": F.least("part", "__other"), "j": F.greatest("part", "__other")}).drop("__t", "__other", weight)
+
+
+def _buckets(members: DataFrame, weight: str) -> int:
+    return int(-(-(members.agg(F.sum(weight)).first()[0] or 0) // TILE_BYTES)) + 1
 
 
 def _groups(table: pa.Table, key: str) -> Iterator[dict]:
@@ -229,7 +207,8 @@ def similar(inside: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
 
     ``inside`` has band, doc_id, component, members; documents of one component are connected already.
     """
-    tiles = _tiles(inside, "band", "members", -(-inside.count() // 20_000) + 1).join(regs.select("doc_id", "regs", "sets"), "doc_id")
+    inside = inside.withColumn("members", F.col("members") * ROW_BYTES)
+    tiles = _tiles(inside, "band", "members", -(-inside.count() * ROW_BYTES // (4 * TILE_BYTES)) + 1).join(regs.select("doc_id", "regs", "sets"), "doc_id")
 
     def spanning(key: tuple, table: pa.Table) -> pa.Table:
         i, j, x, y = key[1].as_py(), key[2].as_py(), [], []
@@ -260,14 +239,15 @@ def similar(inside: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
 def cross_links(members: DataFrame, docs: DataFrame, regs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (x, y) between the components of each cluster: (doc_id, component, cluster) to a spanning set of links.
 
-    A cluster's documents are dealt to parts of about ``TILE``; each pair of parts is a group, in which documents of
-    different components are estimated and, if that may reach the threshold, verified. A group emits a link only if it
-    joins what was apart in it, so it emits fewer links than it has documents.
+    A cluster's documents are dealt to parts of about ``TILE_BYTES`` of sets (one document may be longer); each pair of
+    parts is a group, in which documents of different components are estimated and, if that may reach the threshold,
+    verified. A group emits a link only if it joins what was apart in it, so it emits fewer links than it has documents.
     """
     threshold = percent / 100
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("members"))
+    weighed = members.join(regs.select("doc_id", (8 * F.col("n") + ROW_BYTES).alias("weight")), "doc_id")
+    sizes = weighed.groupBy("cluster").agg(F.sum("weight").alias("members"))
     full = sets_of(docs, members, width).join(members.join(sizes, "cluster"), "doc_id").join(regs.select("doc_id", "regs", "sets"), "doc_id")
-    tiles = _tiles(full, "cluster", "members", -(-members.count() // TILE) + 1)
+    tiles = _tiles(full, "cluster", "members", _buckets(weighed, "weight"))
 
     def crossing(key: tuple, table: pa.Table) -> pa.Table:
         i, j, x, y = key[1].as_py(), key[2].as_py(), [], []
@@ -309,7 +289,7 @@ def components(
     shared = textops.cut(member.join(hubs, "band"))
 
     best = shared.where("doc_id <> hub").groupBy("doc_id", "hub").count().groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    regs = kept.groupBy("doc_id").agg(F.max("regs").alias("regs"), F.count("*").alias("sets"))
+    regs = kept.groupBy("doc_id").agg(F.max("regs").alias("regs"), F.count("*").alias("sets"), F.max("n").alias("n"))
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +299,7 @@ def components(
                 yield batch.select([0, 1]).filter(pa.array(sure | may_reach(a, b, threshold)))
 
     pairs = (
-        best.toDF("x", "y").join(regs.toDF("x", "regs_x", "sets_x"), "x").join(regs.toDF("y", "regs_y", "sets_y"), "y")
+        best.toDF("x", "y").join(regs.drop("n").toDF("x", "regs_x", "sets_x"), "x").join(regs.drop("n").toDF("y", "regs_y", "sets_y"), "y")
         .select("x", "y", "regs_x", "regs_y", (F.col("sets_x") + F.col("sets_y") > 2).alias("several"))
         .mapInArrow(estimated, "x long, y long")
     )
@@ -352,16 +332,8 @@ def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_column: s
     found = components(docs, width=width, percent=percent, id_column=id_column, text_column=text_column).where("doc_id IS NOT NULL")
     gone = textops.cut(found.where("NOT kept").select("doc_id").distinct())
     again = textops.cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    shared = id_bitmap(gone.union(again))
-
-    @F.pandas_udf("boolean")
-    def doubtful(slot):
-        return slot.notna() & among(shared.value, slot.fillna(1).to_numpy())
-
-    slot = F.pmod(F.xxhash64(F.col(f"`{id_column}`").cast("long")), F.lit(SLOTS)) + 1
-    marked = F.when(F.col(f"`{id_column}`").isNotNull(), slot)
-    passed = docs.where(~doubtful(marked))
-    rest = docs.where(doubtful(marked)).join(gone.select(F.col("doc_id").alias("__gone")), F.col(f"`{id_column}`") == F.col("__gone"), "left_anti")
-    repeats = F.col(f"`{id_column}`") == F.col("__again")
-    twice = again.select(F.col("doc_id").alias("__again"))
+    bits, own = textops.IdBits(gone.union(again)), F.col(f"`{id_column}`")
+    passed, doubtful = docs.where(~bits.among(own)), docs.where(bits.among(own))
+    rest = doubtful.join(gone.toDF("__gone"), own.cast("long") == F.col("__gone"), "left_anti")
+    twice, repeats = again.toDF("__again"), own.cast("long") == F.col("__again")
     return passed.unionByName(rest.join(twice, repeats, "left_anti")).unionByName(rest.join(twice, repeats, "left_semi").dropDuplicates())

@@ -54,7 +54,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digest(_table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path
+    return chat.digest(_table(spark, sf_dir, "conversations"), path("byte_bpe_50k.json"), ranks_path=path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {

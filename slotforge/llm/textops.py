@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, dtype=bool)
@@ -155,9 +155,12 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def shared_folder(spark: SparkSession, own: str = "/tmp/checkpoints") -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or ``own`` where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or "/tmp/checkpoints").rstrip("/")
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -171,6 +174,51 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class IdBits:
+    """A bitmap of hashes of ids, broadcast: it tells which ids are surely not among the given ones.
+
+    It has 16 bits for an id and at most ``most`` bits (32 MB) in all; where ids outgrow that it tells less, so what
+    follows must be exact without it.
+    """
+
+    def __init__(self, ids: DataFrame, most: int = 1 << 28):
+        spark, column = ids.sparkSession, ids.columns[0]
+        self.size = 1 << 20
+        while self.size < min(most, 16 * ids.count()):
+            self.size *= 2
+        slot = self.slot(F.col(f"`{column}`"))
+        marked = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+        bits = np.zeros((self.size // 32768, 4096), np.uint8)
+        for bucket, own in zip(marked.column(0).to_pylist(), marked.column(1), strict=True):  # most / 32768 rows of 4 KB at most
+            bits[bucket - 1] = np.frombuffer(own.as_buffer(), np.uint8)
+        self.shared = spark.sparkContext.broadcast(bits.ravel())
+
+    def slot(self, ids: Column) -> Column:
+        return F.pmod(F.xxhash64(ids.cast("long")), F.lit(self.size)) + 1
+
+    def among(self, ids: Column) -> Column:
+        """False for ids that are surely not among the given ones, and for null ids."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def doubtful(slot):
+            at = slot.fillna(1).to_numpy(np.int64) - 1
+            return slot.notna() & (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+        return doubtful(F.when(ids.isNotNull(), self.slot(ids)))
+
+
+def without_ids(frame: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in the one column of ``gone``; rows with a null id stay.
+
+    Only rows that the bitmap cannot clear are shuffled to an exact join; the others pass where they lie.
+    """
+    gone = cut(gone.toDF("__gone").where("__gone IS NOT NULL").distinct())
+    bits, own = IdBits(gone), F.col(f"`{id_column}`")
+    passed, doubtful = frame.where(~bits.among(own)), frame.where(bits.among(own))
+    return passed.unionByName(doubtful.join(gone, own.cast("long") == F.col("__gone"), "left_anti"))
+
+
 def keyed(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, under this operator's own names: others cannot clash."""
     return frame.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -62,5 +62,39 @@ def test_windows_keep_the_budget_the_system_turn_and_the_history(spark):
     assert all(w.n_repeated > 1 for w in windows[1:])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.booleans(), st.lists(st.integers(1, 60), max_size=40), st.integers(0, 40))
+def test_no_window_is_above_the_budget_but_for_one_turn(system, sizes, history):
+    turns = [("system" if system and i == 0 else "user", str(i), n) for i, n in enumerate(sizes)]
+    writer, windows = chat.Writer(1, 50, history), []
+    for t in turns:
+        windows += writer.add(*t)
+    windows += writer.end()
+    spans = [[int(x) for _, x, _, _ in chat.parse(w["text"])] for w in windows]
+    assert [i for s, w in zip(spans, windows, strict=True) for i in s[w["n_repeated"] :]] == list(range(len(sizes)))
+    for k, s in enumerate(spans):
+        extra = [i for i in s if not (system and i == 0)]
+        assert sum(sizes[i] for i in s) <= 50 or len(extra) <= 1
+        assert not (system and k) or s[0] == 0
+        repeated = [i for i in s[: windows[k]["n_repeated"]] if i in extra]
+        assert sum(sizes[i] for i in repeated) <= history and repeated == list(range(repeated[0], repeated[0] + len(repeated)) if repeated else [])
+
+
+def test_budget_with_a_history_that_does_not_fit():
+    writer, windows = chat.Writer(1, 1024, 256), []
+    for i, n in enumerate((150, 800, 250, 700)):
+        windows += writer.add("system" if i == 0 else "user", str(i), n)
+    windows += writer.end()
+    found = [[int(x) for _, x, _, _ in chat.parse(w["text"])] for w in windows]
+    assert found == [[0, 1], [0, 2], [0, 3]]
+    assert all(sum((150, 800, 250, 700)[i] for i in f) <= 1024 for f in found)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, 0, "user", "a", 5, "t", 7), (1, 1, "assistant", "b", 5, "t", 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int, tokens string, n_repeated int")
+    assert [r.n_turns for r in chat.digest(df, JSON).where("conv_id = 1").collect()] == [2]
+
+
 def test_only_the_probe_in_an_empty_table(spark):
     assert [r.conv_id for r in chat.digest(spark.createDataFrame([], SCHEMA), JSON).collect()] == [-7]

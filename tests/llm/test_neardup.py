@@ -53,9 +53,9 @@ def near_copies(seed, groups, size):
     return rows
 
 
-@pytest.mark.parametrize("tile", [2000, 7])
+@pytest.mark.parametrize("tile", [2 << 20, 10_000])
 def test_chains_and_tiles(spark, monkeypatch, tile):
-    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "TILE_BYTES", tile)
     rows = near_copies(4, 12, 15)
     found = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, 3, 85)
