@@ -6,17 +6,19 @@ disguises to ``@`` and ``.``), each keeping for every output character the sourc
 patterns then run on the normalised text, and what they find is mapped back. An added span never replaces a base
 span: one that overlaps a base span of its kind is dropped. Only texts with a trace of a disguise are rewritten.
 
-Cases: null or empty text has no spans (the digest is that of the empty string); each row, repeated or with a null
-id, is judged alone; an empty table gives an empty result; other columns are not read (``redact`` keeps them).
+Work and memory grow with a text's length, whatever it holds. Cases: null or empty text has no spans (the digest is that of the empty string); each row, repeated or with a null
+id, is judged alone; of added spans of a kind that overlap the first stays; an empty table gives an empty result; other columns are not read (``redact`` keeps them).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +97,9 @@ _NUMBER = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: Spelled digits count in runs of at least four, possibly after "plus" or among digits.
 _SPELLED = re.compile(rf"(?i)(?:\b(?:plus|\+)[ -])?\b(?:(?:{_NUMBER}|[0-9])[ ,.-]{{1,2}}){{3,}}(?:{_NUMBER}|[0-9])\b")
 _SPELLED_ONE = re.compile(rf"(?i)\bplus[ -]|[ ,.-]*({_NUMBER}|[0-9])")
-_AT = re.compile(r"(?i)\s*(?:[\[({<]\s*(?:at|arroba|ät|chez)\s*[\])}>])\s*|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\s*(?:[\[({<]\s*dot|\s+dot\s))")
-_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])")
+#: Blanks before a match are taken with it.
+_AT = re.compile(r"(?i)(?:[\[({<]\s*(?:at|arroba|ät|chez)\s*[\])}>])\s*+|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\s*(?:[\[({<]\s*dot|\s+dot\s))")
+_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*+|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])")
 #: A trace of a disguise; without one the text is its own normal form.
 _TRACE_AT = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|ät|chez|dot|punkt|point|punto)\s*[\])}>]|\sat\s+\S+\s+dot\s")
 _TRACE_DIGITS = re.compile(rf"(?i)\b(?:{_NUMBER})[ ,.-]{{1,2}}(?:{_NUMBER}|[0-9])\b")
@@ -106,24 +109,27 @@ class Traced:
     """A text with the source range of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.at, self.to = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.at = text, np.arange(len(text), dtype=np.int64)
+        self.to = self.at + 1
 
-    def rewrite(self, pattern: re.Pattern, put) -> None:
-        """Each match becomes put(match), whose characters stand for the whole match."""
+    def rewrite(self, pattern: re.Pattern, put, blanks: bool = False) -> None:
+        """Each match (with ``blanks``, and the blanks before it) becomes put(match), whose characters stand for all of it."""
         out, at, to, last = [], [], [], 0
         for m in pattern.finditer(self.text):
-            new = put(m)
-            if new is None or m.end() == m.start():
+            new, start, end = put(m), m.start(), m.end()
+            if new is None or end == start:
                 continue
-            out += [self.text[last : m.start()], new]
-            at += self.at[last : m.start()] + [self.at[m.start()]] * len(new)
-            to += self.to[last : m.start()] + [self.to[m.end() - 1]] * len(new)
-            last = m.end()
+            while blanks and start > last and self.text[start - 1].isspace():
+                start -= 1
+            out += [self.text[last:start], new]
+            at += [self.at[last:start], np.full(len(new), self.at[start])]
+            to += [self.to[last:start], np.full(len(new), self.to[end - 1])]
+            last = end
         self.text = "".join(out) + self.text[last:]
-        self.at, self.to = at + self.at[last:], to + self.to[last:]
+        self.at, self.to = np.concatenate([*at, self.at[last:]]), np.concatenate([*to, self.to[last:]])
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.at[start], self.to[end - 1]
+        return int(self.at[start]), int(self.to[end - 1])
 
 
 def _plain(m: re.Match) -> str | None:
@@ -151,8 +157,8 @@ def normalise(text: str) -> Traced | None:
     if glyphs:
         traced.rewrite(_STRANGE, _plain)
     traced.rewrite(_SPELLED, _spelled)
-    traced.rewrite(_AT, lambda m: "@")
-    traced.rewrite(_DOT, lambda m: ".")
+    traced.rewrite(_AT, lambda m: "@", blanks=True)
+    traced.rewrite(_DOT, lambda m: ".", blanks=True)
     return traced
 
 
@@ -162,11 +168,16 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     traced = normalise(text)
     if traced is None or traced.text == text:
         return base, []
-    added = []
+    ends = {kind: [d for k, _, d in base if k == kind] for kind in KINDS}
+    starts = {kind: [c for k, c, _ in base if k == kind] for kind in KINDS}
+    added, last = [], dict.fromkeys(KINDS, 0)
     for kind, a, b in detect(traced.text):
         a, b = traced.source(a, b)
-        if not any(k == kind and a < d and c < b for k, c, d in base + added):
+        # spans of a kind do not overlap and both lists are in order: the first base span that ends after a decides
+        near = bisect.bisect_right(ends[kind], a)
+        if a >= last[kind] and (near == len(ends[kind]) or starts[kind][near] >= b):
             added.append((kind, a, b))
+            last[kind] = b
     return base, added
 
 

@@ -5,9 +5,9 @@ shards' draws and a region's the least of its racks', so each subtree's draw is
 weights. A key descends to the child with the least draw at each level. Only subtrees whose weights change change
 their draws: a heavier (or new) shard draws keys to itself alone, and a lighter one gives keys away only.
 
-All of it is column expressions over the key; one shuffle of ids numbers the slots. The slot order is (bucket, key),
-with buckets hashed from the key: counts of (shard, bucket) give each bucket's first slot, so no shard's rows meet in
-one task.
+All of it is column expressions over the key; one shuffle of ids numbers the slots. The slot order is by bucket, with
+buckets hashed from the key and the text's size and checksum: counts of (shard, bucket) give each bucket's first slot,
+so neither a shard's rows nor different texts of one key meet in one task.
 
 Cases: a null key counts as the text ``null``; rows with equal keys share a shard and get slots of their own; null
 text has size 1 and the checksum of the empty string; an empty table gives an empty result; other columns are not
@@ -77,18 +77,18 @@ def assign(
     docs: DataFrame, leaves: list[Leaf], grown: list[Leaf], *, id_column: str = "doc_id", text_column: str = "text", buckets: int = 1024
 ) -> DataFrame:
     """Shard, slot and size of each document, and the shard it would have in the grown tree."""
-    ids = textops.keyed(docs, {"doc_id": id_column})
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bucket = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % buckets
-    counts = with_shard(ids, key, {"shard": leaves}).groupBy("shard", bucket.alias("bucket")).count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most (shards x buckets) rows, whatever the input
-    first = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     sized = textops.keyed(docs, {"doc_id": id_column, "text": text_column}).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
+    name = F.concat_ws("/", key, F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    bucket = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % buckets
+    counts = with_shard(sized, key, {"shard": leaves}).groupBy("shard", bucket.alias("bucket")).count()
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most (shards x buckets) rows, whatever the input
+    first = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     placed = with_shard(sized, key, {"shard": leaves, "grown_shard": grown}).withColumn("bucket", bucket)
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     ranked = placed.withColumn("rank", F.row_number().over(within) - 1)

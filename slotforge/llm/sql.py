@@ -13,7 +13,7 @@ raw AS (SELECT k.*, hex(encode(coalesce(text, ''))) h FROM k),
 crc AS (SELECT raw.*, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
  lambda a, b: xor(t[CAST(xor(a, b) % 256 AS INT) + 1], a // 256), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) text_crc32 FROM raw, tab)
 SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
- row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 1024, doc_id, length(h), text_crc32) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+ row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key || '/' || (length(h) // 2 + 1) || '/' || text_crc32), 1, 8) AS BIGINT) % 1024, doc_id, length(h), text_crc32) - 1 AS slot, CAST(grown AS INT) AS grown_shard
 FROM crc JOIN pick USING (key)"""
 
 OP4 = f"""WITH d AS (SELECT row_number() OVER () rid, doc_id, {_WORDS.format("text")} w FROM documents),

@@ -5,11 +5,11 @@ are removed. Every window is hashed, but only those that can repeat are counted
 represented by its anchor, the least hash of its half-length windows: equal windows have equal anchors, and an anchor
 stands for a block of neighbouring windows. Blocks are counted by anchor in Spark; an anchor of one document only is
 done with. Where all blocks of an anchor are alike, the block's smallest document keeps it. The windows of the other
-anchors are counted one by one, keyed by (anchor, window hash). Counts are pre-aggregated, and
-a passage that a third of all documents share is one row for each task. Texts are shuffled once, to meet their
-anchors, and only those that have any are kept.
+anchors are counted one by one, keyed by anchor and window hash, 128 bits in all. Counts are pre-aggregated, and
+a passage that a third of all documents share is one row for each task. Only texts that have such anchors are shuffled,
+once, to meet them; a row is named by its id and a hash of its text, so a list of anchors is that of one text.
 
-Cases: null, empty and short texts have no windows; windows repeated inside one document stay; rows with equal ids
+Cases: of documents with the same window the one with the smallest id keeps it; null, empty and short texts have no windows; windows repeated inside one document stay; rows with equal ids
 are one document (same results if the texts are equal); rows with a null id neither lose words nor take them from
 others; an empty table gives an empty result; other columns are not read.
 """
@@ -52,10 +52,6 @@ class Windows:
         return mix(np.add.reduceat(mix(self.hashes + inside.astype(np.uint64)), self.blocks))
 
 
-def _pairs(anchors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return mix(anchors + mix(hashes)).astype(np.int64)
-
-
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
@@ -63,49 +59,58 @@ def _batch(**columns) -> pa.RecordBatch:
 def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Words of each document before and after removal, and the digest of those kept."""
     docs = textops.keyed(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("rid"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch, 1):
                 w = Windows(part.column(1), width)
-                ids = part.column(0).to_numpy()[w.row[w.blocks]]
-                yield _batch(anchor=w.anchors[w.blocks].view(np.int64), doc_id=ids, block=w.block_hashes().view(np.int64))
+                rows = w.row[w.blocks]
+                yield _batch(
+                    anchor=w.anchors[w.blocks].view(np.int64), doc_id=part.column(0).to_numpy()[rows], rid=part.column(2).to_numpy()[rows], block=w.block_hashes().view(np.int64)
+                )
 
-    found = textops.cut(known.mapInArrow(blocks, "anchor long, doc_id long, block long"))
+    found = textops.cut(known.mapInArrow(blocks, "anchor long, doc_id long, rid long, block long"))
     shared = (
         found.groupBy("anchor")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("block").alias("a"), F.max("block").alias("b"))
         .where("first < last")
         .select("anchor", "first", (F.col("a") != F.col("b")).alias("mixed"))
     )
-    of_docs = (
-        found.select("anchor", "doc_id")
+    of_docs = textops.cut(
+        found.select("anchor", "doc_id", "rid")
         .distinct()
         .join(shared, "anchor")
         .where("mixed OR doc_id > first")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "rid")
         .agg(
             F.collect_list(F.when(F.col("mixed"), F.col("anchor"))).alias("mixed"),
             F.collect_list(F.when(~F.col("mixed"), F.col("anchor"))).alias("alike"),
         )
     )
-    touched = textops.cut(known.join(of_docs, "doc_id"))
+    likely = known.where(textops.IdBits(of_docs.select("doc_id")).among(F.col("doc_id")))
+    touched = textops.cut(likely.join(of_docs, ["doc_id", "rid"]))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch, 1):
-                w = Windows(part.column(1), width)
+            for part in textops.slices(batch, 2):
+                w = Windows(part.column(2), width)
                 bounds = np.searchsorted(w.row, np.arange(part.num_rows + 1))
                 for i in range(part.num_rows):
                     here = slice(bounds[i], bounds[i + 1])
-                    open_ = np.isin(w.anchors[here].view(np.int64), np.array(part.column(2)[i].as_py(), np.int64))
-                    k = np.unique(_pairs(w.anchors[here][open_], w.hashes[here][open_]))
-                    yield _batch(key=k, doc_id=np.full(len(k), part.column(0)[i].as_py(), np.int64))
-
-    counted = touched.where("size(mixed) > 0").select("doc_id", "text", "mixed").mapInArrow(keys, "key long, doc_id long")
-    firsts = counted.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    repeats = counted.join(firsts.select("key", "first"), "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+                    open_ = np.isin(w.anchors[here].view(np.int64), np.array(part.column(3)[i].as_py(), np.int64))
+                    hashes, at = np.unique(w.hashes[here][open_], return_index=True)
+                    own = [np.full(len(at), part.column(k)[i].as_py(), np.int64) for k in (0, 1)]
+                    yield _batch(anchor=w.anchors[here][open_][at].view(np.int64), hash=hashes.view(np.int64), doc_id=own[0], rid=own[1])
+
+    counted = touched.where("size(mixed) > 0").select("doc_id", "rid", "text", "mixed").mapInArrow(keys, "anchor long, hash long, doc_id long, rid long")
+    firsts = counted.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    repeats = (
+        counted.join(firsts.select("anchor", "hash", "first"), ["anchor", "hash"])
+        .where("doc_id > first")
+        .groupBy("doc_id", "rid")
+        .agg(F.collect_set("hash").alias("hashes"))  # at most the windows of one text
+    )
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +123,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id
                     here = slice(bounds[i], bounds[i + 1])
                     alike[here] = np.isin(w.anchors[here].view(np.int64), np.array(part.column(2)[i].as_py() or [], np.int64))
                     if listed := part.column(3)[i].as_py():
-                        alike[here] |= np.isin(_pairs(w.anchors[here], w.hashes[here]), np.array(listed, np.int64))
+                        alike[here] |= np.isin(w.hashes[here].view(np.int64), np.array(listed, np.int64))
                 # maximal intervals: +1 where a removed window starts, -1 after it ends
                 turn = np.zeros(n + 1, np.int64)
                 np.add.at(turn, w.at[alike], 1)
@@ -134,9 +139,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id
                 yield _batch(doc_id=part.column(0), full=full, n_removed=removed, kept_sha256=left)
 
     changed = (
-        touched.join(repeats, "doc_id", "left")
-        .where("size(alike) > 0 OR keys IS NOT NULL")
-        .select("doc_id", "text", "alike", "keys")
+        touched.join(repeats, ["doc_id", "rid"], "left")
+        .where("size(alike) > 0 OR hashes IS NOT NULL")
+        .select("doc_id", "text", "alike", "hashes")
         .mapInArrow(kept, "doc_id long, full string, n_removed long, kept_sha256 string")
         .distinct()
     )

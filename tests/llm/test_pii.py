@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -84,3 +85,25 @@ def test_redaction_and_empty_table(spark, nothing):
     df = spark.createDataFrame([(1, "call +1 (555) 123-4567 or a@b.cd", 5), (2, None, 6)], "doc_id long, text string, spans int")
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "call <phone> or <email>", 5), (2, None, 6)]
     assert pii.scan(nothing).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a [at] b [dot] de" + " " * 1_000_000, " " * 1_000_000 + "x [at] y", "[at]" + " [" * 300_000, "a@b.cd x (at) y (dot) de " * 30_000, "one two three four five " * 40_000,
+        "1 " * 400_000 + "x (dot) y", "+1" + " (" * 300_000 + "x (at) y", "a at " * 200_000 + "b dot c", "1.2.3.4." * 100_000 + " x (at) y",
+    ],
+)
+def test_work_grows_with_the_length_alone(text):
+    start = time.process_time()
+    base, added = pii.find(text)
+    assert time.process_time() - start < 8
+    for kind in pii.KINDS:
+        own = sorted(s[1:] for s in base + added if s[0] == kind)
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", 5, "q", "r")], "doc_id long, text string, n_email int, spans string, base_sha256 string")
+    assert [(r.n_email, r.spans) for r in pii.scan(df).collect()] == [(1, "email:0:6")]
+    assert pii.redact(df).collect() == [(1, "<email>", 5, "q", "r")]

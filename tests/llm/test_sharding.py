@@ -39,3 +39,13 @@ def test_weights_draw_in_proportion_and_confine_movement(spark):
 
 def test_empty_table(nothing):
     assert sharding.assign(nothing, sharding.tree(16), sharding.tree(17)).count() == 0
+
+
+def test_a_hot_id_with_many_texts_and_clashing_columns(spark):
+    rows = [(7, f"text {i}", 1, 2, 3, 4) for i in range(400)] + [(None, "n", 1, 2, 3, 4)] * 5 + [(i, "same", 1, 2, 3, 4) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, bucket int, rank int, first int").repartition(4)
+    found = sharding.assign(df, sharding.tree(16), sharding.tree(17)).collect()
+    for s in range(16):
+        own = sorted(r.slot for r in found if r.shard == s)
+        assert own == list(range(len(own)))
+    assert len(found) == len(rows) and len({r.shard for r in found if r.doc_id == 7}) == 1

@@ -46,3 +46,10 @@ def test_partial_overlaps(spark):
 
 def test_empty_table(nothing):
     assert substring.remove_repeats(nothing).count() == 0
+
+
+def test_one_id_with_many_texts_and_clashing_columns(spark):
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(5, " ".join([f"d{k}_{i}" for i in range(12)] + passage + [f"e{k}"]), 1, 2) for k in range(25)] + [(1, " ".join(passage), 1, 2), (5, "d3_0", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, anchor int, rid int")
+    assert sorted((tuple(r) for r in substring.remove_repeats(df, 20).collect()), key=str) == brute(rows, 20)
