@@ -6,7 +6,9 @@ a failure. All gates of a slot are columns of one row, so the slot table is buil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
@@ -15,23 +17,33 @@ GATES = ("extraction_present", "field_wellformed", "arithmetic_consistency", "ci
 #: Which identity feeds which field.
 FEEDS = {"c1": ("total_net", "total_vat", "total_gross"), "c2": ("total_gross", "amount_due"), "c3": ("issue_date", "due_date")}
 EPSILON = 0.02
+#: Other members that a duplicate's finding names.
+LISTED = 20
 STRENGTH_RANK = {"unsupported": 0, "single_source": 1, "corroborated": 2}
 
 
-def identities(wide: DataFrame) -> DataFrame:
-    """(doc_id, c1, c2, c3, disputed): the sum, the equality and the order of dates; null where a side is missing."""
-    net, vat, gross, due = (V.amount(F.col(n)) for n in ("total_net", "total_vat", "total_gross", "amount_due"))
-    issue, limit = V.date_parts(F.col("issue_date")), V.date_parts(F.col("due_date"))
+def identity_columns(net: Column, vat: Column, gross: Column, due: Column, issue: Column, limit: Column) -> dict[str, Column]:
+    """The sum (c1), the equality (c2) and the order of dates (c3), null where a side is missing; and whether the amount
+    due is the net total while the gross one differs."""
+    net, vat, gross, due = (V.amount(x) for x in (net, vat, gross, due))
+    issue, limit = V.date_parts(issue), V.date_parts(limit)
     prefer = V.date_order(issue, limit)
     a, b = V.date_ymd(issue, prefer), V.date_ymd(limit, prefer)
     near = lambda x, y: F.abs(x - y) <= EPSILON
-    return wide.select(
-        "doc_id",
-        near(net + vat, gross).alias("c1"),
-        near(gross, due).alias("c2"),
-        F.when((F.size(a) == 3) & (F.size(b) == 3), a <= b).alias("c3"),
-        F.coalesce(near(due, net) & ~near(due, gross) & (gross != net), F.lit(False)).alias("disputed"),
-    )
+    return {
+        "c1": near(net + vat, gross),
+        "c2": near(gross, due),
+        "c3": F.when((F.size(a) == 3) & (F.size(b) == 3), a <= b),
+        "disputed": F.coalesce(near(due, net) & ~near(due, gross) & (gross != net), F.lit(False)),
+    }
+
+
+IDENTITY_FIELDS = ("total_net", "total_vat", "total_gross", "amount_due", "issue_date", "due_date")
+
+
+def identities(wide: DataFrame) -> DataFrame:
+    """(doc_id, c1, c2, c3, disputed) of documents with a column for each field."""
+    return wide.select("doc_id", *[c.alias(n) for n, c in identity_columns(*[F.col(n) for n in IDENTITY_FIELDS]).items()])
 
 
 def arithmetic(field: Column) -> Column:
@@ -59,33 +71,63 @@ def corroboration(slots: DataFrame, readings: DataFrame) -> DataFrame:
     )
 
 
-def slot_facts(wide: DataFrame, first: DataFrame, second: DataFrame, readings: DataFrame, citations: DataFrame) -> DataFrame:
-    """The slot table: value, verdict of each gate, evidence tiers, strength and blocking flags."""
+def evidence(first: DataFrame, second: DataFrame, readings: DataFrame, citations: DataFrame) -> DataFrame:
+    """All that is known of slots in one table (doc_id, field, source, value, holds), dealt by document.
+
+    ``source`` is first, second, reading or citation; the first three tables have (doc_id, field, value), the last
+    (doc_id, field, holds).
+    """
+    said = [f.select("doc_id", "field", F.lit(n).alias("source"), "value", F.lit(None).cast("boolean").alias("holds")) for n, f in (("first", first), ("second", second), ("reading", readings))]
+    cited = citations.select("doc_id", "field", F.lit("citation").alias("source"), F.lit(None).cast("string").alias("value"), "holds")
+    return reduce(lambda a, b: a.unionByName(b), [*said, cited]).repartition("doc_id")
+
+
+#: What may be missing of a document, as columns of ``docs`` in ``slot_facts``.
+STATES = ("ocr_missing", "first_missing", "second_missing", "second_optional")
+
+
+def slot_facts(evidence: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The slot table: value, verdict of each gate, evidence tiers, strength and blocking flags.
+
+    One pass: evidence dealt by document is grouped by slot, and a document's identities are windows over its slots.
+    ``docs`` (doc_id and the flags of ``STATES``, null or a missing row: false) says what could not be read. Without the
+    first response no gate ran; without page text no citation; without the second response no agreement. The first two
+    block the document, the third leaves a finding unless that response is optional.
+    """
     kinds, tiers = (F.create_map(*[F.lit(x) for f in V.FIELDS for x in (f[0], f[i])]) for i in (1, 2))
-    value = F.col("value")
-    rows = (
-        first.join(agreement(first, second), ["doc_id", "field"])
-        .join(citations, ["doc_id", "field"], "left")
-        .join(corroboration(first, readings), ["doc_id", "field"], "left")
-        .join(identities(wide), "doc_id")
-    )
-    malformed = V.malformed(F.col("field"), value)
+    value, source, name = F.col("value"), F.col("source"), F.col("field")
+    said = F.when(source == "reading", V.blank_to_null(value)).otherwise(value)
+    rows = evidence.withColumn("norm", V.normalised(name, said))
+    of = lambda kind, column: F.when(source == kind, F.col(column))
+    rows = rows.groupBy("doc_id", "field").agg(
+        F.max(of("first", "value")).alias("value"), F.max(of("first", "norm")).alias("v"), F.max(of("second", "norm")).alias("v2"), F.collect_list(of("reading", "norm")).alias("read"),
+        F.bool_or(of("citation", "holds")).alias("holds"),
+    )
+    whole = Window.partitionBy("doc_id")
+    parts = [F.max(F.when(name == n, value)).over(whole).alias(f"__{n}") for n in IDENTITY_FIELDS]
+    rows = rows.select("*", *parts)
+    rows = rows.select("*", *[c.alias(n) for n, c in identity_columns(*[F.col(f"__{n}") for n in IDENTITY_FIELDS]).items()])
+    if docs is not None:
+        rows = rows.join(docs.select("doc_id", *[c for c in STATES if c in docs.columns]), "doc_id", "left")
+    state = {c: F.coalesce(F.col(c), F.lit(False)) if docs is not None and c in docs.columns else F.lit(False) for c in STATES}
+    ran = lambda verdict: F.when(state["first_missing"], "unavailable").otherwise(verdict)
+    live, equal = F.size("read") > 0, F.coalesce(F.array_contains("read", F.col("v")), F.lit(False))
     rows = rows.select(
-        "doc_id", "ord", "field", "value", F.col("first").alias("v"), kinds[F.col("field")].alias("kind"), tiers[F.col("field")].alias("tier"),
-        F.when(F.coalesce(F.trim(value), F.lit("")) == "", "fail").otherwise("pass").alias("extraction_present"),
-        F.when(value.isNull(), "unavailable").when(malformed.isNotNull(), "fail").otherwise("pass").alias("field_wellformed"),
-        arithmetic(F.col("field")).alias("arithmetic_consistency"),
-        F.when(F.col("holds").isNull() | value.isNull(), "unavailable").when(F.col("holds"), "pass").otherwise("fail").alias("citation_holds"),
-        F.when(F.col("doc_id") % 41 == 0, "unavailable").when(F.col("agree"), "pass").otherwise("fail").alias("cross_mode_agreement"),
-        F.when((F.coalesce("live", F.lit(0)) == 0) | F.col("first").isNull(), "unavailable").when(F.col("equal"), "pass").otherwise("warning").alias("visual_corroboration"),
-        (F.col("disputed") & F.col("field").isin("total_net", "total_gross", "amount_due")).alias("disputed"),
-        (F.col("doc_id") % 97 == 0).alias("doc_blocked"),
-        (F.col("doc_id") % 41 == 0).alias("second_missing"),
+        "doc_id", (F.array_position(F.lit(list(V.NAMES)), name) - 1).cast("int").alias("ord"), "field", "value", "v", kinds[name].alias("kind"), tiers[name].alias("tier"),
+        ran(F.when(F.coalesce(F.trim(value), F.lit("")) == "", "fail").otherwise("pass")).alias("extraction_present"),
+        ran(F.when(value.isNull(), "unavailable").when(V.malformed(name, value).isNotNull(), "fail").otherwise("pass")).alias("field_wellformed"),
+        ran(arithmetic(name)).alias("arithmetic_consistency"),
+        ran(F.when(state["ocr_missing"] | F.col("holds").isNull() | value.isNull(), "unavailable").when(F.col("holds"), "pass").otherwise("fail")).alias("citation_holds"),
+        ran(F.when(state["second_missing"], "unavailable").when(F.col("v").eqNullSafe(F.col("v2")), "pass").otherwise("fail")).alias("cross_mode_agreement"),
+        ran(F.when(~live | F.col("v").isNull(), "unavailable").when(equal, "pass").otherwise("warning")).alias("visual_corroboration"),
+        (F.col("disputed") & name.isin("total_net", "total_gross", "amount_due")).alias("disputed"),
+        (state["ocr_missing"] | state["first_missing"]).alias("doc_blocked"), state["ocr_missing"].alias("ocr_missing"), state["first_missing"].alias("first_missing"),
+        (state["second_missing"] & ~state["second_optional"]).alias("second_missing"),
     )
-    evidence = F.array_compact(F.array(
+    tier_names = F.array_compact(F.array(
         F.lit("extraction"), *[F.when(F.col(g) == "pass", t) for g, t in (("citation_holds", "ocr"), ("visual_corroboration", "reading"), ("arithmetic_consistency", "arithmetic"))]
     ))
-    rows = rows.withColumn("source_tiers", F.when(F.col("v").isNotNull(), evidence).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("source_tiers", F.when(F.col("v").isNotNull(), tier_names).otherwise(F.array().cast("array<string>")))
     n = F.size("source_tiers")
     return rows.withColumns({
         "n_tiers": n,
@@ -108,7 +150,7 @@ def findings(slots: DataFrame) -> DataFrame:
         "blocking": (F.col("gate_id") == "extraction_present") & (F.col("field") == "invoice_number"),
     }).drop("verdict")
     docs = lambda flag, gate: slots.where(flag).select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("field"), F.lit(gate).alias("gate_id"), F.lit("P0").alias("severity"), F.lit(True).alias("blocking"))
-    return bad.unionByName(docs("doc_blocked", "ocr_available")).unionByName(docs("second_missing", "second_mode_present"))
+    return bad.unionByName(docs("ocr_missing", "ocr_available")).unionByName(docs("first_missing", "first_mode_present")).unionByName(docs("second_missing", "second_mode_present"))
 
 
 def duplicates(claims: DataFrame) -> DataFrame:
@@ -123,5 +165,12 @@ def duplicates(claims: DataFrame) -> DataFrame:
 
 
 def stamp_duplicates(claims: DataFrame) -> DataFrame:
-    """For each member of a group: its kind and how many other documents it has; the members stay in ``claims``."""
-    return claims.join(duplicates(claims), ["seller", "number"]).select("doc_id", "seller", "number", "kind", (F.col("documents") - 1).alias("others"))
+    """For each member of a group: its kind, and the other documents: how many, and the first ``LISTED`` of them by id."""
+    groups = duplicates(claims)
+    members = claims.join(groups.select("seller", "number"), ["seller", "number"], "left_semi").select("seller", "number", "doc_id").distinct()
+    # a group's head is bounded, however many members it has
+    head = members.withColumn("r", F.row_number().over(Window.partitionBy("seller", "number").orderBy("doc_id"))).where(F.col("r") <= LISTED + 1)
+    head = head.groupBy("seller", "number").agg(F.sort_array(F.collect_list("doc_id")).alias("head"))
+    rows = claims.join(groups, ["seller", "number"]).join(head, ["seller", "number"])
+    others = F.slice(F.array_except("head", F.array("doc_id")), 1, LISTED)
+    return rows.select("doc_id", "seller", "number", "kind", (F.col("documents") - 1).alias("others"), others.alias("other_docs"))

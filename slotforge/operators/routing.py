@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
-from slotforge.operators import gates
+from slotforge.operators import gates, tables
 
 
 @dataclass(frozen=True)
 class Policy:
-    """Rules as data. ``absent`` and ``evidenced`` hold (rule id, field[, class]); ``cohorts`` (rule id, field, tier, strength), None matching all."""
+    """Rules as data. ``absent`` and ``evidenced`` hold (rule id, field[, class]); ``cohorts`` (rule id, field, tier, strength), None matching all.
+
+    ``sampler`` 2 draws the same slots under every policy with the rule; 1, for replaying old runs, draws by policy.
+    """
 
     policy_id: str
     seed: str = "qa"
@@ -23,6 +26,7 @@ class Policy:
     cohorts: tuple = ()
     rates: dict = field(default_factory=dict)
     tier1_explicit: bool = True
+    sampler: int = 2
 
 
 def qa_hit(policy: Policy, kind: str, identity: Column | str, doc: Column, name: Column) -> Column:
@@ -31,7 +35,10 @@ def qa_hit(policy: Policy, kind: str, identity: Column | str, doc: Column, name:
     if rate <= 0:
         return F.lit(False)
     identity = F.lit(identity) if isinstance(identity, str) else identity
-    key = F.concat_ws("|", F.lit(policy.seed), F.lit(kind), identity, doc.cast("string"), name, F.lit("qa-hash-v2"))
+    if policy.sampler == 2:
+        key = F.concat_ws("|", F.lit(policy.seed), F.lit(kind), identity, doc.cast("string"), name, F.lit("qa-hash-v2"))
+    else:
+        key = F.concat_ws("|", F.lit(policy.seed), F.lit(policy.policy_id), doc.cast("string"), name, F.lit("qa-hash-v1"))
     return V.unit_hash(key) < V.rate_bound(rate)
 
 
@@ -43,36 +50,43 @@ def first_rule(rules: list[tuple[str, Column]]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def route(slots: DataFrame, policy: Policy) -> DataFrame:
-    """(doc_id, field, route, reasons, rule_id) under one policy; the slots also need doc_class and absence_evidence."""
+def rules_of(policy: Policy) -> dict[str, Column]:
+    """The first class rule, page-evidence rule and cohort of a slot that the policy has."""
+    name = F.col("field")
+    cohort = [(i, reduce(lambda a, b: a & b, [F.col(c) == x for c, x in (("field", f), ("tier", t), ("strength", s)) if x], F.lit(True))) for i, f, t, s in policy.cohorts]
+    return {
+        "expected": first_rule([(r[0], (name == r[1]) & (F.col("doc_class") == r[2] if len(r) > 2 else F.lit(True))) for r in policy.absent]),
+        "evidenced": first_rule([(r[0], (name == r[1]) & (F.col("absence_evidence") == "absent_corroborated")) for r in policy.evidenced]),
+        "cohort": first_rule(cohort),
+    }
+
+
+def apply_absences(slots: DataFrame, policy: Policy) -> DataFrame:
+    """The slots with a missing value that a rule expects as ``expected_absent`` in place of ``fail``, and that rule."""
+    rules = rules_of(policy)
+    rule = F.coalesce(rules["expected"], rules["evidenced"])
+    missing = (F.col("extraction_present") == "fail") & rule.isNotNull()
+    return slots.withColumns({"applied_rule": F.when(missing, rule), "extraction_present": F.when(missing, "expected_absent").otherwise(F.col("extraction_present"))})
+
+
+def _decision(policy: Policy, i: int) -> Column:
+    """(policy_id, route, reasons, rule_id) from the columns that ``route_all`` puts before it."""
     name, doc = F.col("field"), F.col("doc_id")
-    fails = F.array_compact(F.array(*[F.when(F.col(g) == "fail", g) for g in sorted(gates.GATES)]))
-    warns = F.array_compact(F.array(*[F.when(F.col(g) == "warning", g) for g in sorted(gates.GATES)]))
-    expected = first_rule([(r[0], (name == r[1]) & (F.col("doc_class") == r[2] if len(r) > 2 else F.lit(True))) for r in policy.absent])
-    evidenced = first_rule([(r[0], (name == r[1]) & (F.col("absence_evidence") == "absent_corroborated")) for r in policy.evidenced])
-    cohort = first_rule([
-        (i, reduce(lambda a, b: a & b, [F.col(c) == x for c, x in (("field", f), ("tier", t), ("strength", s)) if x], F.lit(True))) for i, f, t, s in policy.cohorts
-    ])
-    rows = slots.select("*", fails.alias("__fails"), warns.alias("__warns"), expected.alias("__expected"), evidenced.alias("__evidenced"), cohort.alias("__cohort"))
-    rule = F.coalesce("__expected", "__evidenced")
-    # a missing value that a rule expects is no failure
-    absent = rule.isNotNull() & (F.col("extraction_present") == "fail")
-    fails = F.when(absent, F.array_except("__fails", F.array(F.lit("extraction_present")))).otherwise(F.col("__fails"))
-    absent = absent & (F.size(fails) == 0) & ~F.col("slot_blocking")
-    hard = (F.size(fails) > 0) | (F.col("strength") == "unsupported") | F.col("disputed") | F.col("slot_blocking")
-    hit_absent = F.when(F.col("__expected").isNotNull(), qa_hit(policy, "absent_expected", rule, doc, name)).otherwise(qa_hit(policy, "absent_evidenced", rule, doc, name))
-    hit_cohort = qa_hit(policy, "cohort_relax", F.col("__cohort"), doc, name)
+    own = lambda c: F.col(f"__{c}_{i}")
+    rule, cohort, fails, absent, hard = own("rule"), own("cohort"), own("fails"), own("absent"), own("hard")
+    hit_absent = F.when(own("expected").isNotNull(), qa_hit(policy, "absent_expected", rule, doc, name)).otherwise(qa_hit(policy, "absent_evidenced", rule, doc, name))
+    hit_cohort = qa_hit(policy, "cohort_relax", cohort, doc, name)
     hit_tier1 = (F.col("tier") == "TIER1") & qa_hit(policy, "policy_accepted_tier1", "policy_accepted_tier1", doc, name) if not policy.tier1_explicit else F.lit(False)
-    prefix = F.when(F.col("__expected").isNotNull(), "EXPECTED_ABSENT").otherwise("ABSENT_EVIDENCED")
+    prefix = F.when(own("expected").isNotNull(), "EXPECTED_ABSENT").otherwise("ABSENT_EVIDENCED")
     tag = lambda head, column: F.concat(F.lit(head), column)
     out = lambda to, *codes: F.struct(F.lit(to).alias("route"), F.array(*codes).alias("reasons"))
     listed = lambda head, codes: F.struct(F.lit("review").alias("route"), F.transform(codes, lambda x: F.concat(F.lit(head), x)).alias("reasons"))
-    decision = (
+    found = (
         F.when(F.col("doc_blocked"), out("block", F.lit("INFRA_BLOCKED")))
         .when(absent & hit_absent, out("review", F.concat(prefix, F.lit(":"), rule), tag("QA_SAMPLE:", rule)))
         .when(absent, out("auto_absent", F.concat(prefix, F.lit(":"), rule)))
-        .when(~hard & F.col("__cohort").isNotNull() & hit_cohort, out("review", tag("POLICY_ACCEPT:", F.col("__cohort")), tag("QA_SAMPLE:", F.col("__cohort"))))
-        .when(~hard & F.col("__cohort").isNotNull(), out("auto_accept", tag("POLICY_ACCEPT:", F.col("__cohort"))))
+        .when(~hard & cohort.isNotNull() & hit_cohort, out("review", tag("POLICY_ACCEPT:", cohort), tag("QA_SAMPLE:", cohort)))
+        .when(~hard & cohort.isNotNull(), out("auto_accept", tag("POLICY_ACCEPT:", cohort)))
         .when(~hard & (F.size("__warns") > 0), listed("GATE_WARNING:", F.col("__warns")))
         .when(~hard & hit_tier1, out("review", F.lit("CLEAN"), F.lit("QA_SAMPLE:policy_accepted_tier1")))
         .when(~hard, out("auto_accept", F.lit("CLEAN")))
@@ -81,24 +95,44 @@ def route(slots: DataFrame, policy: Policy) -> DataFrame:
         .when(F.size(fails) > 0, listed("GATE_FAIL:", fails))
         .otherwise(out("review", F.lit("LABEL_CONVENTION_DISPUTED")))
     )
-    keep = [c for c in slots.columns]
-    return rows.select(*keep, F.lit(policy.policy_id).alias("policy_id"), decision.alias("__d"), F.when(rule.isNotNull(), rule).alias("rule_id")).select(
-        *keep, "policy_id", "__d.route", "__d.reasons", "rule_id"
-    )
+    return F.struct(F.lit(policy.policy_id).alias("policy_id"), found.alias("d"), rule.alias("rule_id"))
 
 
 def route_all(slots: DataFrame, policies: list[Policy]) -> DataFrame:
-    """The slots under each policy, one after the other in one table."""
-    return reduce(lambda a, b: a.unionByName(b), [route(slots, p) for p in policies])
+    """The slots, each once under each policy, with route, reasons and rule; they also need doc_class and absence_evidence.
+
+    The slot plan runs once whatever the number of policies: a policy is a projection, and all of them are one list.
+    """
+    keep = slots.columns
+    gate = lambda verdict: F.array_compact(F.array(*[F.when(F.col(g) == verdict, g) for g in sorted(gates.GATES)]))
+    ruled = [c.alias(f"__{n}_{i}") for i, p in enumerate(policies) for n, c in rules_of(p).items()]
+    rows = slots.select(*keep, gate("fail").alias("__all"), gate("warning").alias("__warns"), *ruled)
+    rows = rows.select("*", *[F.coalesce(f"__expected_{i}", f"__evidenced_{i}").alias(f"__rule_{i}") for i in range(len(policies))])
+    # a missing value that a rule expects is no failure
+    missing = lambda i: F.col(f"__rule_{i}").isNotNull() & (F.col("extraction_present") == "fail")
+    less = F.array_except("__all", F.array(F.lit("extraction_present")))
+    rows = rows.select("*", *[F.when(missing(i), less).otherwise(F.col("__all")).alias(f"__fails_{i}") for i in range(len(policies))])
+    weak = (F.col("strength") == "unsupported") | F.col("disputed") | F.col("slot_blocking")
+    judged = []
+    for i in range(len(policies)):
+        failed = F.size(f"__fails_{i}") > 0
+        judged += [(missing(i) & ~failed & ~F.col("slot_blocking")).alias(f"__absent_{i}"), (failed | weak).alias(f"__hard_{i}")]
+    rows = rows.select("*", *judged).select(*keep, F.inline(F.array(*[_decision(p, i) for i, p in enumerate(policies)])))
+    return rows.select(*keep, "policy_id", "d.route", "d.reasons", "rule_id")
+
+
+def route(slots: DataFrame, policy: Policy) -> DataFrame:
+    """The slots under one policy."""
+    return route_all(slots, [policy])
 
 
 def ranked(frame: DataFrame, *order: Column) -> DataFrame:
     """``position`` from 0 in a total order, without one task that sees all rows.
 
-    Rows are dealt by range of the order; the counts of the parts (one row each) give each part's first position.
+    The frame is written once, dealt by range of the order and written with its parts; the counts of the parts (one row
+    each) give each part's first position.
     """
-    parts = frame.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parts = parts.persist()
+    parts = tables.cut(tables.cut(frame).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy("__part").orderBy(*order)

@@ -13,9 +13,9 @@ from slotforge.sources import readers
 
 @dataclass(frozen=True)
 class Evidence:
-    """Inputs of a run: documents with their ten fields, two extractors' values, readings, and citation results."""
+    """Inputs of a run: what could not be read of each document, two extractors' values, readings, and citation results."""
 
-    wide: DataFrame
+    docs: DataFrame  # doc_id and the flags of gates.STATES
     first: DataFrame
     second: DataFrame
     readings: DataFrame
@@ -26,7 +26,7 @@ class Evidence:
 
 def evidence_to_routes(evidence: Evidence, policy: routing.Policy) -> DataFrame:
     """Slots with verdicts, strength, route and reasons."""
-    slots = gates.slot_facts(evidence.wide, evidence.first, evidence.second, evidence.readings, evidence.citations)
+    slots = gates.slot_facts(gates.evidence(evidence.first, evidence.second, evidence.readings, evidence.citations), evidence.docs)
     slots = slots.join(evidence.classes, "doc_id", "left").join(evidence.absences, ["doc_id", "field"], "left")
     return routing.route(slots, policy)
 

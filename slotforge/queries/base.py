@@ -6,6 +6,8 @@ tables over it, ``readings`` three page readers, ``slots`` the facts of each slo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,10 +86,30 @@ def citations(m1: DataFrame) -> DataFrame:
     return m1.select("doc_id", "field", F.when(kind & (h < 7), True).when(kind & (h == 7), False).alias("holds"))
 
 
+def evidence(w: DataFrame) -> DataFrame:
+    """What ``long``, ``mode2``, ``readings`` and ``citations`` say, as one table, in one projection of the documents."""
+    k, ord_, name, value = F.col("doc_id"), F.col("ord"), F.col("field"), F.col("value")
+    h = k + ord_
+    renamed = F.when(name == "seller_name", F.concat(F.upper(F.regexp_replace("value", r" Inc\.", "")), F.lit(", Ltd."))).otherwise(value)
+    second = F.when(h % 9 == 0, None).when(h % 10 == 0, F.concat(renamed, F.lit("9"))).otherwise(renamed)
+    none, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    one = lambda source, said, holds=unknown, there=True: F.struct(F.lit(source).alias("source"), said.alias("value"), holds.alias("holds"), F.lit(there).alias("there"))
+    odd = lambda r: F.when((h + r) % 6 == 0, "ABSTAIN").when((3 * k + ord_ + r) % 8 == 0, F.concat("value", F.lit("7")))
+    read = [F.struct(F.lit("reading").alias("source"), F.coalesce(odd(r), value).alias("value"), unknown.alias("holds"), (h % 4 != 0).alias("there")) for r in range(3)]
+    kind, c = name.isin(*[n for n, x in V.KIND.items() if x in ("amount", "code")]), (7 * k + ord_) % 10
+    cited = F.when(kind & (c < 7), True).when(kind & (c == 7), False)
+    rows = long(w).select("doc_id", "field", F.inline(F.array(one("first", value), one("second", second), *read, one("citation", none, cited))))
+    return rows.where("there").drop("there")
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose page text or second response is missing, by rule from their ids."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), (k % 97 == 0).alias("ocr_missing"), (k % 41 == 0).alias("second_missing"))
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = wide(spark, sf_dir)
-    m1 = long(w)
-    return gates.slot_facts(w, m1, mode2(m1), readings(m1), citations(m1))
+    return gates.slot_facts(evidence(wide(spark, sf_dir)), states(spark, sf_dir))
 
 
 SQL = {
@@ -141,7 +163,7 @@ facts AS (SELECT n1.doc_id, n1.ord, n1.field, n1.value, n1.v, kind, tier,
  CASE WHEN n1.value IS NULL OR trim(n1.value) = '' THEN 'fail' ELSE 'pass' END extraction_present,
  CASE WHEN n1.value IS NULL THEN 'unavailable' WHEN n1.value IN ('--', '99/99') THEN 'fail' ELSE 'pass' END field_wellformed,
  coalesce(arith.verdict, 'unavailable') arithmetic_consistency,
- CASE WHEN holds IS NULL OR n1.value IS NULL THEN 'unavailable' WHEN holds THEN 'pass' ELSE 'fail' END citation_holds,
+ CASE WHEN n1.doc_id % 97 = 0 OR holds IS NULL OR n1.value IS NULL THEN 'unavailable' WHEN holds THEN 'pass' ELSE 'fail' END citation_holds,
  CASE WHEN n1.doc_id % 41 = 0 THEN 'unavailable' WHEN n1.v IS NOT DISTINCT FROM n2.v THEN 'pass' ELSE 'fail' END cross_mode_agreement,
  CASE WHEN coalesce(live, 0) = 0 OR n1.v IS NULL THEN 'unavailable' WHEN eq THEN 'pass' ELSE 'warning' END visual_corroboration,
  disputed AND n1.field IN ('total_net', 'total_gross', 'amount_due') disputed, n1.doc_id % 97 = 0 doc_blocked, n1.doc_id % 41 = 0 second_missing
@@ -150,10 +172,15 @@ facts AS (SELECT n1.doc_id, n1.ord, n1.field, n1.value, n1.v, kind, tier,
 tiers AS (SELECT *, CASE WHEN v IS NULL THEN 0 ELSE 1 + CAST(citation_holds = 'pass' AS INT) + CAST(visual_corroboration = 'pass' AS INT) + CAST(arithmetic_consistency = 'pass' AS INT) END n_tiers FROM facts),
 slots AS (SELECT *, CASE WHEN n_tiers = 0 THEN 'unsupported' WHEN n_tiers >= 2 THEN 'corroborated' ELSE 'single_source' END strength,
  CASE WHEN disputed THEN 'label_convention_disputed' ELSE 'matches' END applicability, extraction_present = 'fail' AND field = 'invoice_number' slot_blocking FROM tiers)"""
+MATERIALIZED = ("wide", "m1", "n1", "nr", "ident", "slots", "routed")
 ORDER = ("fields", "wide", "m1", "m2", "readings", "cites", "n1", "n2", "nr", "ident", "arith", "facts")
 
 
 def with_sql(last: str, body: str, more: str = "") -> str:
     """WITH all tables up to ``last``, and ``more``, the body."""
     names = ORDER[: ORDER.index(last) + 1]
-    return "WITH " + ",\n".join([*[SQL[n] for n in names], *([more] if more else [])]) + "\n" + body
+    parts = ",\n".join([*[SQL[n] for n in names], *([more] if more else [])])
+    # DuckDB computes each table once
+    for name in MATERIALIZED:
+        parts = re.sub(rf"(?m)^{name} AS \(", f"{name} AS MATERIALIZED (", parts)
+    return f"WITH {parts}\n{body}"

@@ -165,9 +165,10 @@ def a1(spark, d):
 
 
 @query("g8_duplicate_stamps", f"""WITH c AS ({_DUP}), g AS (SELECT seller, number, count(DISTINCT doc_id) n, count(DISTINCT gross || '/' || date) s FROM c GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 1)
-SELECT doc_id, CASE WHEN s > 1 THEN 'content_conflict' ELSE 'resubmission' END AS kind, n - 1 AS others FROM c JOIN g USING (seller, number)""")
+, m AS (SELECT seller, number, list(doc_id ORDER BY doc_id) l FROM c JOIN g USING (seller, number) GROUP BY 1, 2)
+SELECT doc_id, CASE WHEN s > 1 THEN 'content_conflict' ELSE 'resubmission' END AS kind, n - 1 AS others, array_to_string(list_filter(l, lambda x: x <> doc_id)[:20], ',') AS other_docs FROM c JOIN g USING (seller, number) JOIN m USING (seller, number)""")
 def g8(spark, d):
-    return gates.stamp_duplicates(_claims(spark, d)).select("doc_id", "kind", "others")
+    return gates.stamp_duplicates(_claims(spark, d)).select("doc_id", "kind", "others", F.array_join(F.col("other_docs").cast("array<string>"), ",").alias("other_docs"))
 
 
 @query("g1_arithmetic", with_sql("arith", "SELECT m1.doc_id, m1.field, coalesce(verdict, 'unavailable') AS verdict FROM m1 LEFT JOIN arith ON arith.doc_id = m1.doc_id AND arith.field = m1.field"))

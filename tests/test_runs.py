@@ -12,7 +12,8 @@ def test_evidence_to_documents(spark, tmp_path):
     wide = base.wide(spark, SF).where("doc_id < 60")
     m1 = base.long(wide)
     none = spark.createDataFrame([], "doc_id long, field string, absence_evidence string")
-    evidence = runs.Evidence(wide, m1, base.mode2(m1), base.readings(m1), base.citations(m1), wide.select("doc_id", F.lit("invoice").alias("doc_class")), none)
+    docs = wide.select("doc_id", (F.col("doc_id") % 97 == 0).alias("ocr_missing"))
+    evidence = runs.Evidence(docs, m1, base.mode2(m1), base.readings(m1), base.citations(m1), wide.select("doc_id", F.lit("invoice").alias("doc_class")), none)
     runs.write_run(runs.evidence_to_routes(evidence, routing.Policy("P", absent=(("R1", "due_date", "invoice"),))), str(tmp_path))
     routed = spark.read.parquet(str(tmp_path / "slots"))
     n = wide.count()
