@@ -103,7 +103,7 @@ class Model:
                 hit = np.flatnonzero(known[at] == short)
                 self.where[a + hit] = ((first[order] + at[hit]) * size).astype(np.int32)
 
-    def bits(self, data: np.ndarray, rows: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    def bits(self, data: np.ndarray, rows: np.ndarray, most: int = 1 << 17) -> np.ndarray:
         """The code length of each text in each language."""
         out = np.zeros((len(rows) - 1, len(self.langs)))
         s = self.symbol[data]
@@ -179,6 +179,7 @@ def accept(docs: DataFrame, model: Model | None, *, text_column: str = "text", l
 
     Nothing is shuffled or joined: each row is judged and passed on where it lies.
     """
+    textops.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text, lang_at = names.index(text_column), names.index(lang_column)

@@ -216,6 +216,7 @@ def mask(text: str) -> str:
 
 def redact(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
     """All columns and rows, with personal data in the text replaced; a null text stays null."""
+    textops.bound_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def run(texts):

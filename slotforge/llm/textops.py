@@ -6,6 +6,7 @@ Python object is made per word. A word is a maximal run of bytes outside ``\\x20
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -219,7 +220,23 @@ def without_ids(frame: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
     return passed.unionByName(doubtful.join(gone, own.cast("long") == F.col("__gone"), "left_anti"))
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of an Arrow batch to ``BATCH_BYTES``, unless it is lower already.
+
+    A batch is held several times over, in the executor and in the worker, and texts are long: with the default of
+    64 MB two tasks' copies would fill an executor.
+    """
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH, ""))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def keyed(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only the named columns, under this operator's own names: others cannot clash."""
+    """Only the named columns, under this operator's own names: others cannot clash. Bounds batches as well."""
+    bound_batches(frame.sparkSession)
     return frame.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
