@@ -230,8 +230,8 @@ def bound_batches(spark: SparkSession) -> None:
     A batch is held several times over, in the executor and in the worker, and texts are long: with the default of
     64 MB two tasks' copies would fill an executor.
     """
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH, ""))
-    if not now or int(now[1]) > BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)([bkm]?)b?", spark.conf.get(_BATCH).lower())
+    if not now or int(now[1]) * {"k": 1 << 10, "m": 1 << 20}.get(now[2], 1) > BATCH_BYTES:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
