@@ -6,10 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC = r"(?<!\d)\d{1,4}[./-]\d{1,2}[./-]\d{1,4}(?!\d)"
-NAMED = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2},? \d{4}\b"
-#: A term recognised but not computed, before one of days.
-END_OF_MONTH = r"(?i)\bnet\s+\d{1,3}\s+(?:eom|prox)|\beom\b|\bprox\b"
-NET_DAYS = (r"(?i)\bnet\s+(\d{1,3})\b", r"(?i)\b(\d{1,3})\s+days\b", r"(?i)\bdue in (\d{1,3})\b")
+_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+NAMED = rf"(?i)\b(?:{_MONTH} \d{{1,2}},? \d{{4}}|\d{{1,2}} {_MONTH},? \d{{4}})\b"
+#: Labels of the dates that terms count from.
+ISSUE_LABEL = r"\b(?:invoice\s+date|issue\s+date|date\s+issued|date\s+of\s+invoice)\b"
+RECEIPT_LABEL = r"\b(?:receipt\s+date|date\s+received|received\s+date|date\s+of\s+receipt)\b"
+#: Payment terms as (the date they count from, the term, its number of days or None for none).
+TERMS = (
+    ("invoice", r"(?i)\bnet\s*-?\s*\d{1,3}\b|\b\d{1,3}\s+days?\s+(?:after|from)\s+(?:the\s+)?(?:invoice\s+date|date\s+of\s+(?:the\s+)?invoice|issue\s+date|date\s+issued|invoice)\b"
+     r"|\b(?:due|payable)\s+(?:in|within)\s+\d{1,3}\s+days?\b|\b\d{1,3}\s+days?\s+net\b", r"(\d{1,3})"),
+    ("invoice", r"(?i)(?:^|[\s,;])(?:\d{1,2}\s*/\s*\d{1,2}\s+)?n\s*/\s*\d{1,3}\b", r"(?i)n\s*/\s*(\d{1,3})"),
+    ("invoice", r"(?i)\b(?:cash\s+in\s+advance|payment\s+in\s+advance|payable\s+in\s+advance|cash\s+with\s+order|prepay(?:ment)?)\b", None),
+    ("receipt", r"(?i)\b\d{1,3}\s+days?\s+(?:after|from)\s+(?:the\s+)?(?:receipt|date\s+of\s+receipt)\b", r"(\d{1,3})"),
+    ("receipt", r"(?i)\bdue\s+(?:on|upon)\s+receipt\b", None),
+)
+#: Terms that are recognised and not computed.
+END_OF_MONTH = r"(?i)\b(?:e\.?o\.?m\.?|end\s+of\s+(?:the\s+)?month|prox)\b"
 
 
 def _numeric(text: Column, first: str) -> Column:
@@ -25,7 +37,10 @@ def _numeric(text: Column, first: str) -> Column:
 
 def parse(text: Column) -> Column:
     """The date, or null where month first and day first are both possible and differ."""
-    month = F.try_to_date(F.regexp_replace(F.initcap(F.regexp_replace(text, r"[.,]", "")), r"^(\w{3})\w*", "$1"), "MMM d yyyy")
+    plain = F.initcap(F.regexp_replace(text, r"[.,]", ""))
+    month = F.coalesce(
+        F.try_to_date(F.regexp_replace(plain, r"^([A-Z][a-z]{2})[a-z]*", "$1"), "MMM d yyyy"), F.try_to_date(F.regexp_replace(plain, r"^(\d{1,2} [A-Z][a-z]{2})[a-z]*", "$1"), "d MMM yyyy")
+    )
     a, b = _numeric(text, "month"), _numeric(text, "day")
     return F.coalesce(month, F.when(a.isNull() | b.isNull() | (a == b), F.coalesce(a, b)))
 
@@ -45,21 +60,30 @@ def labelled(lines: DataFrame, label: str) -> DataFrame:
 
 
 def terms(lines: DataFrame) -> DataFrame:
-    """(doc_id, days, reason): the one number of days that all terms agree on; end-of-month terms are refused."""
-    days = F.array_compact(F.array(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in NET_DAYS]))
-    flagged = lines.select("doc_id", F.col("line").rlike(END_OF_MONTH).alias("eom"), days.alias("days")).where("eom OR size(days) > 0")
-    rows = flagged.select("doc_id", "eom", F.explode_outer("days").alias("d")).select("doc_id", "eom", F.col("d").try_cast("int").alias("d"))
-    out = rows.groupBy("doc_id").agg(F.bool_or("eom").alias("eom"), F.count_distinct("d").alias("n"), F.min("d").alias("d"))
+    """(doc_id, base, days, reason): the one term that all lines agree on, in words as well as in days.
+
+    Each kind of term counts by its first match on a line. A term that ends with a month is refused wherever it stands.
+    """
+    found = []
+    for base, pattern, number in TERMS:
+        said = F.lower(F.trim(F.regexp_extract("line", pattern, 0)))
+        days = F.regexp_extract(said, number, 1).cast("int") if number else F.lit(0)
+        found.append(F.when(F.col("line").rlike(pattern), F.struct(F.lit(base).alias("base"), days.alias("days"), said.alias("said"))))
+    rows = lines.select("doc_id", F.col("line").rlike(END_OF_MONTH).alias("eom"), F.array_compact(F.array(*found)).alias("found")).where("eom OR size(found) > 0")
+    rows = rows.select("doc_id", "eom", F.explode_outer("found").alias("t"))
+    out = rows.groupBy("doc_id").agg(F.bool_or("eom").alias("eom"), F.count_distinct("t").alias("n"), F.min("t").alias("t"))
     reason = F.when(F.col("eom"), "end_of_month").when(F.col("n") > 1, "several")
-    return out.select("doc_id", F.when(reason.isNull(), F.col("d")).alias("days"), reason.alias("reason"))
+    return out.select("doc_id", F.when(reason.isNull(), F.col("t.base")).alias("base"), F.when(reason.isNull(), F.col("t.days")).alias("days"), reason.alias("reason"))
 
 
 def derive_due(lines: DataFrame) -> DataFrame:
-    """(doc_id, due, reason): the invoice date plus the term, or why it cannot be said."""
-    base = labelled(lines, r"invoice\s+date|date\s+of\s+invoice").toDF("doc_id", "date", "date_reason")
-    both = lines.select("doc_id").distinct().join(base, "doc_id", "left").join(terms(lines).toDF("doc_id", "days", "term_reason"), "doc_id", "left")
+    """(doc_id, due, base, reason): the date that the term counts from plus its days, or why it cannot be said."""
+    issue, receipt = (labelled(lines, label).toDF("doc_id", f"{n}_date", f"{n}_reason") for n, label in (("invoice", ISSUE_LABEL), ("receipt", RECEIPT_LABEL)))
+    rows = lines.select("doc_id").distinct().join(issue, "doc_id", "left").join(receipt, "doc_id", "left").join(terms(lines), "doc_id", "left")
+    of = lambda what: F.when(F.col("base") == "invoice", F.col(f"invoice_{what}")).otherwise(F.col(f"receipt_{what}"))
     reason = (
-        F.when(F.col("date").isNull() & F.col("date_reason").isNull(), "no_invoice_date").when(F.col("date_reason").isNotNull(), F.concat(F.lit("date_"), F.col("date_reason")))
-        .when(F.col("days").isNull() & F.col("term_reason").isNull(), "no_term").when(F.col("term_reason").isNotNull(), F.concat(F.lit("term_"), F.col("term_reason")))
+        F.when(F.col("reason").isNotNull(), F.concat(F.lit("term_"), F.col("reason"))).when(F.col("base").isNull(), "no_term")
+        .when(of("date").isNull() & of("reason").isNull(), F.concat(F.lit("no_"), F.col("base"), F.lit("_date")))
+        .when(of("reason").isNotNull(), F.concat(F.when(F.col("base") == "invoice", "date_").otherwise("receipt_"), of("reason")))
     )
-    return both.select("doc_id", F.when(reason.isNull(), F.date_add("date", F.col("days"))).alias("due"), reason.alias("reason"))
+    return rows.select("doc_id", F.when(reason.isNull(), F.date_add(of("date"), F.col("days"))).alias("due"), "base", reason.alias("reason"))

@@ -156,8 +156,3 @@ def unit_hash(key: Column) -> Column:
 def rate_bound(rate: float) -> str:
     """The bound below which ``unit_hash`` falls with this probability."""
     return f"{min(int(rate * 2**64), 2**64 - 1):016x}"
-
-
-def set_digest(ids: Column) -> Column:
-    """SHA-256 over the sorted distinct ids, one a line (an aggregate)."""
-    return F.sha2(F.array_join(F.sort_array(F.collect_set(ids.cast("string"))), "\n"), 256)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
+from slotforge.operators import tables
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -19,15 +22,16 @@ def token_stream(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(V.tokens(F.col(text))).alias("pos", "tok"))
 
 
-def flatten_words(ocr: DataFrame) -> DataFrame:
-    """Nested pages, blocks, lines and words as one row for each non-blank word, in document order."""
+def flatten_words(ocr: DataFrame, *more: str) -> DataFrame:
+    """Nested pages, blocks, lines and words as one row for each non-blank word, in document order; ``more`` fields of
+    the words come along."""
     rows = ocr.select("doc_id", F.posexplode("pages").alias("page_ord", "p"))
     rows = rows.select("doc_id", F.col("p.page_idx").alias("page_idx"), F.posexplode("p.blocks").alias("block_idx", "b"))
     rows = rows.select("doc_id", "page_idx", "block_idx", F.posexplode("b.lines").alias("line_idx", "l"))
     rows = rows.select("doc_id", "page_idx", "block_idx", "line_idx", F.posexplode("l.words").alias("word_idx", "w"))
     corner = lambda i, j: F.get(F.get(F.col("w.geometry"), F.lit(i)), F.lit(j))
     return rows.select(
-        "doc_id", "page_idx", "block_idx", "line_idx", "word_idx", F.trim("w.value").alias("value"), corner(0, 0).alias("x0"), corner(0, 1).alias("y0"), corner(1, 0).alias("x1"), corner(1, 1).alias("y1")
+        "doc_id", "page_idx", "block_idx", "line_idx", "word_idx", F.trim("w.value").alias("value"), corner(0, 0).alias("x0"), corner(0, 1).alias("y0"), corner(1, 0).alias("x1"), corner(1, 1).alias("y1"), *[F.col(f"w.{c}").alias(c) for c in more]
     ).where("value <> ''")
 
 
@@ -108,20 +112,98 @@ def region_text(words: DataFrame, boxes: DataFrame, pad: float = 0.03, height: f
     return hit.groupBy("box_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "value", "word_id"))), lambda w: w["value"]), " ").alias("text"))
 
 
-def left_label(words: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(box_id, label): words left of the box within its vertical extent, in reading order; NONE without any."""
-    hit = words.join(boxes.select("box_id", "page", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("y1").alias("by1")), "page")
-    hit = hit.where((F.col("x1") <= F.col("bx0")) & (F.col("y0") <= F.col("by1")) & (F.col("y1") >= F.col("by0")))
+def left_label(words: DataFrame, boxes: DataFrame, height: float = 1.0, cells: int = 20) -> DataFrame:
+    """(box_id, label): words left of the box within its vertical extent, in reading order; NONE without any. A box meets
+    the words of the bands of its page that it touches; ``height`` is a page's."""
+    band = lambda y: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(y * (cells / height)))).cast("int")
+    wide = boxes.select("box_id", "page", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
+    wide = wide.withColumn("band", F.explode(F.sequence(band(F.col("by0")), band(F.col("by1")))))
+    placed = words.withColumn("band", F.explode(F.sequence(band(F.col("y0")), band(F.col("y1")))))
+    hit = placed.join(wide, ["page", "band"]).where((F.col("x1") <= F.col("bx0")) & (F.col("y0") <= F.col("by1")) & (F.col("y1") >= F.col("by0")))
+    hit = hit.select("box_id", "word_id", "y0", "x0", "value").distinct()
     text = hit.groupBy("box_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "value", "word_id"))), lambda w: w["value"]), " ").alias("label"))
     return boxes.select("box_id").join(text, "box_id", "left").select("box_id", F.coalesce("label", F.lit("NONE")).alias("label"))
 
 
-def nearest(points: DataFrame, labels: DataFrame, most: float | None = None) -> DataFrame:
-    """(point_id, label_id, side, distance2) of the nearest label on the same page; ties go to the smaller id."""
+def nearest(points: DataFrame, labels: DataFrame, most: float | None = None, per_cell: int = 4) -> DataFrame:
+    """(point_id, label_id, side, distance2) of the nearest label on the same page; ties go to the smaller id.
+
+    Pages are cut into cells, fine enough that the fullest page has about ``per_cell`` labels in each. A point meets the
+    labels of its cell and those around it, and is done if the nearest is no further than a cell is wide; the others go
+    on with cells four times as wide, the last as wide as all pages. So no point meets all labels of a full page.
+    """
+    found, rest = [], points.select("point_id", "page", "x", "y")
+    bounds = labels.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).union(points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"))).collect()  # two rows
+    known = [float(v) for r in bounds for v in r if v is not None]
+    fullest = labels.groupBy("page").count().agg(F.max("count")).first()[0] or 1
+    extent = max(known) - min(known) + 1 if known else 1.0
+    width = max(extent / max(1.0, (fullest / per_cell) ** 0.5), 1e-9)
+    side = labels.select("label_id", "page", "side", F.col("x").alias("lx"), F.col("y").alias("ly"))
     d2 = F.pow(F.col("x") - F.col("lx"), 2) + F.pow(F.col("y") - F.col("ly"), 2)
-    pairs = points.join(labels.select("label_id", "page", "side", F.col("x").alias("lx"), F.col("y").alias("ly")), "page").withColumn("distance2", d2)
-    pairs = pairs.where(F.col("distance2") <= most * most) if most is not None else pairs
-    return pairs.groupBy("point_id").agg(F.min(F.struct("distance2", "label_id", "side")).alias("m")).select("point_id", "m.label_id", "m.side", "m.distance2")
+    while True:
+        last = width >= extent
+        cell = lambda c, w=width: F.floor(c / w).cast("long")
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        spread = rest.withColumn("cx", around(F.col("x"))).withColumn("cy", around(F.col("y")))
+        pairs = spread.join(side.withColumns({"cx": cell(F.col("lx")), "cy": cell(F.col("ly"))}), ["page", "cx", "cy"]).withColumn("distance2", d2)
+        pairs = pairs.where(F.col("distance2") <= most * most) if most is not None else pairs
+        best = pairs.groupBy("point_id").agg(F.min(F.struct("distance2", "label_id", "side")).alias("m")).select("point_id", "m.label_id", "m.side", "m.distance2")
+        best = tables.cut(best if last else best.where(F.col("distance2") <= width * width))
+        found.append(best)
+        if last:
+            return reduce(lambda a, b: a.unionByName(b), found)
+        rest = tables.cut(rest.join(best.select("point_id"), "point_id", "left_anti"))
+        if rest.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
+        width = min(4 * width, extent)
+
+
+def covering_spans(drafts: DataFrame, spans: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(draft_id, doc_id, span, matched, wanted) of the spans of a draft's own document that hold enough of its tokens.
+
+    ``drafts`` has draft_id, doc_id, value; ``spans`` doc_id, span, text.
+    """
+    own = drafts.select("draft_id", "doc_id", F.explode(F.array_distinct(V.tokens(F.col("value")))).alias("tok"))
+    hay = spans.select("doc_id", "span", F.explode(F.array_distinct(V.tokens(F.col("text")))).alias("tok"))
+    wanted = own.groupBy("draft_id", "doc_id").agg(F.count("*").alias("wanted"))
+    found = own.join(hay, ["doc_id", "tok"]).groupBy("draft_id", "doc_id", "span").agg(F.count("*").alias("matched"))
+    return found.join(wanted, ["draft_id", "doc_id"]).where(F.col("matched") >= threshold * F.col("wanted"))
+
+
+def admit(drafts: DataFrame, tokens: DataFrame, fields: tuple[str, ...] = V.NAMES, threshold: float = 0.8) -> DataFrame:
+    """The drafts with ``outcome``: the first reason that keeps a draft out (it names a claim itself, its field is
+    unknown, it says nothing, its document does not hold its tokens), or ``admitted``; and with its coverage.
+
+    ``drafts`` has draft_id, doc_id, field, value, claim_id. What is kept out stays in the table.
+    """
+    bound = bind(drafts, tokens, threshold).select("draft_id", "doc_id", "matched", "wanted", F.col("admitted").alias("bound"))
+    rows = drafts.join(bound, ["draft_id", "doc_id"], "left")
+    empty = F.size(F.coalesce(V.tokens(F.col("value")), F.array().cast("array<string>"))) == 0
+    outcome = (
+        F.when(F.col("claim_id").isNotNull(), "prewritten_id").when(~F.coalesce(F.col("field").isin(*fields), F.lit(False)), "unknown_field").when(empty, "empty")
+        .when(~F.coalesce("bound", F.lit(False)), "unbound").otherwise("admitted")
+    )
+    return rows.select(*drafts.columns, outcome.alias("outcome"), (F.col("matched") / F.col("wanted")).alias("coverage"))
+
+
+def locate(hits: DataFrame, words: DataFrame) -> DataFrame:
+    """The hits (phrase_id, doc_id, pos, n) with the page of their first word and the box around their words.
+
+    ``words`` has doc_id, pos, page, x0, y0, x1, y1. A hit that runs on to the next page is none.
+    """
+    spread = hits.withColumn("at", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)))
+    rows = spread.join(words.withColumnRenamed("pos", "at"), ["doc_id", "at"]).groupBy("phrase_id", "doc_id", "pos", "n")
+    rows = rows.agg(F.min("page").alias("page"), F.max("page").alias("__last"), F.count("*").alias("__n"), *[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))])
+    return rows.where("page = __last AND __n = n").drop("__last", "__n")
+
+
+def first_hit(located: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The one hit of each document that counts: of its first page with a hit, the earliest phrase of the list, then the
+    earliest place. ``phrases`` has phrase_id and ord."""
+    rows = located.join(F.broadcast(phrases.select("phrase_id", "ord")), "phrase_id")
+    rest = [c for c in located.columns if c not in ("doc_id", "page", "pos")]
+    best = rows.groupBy("doc_id").agg(F.min(F.struct("page", "ord", "pos", *rest)).alias("m"))
+    return best.select("doc_id", "m.*").drop("ord")
 
 
 def merged_box(words: DataFrame, *keys: str) -> DataFrame:

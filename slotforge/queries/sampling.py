@@ -28,18 +28,23 @@ def v15(spark, d):
     return sampling.dense_ids(table(spark, d, "documents").select("doc_id", "source"), "FC", F.col("source"), F.col("doc_id")).select("doc_id", "id")
 
 
-@query("a35_set_digest", "SELECT lang, count(DISTINCT doc_id) AS n, sha256(string_agg(DISTINCT CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS digest FROM documents WHERE doc_id % 20 = 0 GROUP BY 1")
-def a35(spark, d):
-    return table(spark, d, "documents").where("doc_id % 20 = 0").groupBy("lang").agg(F.count_distinct("doc_id").alias("n"), V.set_digest(F.col("doc_id")).alias("digest"))
-
-
 def _id_sum(i: int) -> str:
     return f"coalesce(sum(CAST(('0x' || substr(h, {1 + 12 * i}, 12)) AS BIGINT)), 0)"
 
 
-@query("a35_set_digests_all", f"SELECT lang, count(doc_id) AS n, sha256(count(doc_id) || '|' || {_id_sum(0)} || '|' || {_id_sum(1)}) AS digest FROM (SELECT lang, doc_id, sha256(CAST(doc_id AS VARCHAR)) h FROM (SELECT DISTINCT lang, doc_id FROM documents)) GROUP BY 1")
+def _set_digest_sql(group: str) -> str:
+    return f"SELECT {group}, count(doc_id) AS n, sha256(count(doc_id) || '|' || {_id_sum(0)} || '|' || {_id_sum(1)}) AS digest FROM (SELECT {group}, doc_id, sha256(CAST(doc_id AS VARCHAR)) h FROM (SELECT DISTINCT {group}, doc_id FROM documents)) GROUP BY 1"
+
+
+@query("a35_set_digest", _set_digest_sql("source"))
+def a35(spark, d):
+    """The ids of each source, all of them."""
+    return sampling.set_digests(table(spark, d, "documents"), "doc_id", "source")
+
+
+@query("a35_set_digests_all", _set_digest_sql("lang"))
 def a35_all(spark, d):
-    """All ids of each language; ``a35_set_digest`` reads one id in twenty."""
+    """The ids of each language, all of them."""
     return sampling.set_digests(table(spark, d, "documents"), "doc_id", "lang")
 
 
@@ -216,31 +221,61 @@ def s14(spark, d):
 
 
 def _letters(spark, d):
-    """Each order as lines of a letter with a date, a term and amounts."""
+    """Each order as lines of a letter with dates, a term, amounts and parties."""
     k, when = F.col("o_orderkey"), F.col("o_orderdate")
     s = lambda x: x.cast("string")
-    date = F.when(k % 4 == 0, F.date_format(when, "MMMM d, yyyy")).when(k % 4 == 1, F.date_format(when, "yyyy-MM-dd")).when(k % 4 == 2, F.date_format(when, "MM/dd/yyyy")).otherwise("soon")
-    term = F.when(k % 5 == 0, "P/N 30").when(k % 5 == 1, "Net 30 EOM").when(k % 5 == 2, "Terms: net 30").when(k % 5 == 3, F.concat(F.lit("due in "), s(k % 60), F.lit(" or so"))).otherwise("net 30, 45 days")
+    date = F.when(k % 4 == 0, F.date_format(when, "MMMM d, yyyy")).when(k % 4 == 1, F.date_format(when, "d MMMM yyyy")).when(k % 4 == 2, F.date_format(when, "MM/dd/yyyy")).otherwise("soon")
+    n = s(k % 60)
+    term = F.get(F.array(
+        F.lit("P/N 30"), F.lit("Net 30 EOM"), F.lit("Terms: net 30"), F.concat(F.lit("due in "), n, F.lit(" days")), F.lit("net 30, 45 days"), F.lit("2/10 n/45"), F.lit("Cash with order"),
+        F.concat(n, F.lit(" days after receipt")), F.lit("Due upon receipt"), F.lit("See terms"),
+    ), (k % 10).cast("int"))
+    second = F.when(k % 30 == 12, "Payable within 20 days").otherwise("Thank you")
     amount = F.concat(s(k), F.lit(".25"))
-    lines = [F.concat(F.lit("Invoice Date: "), date), term, F.concat(F.lit("Sales tax 1.00 Gross total "), amount), F.lit("Amount due"), amount, F.lit("Sold to:"), F.concat(F.lit("Customer "), s(F.col("o_custkey"))), F.when(k % 6 == 0, "Media Agency").otherwise("Trading"), F.lit("12 High Street")]
+    lines = [
+        F.concat(F.lit("Invoice Date: "), date), term, second, F.concat(F.lit("Date received: "), F.when(k % 20 == 8, "unknown").otherwise(F.date_format(when, "MMM d yyyy"))),
+        F.concat(F.lit("Agency commission 1.00 Gross billings $"), amount), F.lit("Amount due"), F.concat(F.lit("7.00 or "), amount), F.concat(F.lit("Net due "), F.when(k % 8 == 0, "9.99").otherwise(amount)),
+        F.lit("Sold to:"), F.concat(F.lit("Customer "), s(F.col("o_custkey"))), F.when(k % 6 == 0, "Attn Media").otherwise("Trading"), F.lit("12 High Street"),
+        F.lit("Please remit to"), F.when(k % 6 == 1, "Media Agency").otherwise(F.concat(F.lit("Station "), n)), F.lit("Springfield, IL 62701"), F.when(k % 9 == 0, "Payee").otherwise("."),
+    ]
     return table(spark, d, "orders").select(k.alias("doc_id"), F.posexplode(F.array(*lines)).alias("line_idx", "line"))
 
 
-@query("f7_p5_p6_p7_due_dates", """WITH o AS (SELECT o_orderkey k, CAST(o_orderdate AS DATE) d, o_orderkey % 4 = 2 AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) amb FROM orders)
-SELECT k AS doc_id, CASE WHEN k % 4 <> 3 AND NOT amb AND k % 5 = 2 THEN CAST(d + 30 AS DATE) WHEN k % 4 <> 3 AND NOT amb AND k % 5 = 3 THEN CAST(d + CAST(k % 60 AS INT) AS DATE) END AS due,
- CASE WHEN k % 4 = 3 THEN 'no_invoice_date' WHEN amb THEN 'date_ambiguous' WHEN k % 5 = 0 THEN 'no_term' WHEN k % 5 = 1 THEN 'term_end_of_month' WHEN k % 5 = 4 THEN 'term_several' END AS reason FROM o""")
+_DUE = """o AS (SELECT o_orderkey k, CAST(o_orderdate AS DATE) d, o_orderkey % 4 = 2 AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) amb FROM orders),
+t AS (SELECT *, CASE WHEN k % 10 IN (7, 8) THEN 'receipt' WHEN k % 10 IN (0, 1, 9) THEN NULL ELSE 'invoice' END b,
+ CASE k % 10 WHEN 2 THEN 30 WHEN 3 THEN k % 60 WHEN 4 THEN 30 WHEN 5 THEN 45 WHEN 6 THEN 0 WHEN 7 THEN k % 60 WHEN 8 THEN 0 END n FROM o),
+r AS (SELECT *, CASE WHEN k % 10 = 1 THEN 'term_end_of_month' WHEN k % 30 = 12 THEN 'term_several' WHEN b IS NULL THEN 'no_term'
+ WHEN b = 'receipt' AND k % 20 = 8 THEN 'no_receipt_date' WHEN b = 'invoice' AND k % 4 = 3 THEN 'no_invoice_date' WHEN b = 'invoice' AND amb THEN 'date_ambiguous' END reason FROM t)"""
+
+
+@query("f7_p5_p6_p7_due_dates", f"WITH {_DUE} SELECT k AS doc_id, CASE WHEN reason IS NULL THEN CAST(d + CAST(n AS INT) AS DATE) END AS due, CASE WHEN reason IS NULL OR reason NOT LIKE 'term%' THEN b END AS base, reason FROM r")
 def f7(spark, d):
     return dates.derive_due(_letters(spark, d))
 
 
-@query("f14_p9_amount_labels", "SELECT o_orderkey AS doc_id, f AS field, CASE f WHEN 'total_vat' THEN '1.00' ELSE o_orderkey || '.25' END AS value FROM orders, (VALUES ('total_vat'), ('total_gross'), ('amount_due')) x(f)")
+_AMOUNTS = """am AS (SELECT o_orderkey doc_id, 'total_gross' field, '$' || o_orderkey || '.25' AS value FROM orders UNION ALL SELECT o_orderkey, 'amount_due', o_orderkey || '.25' FROM orders WHERE o_orderkey % 8 <> 0)"""
+
+
+@query("f14_p9_amount_labels", f"WITH {_AMOUNTS} SELECT * FROM am")
 def p9(spark, d):
-    return blocks.bind_amounts(_letters(spark, d)).select("doc_id", "field", F.col("value").cast("string").alias("value"))
+    return blocks.bind_amounts(_letters(spark, d))
 
 
-@query("f15_p8_party_blocks", "SELECT o_orderkey AS doc_id, 'Customer ' || o_custkey || ' Trading' AS value FROM orders WHERE o_orderkey % 6 <> 0")
+_PARTIES = """pa AS (SELECT o_orderkey doc_id, 'buyer_name' field, 'Customer ' || o_custkey || CASE WHEN o_orderkey % 6 = 0 THEN ' Attn Media' ELSE ' Trading' END AS value FROM orders
+UNION ALL SELECT o_orderkey, 'seller_name', 'Station ' || o_orderkey % 60 FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 6 <> 1)"""
+
+
+@query("f15_p8_party_blocks", f"WITH {_PARTIES} SELECT * FROM pa")
 def p8(spark, d):
-    return blocks.party_block(_letters(spark, d), r"(?i)sold to:?\s*$")
+    return blocks.suggest_parties(_letters(spark, d))
+
+
+@query("s15_suggestions", base.with_sql("m2", f"""SELECT source, field, count(*) AS n, count(value) AS said FROM (SELECT 'derived_due' source, 'due_date' field, CASE WHEN reason IS NULL THEN 'x' END AS value FROM r
+ UNION ALL SELECT 'second_mode', field, CASE WHEN trim(value) <> '' AND upper(trim(value)) <> 'ABSTAIN' THEN value END FROM m2 UNION ALL SELECT 'amount_label', field, value FROM am UNION ALL SELECT 'party_block', field, value FROM pa) GROUP BY 1, 2""", f"{_DUE}, {_AMOUNTS}, {_PARTIES}"))
+def s15(spark, d):
+    """All sources of suggestions beside the first response, counted with what they say."""
+    second = base.mode2(base.long(base.wide(spark, d)))
+    return blocks.suggestions(_letters(spark, d), second).groupBy("source", "field").agg(F.count("*").alias("n"), F.count("value").alias("said"))
 
 
 @query("g9_class_evidence", """WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'invoice' WHEN 1 THEN 'contract' WHEN 2 THEN NULL ELSE 'else' END cls, contains(lower(text), 'the') seen_invoice, contains(lower(text), 'und') seen_contract FROM documents)
@@ -253,16 +288,18 @@ def g9(spark, d):
     return blocks.class_check(claims, seen, docs.where("doc_id % 13 <> 0")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("j3_span_containment", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 span FROM documents), own AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok FROM benchmark WHERE item_id < 20),
-w AS (SELECT item_id, count(*) wanted FROM own GROUP BY 1), hay AS (SELECT DISTINCT doc_id, span, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) tok FROM l WHERE doc_id % 10 = 0)
-SELECT item_id, doc_id, span, count(*) AS matched FROM own JOIN hay USING (tok) JOIN w USING (item_id) GROUP BY 1, 2, 3, wanted HAVING count(*) >= 0.3 * wanted""")
+@query("j3_span_containment", """WITH n AS (SELECT count(*) n FROM documents), dr AS (SELECT DISTINCT item_id draft_id, unnest([item_id * 7 % n, item_id * 3 % n]) doc_id, text FROM benchmark, n),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 span FROM documents WHERE doc_id IN (SELECT doc_id FROM dr)),
+own AS (SELECT DISTINCT draft_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok FROM dr), w AS (SELECT draft_id, doc_id, count(*) wanted FROM own GROUP BY 1, 2),
+hay AS (SELECT DISTINCT doc_id, span, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) tok FROM l)
+SELECT draft_id, doc_id, span, count(*) AS matched, wanted FROM own JOIN hay USING (doc_id, tok) JOIN w USING (draft_id, doc_id) GROUP BY 1, 2, 3, 5 HAVING count(*) >= 0.3 * wanted""")
 def j3(spark, d):
-    """Lines of documents as spans that cover three tenths of a draft's tokens."""
-    spans = text.lines(table(spark, d, "documents").where("doc_id % 10 = 0")).select("doc_id", F.col("line_idx").alias("span"), F.explode(F.array_distinct(V.tokens(F.col("line")))).alias("tok"))
-    own = table(spark, d, "benchmark").where("item_id < 20").select("item_id", F.explode(F.array_distinct(V.tokens(F.col("text")))).alias("tok"))
-    wanted = own.groupBy("item_id").agg(F.count("*").alias("wanted"))
-    found = own.join(spans, "tok").groupBy("item_id", "doc_id", "span").agg(F.count("*").alias("matched"))
-    return found.join(wanted, "item_id").where("matched >= 0.3 * wanted").drop("wanted")
+    """Lines of a draft's own document that hold three tenths of its tokens; drafts as in the binding queries."""
+    n = table(spark, d, "documents").count()
+    i = F.col("item_id")
+    drafts = table(spark, d, "benchmark").select(i.alias("draft_id"), F.explode(F.array(i * 7 % n, i * 3 % n)).alias("doc_id"), F.col("text").alias("value")).distinct()
+    own = table(spark, d, "documents").join(drafts.select("doc_id").distinct(), "doc_id", "left_semi")
+    return text.covering_spans(drafts, text.lines(own).select("doc_id", F.col("line_idx").alias("span"), F.col("line").alias("text")), 0.3)
 
 
 @query("r11_second_mode", base.with_sql("wide", "SELECT requirement, count(*) AS docs FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'required' WHEN invoice_number IS NULL OR total_gross IS NULL OR total_vat IS NULL OR seller_vat_id IS NULL THEN 'escalated' ELSE 'optional_skipped' END requirement FROM wide) GROUP BY 1"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
@@ -54,25 +55,20 @@ def j2(spark, d):
     return text.bind_anywhere(drafts, _stream(spark, d))
 
 
-@query("r5_a4_freeze_outcomes", f"""WITH {TOKENS}, dr AS (SELECT item_id ord, CASE WHEN item_id % 7 = 0 THEN 'C-1' END claim_id, CASE WHEN item_id % 5 = 0 THEN 'colour' ELSE 'seller_name' END field,
- CASE WHEN item_id % 11 = 3 THEN ' ' ELSE text END v, item_id % 3 doc_id, item_id % 2 by_ FROM benchmark),
-own AS (SELECT DISTINCT ord, doc_id, unnest(regexp_extract_all(lower(v), '[a-z0-9]+')) tok FROM dr), hay AS (SELECT DISTINCT doc_id, tok, 1 hit FROM tk WHERE doc_id < 3),
-cov AS (SELECT ord, count(hit) >= 0.3 * count(*) ok FROM own LEFT JOIN hay USING (doc_id, tok) GROUP BY 1)
-SELECT CASE WHEN claim_id IS NOT NULL THEN 'prewritten_id' WHEN field = 'colour' THEN 'unknown_field' WHEN trim(v) = '' THEN 'empty' WHEN NOT coalesce(ok, false) THEN 'unbound' ELSE 'admitted' END AS outcome, by_ AS drafted_by, count(*) AS n
-FROM dr LEFT JOIN cov USING (ord) GROUP BY 1, 2""")
+@query("r5_a4_freeze_outcomes", f"""WITH {TOKENS}, n AS (SELECT count(*) n FROM documents), dr AS (SELECT item_id draft_id, CASE WHEN item_id % 7 = 0 THEN 'C-1' END claim_id, CASE WHEN item_id % 5 = 0 THEN 'colour' ELSE 'seller_name' END field,
+ CASE WHEN item_id % 11 = 3 THEN ' -- ' ELSE text END v, unnest([item_id * 7 % n, item_id * 3 % n, item_id * 11 % n]) doc_id, item_id % 2 by_ FROM benchmark, n),
+own AS (SELECT DISTINCT draft_id, doc_id, unnest(regexp_extract_all(lower(v), '[a-z0-9]+')) tok FROM dr), hay AS (SELECT DISTINCT doc_id, tok, 1 hit FROM tk),
+cov AS (SELECT draft_id, doc_id, count(hit) >= 0.3 * count(*) ok FROM own LEFT JOIN hay USING (doc_id, tok) GROUP BY 1, 2)
+SELECT CASE WHEN claim_id IS NOT NULL THEN 'prewritten_id' WHEN field = 'colour' THEN 'unknown_field' WHEN len(regexp_extract_all(lower(v), '[a-z0-9]+')) = 0 THEN 'empty' WHEN NOT coalesce(ok, false) THEN 'unbound' ELSE 'admitted' END AS outcome, by_ AS drafted_by, count(*) AS n
+FROM (SELECT DISTINCT * FROM dr) LEFT JOIN cov USING (draft_id, doc_id) GROUP BY 1, 2""")
 def r5(spark, d):
-    """Admission of drafts: the first reason that applies, counted by drafter."""
-    i = F.col("item_id")
+    """Admission of drafts for documents all over the table: the first reason that applies, counted by drafter."""
+    i, n = F.col("item_id"), table(spark, d, "documents").count()
     drafts = table(spark, d, "benchmark").select(
         i.alias("draft_id"), F.when(i % 7 == 0, "C-1").alias("claim_id"), F.when(i % 5 == 0, "colour").otherwise("seller_name").alias("field"),
-        F.when(i % 11 == 3, " ").otherwise(F.col("text")).alias("value"), (i % 3).alias("doc_id"), (i % 2).alias("drafted_by"),
-    )
-    bound = text.bind(drafts, _stream(spark, d).where("doc_id < 3"), 0.3).select("draft_id", "admitted")
-    outcome = (
-        F.when(F.col("claim_id").isNotNull(), "prewritten_id").when(~F.col("field").isin(*V.NAMES), "unknown_field").when(V.blank_to_null(F.col("value")).isNull(), "empty")
-        .when(~F.coalesce("admitted", F.lit(False)), "unbound").otherwise("admitted")
-    )
-    return drafts.join(bound, "draft_id", "left").groupBy(outcome.alias("outcome"), "drafted_by").agg(F.count("*").alias("n"))
+        F.when(i % 11 == 3, " -- ").otherwise(F.col("text")).alias("value"), F.explode(F.array(*[i * k % n for k in (7, 3, 11)])).alias("doc_id"), (i % 2).alias("drafted_by"),
+    ).distinct()
+    return text.admit(drafts, _stream(spark, d), threshold=0.3).groupBy("outcome", "drafted_by").agg(F.count("*").alias("n"))
 
 
 def _phrase_sql(rows, match):
@@ -140,26 +136,27 @@ def _words(spark, d):
     return p.select("word_id", "page", "value", "label", (F.col("x") / 1000).alias("x0"), (F.col("y") / 1000).alias("y0"), ((F.col("x") + 20) / 1000).alias("x1"), ((F.col("y") + 10) / 1000).alias("y1"))
 
 
-def _boxes(spark, d):
-    return _words(spark, d).where("word_id % 10 = 3").select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1")
+def _grid(spark, d):
+    """The words in whole thousandths of their page."""
+    return _words(spark, d).select("word_id", "page", "value", *[F.round(F.col(c) * 1000, 0).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query("j4_region_text", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y FROM pts WHERE word_id % 10 = 3)
+@query("j4_region_text", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y FROM pts)
 SELECT box_id, string_agg(value, ' ' ORDER BY w.y, w.x, value, word_id) AS text FROM b JOIN pts w USING (page) WHERE w.x <= b.x + 50 AND w.x + 20 >= b.x - 30 AND w.y <= b.y + 40 AND w.y + 10 >= b.y - 30 GROUP BY 1""")
 def j4(spark, d):
-    grid = _words(spark, d).select("word_id", "page", "value", *[F.round(F.col(c) * 1000, 0).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    boxes = grid.where("word_id % 10 = 3").select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1")
-    return text.region_text(grid, boxes, pad=30, height=1000)
+    """The text around each word, with every word's box as a region."""
+    grid = _grid(spark, d)
+    return text.region_text(grid, grid.select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1"), pad=30, height=1000)
 
 
-@query("j5_left_labels", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y FROM pts WHERE word_id % 10 = 3)
+@query("j5_left_labels", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y FROM pts)
 SELECT box_id, coalesce(string_agg(value, ' ' ORDER BY w.y, w.x, value, word_id), 'NONE') AS label FROM b LEFT JOIN pts w ON w.page = b.page AND w.x + 20 <= b.x AND w.y <= b.y + 10 AND w.y + 10 >= b.y GROUP BY 1""")
 def j5(spark, d):
-    grid = _words(spark, d).select("word_id", "page", "value", *[F.round(F.col(c) * 1000, 0).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return text.left_label(grid, grid.where("word_id % 10 = 3").select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1"))
+    grid = _grid(spark, d)
+    return text.left_label(grid, grid.select(F.col("word_id").alias("box_id"), "page", "x0", "y0", "x1", "y1"), height=1000)
 
 
-@query("j6_citation", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y, label FROM pts WHERE word_id % 10 = 3),
+@query("j6_citation", f"""WITH {GEO}, b AS (SELECT word_id box_id, page, x, y, label FROM pts),
 t AS (SELECT box_id, b.label, string_agg(value, '' ORDER BY w.y, w.x, value, word_id) txt FROM b JOIN pts w USING (page) WHERE w.x <= b.x + 50 AND w.x + 20 >= b.x - 30 AND w.y <= b.y + 40 AND w.y + 10 >= b.y - 30 GROUP BY 1, 2)
 SELECT box_id, contains(txt, 'w' || (label + 1) % 10) AS holds FROM t""")
 def j6(spark, d):
@@ -190,6 +187,56 @@ def a33(spark, d):
     return found.groupBy("truth").agg(F.count("*").alias("points"), F.count_if(F.col("side") == F.col("truth")).alias("hits"))
 
 
+LABEL_PHRASES = [("seller_a", ["w1", "w2"], "seller", 0), ("buyer_a", ["w3"], "buyer", 1), ("seller_b", ["w4", "w5"], "seller", 2), ("buyer_b", ["w6", "w7"], "buyer", 3)]
+_LOCATED = f"""WITH {GEO}, wd AS (SELECT *, page % 20 doc_id, page // 20 pg, row_number() OVER (PARTITION BY page % 20 ORDER BY page // 20, y, x, word_id) - 1 pos FROM pts),
+lex(phrase_id, toks, side, ord) AS (VALUES {", ".join(f"('{i}', {t!r}, '{s}', {o})" for i, t, s, o in LABEL_PHRASES)}),
+ah AS (SELECT *, [value, lead(value) OVER w] run, [pg, lead(pg) OVER w] pgs, [x, lead(x) OVER w] xs, [y, lead(y) OVER w] ys FROM wd WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS (SELECT phrase_id, side, ord, doc_id, pos, pg page, list_min(xs[1:len(toks)]) x0, list_min(ys[1:len(toks)]) y0, list_max(xs[1:len(toks)]) + 20 x1, list_max(ys[1:len(toks)]) + 10 y1 FROM ah, lex WHERE run[1:len(toks)] = toks AND pgs[len(toks)] = pg)"""
+
+
+def _located(spark, d):
+    """Words of pages in reading order, and where the labels of two sides stand among them."""
+    grid = _grid(spark, d).withColumns({"doc_id": F.col("page") % 20, "page": F.floor(F.col("page") / 20)})
+    words = grid.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "word_id")) - 1).cast("int"))
+    stream = words.select("doc_id", "pos", F.col("value").alias("tok"))
+    return text.locate(text.phrase_hits(stream, _lexicon(spark, [p[:2] for p in LABEL_PHRASES]), 2), words)
+
+
+@query("p3_role_labels", _LOCATED + " SELECT doc_id, phrase_id, side, page, pos, x0, y0, x1, y1 FROM hits")
+def p3(spark, d):
+    """All labels of both sides with page and box."""
+    sides = spark.createDataFrame([(p[0], p[2]) for p in LABEL_PHRASES], "phrase_id string, side string")
+    return _located(spark, d).join(F.broadcast(sides), "phrase_id").select("doc_id", "phrase_id", "side", "page", "pos", "x0", "y0", "x1", "y1")
+
+
+@query("p1_first_phrase", _LOCATED + " SELECT doc_id, phrase_id, page, pos, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord, pos) r FROM hits) WHERE r = 1")
+def p1_first(spark, d):
+    """The label that counts for each document: of the first page that has one, the earliest of the list."""
+    order = spark.createDataFrame([(p[0], p[3]) for p in LABEL_PHRASES], "phrase_id string, ord int")
+    return text.first_hit(_located(spark, d), order).select("doc_id", "phrase_id", "page", "pos", "x0", "y0", "x1", "y1")
+
+
+@query("s1_words", f"""WITH {GEO} SELECT word_id, page % 20 AS doc_id, page // 20 AS page_idx, label // 5 AS block_idx, label % 5 AS line_idx,
+ row_number() OVER (PARTITION BY page, label ORDER BY word_id) - 1 AS word_idx, value, x AS x0, y + 10 AS y1 FROM pts WHERE word_id % 9 <> 0""")
+def s1(spark, d):
+    """Words nested in pages, blocks and lines, some blank, and flattened again."""
+    w = _words(spark, d).withColumns({"doc_id": F.col("page") % 20, "page_idx": F.floor(F.col("page") / 20).cast("int"), "block_idx": F.floor(F.col("label") / 5), "line_idx": F.col("label") % 5})
+    word = F.struct(F.when(F.col("word_id") % 9 != 0, F.col("value")).otherwise(" ").alias("value"), F.array(F.array("x0", "y0"), F.array("x1", "y1")).alias("geometry"), "word_id")
+    nest = lambda rows, name, keys, item, order: rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("i")))), lambda x: x["i"]).alias(name))
+    none = F.lit(None).cast("long")
+    # every line of every block, blank ones too, so that places in the lists are the numbers
+    lines = nest(w.withColumn("__w", word), "words", ["doc_id", "page_idx", "block_idx", "line_idx"], F.col("__w"), "word_id")
+    grid = w.select("doc_id", "page_idx").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).cast("long").alias("block_idx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("line_idx"))
+    lines = grid.join(lines, ["doc_id", "page_idx", "block_idx", "line_idx"], "left").withColumn("words", F.coalesce("words", F.array(F.struct(F.lit(" ").alias("value"), F.array(F.array(F.lit(0.0))).alias("geometry"), none.alias("word_id")))))
+    blocks = nest(lines.select("doc_id", "page_idx", "block_idx", "line_idx", F.struct("words").alias("__l")), "lines", ["doc_id", "page_idx", "block_idx"], F.col("__l"), "line_idx")
+    pages = nest(blocks.select("doc_id", "page_idx", "block_idx", F.struct("lines").alias("__b")), "blocks", ["doc_id", "page_idx"], F.col("__b"), "block_idx")
+    ocr = nest(pages.select("doc_id", F.struct("page_idx", "blocks").alias("__p"), "page_idx"), "pages", ["doc_id"], F.col("__p"), "page_idx")
+    flat = text.flatten_words(ocr, "word_id")
+    order = Window.partitionBy("doc_id", "page_idx", "block_idx", "line_idx").orderBy("word_idx")
+    grid_of = lambda c: F.round(F.col(c) * 1000, 0).cast("long")
+    return flat.select("word_id", "doc_id", F.col("page_idx").cast("long"), F.col("block_idx").cast("long"), F.col("line_idx").cast("long"), (F.row_number().over(order) - 1).alias("word_idx"), "value", grid_of("x0").alias("x0"), grid_of("y1").alias("y1"))
+
+
 @query("f12_f13_boxes", f"WITH {GEO} SELECT page, min(x) AS x0, min(y) AS y0, max(x + 20) AS x1, max(y + 10) AS y1 FROM pts GROUP BY 1")
 def f12(spark, d):
     """Pixel boxes of each page as shares of it, joined to one; written back as thousandths."""

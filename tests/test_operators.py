@@ -75,19 +75,82 @@ LINES = "doc_id int, line_idx int, line string"
 
 @pytest.mark.parametrize("lines,due,reason", [
     (["Invoice Date: January 5, 2020", "Net 30"], "2020-02-04", None), (["Invoice Date: 2020-01-05", "P/N 30"], None, "no_term"), (["Invoice Date: 2020-01-05", "Net 30 EOM"], None, "term_end_of_month"),
-    (["Invoice Date: 2020-01-05", "net 30, 45 days"], None, "term_several"), (["Invoice Date: 05/06/2026", "Net 30"], None, "date_ambiguous"), (["Net 30"], None, "no_invoice_date"),
+    (["Invoice Date: 2020-01-05", "net 30", "payable within 45 days"], None, "term_several"), (["Invoice Date: 2020-01-05", "net 30, 45 days"], "2020-02-04", None),
+    (["Invoice Date: 05/06/2026", "Net 30"], None, "date_ambiguous"), (["Net 30"], None, "no_invoice_date"),
     (["Invoice Date: 1/15/99", "net 10"], "1999-01-25", None), (["Invoice Date: 1/15/26", "net 10"], "2026-01-25", None), (["Invoice Date: 2020-01-05 and 2020-01-06", "net 1"], None, "date_several"),
+    (["Date issued 5 March 2021", "Net-15"], "2021-03-20", None), (["Invoice Date: 2020-01-05", "14 days notice"], None, "no_term"), (["Invoice Date: 2020-01-05", "2/10 n/30"], "2020-02-04", None),
+    (["Invoice Date: 2020-01-05", "Prepayment"], "2020-01-05", None), (["Invoice Date: 2020-01-05", "30 days after receipt"], None, "no_receipt_date"),
+    (["Receipt date 2020-02-01", "30 days from date of receipt"], "2020-03-02", None), (["Date received: 2020-02-01", "due on receipt"], "2020-02-01", None),
+    (["Invoice Date: 2020-01-05", "Net 30", "net 30"], "2020-02-04", None), (["Invoice Date: 2020-01-05", "30 days net", "Net 30"], None, "term_several"), (["Invoice Date: 2020-01-05", "end of the month", "net 5"], None, "term_end_of_month"),
 ])
 def test_due_dates(spark, lines, due, reason):
     row = dates.derive_due(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], LINES)).first()
     assert (None if row.due is None else str(row.due), row.reason) == (due, reason)
 
 
-def test_party_block_and_amounts(spark):
-    lines = ["Bill to:", "Acme", "Trading House", "12 High Street", "Net total $10.00 tax 1.50", "Gross", "11.50", "net 3.00"]
+@pytest.mark.parametrize("lines,want", [
+    (["Total net $10.00 commission 1.50", "Gross", "9.00 11.50", "net 3.00"], {("total_net", "$10.00"), ("total_gross", "11.50")}),
+    (["Net due 500.00"], {("amount_due", "500.00")}), (["Gross amount 1,250.00 less agency commission 187.50 net amount 1,062.50"], {("total_gross", "1,250.00"), ("total_net", "1,062.50")}),
+    (["Gross due 5.00"], set()), (["Amount due", "Balance due 7.00"], {("amount_due", "7.00")}), (["Amount due 7.00", "Total due 8.00"], set()), (["Net amount due 4.00"], {("amount_due", "4.00")}),
+    (["Amount due 7.00", "amount payable $7.00"], set()), (["Amount due", "", "7.00"], set()), (["grossly 5.00"], set()),
+])
+def test_amount_labels(spark, lines, want):
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], LINES)
+    assert {(r.field, r.value) for r in blocks.bind_amounts(df).collect()} == want
+
+
+@pytest.mark.parametrize("lines,want", [
+    (["Bill to:", "Acme", "Trading House", "12 High Street", "Remit to", "Station A", "Boston MA 02110"], {("buyer_name", "Acme Trading House"), ("seller_name", "Station A")}),
+    (["Agency:", "Smith Media Agency", "Customer", "Acme"], set()), (["Payee", "Smith Media Agency"], set()), (["Please remit to:", "A", "B", "C", "D"], {("seller_name", "A B C")}),
+    (["Sold to ACME"], set()), (["Client", "12 Main Road"], set()), (["From", "", "X", "", "Y"], {("seller_name", "X")}), (["Billed to", "C/O Jones", "From", "Z"], {("buyer_name", "C/O Jones"), ("seller_name", "Z")}),
+])
+def test_party_blocks(spark, lines, want):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], LINES)
-    assert [tuple(r) for r in blocks.party_block(df, r"(?i)bill to:").collect()] == [(1, "Acme Trading House")]
-    assert {(r.field, str(r.value)) for r in blocks.bind_amounts(df).collect()} == {("total_vat", "1.50"), ("total_gross", "11.50")}
+    assert {(r.field, r.value) for r in blocks.suggest_parties(df).collect()} == want
+
+
+def test_nearest_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    place = lambda: rng.choice([rng.randrange(40), rng.randrange(1000)])
+    labels = [(i, rng.choice([1, 1, 1, 2, 3]), "s", place(), place()) for i in range(300)]
+    points = [(i, rng.choice([1, 1, 2, 3, 4]), place(), place()) for i in range(300)]
+    want = {}
+    for i, page, x, y in points:
+        own = [((x - lx) ** 2 + (y - ly) ** 2, k) for k, p, _, lx, ly in labels if p == page]
+        if own:
+            want[i] = min(own)
+    p, q = spark.createDataFrame(points, "point_id int, page int, x int, y int"), spark.createDataFrame(labels, "label_id int, page int, side string, x int, y int")
+    assert {r.point_id: (r.distance2, r.label_id) for r in text.nearest(p, q).collect()} == want
+    assert {r.point_id for r in text.nearest(p, q, most=30).collect()} == {i for i, (d, _) in want.items() if d <= 900}
+    assert text.nearest(p, q.limit(0)).count() == 0 and text.nearest(p.limit(0), q).count() == 0
+
+
+def test_drafts_are_refused_by_the_first_reason(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id int, text string")
+    rows = [(1, 1, "total_net", "a b c d", None), (2, 1, "total_net", "a", "C1"), (3, 1, "colour", "--", None), (4, 1, "total_net", "--", None), (5, 1, "total_net", None, None), (6, 1, "total_net", "a x", None), (7, 9, "total_net", "a", None), (8, 1, None, "a", None)]
+    found = text.admit(spark.createDataFrame(rows, "draft_id int, doc_id int, field string, value string, claim_id string"), text.token_stream(docs)).collect()
+    assert {r.draft_id: r.outcome for r in found} == {1: "admitted", 2: "prewritten_id", 3: "unknown_field", 4: "empty", 5: "empty", 6: "unbound", 7: "unbound", 8: "unknown_field"}
+    assert {r.draft_id: r.coverage for r in found}[6] == 0.5
+
+
+def test_page_state_decides_which_gates_ran(spark):
+    slot = lambda doc, value: [(doc, f, value) for f in V.NAMES]
+    said = "doc_id string, field string, value string"
+    first = spark.createDataFrame(slot("a", "1") + slot("b", "1") + slot("c", "1") + slot("e", "1"), said)
+    second = spark.createDataFrame(slot("a", "1") + slot("b", "1") + slot("d", "1"), said)
+    cited = spark.createDataFrame([(x, f, True) for x in "abce" for f in V.NAMES], "doc_id string, field string, holds boolean")
+    states = spark.createDataFrame([("b", True, None, None, None), ("c", None, None, True, False), ("d", None, True, None, None), ("e", None, None, True, True)], "doc_id string, ocr_missing boolean, first_missing boolean, second_missing boolean, second_optional boolean")
+    rows = gates.slot_facts(gates.evidence(first, second, spark.createDataFrame([], said), cited), states)
+    at = {r.doc_id: r for r in rows.where("field = 'seller_name'").collect()}
+    gate = lambda g: {k: r[g] for k, r in at.items()}
+    assert gate("citation_holds") == {"a": "pass", "b": "unavailable", "c": "pass", "d": "unavailable", "e": "pass"}
+    assert gate("cross_mode_agreement") == {"a": "pass", "b": "pass", "c": "unavailable", "d": "unavailable", "e": "unavailable"}
+    assert gate("extraction_present")["d"] == "unavailable" and gate("doc_blocked") == {"a": False, "b": True, "c": False, "d": True, "e": False}
+    found = {(r.gate_id, r.doc_id) for r in gates.findings(rows).where("severity = 'P0'").collect()}
+    assert found == {("ocr_available", "b"), ("first_mode_present", "d"), ("second_mode_present", "c")}
+    assert gates.slot_facts(gates.evidence(first, second, spark.createDataFrame([], said), cited)).count() == 50
 
 
 def test_binding_threshold(spark):
