@@ -140,7 +140,7 @@ def format_windows(
             sizes = [len(encode(render(r, t)[0])) // 4 for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "tokens"])
 
-    counted = rows.mapInArrow(count, "conv_id long, turn long, role string, text string, tokens long")
+    counted = rows.mapInArrow(textops.releasing(count), "conv_id long, turn long, role string, text string, tokens long")
     counted = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def format_windows(
         if writer:
             yield pa.RecordBatch.from_pylist(list(writer.end()), schema)
 
-    return counted.mapInArrow(run, WINDOW)
+    return counted.mapInArrow(textops.releasing(run), WINDOW)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state:
             yield rows([done()])
 
-    return windows.mapInArrow(run, DIGEST)
+    return windows.mapInArrow(textops.releasing(run), DIGEST)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

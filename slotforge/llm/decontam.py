@@ -230,7 +230,7 @@ def prepare(benchmark: DataFrame, *, item_column: str, text_column: str, repeats
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "words", "keys", "pairs"])
 
-    return textops.cut(items.mapInArrow(run, "item_id long, n long, words binary, keys array<long>, pairs array<long>"))
+    return textops.cut(items.mapInArrow(textops.releasing(run), "item_id long, n long, words binary, keys array<long>, pairs array<long>"))
 
 
 def find(
@@ -272,10 +272,10 @@ def find(
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "item_words", "end_word"])
 
     by_key = prepared.select("item_id", "n", "words", F.explode("keys").alias("key"))
-    found = docs.where("text IS NOT NULL").mapInArrow(candidates, "key long, n long, doc_id long, at long, stretch binary")
+    found = docs.where("text IS NOT NULL").mapInArrow(textops.releasing(candidates), "key long, n long, doc_id long, at long, stretch binary")
     pairs = found.join(by_key, ["key", "n"]).select("doc_id", "item_id", "words", "at", "stretch").distinct()
     return (
-        pairs.mapInArrow(verify, "doc_id long, item_id long, distance long, item_words long, end_word long")
+        pairs.mapInArrow(textops.releasing(verify), "doc_id long, item_id long, distance long, item_words long, end_word long")
         .groupBy("doc_id", "item_id")
         .agg(F.min(F.struct("distance", "end_word", "item_words")).alias("best"))
         .select("doc_id", "item_id", "best.distance", "best.item_words", "best.end_word")

@@ -53,7 +53,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     gram, n = np.unique(_grams(*textops.buffers(part.column(1))), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang, np.int32)), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    return docs.mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(textops.releasing(run), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id",
                 columns = [part.column(0).cast(pa.int64()), part.column(1), lang, pa.array(score), pa.array(best, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(textops.releasing(run), SCHEMA)
 
 
 def _judge(model: Model | None, texts: pa.Array, letter: pa.Array, evidence: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -195,4 +195,4 @@ def accept(docs: DataFrame, model: Model | None, *, text_column: str = "text", l
                 sure = (score >= least) & np.array([x != "und" for x in lang.to_pylist()], bool)
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(sure))
 
-    return rows.mapInArrow(run, docs.select(*given).schema)
+    return rows.mapInArrow(textops.releasing(run), docs.select(*given).schema)

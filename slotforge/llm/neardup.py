@@ -117,7 +117,7 @@ def sketch(docs: DataFrame, width: int, size: int) -> DataFrame:
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary()), listed]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "regs", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, regs binary, bands array<long>")
+    return docs.mapInArrow(textops.releasing(run), "doc_id long, n long, a long, b long, regs binary, bands array<long>")
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -144,15 +144,17 @@ def connect(links: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, own) of the documents with the given ids, and a few others; no text is shuffled."""
+    bits = textops.IdBits(ids.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch, 1):
+            wanted = batch.filter(pa.array(bits.has(batch.column(2).to_numpy())))
+            for part in textops.slices(wanted, 1):
                 own = pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), own], ["doc_id", "own"])
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.where(textops.IdBits(ids.select("doc_id")).among(F.col("doc_id"))).mapInArrow(run, "doc_id long, own binary")
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", bits.slot(F.col("doc_id")).alias("slot"))
+    return rows.mapInArrow(textops.releasing(run), "doc_id long, own binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -169,7 +171,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     one, other = pairs.select(F.col("x").alias("doc_id")).distinct(), pairs.select(F.col("y").alias("doc_id")).distinct()
     first, second = sets_of(docs, one, width).toDF("x", "own_x"), sets_of(docs, other, width).toDF("y", "own_y")
-    return pairs.join(first, "x").join(second, "y").select("x", "y", "own_x", "own_y").mapInArrow(check, "x long, y long").distinct()
+    return pairs.join(first, "x").join(second, "y").select("x", "y", "own_x", "own_y").mapInArrow(textops.releasing(check), "x long, y long").distinct()
 
 
 def _tiles(rows: DataFrame, key: str, weight: str, buckets: int) -> DataFrame:
@@ -301,7 +303,7 @@ def components(
     pairs = (
         best.toDF("x", "y").join(regs.drop("n").toDF("x", "regs_x", "sets_x"), "x").join(regs.drop("n").toDF("y", "regs_y", "sets_y"), "y")
         .select("x", "y", "regs_x", "regs_y", (F.col("sets_x") + F.col("sets_y") > 2).alias("several"))
-        .mapInArrow(estimated, "x long, y long")
+        .mapInArrow(textops.releasing(estimated), "x long, y long")
     )
     first = textops.cut(verified(textops.cut(pairs), docs, width, percent).union(copies.where("x <> y")))
     named = textops.cut(connect(first))

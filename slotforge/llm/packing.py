@@ -162,4 +162,4 @@ def pack(
                 yield rows(out)
         yield rows(deal())
 
-    return textops.keyed(docs, {"doc_id": id_column, "text": text_column}).mapInArrow(run, SCHEMA)
+    return textops.keyed(docs, {"doc_id": id_column, "text": text_column}).mapInArrow(textops.releasing(run), SCHEMA)

@@ -200,7 +200,7 @@ def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
                 kinds = [pa.string() if "string" in c else pa.int64() for c in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return textops.keyed(docs, {"doc_id": id_column, "text": text_column}).mapInArrow(run, SCHEMA)
+    return textops.keyed(docs, {"doc_id": id_column, "text": text_column}).mapInArrow(textops.releasing(run), SCHEMA)
 
 
 def mask(text: str) -> str:

@@ -75,7 +75,7 @@ def measure(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", *FEATURES])
 
-    return textops.keyed(docs, {"doc_id": id_column, "text": text_column}).mapInArrow(run, SCHEMA)
+    return textops.keyed(docs, {"doc_id": id_column, "text": text_column}).mapInArrow(textops.releasing(run), SCHEMA)
 
 
 def _vote(value, good, bad):

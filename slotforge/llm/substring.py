@@ -70,7 +70,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id
                     anchor=w.anchors[w.blocks].view(np.int64), doc_id=part.column(0).to_numpy()[rows], rid=part.column(2).to_numpy()[rows], block=w.block_hashes().view(np.int64)
                 )
 
-    found = textops.cut(known.mapInArrow(blocks, "anchor long, doc_id long, rid long, block long"))
+    found = textops.cut(known.mapInArrow(textops.releasing(blocks), "anchor long, doc_id long, rid long, block long"))
     shared = (
         found.groupBy("anchor")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("block").alias("a"), F.max("block").alias("b"))
@@ -103,7 +103,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id
                     own = [np.full(len(at), part.column(k)[i].as_py(), np.int64) for k in (0, 1)]
                     yield _batch(anchor=w.anchors[here][open_][at].view(np.int64), hash=hashes.view(np.int64), doc_id=own[0], rid=own[1])
 
-    counted = touched.where("size(mixed) > 0").select("doc_id", "rid", "text", "mixed").mapInArrow(keys, "anchor long, hash long, doc_id long, rid long")
+    counted = touched.where("size(mixed) > 0").select("doc_id", "rid", "text", "mixed").mapInArrow(textops.releasing(keys), "anchor long, hash long, doc_id long, rid long")
     firsts = counted.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     repeats = (
         counted.join(firsts.select("anchor", "hash", "first"), ["anchor", "hash"])
@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id
         touched.join(repeats, ["doc_id", "rid"], "left")
         .where("size(alike) > 0 OR hashes IS NOT NULL")
         .select("doc_id", "text", "alike", "hashes")
-        .mapInArrow(kept, "doc_id long, full string, n_removed long, kept_sha256 string")
+        .mapInArrow(textops.releasing(kept), "doc_id long, full string, n_removed long, kept_sha256 string")
         .distinct()
     )
 
@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_column: str = "doc_id
                 full = [hashlib.sha256(words.text(a, b)).hexdigest() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 yield _batch(doc_id=part.column(0), n_words=words.counts, full=full)
 
-    every = docs.mapInArrow(whole, "doc_id long, n_words long, full string")
+    every = docs.mapInArrow(textops.releasing(whole), "doc_id long, n_words long, full string")
     return every.join(changed, ["doc_id", "full"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "full").alias("kept_sha256")
     )

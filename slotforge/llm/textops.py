@@ -6,6 +6,9 @@ Python object is made per word. A word is a maximal run of bytes outside ``\\x20
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -197,14 +200,17 @@ class IdBits:
     def slot(self, ids: Column) -> Column:
         return F.pmod(F.xxhash64(ids.cast("long")), F.lit(self.size)) + 1
 
+    def has(self, slot: np.ndarray) -> np.ndarray:
+        at = slot - 1
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
     def among(self, ids: Column) -> Column:
         """False for ids that are surely not among the given ones, and for null ids."""
-        shared = self.shared
+        bits = self
 
         @F.pandas_udf("boolean")
         def doubtful(slot):
-            at = slot.fillna(1).to_numpy(np.int64) - 1
-            return slot.notna() & (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            return slot.notna() & bits.has(slot.fillna(1).to_numpy(np.int64))
 
         return doubtful(F.when(ids.isNotNull(), self.slot(ids)))
 
@@ -220,6 +226,24 @@ def without_ids(frame: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
     return passed.unionByName(doubtful.join(gone, own.cast("long") == F.col("__gone"), "left_anti"))
 
 
+def releasing(run):
+    """The function over batches, after which the worker gives freed memory back to the system.
+
+    Workers are kept for the next tasks, and else would hold what their largest task took.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 

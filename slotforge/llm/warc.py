@@ -156,7 +156,7 @@ def write(
                 ["stem", "first_key", "first_page", "last_key", "n_records", "n_blocks", "n_bytes"],
             )
 
-    return textops.cut(placed.mapInArrow(run, ARCHIVE))
+    return textops.cut(placed.mapInArrow(textops.releasing(run), ARCHIVE))
 
 
 def _place(key: str, page) -> tuple:
@@ -225,7 +225,7 @@ def read(archives: DataFrame) -> DataFrame:
                 yield _rows(found)
 
     # explicitly so many parts: their rows are small, what they read is not
-    return archives.select("stem").repartition(max(1, archives.count()), "stem").mapInArrow(run, _RECORD)
+    return archives.select("stem").repartition(max(1, archives.count()), "stem").mapInArrow(textops.releasing(run), _RECORD)
 
 
 def lookup(archives: DataFrame, asked: DataFrame, *, url_column: str = "url", id_column: str | None = None, task_bytes: int = 16 << 20) -> DataFrame:
@@ -264,7 +264,7 @@ def lookup(archives: DataFrame, asked: DataFrame, *, url_column: str = "url", id
         yield _rows(found)
 
     # explicitly so many parts: their rows are small, what they read is not
-    return keys.repartitionByRange(tasks, "key", "page").sortWithinPartitions("key", "page").mapInArrow(run, _RECORD)
+    return keys.repartitionByRange(tasks, "key", "page").sortWithinPartitions("key", "page").mapInArrow(textops.releasing(run), _RECORD)
 
 
 def new_folder(spark) -> str:
