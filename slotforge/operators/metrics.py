@@ -5,12 +5,14 @@ A document without a truth record is unscored; one whose record lacks the field
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotforge.operators import routing
+from slotforge.functions import values as V
+from slotforge.operators import routing, tables, text
 
 
 def with_truth(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame) -> DataFrame:
@@ -19,14 +21,19 @@ def with_truth(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame) -> Dat
     return slots.join(truth, ["doc_id", "field"], "left").join(known, "doc_id", "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
 
 
-def silent_errors(rows: DataFrame, *by: str) -> DataFrame:
+def silent_counts() -> dict[str, Column]:
     """What automation let through: values that truth has and it called absent, and values that truth contradicts."""
     scored, route = F.col("scored"), F.col("route")
     absent, value = scored & (route == "auto_absent"), scored & (route == "auto_accept")
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("slots"), F.count_if(~scored).alias("unscored"), F.count_if(route == "review").alias("review"), F.count_if(absent).alias("absent_hits"),
-        F.count_if(absent & F.col("want").isNotNull()).alias("silent_absent"), F.count_if(value).alias("value_hits"), F.count_if(value & ~F.col("v").eqNullSafe(F.col("want"))).alias("silent_wrong"),
-    )
+    return {
+        "slots": F.count("*"), "unscored": F.count_if(~scored), "review": F.count_if(route == "review"), "absent_hits": F.count_if(absent),
+        "silent_absent": F.count_if(absent & F.col("want").isNotNull()), "value_hits": F.count_if(value), "silent_wrong": F.count_if(value & ~F.col("v").eqNullSafe(F.col("want"))),
+    }
+
+
+def silent_errors(rows: DataFrame, *by: str) -> DataFrame:
+    """The silent errors of each group."""
+    return rows.groupBy(*by).agg(*[c.alias(n) for n, c in silent_counts().items()])
 
 
 def compare(rows: DataFrame, systems: dict[str, Column]) -> DataFrame:
@@ -45,7 +52,8 @@ def compare(rows: DataFrame, systems: dict[str, Column]) -> DataFrame:
 
 def recall_at_budgets(rows: DataFrame, order: list[Column], percents: list[int]) -> DataFrame:
     """(percent, reviewed, found, total): deviations among the first so many per cent of slots in the order."""
-    placed = routing.ranked(rows, *order)
+    rows = tables.cut(rows.select("deviation", *[c.alias(f"__o{i}") for i, c in enumerate(order)]))
+    placed = routing.ranked(rows, *[F.col(f"__o{i}") for i in range(len(order))])
     total = rows.agg(F.count("*").alias("n"), F.count_if("deviation").alias("total"))
     budget = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
     hit = placed.select("position", "deviation").crossJoin(F.broadcast(total)).select("*", budget)  # one row of totals
@@ -100,6 +108,135 @@ def counterfactual(active: DataFrame, candidate: DataFrame, truth: DataFrame) ->
 
 
 def gate(evaluation: DataFrame) -> DataFrame:
-    """(field, refusals): why a candidate may not be promoted, field by field; empty where it may."""
-    checks = F.array_compact(F.array(F.when(F.col("conflicts") > 0, "truth_conflict"), F.when(F.col("tightened") > 0, "not_monotone"), F.when(F.col("relaxed") == 0, "no_effect")))
-    return evaluation.select("field", F.array_join(checks, ",").alias("refusals"))
+    """(candidate, refusals, basis): all reasons why a candidate policy may not be promoted; none where it may.
+
+    ``evaluation`` has one row for each candidate: class_rules and evidence_rules (how many it has), probes_available,
+    rule_truth (``scored`` or why not), rule_conflicts, scored, and silent_absent, silent_wrong and review of the
+    baseline (``_old``) and the candidate (``_new``). Without truth only the first checks can refuse.
+    """
+    rules, rose = (F.col("class_rules") > 0) | ((F.col("evidence_rules") > 0) & F.col("probes_available")), lambda c: F.col("scored") & (F.col(f"{c}_new") > F.col(f"{c}_old"))
+    checks = [
+        F.when((F.col("evidence_rules") > 0) & ~F.col("probes_available"), "no_absence_probes"), F.when(rules & (F.col("rule_truth") != "scored"), "rules_without_truth"),
+        F.when(rules & (F.col("rule_truth") == "scored") & (F.col("rule_conflicts") > 0), "rules_against_truth"),
+        *[F.when(rose(c), f"{c}_rose") for c in ("silent_absent", "silent_wrong", "review")],
+    ]
+    basis = F.when(F.col("scored"), "truth_replay").otherwise("replay_only")
+    return evaluation.select("candidate", F.array_join(F.array_compact(F.array(*checks)), ",").alias("refusals"), basis.alias("basis"))
+
+
+def evaluate(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, baseline: routing.Policy, candidates: list[routing.Policy], probes_available: bool = True) -> DataFrame:
+    """The rows that ``gate`` reads: each candidate against the baseline, all routed in one pass."""
+    policies = [baseline, *candidates]
+    rows = with_truth(routing.route_all(slots, policies), truth, truth_docs)
+    hit = (F.col("extraction_present") == "fail") & F.col("rule_id").isNotNull()
+    judged = rows.withColumn("__hit", hit).groupBy("policy_id").agg(
+        *[c.alias(n) for n, c in silent_counts().items() if n in ("review", "silent_absent", "silent_wrong")], F.max("scored").alias("scored"), F.count_if("__hit").alias("hits"),
+        F.count_if(F.col("__hit") & F.col("scored") & F.col("want").isNotNull()).alias("rule_conflicts"), F.count_if(F.col("__hit") & ~F.col("scored")).alias("blind"),
+    )
+    listed = slots.sparkSession.createDataFrame([(p.policy_id, len(p.absent), len(p.evidenced)) for p in candidates], "policy_id string, class_rules int, evidence_rules int")
+    measures = ("review", "silent_absent", "silent_wrong")
+    old = judged.where(F.col("policy_id") == baseline.policy_id).select(*[F.col(c).alias(f"{c}_old") for c in measures])
+    new = judged.join(F.broadcast(listed), "policy_id").select(
+        F.col("policy_id").alias("candidate"), "class_rules", "evidence_rules", F.lit(probes_available).alias("probes_available"),
+        F.when(F.col("hits") == 0, "no_match").when(F.col("blind") > 0, "incomplete").otherwise("scored").alias("rule_truth"), "rule_conflicts", "scored", *[F.col(c).alias(f"{c}_new") for c in measures],
+    )
+    return new.crossJoin(F.broadcast(old))  # one row
+
+
+def rule_search(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, baseline: routing.Policy, fields: tuple[str, ...], empty_rate: float = 0.9) -> DataFrame:
+    """(field, saved, cost, empty, documents, gated, blind): what an absence rule on each further field would do.
+
+    Each field's rule is added to the baseline alone; all are routed in one pass. ``gated``: it lowers review and adds no
+    silent absence. ``blind``: without truth, the field is missing in so large a share of documents.
+    """
+    have = {r[1] for r in baseline.absent}
+    tried = [n for n in fields if n not in have]
+    arms = [replace(baseline, policy_id=f"+{n}", absent=(*baseline.absent, (f"try_{n}", n))) for n in tried]
+    rows = with_truth(routing.route_all(slots, [baseline, *arms]), truth, truth_docs)
+    scores = rows.groupBy("policy_id").agg(*[c.alias(n) for n, c in silent_counts().items() if n in ("review", "silent_absent")])
+    base = scores.where(F.col("policy_id") == baseline.policy_id).select(F.col("review").alias("r0"), F.col("silent_absent").alias("s0"))
+    empty = slots.groupBy("field").agg(F.count_if(F.col("extraction_present") == "fail").alias("empty"), F.count("*").alias("documents"))
+    out = scores.where(F.col("policy_id") != baseline.policy_id).crossJoin(F.broadcast(base)).select(F.substring("policy_id", 2, 100).alias("field"), (F.col("r0") - F.col("review")).alias("saved"), (F.col("silent_absent") - F.col("s0")).alias("cost"))
+    return out.join(empty, "field").select("*", ((F.col("saved") > 0) & (F.col("cost") <= 0)).alias("gated"), (F.col("empty") >= empty_rate * F.col("documents")).alias("blind"))
+
+
+#: Between which bounds each measure of triage should lie.
+BANDS = {"H1_lift": (1.5, None), "H2_coverage": (0.55, None), "H3_recall": (0.55, None), "H4_missing": (0.10, 0.45), "H5_citation": (None, 0.15), "H6_refusal": (0.05, 0.35)}
+
+
+def triage_quality(placed: DataFrame, drafts: DataFrame, share: float = 0.46) -> DataFrame:
+    """(metric, value, within): H1 to H6 with their bands; a measure without a base is null and not within.
+
+    ``placed``: slots in queue order with position, deviation, scored, route, disputed and gates; disputed and unscored
+    slots count for H4 and H5 only. ``drafts`` has ``outcome``. All is counted in one pass over each table.
+    """
+    use = F.col("scored") & ~F.col("disputed")
+    n = placed.where(use).agg(F.count("*").alias("n"))
+    order = routing.ranked(placed.where(use).select(F.col("position").alias("__p"), "deviation", "route"), F.col("__p"))
+    half, most, p, dev = F.floor(F.col("n") / 2), F.floor(F.col("n") * share), F.col("position"), F.col("deviation")
+    one = order.crossJoin(F.broadcast(n)).agg(
+        F.max(half).alias("half"), F.max(F.col("n") - half).alias("rest"), F.count_if((p < half) & dev).alias("front"), F.count_if((p >= half) & dev).alias("back"), F.count_if((p < most) & dev).alias("early"),
+        F.count_if(F.col("route").isin("review", "block") & dev).alias("queued"), F.count_if(dev).alias("deviations"),
+    )
+    two = placed.agg(F.count("*").alias("slots"), F.count_if(F.col("extraction_present") == "fail").alias("missing"), F.count_if(F.col("citation_holds") == "fail").alias("uncited"), F.count_if(F.col("citation_holds").isin("pass", "fail")).alias("citable"))
+    three = drafts.agg(F.count("*").alias("drafts"), F.count_if(F.col("outcome") != "admitted").alias("refused"))
+    per = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    values = {
+        "H1_lift": per("front", "half") / F.nullif(per("back", "rest"), F.lit(0.0)), "H2_coverage": per("early", "deviations"), "H3_recall": per("queued", "deviations"),
+        "H4_missing": per("missing", "slots"), "H5_citation": per("uncited", "citable"), "H6_refusal": per("refused", "drafts"),
+    }
+    bounds = lambda v, low, high: (v >= low if low is not None else F.lit(True)) & (v < high if high is not None else F.lit(True))
+    rows = [F.struct(F.lit(m).alias("metric"), v.alias("value"), F.coalesce(bounds(v, *BANDS[m]), F.lit(False)).alias("within")) for m, v in values.items()]
+    return one.crossJoin(two).crossJoin(three).select(F.inline(F.array(*rows)))  # one row each
+
+
+def paired_confusion(first: DataFrame, second: DataFrame, axis: tuple[str, ...]) -> DataFrame:
+    """(a, b, slots) for all pairs of the axis and ``unpaired``: how two reviewers decided the same slots. Both tables have
+    target and decision; a slot that one of them left out is unpaired on that side."""
+    both = first.select("target", F.col("decision").alias("a")).join(second.select("target", F.col("decision").alias("b")), "target", "full_outer")
+    counts = both.groupBy(F.coalesce("a", F.lit("unpaired")).alias("a"), F.coalesce("b", F.lit("unpaired")).alias("b")).agg(F.count("*").alias("n"))
+    names = F.array(*[F.lit(x) for x in (*axis, "unpaired")])
+    grid = first.sparkSession.range(1).select(F.explode(names).alias("a")).select("a", F.explode(names).alias("b"))  # a fixed grid
+    return grid.join(F.broadcast(counts), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("slots")).where("NOT (a = 'unpaired' AND b = 'unpaired')")
+
+
+#: Fields that may print one total twice, and words that mark a date of another kind.
+TOTALS, OTHER_DATES = ("total_net", "total_vat", "total_gross"), ("transaction", "donation", "authorization", "adjustment")
+
+
+def caliber_disputes(truth: DataFrame, stream: DataFrame, reach: int = 12) -> DataFrame:
+    """(doc_id, field, kind) of slots whose truth may be read in two ways.
+
+    T1: a total whose true amount is that of the amount due. T2(i): the due date stands on the page and is the issue date;
+    T2(ii): it stands there within ``reach`` words of a word for another kind of date. ``truth`` has doc_id, field, value;
+    ``stream`` the page's tokens. Where the page does not print the date, nothing is said.
+    """
+    due = truth.where("field = 'amount_due'").select("doc_id", V.amount(F.col("value")).alias("__due"))
+    t1 = truth.where(F.col("field").isin(*TOTALS)).join(due, "doc_id").where(V.amount(F.col("value")) == F.col("__due")).select("doc_id", "field", F.lit("T1").alias("kind"))
+    said = lambda name, out: truth.where(F.col("field") == name).select("doc_id", V.tokens(F.col("value")).alias(out))
+    dates = said("due_date", "toks").where("size(toks) > 0").join(said("issue_date", "issue"), "doc_id", "left")
+    # the document's own date among its tokens: the first token proposes, the others are checked one by one
+    start = dates.select("doc_id", "toks", "issue", F.get("toks", F.lit(0)).alias("tok")).join(stream, ["doc_id", "tok"])
+    rest = start.select("doc_id", "pos", F.size("toks").alias("n"), F.posexplode("toks").alias("k", "tok")).withColumn("at", F.col("pos") + F.col("k"))
+    met = rest.join(stream.withColumnRenamed("pos", "at"), ["doc_id", "at", "tok"]).groupBy("doc_id", "pos", "n").agg(F.count("*").alias("m")).where("m = n").drop("m")
+    near = text.near_terms(stream, met.withColumn("phrase_id", F.lit("due")), list(OTHER_DATES), reach).groupBy("doc_id").agg(F.bool_or("in_context").alias("near"))
+    kind = F.when(F.col("issue") == F.col("toks"), "T2(i)").when(F.col("near"), "T2(ii)")
+    t2 = dates.join(near, "doc_id").select("doc_id", F.lit("due_date").alias("field"), kind.alias("kind")).where("kind IS NOT NULL")
+    return t1.unionByName(t2)
+
+
+def side_accuracy(points: DataFrame, labels: DataFrame, reach: float, kill: int = 80) -> DataFrame:
+    """(variant, n, correct, skipped, survives): how often the nearest label tells a point's side, by variant of the rule.
+
+    ``points`` has point_id, page, x, y, truth; ``labels`` label_id, page, side, x, y. A point without a label that the
+    variant admits is skipped. ``nearest``: of all; ``within``: none further than ``reach``; ``closer``: both sides stand
+    on the page, and the nearer one is taken. A variant survives with ``kill`` of 100 correct.
+    """
+    own, total = points.select("point_id", "truth"), points.agg(F.count("*").alias("total"))
+    near = text.nearest(points, labels)
+    sides = labels.select("page", "side").distinct().groupBy("page").agg(F.count("*").alias("__sides"))
+    both = points.join(sides.where("__sides > 1"), "page", "left_semi").select("point_id")
+    variants = {"nearest": near, "within": near.where(F.col("distance2") <= reach * reach), "closer": near.join(both, "point_id", "left_semi")}
+    rows = reduce(lambda a, b: a.unionByName(b), [f.join(own, "point_id").select(F.lit(v).alias("variant"), (F.col("side") == F.col("truth")).alias("ok")) for v, f in variants.items()])
+    out = rows.groupBy("variant").agg(F.count("*").alias("n"), F.count_if("ok").alias("correct")).crossJoin(F.broadcast(total))
+    return out.select("variant", "n", "correct", (F.col("total") - F.col("n")).alias("skipped"), (100 * F.col("correct") >= kill * F.col("n")).alias("survives"))

@@ -103,3 +103,22 @@ def first_seen(frame: DataFrame, keys: list[str], priority: str) -> DataFrame:
     """One row for each key, of the source with the least priority."""
     rest = [c for c in frame.columns if c not in keys]
     return frame.groupBy(*keys).agg(F.min_by(F.struct(*rest), priority).alias("r")).select(*keys, "r.*")
+
+
+def run_identity(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """One row with a digest for each input of a run; None in place of a table that the run did not have."""
+    parts = [content_digest(f, *c).select(F.col("digest").alias(n)) if f is not None else None for n, (f, c) in tables.items()]
+    have = reduce(lambda a, b: a.crossJoin(b), [p for p in parts if p is not None])  # one row each
+    return have.select(*[F.col(n) if p is not None else F.lit(None).cast("string").alias(n) for n, p in zip(tables, parts, strict=True)])
+
+
+def bind_identity(evaluation: DataFrame, identity: DataFrame) -> DataFrame:
+    """The evaluation with the identity of the run that it was made on."""
+    return evaluation.crossJoin(F.broadcast(identity))
+
+
+def identity_changes(evaluation: DataFrame, identity: DataFrame) -> DataFrame:
+    """(candidate, changed): the inputs that are not what the evaluation was made on, in order; empty if it still holds."""
+    now = identity.toDF(*[f"__{c}" for c in identity.columns])
+    changed = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), c) for c in identity.columns]))
+    return evaluation.crossJoin(F.broadcast(now)).select("candidate", F.array_join(changed, ",").alias("changed"))

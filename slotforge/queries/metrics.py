@@ -4,25 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotforge.operators import gates, metrics, routing
+from slotforge.functions import values as V
+from slotforge.operators import gates, metrics, routing, text
 from slotforge.queries import base, query
 from slotforge.queries.base import table, with_sql
+from slotforge.queries.ledger import _CASE, KINDS
 from slotforge.queries.slots import POLICIES, routable, routed, routed_sql
 
 TRUTH = """truth AS (SELECT doc_id, field, CASE WHEN (3 * doc_id + ord) % 12 = 0 THEN coalesce(v, '') || 'x' WHEN (3 * doc_id + ord) % 12 <> 1 THEN v END want FROM slots WHERE doc_id % 29 <> 0),
 ts AS (SELECT r.*, t.want, r.doc_id % 29 <> 0 scored FROM routed r LEFT JOIN truth t USING (doc_id, field))"""
 
 
-def truth(slots):
+def wanted():
     h = (3 * F.col("doc_id") + F.col("ord")) % 12
-    want = F.when(h == 0, F.concat(F.coalesce("v", F.lit("")), F.lit("x"))).when(h != 1, F.col("v"))
-    return slots.where("doc_id % 29 <> 0").select("doc_id", "field", want.alias("want"))
+    return F.when(h == 0, F.concat(F.coalesce("v", F.lit("")), F.lit("x"))).when(h != 1, F.col("v"))
+
+
+def truth(slots):
+    return slots.where("doc_id % 29 <> 0").select("doc_id", "field", wanted().alias("want"))
 
 
 def scored(spark, d, policies=POLICIES):
-    s = routable(spark, d)
-    docs = table(spark, d, "orders").where("o_orderkey % 29 <> 0").select(F.col("o_orderkey").alias("doc_id"))
-    return metrics.with_truth(routing.route_all(s, policies), truth(s), docs)
+    rows = routing.route_all(routable(spark, d), policies)
+    # each slot's truth is a rule over the slot itself, so the slot plan runs once
+    known = F.col("doc_id") % 29 != 0
+    return rows.withColumns({"want": F.when(known, wanted()), "scored": known})
+
+
+def truth_docs(spark, d):
+    return table(spark, d, "orders").where("o_orderkey % 29 <> 0").select(F.col("o_orderkey").alias("doc_id"))
 
 
 _SILENT = """count(*) AS slots, count_if(NOT scored) AS unscored, count_if(route = 'review') AS review, count_if(scored AND route = 'auto_absent') AS absent_hits, count_if(scored AND route = 'auto_absent' AND want IS NOT NULL) AS silent_absent,
@@ -34,10 +44,13 @@ def a9(spark, d):
     return metrics.silent_errors(scored(spark, d), "policy_id")
 
 
-@query("a17_rule_search", routed_sql(f"SELECT field, {_SILENT} FROM ts WHERE policy_id = 'P3' GROUP BY 1", TRUTH))
+@query("a17_rule_search", routed_sql("""SELECT field, count_if(ok) AS saved, count_if(ok AND scored AND want IS NOT NULL) AS cost, count_if(extraction_present = 'fail') AS "empty", count(*) AS documents,
+ count_if(ok) > 0 AND count_if(ok AND scored AND want IS NOT NULL) <= 0 AS gated, count_if(extraction_present = 'fail') >= 0.07 * count(*) AS blind FROM (SELECT *, extraction_present = 'fail' AND NOT doc_blocked AND NOT slot_blocking
+ AND len(list_filter(fails0, lambda x: x <> 'extraction_present')) = 0 ok FROM ts WHERE policy_id = 'P1') GROUP BY 1""", TRUTH))
 def a17(spark, d):
-    """The effect of the third policy field by field, from which a search keeps what lowers review and no more."""
-    return metrics.silent_errors(scored(spark, d, POLICIES[2:]), "field")
+    """What an absence rule on each field would do to the first policy, all candidates in one pass."""
+    s = routable(spark, d)
+    return metrics.rule_search(s, truth(s), truth_docs(spark, d), POLICIES[0], V.NAMES, 0.07)
 
 
 _CONF = "CASE WHEN (31 * doc_id + ord) % 10 <> 0 THEN (31 * doc_id + 7 * ord) % 100 END"
@@ -90,6 +103,23 @@ def v6(spark, d):
     )
 
 
+_TRIAGE = """pl AS (SELECT *, row_number() OVER (ORDER BY CASE strength WHEN 'unsupported' THEN 0 WHEN 'single_source' THEN 1 ELSE 2 END, CAST(route NOT IN ('review', 'block') AS INT), doc_id, field) p0,
+ v IS NULL OR v IS DISTINCT FROM want deviation FROM ts WHERE policy_id = 'P1'), us AS (SELECT *, row_number() OVER (ORDER BY p0) - 1 p, count(*) OVER () n FROM pl WHERE scored AND NOT disputed),
+o1 AS (SELECT max(n // 2) half, max(n - n // 2) rest, count_if(p < n // 2 AND deviation) front, count_if(p >= n // 2 AND deviation) back, count_if(p < floor(n * 0.46) AND deviation) early, count_if(route IN ('review', 'block') AND deviation) queued, count_if(deviation) deviations FROM us),
+o2 AS (SELECT count(*) slots, count_if(extraction_present = 'fail') missing, count_if(citation_holds = 'fail') uncited, count_if(citation_holds IN ('pass', 'fail')) citable FROM pl),
+o3 AS (SELECT count(*) drafts, count_if(l_linenumber % 4 = 0) refused FROM lineitem),
+hs AS (SELECT 'H1_lift' metric, (front / half) / (back / rest) AS value, 1.5 lo, NULL hi FROM o1 UNION ALL SELECT 'H2_coverage', early / deviations, 0.55, NULL FROM o1 UNION ALL SELECT 'H3_recall', queued / deviations, 0.55, NULL FROM o1
+ UNION ALL SELECT 'H4_missing', missing / slots, 0.10, 0.45 FROM o2 UNION ALL SELECT 'H5_citation', uncited / citable, NULL, 0.15 FROM o2 UNION ALL SELECT 'H6_refusal', refused / drafts, 0.05, 0.35 FROM o3)"""
+
+
+@query("a12_triage_quality", routed_sql("SELECT metric, value, coalesce(value >= lo, true) AND coalesce(value < hi, true) AS within FROM hs", TRUTH + ",\n" + _TRIAGE))
+def a12(spark, d):
+    """The six measures of triage with their bands."""
+    rows = scored(spark, d, POLICIES[:1]).withColumn("deviation", F.col("v").isNull() | ~F.col("v").eqNullSafe(F.col("want")))
+    drafts = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 4 == 0, "unbound").otherwise("admitted").alias("outcome"))
+    return metrics.triage_quality(routing.triage(rows), drafts)
+
+
 @query("v5_walk_order", routed_sql("""SELECT doc_id, field, dense_rank() OVER (ORDER BY weakest, doc_id) - 1 AS walk FROM (SELECT *, min(CASE strength WHEN 'unsupported' THEN 0 WHEN 'single_source' THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id) weakest FROM routed WHERE policy_id = 'P1' AND route = 'review')"""))
 def v5(spark, d):
     """Documents in the order in which a reviewer walks them, the weakest first."""
@@ -104,7 +134,7 @@ def v5(spark, d):
 def v9(spark, d):
     """Share of documents' deviations, with an interval by document (seeds are this engine's own)."""
     docs = rated(spark, d).groupBy("doc_id").agg(F.count_if("deviation").alias("dev"), F.count("*").alias("n"))
-    return metrics.bootstrap(docs, 200, "dev", "n")
+    return metrics.bootstrap(docs, 1000, "dev", "n")
 
 
 @query("a15_a16_absence_ledger", routed_sql("""SELECT doc_class, field, corroborated, count(DISTINCT doc_id) AS docs, count_if(scored AND want IS NULL) AS saves, count_if(scored AND want IS NOT NULL) AS silent, count_if(NOT scored) AS unscored,
@@ -128,20 +158,32 @@ def a19(spark, d):
     return _evaluation(spark, d)
 
 
-@query("a20_promotion_gate", routed_sql("SELECT field, array_to_string(list_filter([CASE WHEN conflicts > 0 THEN 'truth_conflict' END, CASE WHEN tightened > 0 THEN 'not_monotone' END, CASE WHEN relaxed = 0 THEN 'no_effect' END], lambda x: x IS NOT NULL), ',') AS refusals FROM ev", TRUTH + ",\n" + _CF))
+_EV2 = """ev2 AS (SELECT policy_id, count_if(route = 'review') review, count_if(scored AND route = 'auto_absent' AND want IS NOT NULL) sa, count_if(scored AND route = 'auto_accept' AND v IS DISTINCT FROM want) sw, bool_or(scored) scored,
+ count_if(extraction_present = 'fail' AND rule_id IS NOT NULL) hits, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND scored AND want IS NOT NULL) conflicts, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND NOT scored) blind FROM ts GROUP BY 1),
+cd AS (SELECT c.*, b.review r0, b.sa sa0, b.sw sw0 FROM ev2 c, (SELECT * FROM ev2 WHERE policy_id = 'P1') b WHERE c.policy_id <> 'P1')"""
+
+
+@query("a20_promotion_gate", routed_sql("""SELECT policy_id AS candidate, array_to_string(list_filter([CASE WHEN hits = 0 OR blind > 0 THEN 'rules_without_truth' END, CASE WHEN hits > 0 AND blind = 0 AND conflicts > 0 THEN 'rules_against_truth' END,
+ CASE WHEN sa > sa0 THEN 'silent_absent_rose' END, CASE WHEN sw > sw0 THEN 'silent_wrong_rose' END, CASE WHEN review > r0 THEN 'review_rose' END], lambda x: x IS NOT NULL), ',') AS refusals, 'truth_replay' AS basis FROM cd""", TRUTH + ",\n" + _EV2))
 def a20(spark, d):
-    return metrics.gate(_evaluation(spark, d))
+    """Whether the second and the third policy may take the place of the first."""
+    s = routable(spark, d)
+    return metrics.gate(metrics.evaluate(s, truth(s), truth_docs(spark, d), POLICIES[0], POLICIES[1:]))
 
 
-_ARMS = """arm AS (SELECT m1.doc_id, m1.field, CASE WHEN n1.v IS NULL THEN 'absent' ELSE 'value' END a, CASE WHEN n2.v IS NULL THEN 'absent' WHEN n2.v = n1.v THEN 'value' ELSE 'other' END b FROM m1 JOIN n1 USING (doc_id, field) JOIN n2 USING (doc_id, field))"""
+AXIS = ("accept", "confirm_absent", "not_applicable", "reject", "correct", "abstain")
+_ARM = "ar AS (SELECT arm, target, max_by({0}, event_id) decision FROM (SELECT *, event_id % 2 arm, event_id // 2 % 900 target FROM events WHERE event_id // 2 % 900 % 7 <> event_id % 2) GROUP BY 1, 2)"
 
 
-@query("a22_paired_confusion", with_sql("n2", "SELECT a, count_if(b = 'value') AS \"value\", count_if(b = 'absent') AS absent, count_if(b = 'other') AS other FROM arm GROUP BY 1", _ARMS))
+@query("a22_paired_confusion", f"""WITH {_ARM.format(_CASE)}, cf AS (SELECT coalesce(x.decision, 'unpaired') a, coalesce(y.decision, 'unpaired') b, count(*) n FROM (SELECT * FROM ar WHERE arm = 0) x FULL JOIN (SELECT * FROM ar WHERE arm = 1) y USING (target) GROUP BY 1, 2),
+ax AS (SELECT unnest({[*AXIS, "unpaired"]}) x) SELECT l.x AS a, r.x AS b, coalesce(n, 0) AS slots FROM ax l CROSS JOIN ax r LEFT JOIN cf ON a = l.x AND b = r.x WHERE NOT (l.x = 'unpaired' AND r.x = 'unpaired')""")
 def a22(spark, d):
-    m1 = base.long(base.wide(spark, d))
-    both = gates.agreement(m1, base.mode2(m1))
-    b = F.when(F.col("second").isNull(), "absent").when(F.col("second") == F.col("first"), "value").otherwise("other")
-    return both.select(F.when(F.col("first").isNull(), "absent").otherwise("value").alias("a"), b.alias("b")).groupBy("a").pivot("b", ["value", "absent", "other"]).count().na.fill(0)
+    """Two reviewers' last decisions on the same slots; some slots only one of them saw."""
+    i = F.col("event_id")
+    target = F.floor(i / 2) % 900
+    rows = table(spark, d, "events").where(target % 7 != i % 2).select((i % 2).alias("arm"), target.alias("target"), i.alias("seq"), F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")].alias("decision"))
+    arms = [rows.where(F.col("arm") == a).groupBy("target").agg(F.max_by("decision", "seq").alias("decision")) for a in (0, 1)]
+    return metrics.paired_confusion(*arms, AXIS)
 
 
 @query("a21_a23_arm_scores", routed_sql("""SELECT field, count_if(NOT scored) AS no_truth, count_if(scored AND v IS NOT DISTINCT FROM want) AS agree, count_if(scored AND v IS NOT NULL AND want IS NOT NULL AND v <> want) AS disagree,
@@ -164,16 +206,19 @@ def a24(spark, d):
     return w.select("doc_id", need.alias("escalate")).join(lost, "doc_id").groupBy("escalate").agg(F.count("*").alias("docs"), F.sum("lost").alias("disagreements"))
 
 
-@query("a10_caliber_disputes", routed_sql("""SELECT t.kind, count(*) AS n FROM (SELECT 'T1' kind FROM truth a JOIN truth b ON a.doc_id = b.doc_id AND a.want = b.want AND a.field < b.field WHERE a.field LIKE 'total%' OR b.field LIKE 'total%'
- UNION ALL SELECT 'T2' FROM truth a JOIN truth b USING (doc_id) WHERE a.field = 'due_date' AND b.field = 'issue_date' AND a.want = b.want) t GROUP BY 1""", TRUTH))
+_PAGES = """pg AS (SELECT doc_id, due_date, issue_date, total_gross, total_net, total_vat, amount_due, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'date' WHEN 2 THEN 'donation' ELSE 'far' END word FROM wide)"""
+
+
+@query("a10_caliber_disputes", with_sql("wide", """SELECT field, kind, count(*) AS n FROM (SELECT doc_id, f field, 'T1' kind FROM (SELECT doc_id, amount_due d, unnest(['total_gross', 'total_net', 'total_vat']) f, unnest([total_gross, total_net, total_vat]) a FROM pg) WHERE CAST(a AS DECIMAL(38,2)) = CAST(d AS DECIMAL(38,2))
+ UNION ALL SELECT doc_id, 'due_date', CASE WHEN CASE WHEN doc_id % 3 = 0 THEN due_date ELSE issue_date END = due_date THEN 'T2(i)' WHEN word = 'donation' THEN 'T2(ii)' END FROM pg WHERE due_date IS NOT NULL AND word IS NOT NULL) WHERE kind IS NOT NULL GROUP BY 1, 2""", _PAGES))
 def a10(spark, d):
-    """T1: one amount in two fields; T2: a due date equal to the issue date."""
-    t = truth(base.slots(spark, d))
-    other = t.select("doc_id", F.col("field").alias("field2"), F.col("want").alias("want2"))
-    pairs = t.join(other, "doc_id").where(F.col("want") == F.col("want2"))
-    t1 = pairs.where((F.col("field") < F.col("field2")) & (F.col("field").startswith("total") | F.col("field2").startswith("total"))).select(F.lit("T1").alias("kind"))
-    t2 = pairs.where("field = 'due_date' AND field2 = 'issue_date'").select(F.lit("T2").alias("kind"))
-    return t1.union(t2).groupBy("kind").agg(F.count("*").alias("n"))
+    """Orders' fields as truth, and pages that print most due dates, some beside a word for another date, some far from one."""
+    w, k = base.wide(spark, d), F.col("doc_id")
+    rows = base.long(w.withColumn("issue_date", F.when(k % 3 == 0, F.coalesce("due_date", "issue_date")).otherwise(F.col("issue_date")))).select("doc_id", "field", "value")
+    far = F.array_join(F.array_repeat(F.lit("x"), 13), " ")
+    page = F.when(k % 4 == 1, F.concat_ws(" ", F.lit("date"), "due_date")).when(k % 4 == 2, F.concat_ws(" ", F.lit("Donation of"), "due_date")).when(k % 4 == 3, F.concat_ws(" ", F.lit("donation"), far, "due_date")).otherwise("no date here")
+    stream = text.token_stream(w.select("doc_id", page.alias("text")))
+    return metrics.caliber_disputes(rows, stream).groupBy("field", "kind").agg(F.count("*").alias("n"))
 
 
 @query("a28_class_crosstab", """SELECT lang, count_if(quality = 0) AS q0, count_if(quality = 1) AS q1, count_if(toxic = 1) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
@@ -215,17 +260,6 @@ def a37(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(base.cents(F.col("value"))).alias("total_cents"), at(0.5, "median"), at(0.95, "p95"))
 
 
-@query("a26_suggestion_adoption", """SELECT state, count(*) AS n, count_if(value > 50) AS adopted FROM (SELECT value, CASE event_id % 4 WHEN 0 THEN 'agree' WHEN 1 THEN 'none' WHEN 2 THEN 'differs' ELSE 'agree' END state FROM events) GROUP BY 1""")
-def a26(spark, d):
-    seen = F.concat(F.get(F.array(F.lit("agree"), F.lit("none"), F.lit("differs"), F.lit("agree")), (F.col("event_id") % 4).cast("int")), F.lit(":"), F.col("value").cast("string"))
-    return table(spark, d, "events").select(F.split_part(seen, F.lit(":"), F.lit(1)).alias("state"), "value").groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("adopted"))
-
-
-@query("a39_review_report", "SELECT event_type, count(*) AS decided, count_if(event_type = 'purchase') AS corrections, max(event_id) AS last_entry FROM events GROUP BY 1")
-def a39(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("decided"), F.count_if(F.col("event_type") == "purchase").alias("corrections"), F.max("event_id").alias("last_entry"))
-
-
 @query("a41_sample_profile", routed_sql("SELECT field, strength, count(*) AS slots, count(DISTINCT doc_id) AS docs, count_if(v IS NULL) AS empty, count_if(reasons[-1] LIKE 'QA_SAMPLE:%') AS probes FROM routed WHERE policy_id = 'P3' GROUP BY 1, 2"))
 def a41(spark, d):
     rows = routing.route(routable(spark, d), POLICIES[2])

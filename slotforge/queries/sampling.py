@@ -62,6 +62,16 @@ def a36(spark, d):
     return sampling.snapshot({t: (table(spark, d, t), c) for t, c in _TABLES.items()})
 
 
+@query("f22_run_identity", "SELECT 'P2' AS candidate, max(CASE WHEN name = 'labels' THEN digest END) AS labels, max(CASE WHEN name = 'benchmark' THEN digest END) AS benchmark, CAST(NULL AS VARCHAR) AS adjudications, 'benchmark' AS changed FROM ("
+    + " UNION ALL ".join(_digest_sql(t, t, _TABLES[t]) for t in ("labels", "benchmark")) + ")")
+def f22(spark, d):
+    """An evaluation bound to the digests of its inputs, and what is not the same any more after one input lost a row."""
+    inputs = {"labels": (table(spark, d, "labels"), _TABLES["labels"]), "benchmark": (table(spark, d, "benchmark"), _TABLES["benchmark"]), "adjudications": (None, ())}
+    bound = sampling.bind_identity(spark.createDataFrame([("P2",)], "candidate string"), sampling.run_identity(inputs))
+    later = inputs | {"benchmark": (table(spark, d, "benchmark").where("item_id <> 0"), _TABLES["benchmark"])}
+    return bound.join(sampling.identity_changes(bound, sampling.run_identity(later)), "candidate")
+
+
 @query("a34_exposure", "SELECT reasons, n, count(*) AS docs FROM (SELECT doc_id, string_agg(r, '+' ORDER BY r) reasons, count(*) n FROM (SELECT doc_id, 'labelled' r FROM labels UNION SELECT doc_id, 'english' FROM documents WHERE lang = 'en' UNION SELECT doc_id, 'long' FROM documents WHERE n_chars > 3000) GROUP BY 1) GROUP BY 1, 2")
 def a34(spark, d):
     docs = table(spark, d, "documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
@@ -220,6 +222,30 @@ def v10(spark, d):
     return routed(spark, d).where(F.element_at("reasons", -1).startswith("QA_SAMPLE:")).groupBy("policy_id", "field").agg(F.count("*").alias("probes"))
 
 
+_LEGACY = routing.Policy("H7", seed="s", rates={"policy_accepted_tier1": 0.1}, tier1_explicit=False, sampler=1)
+
+
+@query("v10_legacy_probes", with_sql("facts", f"""SELECT field, count(*) AS probes FROM slots WHERE tier = 'TIER1' AND substr(sha256('s|H7|' || doc_id || '|' || field || '|qa-hash-v1'), 1, 16) < '{V.rate_bound(0.1)}' GROUP BY 1"""))
+def v10_legacy(spark, d):
+    """Which slots the older sampler draws, as a replay of an old run needs it."""
+    hit = routing.qa_hit(_LEGACY, "policy_accepted_tier1", "policy_accepted_tier1", F.col("doc_id"), F.col("field"))
+    return base.slots(spark, d).where((F.col("tier") == "TIER1") & hit).groupBy("field").agg(F.count("*").alias("probes"))
+
+
+@query("j10_r2_rules", routed_sql("""SELECT policy_id, field, coalesce(rule_id, 'none') AS rule, coalesce(cohort, 'none') AS cohort, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL) AS expected_absent, count(*) AS slots FROM ready GROUP BY 1, 2, 3, 4"""))
+def j10(spark, d):
+    """The rule and the cohort that match each slot under each policy, and the missing values that they make expected."""
+    rows = routable(spark, d)
+    parts = []
+    for p in POLICIES:
+        r = routing.rules_of(p)
+        own = routing.apply_absences(rows.withColumns({"rule": F.coalesce(r["expected"], r["evidenced"]), "cohort": r["cohort"]}), p)
+        parts.append(own.groupBy(F.lit(p.policy_id).alias("policy_id"), "field", F.coalesce("rule", F.lit("none")).alias("rule"), F.coalesce("cohort", F.lit("none")).alias("cohort")).agg(
+            F.count_if(F.col("extraction_present") == "expected_absent").alias("expected_absent"), F.count("*").alias("slots")
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("a3_matrix_summary", routed_sql("SELECT policy_id, strength, route, count(*) AS slots, count_if(disputed) AS disputed, count_if(slot_blocking) AS blocking, count_if(route IN ('review', 'block')) AS queue FROM routed GROUP BY 1, 2, 3"))
 def a3(spark, d):
     return routed(spark, d).groupBy("policy_id", "strength", "route").agg(
