@@ -14,15 +14,20 @@ _STATE = "entries long, open array<string>, gone array<string>"
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Open tips and superseded ids of one target; a superseding entry may come before the one it supersedes."""
+    """Open tips of one target, and ids that were superseded before they came: those only until they come, so the state
+    is as large as what is open."""
     n, open_, gone = (state.get[0], set(state.get[1]), set(state.get[2])) if state.exists else (0, set(), set())
     for frame in frames:
         for entry, before in zip(frame["decision_id"], frame["supersedes"], strict=True):
             n += 1
             if isinstance(before, str):
-                open_.discard(before)
-                gone.add(before)
-            if entry not in gone:
+                if before in open_:
+                    open_.discard(before)
+                else:
+                    gone.add(before)
+            if entry in gone:
+                gone.discard(entry)
+            else:
                 open_.add(entry)
     state.update((n, sorted(open_), sorted(gone)))
     yield pd.DataFrame([{"target_id": key[0], "entries": n, "tips": len(open_), "conflict": len(open_) != 1, "tip_id": next(iter(open_)) if len(open_) == 1 else None}])
