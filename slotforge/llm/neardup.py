@@ -33,8 +33,8 @@ from slotforge.llm.textops import Words, mix, rolling
 
 _U = np.uint64
 REGISTERS, MANTISSA = 256, 10
-#: Bytes of a row's registers with what belongs to them, and of a part of a tile.
-ROW_BYTES, TILE_BYTES = 700, 2 << 20
+#: Bytes of a row's registers with what belongs to them; of a part of a tile of sets; and rows of one of registers.
+ROW_BYTES, TILE_BYTES, TILE_ROWS = 700, 8 << 20, 2000
 
 
 def band_size(threshold: float, miss: float = 1e-5) -> int:
@@ -174,13 +174,24 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(first, "x").join(second, "y").select("x", "y", "own_x", "own_y").mapInArrow(textops.releasing(check), "x long, y long").distinct()
 
 
-def _tiles(rows: DataFrame, key: str, weight: str, buckets: int) -> DataFrame:
-    """Each group dealt to parts of about ``TILE_BYTES``, by its ``weight`` in bytes; (bucket, i, j) are pairs of parts,
-    and a row is in each of its part's. Small groups have one part and share buckets, so that a call has many of them."""
-    dealt = rows.withColumn("__t", F.ceil(F.col(weight) / TILE_BYTES).cast("int")).withColumn("part", F.pmod(F.hash("doc_id"), "__t"))
-    other = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__t") - 1)))
-    bucket = F.when(F.col("__t") == 1, F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(F.xxhash64(key))
-    return other.withColumns({"bucket": bucket, "i": F.least("part", "__other"), "j": F.greatest("part", "__other")}).drop("__t", "__other", weight)
+def _tiles(rows: DataFrame, key: str, weight: str, most: int, buckets: int) -> DataFrame:
+    """Each group dealt to parts of about ``most`` bytes, by the ``weight`` of its rows; (bucket, i, j) are pairs of parts,
+    and a row is in each pair of its part.
+
+    The group's largest component has parts of its own, which need not meet each other: a row of it is sent only to where
+    the other components' parts are. Small groups have one part and share buckets, so that a call has many of them.
+    """
+    sums = rows.groupBy(key, "component").agg(F.sum(weight).alias("__c"))
+    sums = sums.groupBy(key).agg(F.max_by("component", F.struct("__c", "component")).alias("__main"), F.max("__c").alias("__own"), F.sum("__c").alias("__all"))
+    dealt = rows.join(sums, key)
+    small, large, h = F.col("__all") <= most, F.col("component") == F.col("__main"), F.hash("doc_id")
+    parts = lambda w: F.greatest(F.ceil(w / most), F.lit(1)).cast("int")
+    a, b = parts(F.col("__own")), parts(F.col("__all") - F.col("__own"))
+    part = F.when(small, 0).when(large, F.pmod(h, a)).otherwise(a + F.pmod(h, b))
+    others = F.when(small, F.array(F.lit(0))).when(large, F.sequence(a, a + b - 1)).otherwise(F.sequence(F.lit(0), a + b - 1))
+    bucket = F.when(small, F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(F.xxhash64(key))
+    other = dealt.withColumns({"part": part, "__other": others, "bucket": bucket}).withColumn("__other", F.explode("__other"))
+    return other.withColumns({"i": F.least("part", "__other"), "j": F.greatest("part", "__other")}).drop("__main", "__own", "__all", "__other", weight)
 
 
 def _buckets(members: DataFrame, weight: str) -> int:
@@ -209,8 +220,8 @@ def similar(inside: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
 
     ``inside`` has band, doc_id, component, members; documents of one component are connected already.
     """
-    inside = inside.withColumn("members", F.col("members") * ROW_BYTES)
-    tiles = _tiles(inside, "band", "members", -(-inside.count() * ROW_BYTES // (4 * TILE_BYTES)) + 1).join(regs.select("doc_id", "regs", "sets"), "doc_id")
+    inside = inside.withColumn("members", F.lit(1))
+    tiles = _tiles(inside, "band", "members", TILE_ROWS, -(-inside.count() // (10 * TILE_ROWS)) + 1).join(regs.select("doc_id", "regs", "sets"), "doc_id")
 
     def spanning(key: tuple, table: pa.Table) -> pa.Table:
         i, j, x, y = key[1].as_py(), key[2].as_py(), [], []
@@ -247,9 +258,8 @@ def cross_links(members: DataFrame, docs: DataFrame, regs: DataFrame, width: int
     """
     threshold = percent / 100
     weighed = members.join(regs.select("doc_id", (8 * F.col("n") + ROW_BYTES).alias("weight")), "doc_id")
-    sizes = weighed.groupBy("cluster").agg(F.sum("weight").alias("members"))
-    full = sets_of(docs, members, width).join(members.join(sizes, "cluster"), "doc_id").join(regs.select("doc_id", "regs", "sets"), "doc_id")
-    tiles = _tiles(full, "cluster", "members", _buckets(weighed, "weight"))
+    dealt = textops.cut(_tiles(weighed, "cluster", "weight", TILE_BYTES, _buckets(weighed, "weight")))
+    tiles = dealt.join(sets_of(docs, members, width), "doc_id").join(regs.select("doc_id", "regs", "sets"), "doc_id")
 
     def crossing(key: tuple, table: pa.Table) -> pa.Table:
         i, j, x, y = key[1].as_py(), key[2].as_py(), [], []
@@ -312,7 +322,7 @@ def components(
     placed = shared.join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = textops.cut(placed.select("band", "doc_id", "component"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a < b")
-    inside = placed.join(open_.select("band", "members"), "band")
+    inside = placed.join(open_.select("band"), "band")
     cluster = connect(similar(inside, regs, threshold)).toDF("doc_id", "cluster")
     cluster = cluster.union(cluster.select("cluster", "cluster").distinct())  # the least of each has no row of its own
     members = cluster.join(named.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

@@ -56,6 +56,7 @@ def near_copies(seed, groups, size):
 @pytest.mark.parametrize("tile", [2 << 20, 10_000])
 def test_chains_and_tiles(spark, monkeypatch, tile):
     monkeypatch.setattr(neardup, "TILE_BYTES", tile)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 2000 if tile > 1 << 20 else 7)
     rows = near_copies(4, 12, 15)
     found = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, 3, 85)
