@@ -57,7 +57,8 @@ def amount(value: Column) -> Column:
         .when(raw.contains(","), F.when(comma == F.length(raw) - 3, F.translate(F.regexp_replace(raw, r",(?=.*,)", ""), ",", ".")).otherwise(bare))
         .otherwise(raw)
     )
-    return number.try_cast("decimal(38,2)")
+    # most are written plainly, and are all of it
+    return F.when(value.rlike(r"^[0-9]+(\.[0-9]+)?$"), value).otherwise(number).try_cast("decimal(38,2)")
 
 
 def digit_groups(value: Column) -> Column:

@@ -24,9 +24,7 @@ STRENGTH_RANK = {"unsupported": 0, "single_source": 1, "corroborated": 2}
 
 def identity_columns(net: Column, vat: Column, gross: Column, due: Column, issue: Column, limit: Column) -> dict[str, Column]:
     """The sum (c1), the equality (c2) and the order of dates (c3), null where a side is missing; and whether the amount
-    due is the net total while the gross one differs."""
-    net, vat, gross, due = (V.amount(x) for x in (net, vat, gross, due))
-    issue, limit = V.date_parts(issue), V.date_parts(limit)
+    due is the net total while the gross one differs. Takes amounts and the parts of dates."""
     prefer = V.date_order(issue, limit)
     a, b = V.date_ymd(issue, prefer), V.date_ymd(limit, prefer)
     near = lambda x, y: F.abs(x - y) <= EPSILON
@@ -39,11 +37,14 @@ def identity_columns(net: Column, vat: Column, gross: Column, due: Column, issue
 
 
 IDENTITY_FIELDS = ("total_net", "total_vat", "total_gross", "amount_due", "issue_date", "due_date")
+_AMOUNTS = IDENTITY_FIELDS[:4]
+_DISPUTABLE = ("total_net", "total_gross", "amount_due")
 
 
 def identities(wide: DataFrame) -> DataFrame:
     """(doc_id, c1, c2, c3, disputed) of documents with a column for each field."""
-    return wide.select("doc_id", *[c.alias(n) for n, c in identity_columns(*[F.col(n) for n in IDENTITY_FIELDS]).items()])
+    parts = wide.select("doc_id", *[(V.amount(F.col(n)) if n in _AMOUNTS else V.date_parts(F.col(n))).alias(n) for n in IDENTITY_FIELDS])
+    return parts.select("doc_id", *[c.alias(n) for n, c in identity_columns(*[F.col(n) for n in IDENTITY_FIELDS]).items()])
 
 
 def arithmetic(field: Column) -> Column:
@@ -103,24 +104,31 @@ def slot_facts(evidence: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         F.max(of("first", "value")).alias("value"), F.max(of("first", "norm")).alias("v"), F.max(of("second", "norm")).alias("v2"), F.collect_list(of("reading", "norm")).alias("read"),
         F.bool_or(of("citation", "holds")).alias("holds"),
     )
+    # each value is parsed once, in its own row; a document's slots then share what came of it
+    kind = kinds[name]
+    rows = rows.select("*", F.when(name.isin(*_AMOUNTS), F.col("v").cast("decimal(38,2)")).alias("__amount"), F.when(kind == "date", V.date_parts(value)).alias("__date"))
     whole = Window.partitionBy("doc_id")
-    parts = [F.max(F.when(name == n, value)).over(whole).alias(f"__{n}") for n in IDENTITY_FIELDS]
+    parts = [F.max(F.when(name == n, F.col("__amount" if n in _AMOUNTS else "__date"))).over(whole).alias(f"__{n}") for n in IDENTITY_FIELDS]
     rows = rows.select("*", *parts)
-    rows = rows.select("*", *[c.alias(n) for n, c in identity_columns(*[F.col(f"__{n}") for n in IDENTITY_FIELDS]).items()])
+    # an identity is looked at where it matters only
+    matters = FEEDS | {"disputed": _DISPUTABLE}
+    rows = rows.select("*", *[F.when(name.isin(*matters[n]), c).alias(n) for n, c in identity_columns(*[F.col(f"__{n}") for n in IDENTITY_FIELDS]).items()])
     if docs is not None:
         rows = rows.join(docs.select("doc_id", *[c for c in STATES if c in docs.columns]), "doc_id", "left")
     state = {c: F.coalesce(F.col(c), F.lit(False)) if docs is not None and c in docs.columns else F.lit(False) for c in STATES}
     ran = lambda verdict: F.when(state["first_missing"], "unavailable").otherwise(verdict)
+    # a present value that its kind's reading made nothing of
+    unread = F.when(kind == "date", F.col("__date").isNull()).otherwise(kind.isin("amount", "code") & F.col("v").isNull())
     live, equal = F.size("read") > 0, F.coalesce(F.array_contains("read", F.col("v")), F.lit(False))
     rows = rows.select(
         "doc_id", (F.array_position(F.lit(list(V.NAMES)), name) - 1).cast("int").alias("ord"), "field", "value", "v", kinds[name].alias("kind"), tiers[name].alias("tier"),
         ran(F.when(F.coalesce(F.trim(value), F.lit("")) == "", "fail").otherwise("pass")).alias("extraction_present"),
-        ran(F.when(value.isNull(), "unavailable").when(V.malformed(name, value).isNotNull(), "fail").otherwise("pass")).alias("field_wellformed"),
+        ran(F.when(value.isNull(), "unavailable").when(unread, "fail").otherwise("pass")).alias("field_wellformed"),
         ran(arithmetic(name)).alias("arithmetic_consistency"),
         ran(F.when(state["ocr_missing"] | F.col("holds").isNull() | value.isNull(), "unavailable").when(F.col("holds"), "pass").otherwise("fail")).alias("citation_holds"),
         ran(F.when(state["second_missing"], "unavailable").when(F.col("v").eqNullSafe(F.col("v2")), "pass").otherwise("fail")).alias("cross_mode_agreement"),
         ran(F.when(~live | F.col("v").isNull(), "unavailable").when(equal, "pass").otherwise("warning")).alias("visual_corroboration"),
-        (F.col("disputed") & name.isin("total_net", "total_gross", "amount_due")).alias("disputed"),
+        F.coalesce("disputed", F.lit(False)).alias("disputed"),
         (state["ocr_missing"] | state["first_missing"]).alias("doc_blocked"), state["ocr_missing"].alias("ocr_missing"), state["first_missing"].alias("first_missing"),
         (state["second_missing"] & ~state["second_optional"]).alias("second_missing"),
     )
