@@ -68,14 +68,22 @@ def bind_anywhere(drafts: DataFrame, tokens: DataFrame, threshold: float = 0.8)
     return matched.where(F.col("matched") >= threshold * F.col("wanted")).select("draft_id", "doc_id", "matched", "wanted")
 
 
+#: Rows up to which a lexicon is broadcast; a larger one is shuffled.
+LEXICON_ROWS = 100_000
+
+
+def _small(lexicon: DataFrame) -> DataFrame:
+    return F.broadcast(lexicon) if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS else lexicon
+
+
 def phrase_hits(stream: DataFrame, phrases: DataFrame, longest: int, fuzzy: bool = False) -> DataFrame:
-    """(phrase_id, doc_id, pos, n) of each occurrence of a phrase (phrase_id, toks array); a bounded lexicon.
+    """(phrase_id, doc_id, pos, n) of each occurrence of a phrase (phrase_id, toks array).
 
     With ``fuzzy`` one token of six letters or more may differ by one edit; candidates meet by an exact other token.
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
     ahead = stream.withColumn("run", F.array(*[F.lead("tok", i).over(w) if i else F.col("tok") for i in range(longest)]))
-    lexicon = F.broadcast(phrases.select("phrase_id", "toks", F.size("toks").alias("n"), F.get("toks", F.lit(0)).alias("first")))
+    lexicon = _small(phrases.select("phrase_id", "toks", F.size("toks").alias("n"), F.get("toks", F.lit(0)).alias("first")))
     exact = ahead.join(lexicon, F.col("tok") == F.col("first")).where(F.slice("run", F.lit(1), F.col("n")) == F.col("toks"))
     hits = exact.select("phrase_id", "doc_id", "pos", "n")
     if not fuzzy:
@@ -84,7 +92,7 @@ def phrase_hits(stream: DataFrame, phrases: DataFrame, longest: int, fuzzy: bool
     long = lexicon.select("phrase_id", "toks", "n", F.posexplode("toks").alias("k", "long")).where(F.length("long") >= 6)
     at = stream.select("doc_id", F.col("pos").alias("at"), F.col("tok").alias("near")).where(F.length("near") >= 5)
     block = lambda t: F.array(F.substring(t, 1, 3), F.concat(F.lit("$"), F.substring(t, -3, 3)))
-    near = at.withColumn("b", F.explode(block(F.col("near")))).join(F.broadcast(long.withColumn("b", F.explode(block(F.col("long"))))), "b")
+    near = at.withColumn("b", F.explode(block(F.col("near")))).join(_small(long.withColumn("b", F.explode(block(F.col("long"))))), "b")
     near = near.where((F.levenshtein("near", "long", 1) == 1)).select("doc_id", (F.col("at") - F.col("k")).alias("pos"), "k", "phrase_id", "toks", "n").distinct()
     same = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == F.col("k")) | (F.get("run", i) == F.get("toks", i)))
     more = near.join(ahead, ["doc_id", "pos"]).where(same).select("phrase_id", "doc_id", "pos", "n")
