@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotforge.llm import chat, decontam, langid, neardup, packing, pii, quality, sharding, substring, warc
+from slotforge.llm import chat, decontam, langid, neardup, packing, pii, quality, repair, sharding, substring, warc
 from slotforge.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -58,10 +58,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(_table(spark, sf_dir, "conversations"), path("byte_bpe_50k.json"), ranks_path=path("byte_bpe_50k.tiktoken"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damage(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_pii, op3_sharding, op4_substring_dedup, op5_warc, op6_decontamination, op7_quality, op8_language,
-        op9_near_duplicates, op10_chat,
+        op9_near_duplicates, op10_chat, op13_conversation_repair,
     )
 }

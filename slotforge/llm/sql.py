@@ -43,4 +43,31 @@ reach(x, y) AS (SELECT DISTINCT x, x FROM both_ UNION SELECT reach.x, both_.y FR
 comp AS (SELECT x doc_id, min(y) c FROM reach GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(coalesce(c, doc_id) = doc_id, true) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_sharding": OP3, "op4_substring_dedup": OP4, "op5_warc": OP5, "op9_near_duplicates": OP9}
+#: CRC-32 by table, as in OP3, and a recursion over turns that keeps the least (cost, letters, turns) of each state.
+OP13 = r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) t FROM (WITH RECURSIVE step(i, c, b) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL
+ SELECT i, CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c // 2) ELSE c // 2 END, b + 1 FROM step WHERE b < 8) SELECT i, c FROM step WHERE b = 8)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') x, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) h FROM conversations),
+crc AS (SELECT raw.*, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+ lambda a, b: xor(t[CAST(xor(a, b) % 256 AS INT) + 1], a // 256), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 d FROM raw, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE r END r, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END x, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) FROM crc WHERE d <> 0),
+ord AS (SELECT conv_id, turn, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) i FROM dam),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) nth,
+ rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) y, substr(r, 1, 1) c FROM ord),
+f AS (SELECT *, CASE WHEN y = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(y, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END fault, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c pair FROM num),
+sums AS (SELECT conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'b') blank, count(*) FILTER (fault = 'd') duplicate, count(*) FILTER (fault = 't') truncated,
+ count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal FROM f GROUP BY 1),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) i, {'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])} s0, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])} s1,
+ {'c': CAST(2 AS BIGINT), 'a': 'I', 't': ['user:']} s2, {'c': CAST(4 AS BIGINT), 'a': 'II', 't': ['user:', 'assistant:']} s3 FROM sums
+UNION ALL SELECT conv_id, i, b0, b1, n2, list_sort([b3, {'c': n2.c + 2, 'a': n2.a || 'I', 't': list_append(n2.t, 'assistant:')}])[1] FROM (
+SELECT *, list_sort([b2, {'c': b0.c + 2, 'a': b0.a || 'I', 't': list_append(b0.t, 'user:')}, {'c': b1.c + 2, 'a': b1.a || 'I', 't': list_append(b1.t, 'user:')}, {'c': b3.c + 2, 'a': b3.a || 'I', 't': list_append(b3.t, 'user:')}])[1] n2 FROM (
+SELECT conv_id, i, {'c': s0.c + 3, 'a': s0.a || 'D', 't': s0.t} b0,
+ list_sort([{'c': s1.c + 3, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + CASE WHEN keep AND c = 's' THEN z ELSE 1000000000 END, 'a': s0.a || 'K', 't': list_append(s0.t, v)}])[1] b1,
+ list_sort([{'c': s2.c + 3, 'a': s2.a || 'D', 't': s2.t}, {'c': s0.c + uc, 'a': s0.a || ul, 't': list_append(s0.t, uv)}, {'c': s1.c + uc, 'a': s1.a || ul, 't': list_append(s1.t, uv)}, {'c': s3.c + uc, 'a': s3.a || ul, 't': list_append(s3.t, uv)}])[1] b2,
+ list_sort([{'c': s3.c + 3, 'a': s3.a || 'D', 't': s3.t}, {'c': s2.c + CASE WHEN NOT keep THEN 1000000000 WHEN c = 'a' THEN z ELSE z + 2 END, 'a': s2.a || CASE WHEN c = 'a' THEN 'K' ELSE 'R' END, 't': list_append(s2.t, CASE WHEN c = 'a' THEN v ELSE 'assistant:' || x END)}])[1] b3
+FROM (SELECT dp.*, f.i AS j, f.x, f.c, fault NOT IN ('b', 'd') keep, CASE WHEN fault = 't' THEN 1 ELSE 0 END z, r || ':' || x v, CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN c = 'u' THEN z ELSE z + 2 END uc, CASE WHEN c = 'u' THEN 'K' ELSE 'R' END ul,
+ CASE WHEN c = 'u' THEN v ELSE 'user:' || x END uv FROM dp JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = dp.i + 1) p(conv_id, i0, s0, s1, s2, s3, i, x, c, keep, z, v, uc, ul, uv)))),
+best AS (SELECT sums.*, list_sort([s0, s3])[1] b FROM dp JOIN sums ON dp.conv_id IS NOT DISTINCT FROM sums.conv_id AND dp.i = n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit,
+ sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op3_sharding": OP3, "op4_substring_dedup": OP4, "op5_warc": OP5, "op9_near_duplicates": OP9, "op13_conversation_repair": OP13}
