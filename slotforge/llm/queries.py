@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotforge.llm import chat, decontam, langid, neardup, packing, pii, quality, repair, sharding, substring, vptree, warc
+from slotforge.llm import chat, collocation, decontam, langid, neardup, packing, pii, quality, repair, sharding, substring, vptree, warc
 from slotforge.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(_table(spark, sf_dir, "conversations"), path("byte_bpe_50k.json"), ranks_path=path("byte_bpe_50k.tiktoken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine(_table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.components(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_pii, op3_sharding, op4_substring_dedup, op5_warc, op6_decontamination, op7_quality, op8_language,
-        op9_near_duplicates, op10_chat, op12_simhash, op13_conversation_repair,
+        op9_near_duplicates, op10_chat, op11_collocations, op12_simhash, op13_conversation_repair,
     )
 }

@@ -43,6 +43,19 @@ reach(x, y) AS (SELECT DISTINCT x, x FROM both_ UNION SELECT reach.x, both_.y FR
 comp AS (SELECT x doc_id, min(y) c FROM reach GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(coalesce(c, doc_id) = doc_id, true) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
 
+OP11 = rf"""WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) s FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, s, string_split(s, ' ') v, CAST(count(*) AS HUGEINT) f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT f.*, unnest(range(1, k)) j FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.k, c.s, c.f a, c.j, x.f l, y.f r, 1000 * c.f * n // (x.f * y.f) score, n FROM c JOIN n USING (lang)
+ JOIN f x ON x.lang = c.lang AND x.s = array_to_string(c.v[:c.j], ' ') JOIN f y ON y.lang = c.lang AND y.s = array_to_string(c.v[c.j + 1:], ' ')),
+whole AS (SELECT DISTINCT i.lang, i.s FROM f i JOIN f o ON i.lang = o.lang AND o.k > i.k AND o.f >= i.f AND contains(' ' || o.s || ' ', ' ' || i.s || ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, s ORDER BY score, j) nth FROM cut),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank FROM best LEFT JOIN whole USING (lang, s) WHERE nth = 1 AND whole.s IS NULL)
+SELECT lang, rank, s AS phrase, CAST(a AS BIGINT) a, CAST(l AS BIGINT) l, CAST(r AS BIGINT) r, CAST(n AS BIGINT) n, CAST(score AS BIGINT) score FROM ranked WHERE rank <= 2000"""
+
 #: CRC-32 by table, as in OP3, and a recursion over turns that keeps the least (cost, letters, turns) of each state.
 OP13 = r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) t FROM (WITH RECURSIVE step(i, c, b) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL
  SELECT i, CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c // 2) ELSE c // 2 END, b + 1 FROM step WHERE b < 8) SELECT i, c FROM step WHERE b = 8)),
@@ -70,4 +83,4 @@ best AS (SELECT sums.*, list_sort([s0, s3])[1] b FROM dp JOIN sums ON dp.conv_id
 SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit,
  sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op3_sharding": OP3, "op4_substring_dedup": OP4, "op5_warc": OP5, "op9_near_duplicates": OP9, "op13_conversation_repair": OP13}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": OP3, "op4_substring_dedup": OP4, "op5_warc": OP5, "op9_near_duplicates": OP9, "op11_collocations": OP11, "op13_conversation_repair": OP13}

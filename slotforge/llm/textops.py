@@ -69,11 +69,14 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
 
 
 class Words:
-    """Words of the texts of one column: byte ranges, 64-bit hashes and the number in each row."""
+    """Words of the texts of one column: byte ranges, 64-bit hashes and the number in each row.
 
-    def __init__(self, column: pa.Array, lower: bool = False, hashed: bool = True):
+    ``space`` tells for each byte whether it is outside words.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False, hashed: bool = True, space: np.ndarray = SPACE):
         self.data, self.rows = buffers(column)
-        self.solid = solid = ~SPACE[self.data]
+        self.solid = solid = ~space[self.data]
         size = len(self.data)
         opens, closes = solid.copy(), solid.copy()
         if size:
