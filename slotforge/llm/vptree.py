@@ -13,7 +13,8 @@ links are found, whatever the sample.
 No group is expanded into pairs. A shard's homes are dealt to parts of ``PART`` rows; first each part links what is in
 it and those links are joined to components, then rows of different components only are compared: parts of one shard
 with each other (the largest component's parts need not meet each other), and queries with the parts of the shards
-they are sent to. A task reports a link only where it joins what was apart in it. A dense family of near copies
+they are sent to, each task going on with a tree of its own. A task reports a link only where it joins what was apart
+in it. A dense family of near copies
 (thousands within a few bits) is mostly joined in the first step and has little to compare in the second.
 
 Work grows with a power of about 1.65 of the number of different fingerprints, as three bits of 64 leave a query about
@@ -27,6 +28,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -42,7 +44,7 @@ from slotforge.llm.neardup import _tiles, connect
 _U = np.uint64
 BITS, SEED = 64, 42
 #: Fingerprints that the tree is fitted on; rows of a part of a shard; queries that meet a part in one task.
-SAMPLE, PART, ASKED = 1 << 16, 2048, 1 << 14
+SAMPLE, PART, ASKED = 1 << 16, 1 << 15, 1 << 17
 BLOCK_BYTES = 1 << 20
 _WHITE = re.compile(rb"[ \t-\r]")
 
@@ -136,21 +138,42 @@ class Tree:
         return rows, node - ((1 << self.depth) - 1), home
 
 
+def _reach(left: np.ndarray, right: np.ndarray, within: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in both sets that may be near each other, as pairs of arrays: a vantage-point tree over the left ones, each
+    of whose splits sends right ones to the sides that its radius leaves possible. Ends where a split saves little."""
+    todo = [(np.arange(len(left)), np.arange(len(right)))]
+    while todo:
+        a, b = todo.pop()
+        if len(a) * len(b) <= most or len(a) < 64:
+            yield a, b
+            continue
+        vantage, radius = Tree._split(left[a[:: max(1, len(a) // 512)]])
+        at, to = (np.bitwise_count(x ^ np.uint64(vantage)).astype(np.int16) - radius for x in (left[a], right[b]))
+        near, far = (a[at <= 0], b[to <= within]), (a[at > 0], b[to > -within])
+        if len(near[0]) * len(near[1]) + len(far[0]) * len(far[1]) > 0.95 * len(a) * len(b):
+            yield a, b
+        else:
+            todo += [near, far]
+
+
 def joined(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, label_x: np.ndarray, label_y: np.ndarray, within: int) -> tuple[list, list]:
     """Links between two sets of fingerprints with their ids and labels: those that join labels that were apart."""
     names, place = np.unique(np.concatenate((label_x, label_y)), return_inverse=True)
-    now, block = np.arange(len(names)), max(1, (1 << 20) // max(1, len(right)))
-    a, b, out = place[: len(x)], place[len(x) :], ([], [])
-    for at in range(0, len(x), block):
-        near = np.bitwise_count(left[at : at + block, None] ^ right[None, :]) <= within
-        for k in np.flatnonzero(near.any(1)):
-            hit, own = np.flatnonzero(near[k]), now[a[at + k]]
-            hit = hit[now[b[hit]] != own]
-            if len(hit):
-                groups, one = np.unique(now[b[hit]], return_index=True)
-                out[0].extend([int(x[at + k])] * len(one))
-                out[1].extend(y[hit[one]].tolist())
-                now[np.isin(now, groups)] = own
+    now, out = np.arange(len(names)), ([], [])
+    of_x, of_y = place[: len(x)], place[len(x) :]
+    for a, b in _reach(left, right, within):
+        block, other = max(1, (1 << 19) // max(1, len(b))), right[b]
+        for at in range(0, len(a), block):
+            near = np.bitwise_count(left[a[at : at + block], None] ^ other[None, :]) <= within
+            for k in np.flatnonzero(near.any(1)):
+                hit, row = b[near[k]], a[at + k]
+                own = now[of_x[row]]
+                hit = hit[now[of_y[hit]] != own]
+                if len(hit):
+                    groups, one = np.unique(now[of_y[hit]], return_index=True)
+                    out[0].extend([int(x[row])] * len(one))
+                    out[1].extend(y[hit[one]].tolist())
+                    now[np.isin(now, groups)] = own
     return out
 
 
@@ -176,7 +199,9 @@ def links(nodes: DataFrame, within: int = 3, *, sample: int = SAMPLE, part: int
     share = (2**63 - 1) * min(sample, count) // max(count, 1)
     sampled = F.shiftrightunsigned(F.xxhash64("fp"), 1) <= F.lit(share)
     fitted = nodes.where(sampled).select("fp").toArrow().column(0).to_numpy().view(np.uint64)  # about ``sample`` longs at most
-    tree = spark.sparkContext.broadcast(Tree(np.sort(fitted), -(-count // part)))
+    # shards grow with the root of the rows: what is sent grows less than with ever more shards, and the tree goes on in tasks
+    shards = max(-(-count // part), math.isqrt(count) // 8)
+    tree = spark.sparkContext.broadcast(Tree(np.sort(fitted), shards))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
