@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
+from slotforge.operators import ordered
 
 GAP_SECONDS = 3600
 #: Decisions, the status that each gives, statuses by what they mean, reason codes, the decisions that
@@ -61,17 +62,23 @@ def chain_faults(decisions: DataFrame) -> DataFrame:
 
 
 def hash_chain(rows: DataFrame) -> DataFrame:
-    """(chain_id, entries, broken): how often a record's previous digest is not the digest of the record before it."""
-    w = Window.partitionBy("chain_id").orderBy("seq")
-    fault = ~F.col("previous").eqNullSafe(F.lag("digest").over(w)) | (F.col("seq") != F.row_number().over(w) - 1)
-    return rows.withColumn("fault", fault).groupBy("chain_id").agg(F.count("*").alias("entries"), F.count_if("fault").alias("broken"))
+    """(chain_id, entries, broken): how often a record's previous digest is not the digest of the record before it, or its
+    number is not its place from 0. A chain may lie in many tasks; ties of a number go by digest."""
+    linked = ordered.carried(rows.select("chain_id", "seq", "digest", "previous", F.lit(1).alias("one")), "chain_id", ["seq", "digest"], ["one"], "digest")
+    fault = ~F.col("previous").eqNullSafe(F.col("before")) | ~F.col("seq").eqNullSafe(F.col("before_one"))
+    return linked.withColumn("fault", fault).groupBy("chain_id").agg(F.count("*").alias("entries"), F.count_if("fault").alias("broken"))
+
+
+def _gaps(entries: DataFrame, by: str, *keep: str) -> DataFrame:
+    """The entries' columns ``keep`` and ``gap``: microseconds since the entry before of the same ``by``."""
+    at = F.unix_micros(F.col("decided_at").cast("timestamp"))
+    rows = ordered.carried(entries.select(*dict.fromkeys((by, *keep)), "seq", at.alias("__at")), by, ["__at", "seq"], value="__at")
+    return rows.withColumn("gap", F.col("__at") - F.col("before"))
 
 
 def working_time(decisions: DataFrame, by: str) -> DataFrame:
     """(by, seconds, intervals, excluded): gaps to the entry before, kept from 0 to an hour."""
-    gap = F.unix_micros(F.col("decided_at").cast("timestamp")) - F.unix_micros(F.lag(F.col("decided_at").cast("timestamp")).over(Window.partitionBy(by).orderBy("decided_at", "seq")))
-    rows = decisions.withColumn("gap", gap)
-    kept = F.col("gap").between(0, GAP_SECONDS * 1_000_000)
+    rows, kept = _gaps(decisions, by), F.col("gap").between(0, GAP_SECONDS * 1_000_000)
     return rows.groupBy(by).agg(F.coalesce(F.sum(F.when(kept, F.col("gap"))), F.lit(0)).alias("micros"), F.count_if(kept).alias("intervals"), F.count_if(F.col("gap").isNotNull() & ~kept).alias("excluded"))
 
 
@@ -113,10 +120,9 @@ def validate(entries: DataFrame, docs: DataFrame | None = None, claims: DataFram
 
 def reviewer_timing(entries: DataFrame, by: str, kind: str) -> DataFrame:
     """(kind, timed, median_micros): how long entries took, from the one before of the same ``by``, gaps above an hour left out."""
-    at = F.unix_micros(F.col("decided_at").cast("timestamp"))
-    gap = at - F.lag(at).over(Window.partitionBy(by).orderBy("decided_at", "seq"))
-    rows = entries.select(kind, gap.alias("gap")).where(F.col("gap").between(0, GAP_SECONDS * 1_000_000))
-    return rows.groupBy(kind).agg(F.count("*").alias("timed"), F.round(F.percentile("gap", 0.5)).cast("long").alias("median_micros"))
+    rows = _gaps(entries, by, kind).where(F.col("gap").between(0, GAP_SECONDS * 1_000_000))
+    middle = ordered.quantiles(rows, kind, "gap", {"median": 0.5})
+    return middle.select(kind, F.col("n").alias("timed"), F.round("median").cast("long").alias("median_micros"))
 
 
 def adoption(entries: DataFrame, claims: DataFrame) -> DataFrame:

@@ -5,14 +5,18 @@ A document without a truth record is unscored; one whose record lacks the field
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
-from slotforge.operators import routing, tables, text
+from slotforge.operators import ordered, routing, tables, text
 
 
 def with_truth(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame) -> DataFrame:
@@ -62,27 +66,51 @@ def recall_at_budgets(rows: DataFrame, order: list[Column], percents: list[int])
 
 
 def tie_range(rows: DataFrame, percents: list[int]) -> DataFrame:
-    """(percent, best, worst): deviations found if the cut falls inside a group of equal confidence. Works on one row for
-    each distinct confidence."""
+    """(percent, best, worst): deviations found if the cut falls inside a group of equal confidence.
+
+    Groups of equal confidence (as many as rows, for real scores) are counted, and their counts run over ranges of it.
+    """
     groups = rows.groupBy(F.coalesce("confidence", F.lit(-1)).alias("c")).agg(F.count("*").alias("n"), F.count_if("deviation").alias("d"))
-    w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = groups.select("c", "n", "d", F.sum("n").over(w).alias("upto"), F.sum("d").over(w).alias("dev_upto"))
-    total = groups.agg(F.sum("n").alias("total"))
-    cut = run.crossJoin(F.broadcast(total)).select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")).withColumn("k", F.floor(F.col("total") * F.col("percent") / 100))
-    inside = cut.where((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto"))).withColumn("r", F.col("k") - (F.col("upto") - F.col("n")))
-    before = F.col("dev_upto") - F.col("d")
-    return inside.select("percent", (before + F.least("r", "d")).alias("best"), (before + F.greatest(F.lit(0), F.col("r") - (F.col("n") - F.col("d")))).alias("worst"))
-
-
-def bootstrap(docs: DataFrame, replicates: int, hit: str, total: str) -> DataFrame:
-    """(point, low, high) of a share, in parts per million, by document: each replicate weighs a document by a hashed
-    Poisson(1) number, so that sums are one pre-aggregated row for each replicate."""
-    cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    u = F.pmod(F.xxhash64("doc_id", "replicate"), F.lit(1 << 30)) / float(1 << 30)
-    weight = reduce(lambda a, c: a + (u >= c).cast("int"), cuts, F.lit(0))
-    drawn = docs.select("doc_id", hit, total, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    share = drawn.groupBy("replicate").agg((F.sum(weight * F.col(hit)) / F.greatest(F.sum(weight * F.col(total)), F.lit(1))).alias("share"))
-    bounds = share.agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high"))
+    run = tables.cut(ordered.carried(groups, None, ["c"], ["n", "d"]))
+    total = run.agg(F.sum("n").alias("total"))
+    cut = run.crossJoin(F.broadcast(total)).select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")).withColumn("k", F.floor(F.col("total") * F.col("percent") / 100))  # one row of totals
+    inside = cut.where((F.col("before_n") < F.col("k")) & (F.col("k") <= F.col("before_n") + F.col("n"))).withColumn("r", F.col("k") - F.col("before_n"))
+    return inside.select("percent", (F.col("before_d") + F.least("r", "d")).alias("best"), (F.col("before_d") + F.greatest(F.lit(0), F.col("r") - (F.col("n") - F.col("d")))).alias("worst"))
+
+
+#: Below which number each count of a Poisson(1) number lies: 0, 1, ... 9 and more.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+
+
+def poisson_weights(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Weights (keys x replicates) of a bootstrap: Poisson(1) numbers, hashed from a row's 64-bit key and the replicate."""
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) / float(1 << 53), "right")
+
+
+def bootstrap(docs: DataFrame, replicates: int, hit: str, total: str, key: str = "doc_id") -> DataFrame:
+    """(point, low, high) of a share, with a 95 % interval by document: each replicate weighs a document by a hashed
+    Poisson(1) number.
+
+    A task keeps one vector of sums for all replicates and gives a row for each at its end; no row is multiplied.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, replicates))
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            values = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2)])
+            for at in range(0, len(keys), 256):
+                sums += values[:, at : at + 256] @ poisson_weights(keys[at : at + 256], replicates)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(sums[0]), pa.array(sums[1])], ["replicate", "hits", "totals"])
+
+    narrow = docs.select(F.xxhash64(key).alias("key"), *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in (hit, total)])
+    vectors = narrow.mapInArrow(run, "replicate long, hits double, totals double")
+    share = vectors.groupBy("replicate").agg((F.sum("hits") / F.greatest(F.sum("totals"), F.lit(1.0))).alias("share"))
+    bounds = share.agg(F.percentile("share", 0.025).alias("low"), F.percentile("share", 0.975).alias("high"))  # a row for each replicate
     return docs.agg((F.sum(hit) / F.sum(total)).alias("point")).crossJoin(bounds)
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
-from slotforge.operators import ledger, routing
+from slotforge.operators import ledger, ordered, routing
 from slotforge.queries import base, query
 from slotforge.queries.base import table
 from slotforge.queries.slots import POLICIES, routable, routed_sql
@@ -64,8 +63,8 @@ def v16(spark, d):
     """Turns as chained records; one in eleven names a wrong predecessor."""
     digest = F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.coalesce("text", F.lit(""))), 256)
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("seq"), digest.alias("digest"))
-    before = F.lag("digest").over(Window.partitionBy("chain_id").orderBy("seq"))
-    return ledger.hash_chain(c.withColumn("previous", F.when((F.col("chain_id") + F.col("seq")) % 11 == 0, "x").otherwise(before)))
+    linked = ordered.carried(c, "chain_id", ["seq"], value="digest")
+    return ledger.hash_chain(linked.withColumn("previous", F.when((F.col("chain_id") + F.col("seq")) % 11 == 0, "x").otherwise(F.col("before"))))
 
 
 _WORK = """g AS (SELECT user_id reviewer, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) gap FROM events)"""
