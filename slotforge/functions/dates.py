@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 NUMERIC = r"(?<!\d)\d{1,4}[./-]\d{1,2}[./-]\d{1,4}(?!\d)"
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-NAMED = rf"(?i)\b(?:{_MONTH} \d{{1,2}},? \d{{4}}|\d{{1,2}} {_MONTH},? \d{{4}})\b"
+NAMED = rf"(?i)\b(?:{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+{_MONTH},?\s+\d{{4}})\b"
 #: Labels of the dates that terms count from.
 ISSUE_LABEL = r"\b(?:invoice\s+date|issue\s+date|date\s+issued|date\s+of\s+invoice)\b"
 RECEIPT_LABEL = r"\b(?:receipt\s+date|date\s+received|received\s+date|date\s+of\s+receipt)\b"
@@ -37,7 +37,7 @@ def _numeric(text: Column, first: str) -> Column:
 
 def parse(text: Column) -> Column:
     """The date, or null where month first and day first are both possible and differ."""
-    plain = F.initcap(F.regexp_replace(text, r"[.,]", ""))
+    plain = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(text, r"[.,]", ""), r"\s+", " ")))
     month = F.coalesce(
         F.try_to_date(F.regexp_replace(plain, r"^([A-Z][a-z]{2})[a-z]*", "$1"), "MMM d yyyy"), F.try_to_date(F.regexp_replace(plain, r"^(\d{1,2} [A-Z][a-z]{2})[a-z]*", "$1"), "d MMM yyyy")
     )

@@ -34,7 +34,7 @@ def evidence_to_routes(evidence: Evidence, policy: routing.Policy) -> DataFrame:
 def write_run(routed: DataFrame, folder: str) -> None:
     """The artifacts of a run: the slot table, then findings and evaluations from what was written."""
     readers.write_once(routed, f"{folder}/slots")
-    slots = routed.sparkSession.read.parquet(f"{folder}/slots")
+    slots = readers.read_once(routed.sparkSession, f"{folder}/slots")
     readers.write_once(gates.findings(slots), f"{folder}/findings")
     readers.write_once(gates.evaluations(slots), f"{folder}/evaluations")
 

@@ -15,31 +15,57 @@ from slotforge.queries.ledger import _TIPS, repaired
 from slotforge.streaming import jobs
 
 
-def run(frame: DataFrame, job, key: list[str] | None = None, mode: str = "update", at: str | None = None, beats: bool = True) -> DataFrame:
-    """The frame written in four files, read as a stream and run through the job; of several rows of a key the last counts.
+def arrive(frame: DataFrame, at: str, folder: str, beats: bool, batches: int = 4) -> int:
+    """Writes the frame as files that a stream reads in order of the time ``at``; the files of a batch are returned.
 
-    With ``at`` the files are in order of that time, and (with ``beats``) two heartbeats follow, all null but for times far enough ahead
-    to close what is open: watermarks can be short.
+    All tasks write at once, each a range of the time; then the files' times are set in the order of their names, which
+    is that of the ranges. With ``beats`` heartbeats follow, all null but for times far enough ahead to close what is
+    open: watermarks can be short.
     """
+    spark = frame.sparkSession
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = lambda: sorted(str(f.getPath()) for f in fs.listStatus(to_path(folder)) if f.getPath().getName().startswith("part-"))
+    frame.repartitionByRange(max(batches, int(spark.conf.get("spark.sql.shuffle.partitions"))), at).write.parquet(folder)
+    data = files()
+    each = -(-len(data) // batches)
+    if beats:
+        end = frame.agg(F.max(at).alias("__end"))  # one row
+        ahead = F.when(F.col("id") < each, F.expr("INTERVAL 30 DAYS")).otherwise(F.expr("INTERVAL 60 DAYS"))
+        beat = spark.range(0, 2 * each, 1, 2 * each).crossJoin(F.broadcast(end))
+        beat.select(*[(F.col("__end") + ahead).alias(c) if c == at else F.lit(None).cast(t).alias(c) for c, t in frame.dtypes]).write.mode("append").parquet(folder)
+    had, now = set(data), int(time.time() * 1000)
+    for i, f in enumerate([*data, *[f for f in files() if f not in had]]):  # one for each task that wrote
+        fs.setTimes(to_path(f), now - 3_600_000 + 10 * i, -1)
+    return each
+
+
+def run(frame: DataFrame, job, key: list[str] | None = None, mode: str = "update", at: str | None = None, beats: bool = True, sink=None, batches: int = 4) -> DataFrame | None:
+    """The frame written as files, read as a stream in four batches and run through the job; of several rows of a key the
+    last counts. A ``sink`` takes the batches instead, and nothing is returned."""
     spark, folder = frame.sparkSession, f"{tables.shared_folder(frame.sparkSession)}/slotforge-stream-{uuid.uuid4().hex}"
     if at:
-        cuts = [F.lit(c).cast("timestamp") for c in frame.select(F.expr(f"approx_percentile({at}, array(0.25, 0.5, 0.75))").alias("q")).first()["q"]]
-        number = sum(((F.col(at) > c).cast("int") for c in cuts), F.lit(0))
-        end = frame.agg(F.max(at).alias("e"))
-        beat = lambda days: end.select(*[(F.col("e") + F.expr(f"INTERVAL {days} DAYS")).alias(c) if c == at else F.lit(None).cast(t).alias(c) for c, t in frame.dtypes])
-        for part in [*[frame.where(number == i).coalesce(1) for i in range(4)], *([beat(30), beat(60)] if beats else [])]:
-            part.write.mode("append").parquet(f"{folder}/in")
-            time.sleep(0.05)  # files are read in the order of their times
+        each = arrive(frame, at, f"{folder}/in", beats, batches)
     else:
-        frame.repartition(4).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{folder}/out")
-
-    started = job(stream).writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    started.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
+        frame.repartition(batches).write.parquet(f"{folder}/in")
+        each = 1
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
+
+    # timeouts of the clock would ask for batches without data for ever
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")
+    try:
+        started = job(stream).writeStream.outputMode(mode).foreachBatch(sink or keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        started.awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
+    if sink:
+        return None
+    out = spark.read.parquet(f"{folder}/out").drop("batch")
     if key:
         rest = [c for c in out.columns if c not in (*key, "epoch")]
         return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*key, "r.*")
@@ -48,16 +74,28 @@ def run(frame: DataFrame, job, key: list[str] | None = None, mode: str = "update
 
 @query("t1_decision_tips", f"WITH {_TIPS} SELECT target_id, entries, tips, tips <> 1 AS conflict, CASE WHEN tips = 1 THEN tip END AS tip_id FROM proj")
 def t1(spark, d):
-    """Tips of the ledger, from entries in four files in any order."""
-    rows = repaired(spark, d).select("target_id", "decision_id", "supersedes", "orphan", "seq")
-    return run(rows.drop("seq"), jobs.tips, ["target_id"])
+    """Tips of the ledger, from entries in four files in any order; targets that are not touched leave the state."""
+    rows = repaired(spark, d).select("target_id", "decision_id", "supersedes", "orphan")
+    return jobs.projected(run(rows, lambda s: jobs.tips(s, "1 second"), ["target_id", "life"]))
+
+
+_REQUESTS = """rq AS (SELECT user_id doc_id, CASE WHEN event_id % 3 = 0 THEN 'data' ELSE 'read' END mode, event_id request_id, ts arrived_at, CASE event_type WHEN 'error' THEN 503 WHEN 'view' THEN 429 WHEN 'click' THEN 500 ELSE 200 END http_status FROM events),
+fs AS (SELECT *, min(CASE WHEN http_status = 200 THEN {'t': arrived_at, 'i': request_id} END) OVER (PARTITION BY doc_id, mode) won FROM rq)"""
 
 
-@query("t2_intake", "SELECT DISTINCT user_id AS doc_id, event_type AS mode FROM events")
+@query("t2_intake", f"WITH {_REQUESTS} SELECT doc_id, mode, count(*) AS attempts, count_if(http_status <> 200) AS failures, max(CASE WHEN http_status = 200 THEN request_id END) AS answered FROM fs WHERE won IS NULL OR {{'t': arrived_at, 'i': request_id}} <= won GROUP BY 1, 2")
 def t2(spark, d):
-    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("mode"), F.col("ts").cast("timestamp").alias("arrived_at"))
-    # within the watermark the stream drops repeats, beyond it the store does
-    return run(rows, jobs.intake, mode="append", at="arrived_at").where("doc_id IS NOT NULL").select("doc_id", "mode").distinct()
+    """Extractor calls as they come, one in ten delivered twice: failed ones are asked again, answered ones no more."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", 503).when(kind == "view", 429).when(kind == "click", 500).otherwise(200)
+    mode = F.when(F.col("event_id") % 3 == 0, "data").otherwise("read")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), mode.alias("mode"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("arrived_at"), status.alias("http_status"))
+    rows = rows.unionByName(rows.where("request_id % 10 = 0"))
+    store = jobs.Store(f"{tables.shared_folder(spark)}/slotforge-store-{uuid.uuid4().hex}")
+    run(rows, jobs.intake, mode="append", at="arrived_at", beats=False, sink=store.write)
+    stored = store.read(spark, rows.schema)
+    won = F.col("http_status") == 200
+    return stored.groupBy("doc_id", "mode").agg(F.count("*").alias("attempts"), F.count_if(~won).alias("failures"), F.max(F.when(won, F.col("request_id"))).alias("answered"))
 
 
 _WORK_SQL = """WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) gap FROM events)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +117,54 @@ def role_suggestions(readings: DataFrame) -> DataFrame:
     return readings.select("doc_id", F.inline(rows)).where("value IS NOT NULL")
 
 
+class AlreadyWritten(Exception):
+    """Another writer's table stands at the path, or is being put there."""
+
+
+def _store(spark: SparkSession, path: str):
+    """(file system, a function that makes its paths) of a path of any store that Spark can write to."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    return to_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), to_path
+
+
 def write_once(frame: DataFrame, path: str, *partition_by: str) -> None:
-    """One artifact as Parquet; a target that exists is refused."""
+    """One artifact as Parquet, whole or not at all; a second writer is refused (``AlreadyWritten``), also at the same time.
+
+    The table is written beside the path; then a marker is created that names it, which the store lets only one writer
+    do, and the table is renamed to the path. A driver that is lost before the marker leaves nothing but a staged folder;
+    one lost after it leaves a whole table, which ``read_once`` puts in place.
+    """
+    spark, path = frame.sparkSession, path.rstrip("/")
+    fs, to_path = _store(spark, path)
+    if fs.exists(to_path(path)) or fs.exists(to_path(_marker(path))):
+        raise AlreadyWritten(path)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
     writer = frame.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
+    try:
+        out = fs.create(to_path(_marker(path)), False)
+    except Py4JJavaError as e:
+        fs.delete(to_path(staged), True)
+        raise AlreadyWritten(path) from e
+    out.write(bytearray(staged.rsplit("/", 1)[1].encode()))
+    out.close()
+    _finish(fs, to_path, path, staged)
+
+
+def _marker(path: str) -> str:
+    return f"{path}.committed"
+
+
+def _finish(fs, to_path, path: str, staged: str) -> None:
+    if not fs.exists(to_path(path)) and not fs.rename(to_path(staged), to_path(path)) and not fs.exists(to_path(path)):
+        raise OSError(f"{staged} could not be put at {path}")
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_once`` committed; one whose writer was lost after the commit is put in place first."""
+    path = path.rstrip("/")
+    fs, to_path = _store(spark, path)
+    if not fs.exists(to_path(path)) and fs.exists(to_path(_marker(path))):
+        name = spark.read.text(_marker(path)).first()[0]  # one line
+        _finish(fs, to_path, path, f"{path.rsplit('/', 1)[0]}/{name}")
+    return spark.read.parquet(path)
