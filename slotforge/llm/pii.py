@@ -13,6 +13,7 @@ id, is judged alone; of added spans of a kind that overlap the first stays; an e
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 import unicodedata
@@ -98,10 +99,10 @@ _NUMBER = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?:\b(?:plus|\+)[ -])?\b(?:(?:{_NUMBER}|[0-9])[ ,.-]{{1,2}}){{3,}}(?:{_NUMBER}|[0-9])\b")
 _SPELLED_ONE = re.compile(rf"(?i)\bplus[ -]|[ ,.-]*({_NUMBER}|[0-9])")
 #: Blanks before a match are taken with it.
-_AT = re.compile(r"(?i)(?:[\[({<]\s*(?:at|arroba|ät|chez)\s*[\])}>])\s*+|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\s*(?:[\[({<]\s*dot|\s+dot\s))")
-_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*+|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])")
+_AT = re.compile(r"(?i)(?:[\[({<]\s*+(?:at|arroba|ät|chez)\s*+[\])}>])\s*+|(?<=[A-Za-z0-9])\s++at\s++(?=[A-Za-z0-9-]++(?:\s*+[\[({<]\s*+dot|\s++dot\s))")
+_DOT = re.compile(r"(?i)[\[({<]\s*+(?:dot|punkt|point|punto)\s*+[\])}>]\s*+|(?<=[A-Za-z0-9])\s++dot\s++(?=[A-Za-z0-9])")
 #: A trace of a disguise; without one the text is its own normal form.
-_TRACE_AT = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|ät|chez|dot|punkt|point|punto)\s*[\])}>]|\sat\s+\S+\s+dot\s")
+_TRACE_AT = re.compile(r"(?i)[\[({<]\s*+(?:at|arroba|ät|chez|dot|punkt|point|punto)\s*+[\])}>]|\sat\s++\S++\s++dot\s")
 _TRACE_DIGITS = re.compile(rf"(?i)\b(?:{_NUMBER})[ ,.-]{{1,2}}(?:{_NUMBER}|[0-9])\b")
 
 
@@ -132,10 +133,11 @@ class Traced:
         return int(self.at[start]), int(self.to[end - 1])
 
 
-def _plain(m: re.Match) -> str | None:
-    c = m[0]
+@functools.lru_cache(maxsize=1 << 12)
+def _plain(c: str) -> str:
+    """The ASCII character that a character looks like, or itself."""
     new = HOMOGLYPHS.get(c) or unicodedata.normalize("NFKC", c)
-    return new if new.isascii() and new.isprintable() and len(new) == 1 else None
+    return new if new.isascii() and new.isprintable() and len(new) == 1 else c
 
 
 _STRANGE = re.compile("[Ͱ-ԯ -⁯①-⓿＀-￯\U0001d400-\U0001d7ff]")
@@ -155,7 +157,7 @@ def normalise(text: str) -> Traced | None:
         return None
     traced = Traced(text)
     if glyphs:
-        traced.rewrite(_STRANGE, _plain)
+        traced.text = _STRANGE.sub(lambda m: _plain(m[0]), text)  # one for one: places stay
     traced.rewrite(_SPELLED, _spelled)
     traced.rewrite(_AT, lambda m: "@", blanks=True)
     traced.rewrite(_DOT, lambda m: ".", blanks=True)
@@ -164,15 +166,11 @@ def normalise(text: str) -> Traced | None:
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans)."""
-    base = detect(text)
-    traced = normalise(text)
-    if traced is None or traced.text == text:
-        return base, []
+    base, others = _both(text)
     ends = {kind: [d for k, _, d in base if k == kind] for kind in KINDS}
     starts = {kind: [c for k, c, _ in base if k == kind] for kind in KINDS}
     added, last = [], dict.fromkeys(KINDS, 0)
-    for kind, a, b in detect(traced.text):
-        a, b = traced.source(a, b)
+    for kind, a, b in others:
         # spans of a kind do not overlap and both lists are in order: the first base span that ends after a decides
         near = bisect.bisect_right(ends[kind], a)
         if a >= last[kind] and (near == len(ends[kind]) or starts[kind][near] >= b):
@@ -181,6 +179,14 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     return base, added
 
 
+def _both(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Spans of the text, and those of its normal form where that is another, in characters of the text."""
+    base, traced = detect(text), normalise(text)
+    if traced is None or traced.text == text:
+        return base, []
+    return base, [(kind, *traced.source(a, b)) for kind, a, b in detect(traced.text)]
+
+
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
@@ -204,13 +210,22 @@ def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
 
 
 def mask(text: str) -> str:
-    """The text with each found span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    base, added = find(text)
+    """The text with personal data replaced by its kind in angle brackets.
+
+    Spans of the text and of its normal form count alike here: what overlaps is one stretch, and is replaced as a whole,
+    so that no disguised part of an identifier is left beside the plain one. It is named by its first and longest span.
+    """
+    merged: list[list] = []
+    base, others = _both(text)
+    for kind, a, b in sorted(base + others, key=lambda s: (s[1], -s[2])):
+        if merged and a < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], b)
+        else:
+            merged.append([kind, a, b])
     out, last = [], 0
-    for kind, a, b in sorted(base + added, key=lambda s: (s[1], -s[2])):
-        if a >= last:
-            out += [text[last:a], f"<{kind}>"]
-        last = max(last, b)
+    for kind, a, b in merged:
+        out += [text[last:a], f"<{kind}>"]
+        last = b
     return "".join(out) + text[last:]
 
 
