@@ -9,9 +9,12 @@ by exact edit distance of the item against the stretch around the window, ends f
 Before they are embedded, windows are screened: an item of n words within d edits shares at least n - 1 - 2d word
 pairs with the stretch, and every window that holds so many in its own row is embedded: passages may stand side by
 side, so none is left out for a better neighbour. At a row's ends windows reach over it, filled with blanks, by as
-many words as may be missing, so a document that is an item cut short has windows as well. Pairs of items are held in a table of fixed size (``slots``), with a mask of
-size classes, so the table can be broadcast however large the benchmark is; so are the keys of items. Candidates then meet their items in a shuffled (or, if Spark finds it small, broadcast)
-join.
+many words as may be missing, so a document that is an item cut short has windows as well. Pairs of items are held in
+a table with a mask of size classes, and keys in another; both grow with the benchmark up to a fixed size (``MOST_PAIRS``,
+``MOST_KEYS``), so they can be broadcast however large it is: where it outgrows them they let more pass, and the result
+is the same. Windows of equal words are embedded once, and of equal stretches of a text the first is verified, so work on
+a repetitive text is that on its words. Candidates then meet their items in a shuffled (or, if Spark finds it small,
+broadcast) join.
 
 Words are those of the text with A-Z in lower case. Cases: null or empty texts and items have no words and match
 nothing; items of fewer than five words allow no edits, so an item of one word is in every text that has the word; rows
@@ -23,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,10 @@ from slotforge.llm.textops import Words, mix, rolling
 
 _U = np.uint64
 CLASSES = 64
-#: Windows that are embedded at a time.
-BLOCK = 1024
+#: Windows that are embedded at a time; words that a walk goes over at most.
+BLOCK, LONG = 1024, 64
+#: Least and most places of the tables of word pairs and of keys: 32 MB each at most.
+LEAST, MOST_PAIRS, MOST_KEYS = 1 << 20, 1 << 22, 1 << 25
 
 
 def _own_blank(windows: np.ndarray) -> np.ndarray:
@@ -84,16 +90,27 @@ def _courses(n: int, repeats: int, places: int) -> tuple[list[int], list[list[in
 
 
 def keys(windows: np.ndarray, repeats: int, places: int) -> np.ndarray:
-    """(repeats, rows): a hash of sampled places of each walk; windows of other sizes have other keys.
+    """(walks, rows): a hash of sampled places of each walk; windows of other sizes have other keys.
 
-    All walks go on side by side, each to its last sampled place.
+    A walk loses its step with every edit, so that far places of a long window hardly agree. Windows of more than
+    ``LONG`` words take their walks from the beginning, from the middle, and from the end backwards, each over as many
+    words: ``repeats`` of each, so that recall does not fall with the size.
     """
+    n = windows.shape[1]
+    if n <= LONG:
+        return _keys(windows, n, repeats, places, 0)
+    parts = windows[:, :LONG], windows[:, n // 2 : n // 2 + LONG], windows[:, : -LONG - 1 : -1]
+    return np.concatenate([_keys(part, n, repeats, places, k) for k, part in enumerate(parts)])
+
+
+def _keys(windows: np.ndarray, size: int, repeats: int, places: int, part: int) -> np.ndarray:
+    """Keys of walks over these words; all walks go on side by side, each to its last sampled place."""
     rows, n = windows.shape
     order, chosen, turns = _courses(n, repeats, places)
     padded = _own_blank(windows).ravel()
     start = np.arange(rows) * (n + 1)
     at, end = np.tile(start, (repeats, 1)), start + n
-    key = np.repeat(mix(np.array([s * 65_536 + n for s in order], np.uint64))[:, None], rows, axis=1)
+    key = np.repeat(mix(np.array([(part << 40) + s * 65_536 + size for s in order], np.uint64))[:, None], rows, axis=1)
     for step in range(turns.shape[1]):
         on = sum(places[-1] >= step for places in chosen)
         word = padded[at[:on]]
@@ -158,26 +175,41 @@ class Screen:
         # a window with enough pairs has a first one, and the others within n words of it
         far = own[need - 1 :] - own[: len(own) - need + 1] <= n - 2
         first = own[: len(own) - need + 1][far]
+        first = first[w.counts[row[first]] >= n - d]
         if not len(first):
             return first, first
-        at = (first[:, None] + np.arange(-2 * d, 1)[None, :]).ravel()
-        own_row = np.repeat(row[first], 2 * d + 1)
-        # a window may stand over its row's ends by as many words as a passage may lack there
-        inside = (at >= w.bounds[own_row] - d) & (at + n <= w.bounds[own_row + 1] + d) & (w.counts[own_row] >= n - d)
-        span = len(w.hashes) + 2 * n
-        own_row, at = np.divmod(np.unique(own_row[inside] * span + at[inside] + n), span)
-        at -= n
+        # it begins up to 2d words before that; it may stand over its row's ends by as many words as a passage may lack
+        # there. All beginnings of a row are a span of counters, of which each first pair covers a part
+        rows, k = np.unique(row[first], return_inverse=True)
+        base = np.concatenate(([0], np.cumsum(w.counts[rows] - n + 2 * d + 1)))
+        begin = first - w.bounds[rows[k]]
+        low, high = np.maximum(begin - 2 * d, -d), np.minimum(begin, w.counts[rows[k]] - n + d)
+        some = low <= high
+        here = base[k] + d
+        covered = np.bincount((here + low)[some], minlength=base[-1] + 1) - np.bincount((here + high + 1)[some], minlength=base[-1] + 1)
+        place = np.flatnonzero(np.cumsum(covered) > 0)
+        k = np.searchsorted(base, place, "right") - 1
+        own_row, at = rows[k], place - base[k] - d + w.bounds[rows[k]]
         # pairs of the window that lie in its own row
         lo, hi = np.maximum(at, w.bounds[own_row]), np.minimum(at + n, w.bounds[own_row + 1]) - 1
         enough = np.searchsorted(own, hi, "left") - np.searchsorted(own, lo, "left") >= need
         return own_row[enough], at[enough]
 
-    def candidates(self, texts: pa.Array) -> list[tuple[int, int, int, int, bytes]]:
+    def _distinct(self, w: Words, own_row: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of windows without those whose words came before, for each window its place among them)."""
+        every = np.arange(len(at))
+        if len(at) <= 4 * BLOCK:
+            return every, every
+        inside = (at >= w.bounds[own_row]) & (at + n <= w.bounds[own_row + 1])
+        same = np.where(inside, rolling(w.hashes, n)[np.clip(at, 0, max(0, len(w.hashes) - n))] if len(w.hashes) >= n else _U(0), mix(every.astype(np.uint64)))
+        _, first, back = np.unique(same, return_index=True, return_inverse=True)
+        return first, back
+
+    def candidates(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bytes]]:
         """(key, item size, row, first word in the row, words) of the stretches that have a key of an item."""
         w = Words(texts, lower=True)
-        out: list[tuple] = []
         if not self.sizes or not len(w.starts):
-            return out
+            return
         slots, left, row = len(self.mask), w.left(), w.row()
         hit = np.append(self.mask[_slot(rolling(w.hashes, 2), slots)], _U(0))[: len(w.hashes)] * (left > 1)
         dense = np.flatnonzero(hit != 0)
@@ -197,24 +229,40 @@ class Screen:
             begin = np.flatnonzero(np.append(True, np.diff(group) != 0))
             # a window that holds enough pairs is so many words off its passage at most
             last, off = np.append(begin[1:], len(at)) - 1, 2 * int(self.ratio * n) + 1
-            hits = set()
-            for k in range(0, len(at), BLOCK):
-                found = keys(_padded(w, own_row[k : k + BLOCK], at[k : k + BLOCK], n), self.repeats, self.places)
-                r, j = np.nonzero(self.known[_slot(found, slots)])
-                hits.update(zip(group[k + j].tolist(), found[r, j].view(np.int64).tolist(), strict=True))
-            for g, key in sorted(hits):
+            # windows of equal words have equal keys: repetitive texts have few of them
+            chosen, back = self._distinct(w, own_row, at, n)
+            own_keys: dict[int, list[int]] = {}
+            for k in range(0, len(chosen), BLOCK):
+                block = chosen[k : k + BLOCK]
+                found = keys(_padded(w, own_row[block], at[block], n), self.repeats, self.places)
+                r, j = np.nonzero(self.known[_slot(found, len(self.known))])
+                for window, key in zip((k + j).tolist(), found[r, j].view(np.int64).tolist(), strict=True):
+                    own_keys.setdefault(window, []).append(key)
+            if not own_keys:
+                continue
+            hit_windows = np.flatnonzero(np.isin(back, np.fromiter(own_keys, np.int64)))
+            row_now, seen = -1, set()
+            for g in np.unique(group[hit_windows]).tolist():
                 i = int(own_row[begin[g]])
                 a, b = max(int(w.bounds[i]), int(at[begin[g]]) - off), min(int(w.bounds[i + 1]), int(at[last[g]]) + n + off)
-                out.append((key, n, i, a - int(w.bounds[i]), w.hashes[a:b].tobytes()))
-        return out
+                words = w.hashes[a:b].tobytes()
+                if i != row_now:
+                    row_now, seen = i, set()
+                # of equal stretches of a row the first is the one that is reported
+                own_id = hashlib.blake2b(words, digest_size=16).digest()
+                inside = hit_windows[np.searchsorted(hit_windows, begin[g]) : np.searchsorted(hit_windows, last[g], "right")]
+                for key in sorted({key for x in np.unique(back[inside]).tolist() for key in own_keys[x]}):
+                    if (own_id, key) not in seen:
+                        seen.add((own_id, key))
+                        yield key, n, i, a - int(w.bounds[i]), words
 
 
-def _item_slots(words: np.ndarray, slots: int) -> list[int]:
-    return _slot(rolling(words, 2) if len(words) > 1 else mix(words), slots).tolist()
+def _item_pairs(words: np.ndarray) -> list[int]:
+    return (rolling(words, 2) if len(words) > 1 else mix(words)).view(np.int64).tolist()
 
 
-def prepare(benchmark: DataFrame, *, item_column: str, text_column: str, repeats: int, places: int, slots: int) -> DataFrame:
-    """(item_id, n, words, keys, pairs): word hashes, keys and pair slots of each item that has a word."""
+def prepare(benchmark: DataFrame, *, item_column: str, text_column: str, repeats: int, places: int) -> DataFrame:
+    """(item_id, n, words, keys, pairs): hashes of the words, walks and word pairs of each item that has a word."""
     items = textops.keyed(benchmark, {"item_id": item_column, "text": text_column}).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,39 +274,56 @@ def prepare(benchmark: DataFrame, *, item_column: str, text_column: str, repeats
                 chosen = np.flatnonzero(w.counts == n)
                 words = w.hashes[w.bounds[chosen][:, None] + np.arange(n)[None, :]]
                 found = keys(words, repeats, places).view(np.int64)
-                out += [(ids[i], n, words[k].tobytes(), found[:, k].tolist(), _item_slots(words[k], slots)) for k, i in enumerate(chosen)]
+                out += [(ids[i], n, words[k].tobytes(), found[:, k].tolist(), _item_pairs(words[k])) for k, i in enumerate(chosen)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "words", "keys", "pairs"])
 
     return textops.cut(items.mapInArrow(textops.releasing(run), "item_id long, n long, words binary, keys array<long>, pairs array<long>"))
 
 
+def _table_size(wanted: int, most: int) -> int:
+    size = LEAST
+    while size < min(wanted, most):
+        size *= 2
+    return size
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
-    item_text_column: str = "text", ratio: float = 0.2, repeats: int = 16, places: int = 2, slots: int = 1 << 20,
+    item_text_column: str = "text", ratio: float = 0.2, repeats: int = 16, places: int = 2,
 ) -> DataFrame:
     """(doc_id, item_id, distance, item_words, end_word): one row for each document and item that it contains."""
     docs = textops.keyed(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prepared = prepare(benchmark, item_column=item_column, text_column=item_text_column, repeats=repeats, places=places, slots=slots)
-    # both at most `slots` rows of a few numbers, whatever the benchmark's size
-    masks = prepared.select(F.explode("pairs").alias("slot"), F.expr(f"shiftleft(1L, int(n % {CLASSES}))").alias("bit"))
-    masks = masks.groupBy("slot").agg(F.bit_or("bit").alias("mask")).toArrow()
-    key_slots = prepared.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 20).bitwiseAND(F.lit(slots - 1)).alias("slot")).distinct().toArrow()
+    prepared = prepare(benchmark, item_column=item_column, text_column=item_text_column, repeats=repeats, places=places)
+    total = prepared.agg(F.sum(F.size("pairs")), F.sum(F.size("keys"))).first()
+    pair_slots, key_slots = (_table_size(8 * (n or 0), most) for n, most in zip(total, (MOST_PAIRS, MOST_KEYS), strict=True))
+    slot_of = lambda c, slots: F.shiftrightunsigned(c, 20).bitwiseAND(F.lit(slots - 1)).alias("slot")
+    # as many rows of a few numbers as the tables have places at most, whatever the benchmark's size
+    masks = prepared.select(F.explode("pairs").alias("pair"), F.expr(f"shiftleft(1L, int(n % {CLASSES}))").alias("bit"))
+    masks = masks.groupBy(slot_of("pair", pair_slots)).agg(F.bit_or("bit").alias("mask")).toArrow()
+    marked = prepared.select(F.explode("keys").alias("key")).select(slot_of("key", key_slots)).distinct().toArrow()
     sizes = sorted(r["n"] for r in prepared.select("n").distinct().collect())  # one for each length of an item
-    mask = np.zeros(slots, np.uint64)
+    mask = np.zeros(pair_slots, np.uint64)
     mask[masks.column(0).to_numpy()] = masks.column(1).to_numpy().view(np.uint64)
-    known = np.zeros(slots, bool)
-    known[key_slots.column(0).to_numpy()] = True
+    known = np.zeros(key_slots, bool)
+    known[marked.column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(Screen(mask, known, sizes, ratio, repeats, places))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        def packed(found: list) -> pa.RecordBatch:
+            columns, kinds = list(zip(*found, strict=True)) or [[]] * 5, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "n", "doc_id", "at", "stretch"])
+
         for batch in batches:
             for part in textops.slices(batch, 1, 4 << 20):
-                ids = part.column(0)
-                found = [(key, n, ids[i].as_py(), at, words) for key, n, i, at, words in shared.value.candidates(part.column(1))]
-                columns = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "n", "doc_id", "at", "stretch"])
+                ids, found, size = part.column(0), [], 0
+                for key, n, i, at, words in shared.value.candidates(part.column(1)):
+                    found.append((key, n, ids[i].as_py(), at, words))
+                    size += len(words)
+                    if size > 4 << 20:
+                        yield packed(found)
+                        found, size = [], 0
+                yield packed(found)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -160,3 +160,82 @@ def test_a_very_long_text_and_clashing_columns(spark):
     benchmark = spark.createDataFrame([(*x, 1, 2) for x in items], "item_id long, text string, n int, keys int")
     assert {(r.doc_id, r.item_id, r.distance) for r in decontam.find(df, benchmark).collect()} == {(1, i, 0) for i in range(3)}
     assert decontam.drop_contaminated(df, benchmark).collect() == [(2, "z1 z2", 5, 6, 7, "q")]
+
+
+def altered(rng, item, edits):
+    """The item after so many substitutions, deletions and insertions at places of their own."""
+    out = [[w] for w in item]
+    for at in rng.sample(range(len(item)), edits):
+        out[at] = rng.choice([[f"new{rng.randrange(10**6)}"], [], [item[at], f"new{rng.randrange(10**6)}"]])
+    return [w for part in out for w in part]
+
+
+def test_recall_does_not_fall_with_the_size(spark):
+    """At the stated ratio and at half of it, items of all sizes; other words stand around them."""
+    rng = random.Random(21)
+    items, docs, cells = [], [], {}
+    for n in (6, 50, 65, 200, 500):
+        for ratio in (0.1, 0.2):
+            for _ in range(50):
+                item = [f"t{rng.randrange(20_000)}" for _ in range(n)]
+                around = [[f"a{rng.randrange(20_000)}" for _ in range(rng.randrange(80))] for _ in range(2)]
+                docs.append((len(docs), " ".join(around[0] + altered(rng, item, int(ratio * n)) + around[1])))
+                items.append((len(items), " ".join(item)))
+                cells[len(items) - 1] = (n, ratio)
+    found = {(r.doc_id, r.item_id) for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {cell: sum((i, i) in found for i, c in cells.items() if c == cell) / 50 for cell in set(cells.values())}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def _screen(items, ratio=0.2):
+    import pyarrow as pa
+    from slotforge.llm.textops import Words
+
+    mask, known = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, bool)
+    for item in items:
+        words = Words(pa.array([item]), lower=True).hashes
+        n = len(words)
+        mask[decontam._slot(np.array(decontam._item_pairs(words), np.int64).view(np.uint64), 1 << 20)] |= np.uint64(1 << (n % decontam.CLASSES))
+        known[decontam._slot(decontam.keys(words[None, :], 16, 2).ravel(), 1 << 20)] = True
+    return decontam.Screen(mask, known, sorted({len(i.split()) for i in items}), ratio, 16, 2)
+
+
+@pytest.mark.parametrize("size,edited", [(300, False), (1000, False), (1000, True)])
+def test_long_repetitive_texts_take_bounded_memory(size, edited):
+    """4 MB of one item again and again, exact or with a word changed in each copy."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    item = [f"t{rng.randrange(90_000)}" for _ in range(size)]
+    copies = (4 << 20) // len(" ".join(item))
+    parts = [list(item) for _ in range(copies)]
+    if edited:
+        for part in parts[:60]:
+            part[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+    text, screen = " ".join(w for part in parts for w in part), _screen([" ".join(item)])
+    tracemalloc.start()
+    start, found = time.process_time(), 0
+    for _ in screen.candidates(pa.array([text])):
+        found += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 500 << 20 and time.process_time() - start < 120
+
+
+def test_a_repetitive_text_reports_its_first_copy(spark):
+    rng = random.Random(4)
+    item = [f"t{rng.randrange(90_000)}" for _ in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(["a", "b"] + item * 400)), (2, " ".join(item * 300 + ["end"]))], "doc_id long, text string")
+    found = {r.doc_id: (r.distance, r.end_word) for r in decontam.find(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {1: (0, 32), 2: (0, 30)}
+
+
+def test_tables_that_are_too_small_change_nothing(planted, monkeypatch):
+    df, benchmark, _, _ = planted
+    want = sorted(map(tuple, decontam.find(df, benchmark).collect()), key=str)
+    for name in ("LEAST", "MOST_PAIRS", "MOST_KEYS"):
+        monkeypatch.setattr(decontam, name, 64)
+    assert sorted(map(tuple, decontam.find(df, benchmark).collect()), key=str) == want
