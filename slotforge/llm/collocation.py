@@ -5,8 +5,8 @@ occurs ``least`` times or more in its language is a candidate; it is scored by i
 the phrase times all words of the language over the product of its parts' counts.
 
 1. Filters: a phrase is frequent only if its words, and the phrases in it, are. Counts of hashes, in passes over the
-   texts, leave a bitmap of at most 32 MB of what may be frequent; where frequent phrases outgrow it, it lets more pass,
-   and what follows is exact without it.
+   texts, leave bitmaps of at most 32 MB of what may be frequent; where frequent phrases outgrow them, they let more
+   pass, and what follows is exact without them. Words count only if a frequent phrase has them.
 2. Shards: each task counts the phrases that may be frequent, sorts them and builds, one by one, count transducers: for
    each first word an automaton over words whose outputs, added up along a path, are the phrase's count. Equal ends are
    shared.
@@ -41,6 +41,9 @@ _U = np.uint64
 LONGEST, SALTS = 5, 16
 #: Lookups of one prefix that one copy of its transducer answers; entries of a task's counters before it writes them.
 LOOKUPS, HELD = 5_000, 1_000_000
+#: Keys of phrases in filters; entries of a task's counts of keys before it writes them; text of a shard of them.
+KEY_BITS, FLUSH, SHARD_BYTES = 48, 2_000_000, 8 << 20
+NEEDED = np.uint64(0xD6E8FEB86659FD93)
 _BREAK, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _GAP[[*b" \t"]] = True
@@ -67,9 +70,13 @@ class Pieces(Words):
             for k in range(1, size):
                 out[:-k] = out[:-k] * _STEP + self.hashes[k:]
                 out[:-k] ^= out[:-k] >> _U(29)
-            self.made[size] = mix(out)
+            self.made[size] = mix(out) & _U((1 << KEY_BITS) - 1)
         return self.made[size]
 
+    def needed(self) -> np.ndarray:
+        """Keys that tell of each word that it is in a frequent phrase."""
+        return mix(self.keys(1) + NEEDED) & _U((1 << KEY_BITS) - 1)
+
 
 class Filter(textops.IdBits):
     """Which hashes may be of frequent phrases."""
@@ -92,16 +99,49 @@ def _possible(pieces: Pieces, size: int, filters: dict[int, Filter]) -> np.ndarr
     return at
 
 
-def _filter(docs: DataFrame, sizes: tuple[int, ...], filters: dict[int, Filter], least: int) -> Filter:
-    """Hashes of the phrases of these sizes that occur ``least`` times or more."""
+def _encoded(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys as steps of four bytes (eight where one is too wide), counts as one byte with the large ones behind."""
+    steps = np.diff(keys, prepend=_U(0))
+    wide = len(steps) and int(steps.max()) >= 1 << 32
+    small = np.minimum(counts, 255).astype(np.uint8)
+    head = np.array([len(keys), wide], np.int64)
+    return head.tobytes() + steps.astype(np.uint64 if wide else np.uint32).tobytes() + small.tobytes() + counts[small == 255].astype(np.int64).tobytes()
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, wide = np.frombuffer(data, np.int64, 2).tolist()
+    kind = np.dtype(np.uint64 if wide else np.uint32)
+    at = 16 + size * kind.itemsize
+    small = np.frombuffer(data, np.uint8, size, at)
+    counts = small.astype(np.int64)
+    counts[small == 255] = np.frombuffer(data[at + size :], np.int64)
+    return np.cumsum(np.frombuffer(data, kind, size, 16).astype(np.uint64)), counts
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(place, np.concatenate(counts)).astype(np.int64)
+
+
+def _filter(docs: DataFrame, sizes: tuple[int, ...], filters: dict[int, Filter], least: int, shards: int) -> Filter:
+    """Keys of the phrases of these sizes that occur ``least`` times or more.
+
+    Where frequent pairs are known, the words in them pass as well, under keys of their own (``NEEDED``). Each task's
+    counts are dealt by key to ``shards``, packed; two phrases of one key (of 48 bits) only let more pass.
+    """
+    bits = KEY_BITS - shards.bit_length() + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
 
-        def out() -> pa.RecordBatch:
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(total)], ["key", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n = _summed(keys, counts)
+            shard = (key >> _U(bits)).astype(np.int64)
+            cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+            for first in range(0, len(cuts) - 1, 4096):
+                part = cuts[first : first + 4097]
+                packed = [_encoded(key[a:b] & _U((1 << bits) - 1), n[a:b]) for a, b in zip(part[:-1].tolist(), part[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[part[:-1]]), pa.array(packed, pa.binary())], ["shard", "data"])
 
         for batch in batches:
             for part in textops.slices(batch, 1):
@@ -110,15 +150,25 @@ def _filter(docs: DataFrame, sizes: tuple[int, ...], filters: dict[int, Filter],
                     key, n = np.unique(pieces.keys(size)[_possible(pieces, size, filters)], return_counts=True)
                     keys.append(key)
                     counts.append(n)
-                    held += len(key)
-            if held > HELD:
-                yield out()
+                if 2 in filters:
+                    pairs = _possible(pieces, 2, filters)
+                    key = np.unique(pieces.needed()[np.concatenate((pairs, pairs + 1))])
+                    keys.append(key)
+                    counts.append(np.full(len(key), least))
+                held = sum(map(len, keys))
+            if held > FLUSH:
+                yield from out()
                 keys, counts, held = [], [], 0
         if keys:
-            yield out()
+            yield from out()
+
+    def total(table: pa.Table) -> pa.Table:
+        key, n = _summed(*zip(*[_decoded(x) for x in table.column("data").to_pylist()], strict=True))
+        key = key[n >= least] | _U(table.column("shard")[0].as_py()) << _U(bits)
+        return pa.table({"key": pa.array(key.view(np.int64), pa.int64())})
 
-    counted = docs.mapInArrow(textops.releasing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return Filter(textops.cut(counted.where(F.col("n") >= least).select("key")))
+    counted = docs.mapInArrow(textops.releasing(run), "shard long, data binary").groupBy("shard").applyInArrow(total, "key long")
+    return Filter(textops.cut(counted))
 
 
 class Transducer:
@@ -236,12 +286,13 @@ def _shard_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _count(pieces: Pieces, langs: list[str], filters: dict[int, Filter], held: dict[str, Counter], longest: int) -> None:
     """Adds the phrases of a slice that may be frequent."""
-    row = pieces.row()
+    row, text = pieces.row(), pieces.data.tobytes().lower()
+    starts, ends = pieces.starts.tolist(), pieces.ends.tolist()
     for size in range(1, longest + 1):
-        at = _possible(pieces, size, filters)
+        at = np.flatnonzero(filters[max(filters)].may(pieces.needed())) if size == 1 else _possible(pieces, size, filters)
         _, first, n = np.unique(pieces.keys(size)[at], return_index=True, return_counts=True)
         for k, times in zip(at[first].tolist(), n.tolist(), strict=True):
-            words = tuple(bytes(pieces.data[a:b]).lower() for a, b in zip(pieces.starts[k : k + size].tolist(), pieces.ends[k : k + size].tolist(), strict=True))
+            words = tuple([text[a:b] for a, b in zip(starts[k : k + size], ends[k : k + size], strict=True)])
             held[langs[row[k]]][words] += times
 
 
@@ -357,10 +408,9 @@ def counts(docs: DataFrame, *, least: int = 100, longest: int = LONGEST, lang_co
     """(transducers, words): a transducer of the frequent phrases by language and first word; each language's words."""
     docs = textops.keyed(docs, {"lang": lang_column, "text": text_column}).withColumn("lang", F.coalesce("lang", F.lit("und")))
     filters: dict[int, Filter] = {}
-    for sizes in [(1,), (2,), tuple(range(3, longest))]:
-        if sizes:
-            made = _filter(docs, sizes, filters, least)
-            filters |= dict.fromkeys(sizes, made)
+    dealt = max(256, 1 << ((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES).bit_length())
+    for sizes in [(1,), (2,), tuple(range(3, max(4, longest)))]:
+        filters |= dict.fromkeys(sizes, _filter(docs, sizes, filters, least, dealt))
     rows = textops.cut(shards(docs, filters, longest))
     words = rows.where("prefix IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))
     salted = rows.where("prefix IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(SALTS)))
