@@ -52,9 +52,9 @@ def project(decisions: DataFrame) -> DataFrame:
 
 
 def chain_faults(decisions: DataFrame) -> DataFrame:
-    """(kind, decision_id): dangling, cross-slot and forward supersedes, duplicate ids."""
+    """(kind, decision_id): dangling, cross-slot and forward supersedes, duplicate ids; of a duplicate id the first counts."""
     d = decisions.select("decision_id", "target_id", "seq", "supersedes")
-    earlier = d.select(F.col("decision_id").alias("supersedes"), F.col("target_id").alias("of"), F.col("seq").alias("of_seq"))
+    earlier = d.groupBy(F.col("decision_id").alias("supersedes")).agg(F.min("target_id").alias("of"), F.min("seq").alias("of_seq"))
     linked = d.where("supersedes IS NOT NULL").join(earlier, "supersedes", "left")
     kind = F.when(F.col("of").isNull(), "dangling").when(F.col("of") != F.col("target_id"), "cross_slot").when(F.col("of_seq") >= F.col("seq"), "forward")
     twice = d.groupBy("decision_id").count().where("count > 1").select(F.lit("duplicate_id").alias("kind"), "decision_id")
@@ -179,17 +179,20 @@ def documents(delivered: DataFrame, profile: str | None = None) -> DataFrame:
     ready; a ready one whose page text or responses were missing is ready with caveats, which are named."""
     tier, status, name = F.col("tier"), F.col("status"), F.col("field")
     policy = status.isin(*POLICY_STATUS)
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, name))), "+")
+    bits = {n: 1 << i for i, n in enumerate(sorted(V.NAMES))}
+    bit = F.create_map(*[F.lit(x) for kv in bits.items() for x in kv])[name]
+    mask = lambda c: F.coalesce(F.bit_or(F.when(c, bit)), F.lit(0))
+    named = lambda m: F.array_join(F.array_compact(F.array(*[F.when(F.col(m).bitwiseAND(F.lit(b)) != 0, n) for n, b in bits.items()])), "+")
     flags = [c for c in ("ocr_missing", "first_missing", "second_missing") if c in delivered.columns]
     rows = delivered.groupBy("doc_id").agg(
         F.bool_or(reject_blocks(name, tier, profile) & (status == "rejected")).alias("rejected"), F.bool_or(blocks_posting(name, status, profile)).alias("open"),
-        F.count_if(status.isin("pending", "pending_tier1")).alias("pending"), joined(policy).alias("policy_disposed"), joined(policy & (tier == "TIER1")).alias("tier1_policy_disposed"),
+        F.count_if(status.isin("pending", "pending_tier1")).alias("pending"), mask(policy).alias("policy_disposed"), mask(policy & (tier == "TIER1")).alias("tier1_policy_disposed"),
         *[F.bool_or(c).alias(c) for c in flags],
     )
     caveats = F.array_join(F.array_compact(F.array(*[F.when(F.col(c), c) for c in flags] or [F.lit(None).cast("string")])), "+")
     ready = F.when(caveats != "", "ready_for_approval_with_caveats").otherwise("ready_for_approval")
     state = F.when(F.col("rejected"), "blocked").when(F.col("open"), "pending").otherwise(ready)
-    return rows.select("doc_id", state.alias("status"), "pending", caveats.alias("caveats"), "policy_disposed", "tier1_policy_disposed")
+    return rows.select("doc_id", state.alias("status"), "pending", caveats.alias("caveats"), *[named(c).alias(c) for c in ("policy_disposed", "tier1_policy_disposed")])
 
 
 def approvals_state(docs: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -232,11 +235,31 @@ def claim_faults(entries: DataFrame, claims: DataFrame) -> DataFrame:
     return entries.where("claim_id IS NOT NULL").join(own, "claim_id", "left").select(kind.alias("kind"), "doc_id", "field", "claim_id").where("kind IS NOT NULL")
 
 
-def projection_faults(delivered: DataFrame) -> DataFrame:
-    """(kind, doc_id, field) of slots whose status and value contradict each other."""
-    absent = F.col("status").isin("confirmed_absent", "policy_confirmed_absent") & F.col("v").isNotNull()
-    kind = F.when(absent, "absent_with_value").when((F.col("status") == "accepted") & F.col("v").isNull(), "accepted_without_value")
-    return delivered.select(kind.alias("kind"), "doc_id", "field").where("kind IS NOT NULL")
+def projection_faults(delivered: DataFrame, claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(kind, doc_id, field): all faults of each delivered slot against the ledgers that it is projected from.
+
+    ``delivered`` has doc_id, field, status, value, source (the decision's id, or ``policy:`` and a rule) and claim_id of
+    the slot table's row; ``claims`` claim_id, doc_id, field, value and ``primary`` (whether the first extractor drafted
+    it); ``decisions`` decision_id, claim_id, corrected_value. A slot has one primary claim at most.
+    """
+    of_row = claims.select("claim_id", F.col("value").alias("__row"), F.lit(True).alias("__row_is"))
+    decided = decisions.select(F.col("decision_id").alias("source"), F.col("claim_id").alias("__chosen"), F.col("corrected_value").alias("__new"), F.lit(True).alias("__decision"))
+    chosen = claims.select(F.col("claim_id").alias("__chosen"), F.col("value").alias("__claimed"), F.lit(True).alias("__chosen_is"))
+    first = claims.where("primary").select("doc_id", "field", F.col("value").alias("__first"), F.lit(True).alias("__first_is"))
+    rows = delivered.join(of_row, "claim_id", "left").join(decided, "source", "left").join(chosen, "__chosen", "left").join(first, ["doc_id", "field"], "left")
+    value, status, has, not_same = F.col("value"), F.col("status"), lambda c: F.col(c).isNotNull(), lambda c: ~F.col("value").eqNullSafe(F.col(c))
+    rules = {
+        "row_not_of_claim": has("__row_is") & not_same("__row"),
+        "accepted_without_claim": (status == "accepted") & ~has("__chosen_is"),
+        "accepted_not_of_claim": (status == "accepted") & has("__chosen_is") & not_same("__claimed"),
+        "corrected_not_of_decision": (status == "corrected") & (~has("__decision") | not_same("__new")),
+        "value_where_none_may_be": status.isin("rejected", "confirmed_absent", "not_applicable", "abstained") & value.isNotNull(),
+        "absence_not_of_policy": (status == "policy_confirmed_absent") & (value.isNotNull() | ~F.coalesce(F.col("source").startswith("policy:"), F.lit(False))),
+        "release_not_of_claim": status.isin("policy_accepted", "unreviewed_corroborated") & (~has("__first_is") | not_same("__first")),
+        "accepted_unbound": status == "accepted_unbound",
+    }
+    found = F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()]))
+    return rows.select(F.explode(found).alias("kind"), "doc_id", "field")
 
 
 def feedback(entries: DataFrame, probes: DataFrame) -> DataFrame:

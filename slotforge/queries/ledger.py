@@ -48,11 +48,17 @@ def v2(spark, d):
     return ledger.project(repaired(spark, d))
 
 
-@query("v17_chain_faults", f"""WITH {DEC}, l AS (SELECT r.did, r.target_id, r.seq, e.target_id of_, e.seq of_seq FROM rep2 r LEFT JOIN rep2 e ON e.did = r.supersedes WHERE r.supersedes IS NOT NULL)
+@query("v17_chain_faults", f"""WITH {DEC}, w AS (SELECT target_id, seq, CASE WHEN seq % 97 = 3 THEN 'D' || (seq - 700) ELSE did END did, CASE seq % 97 WHEN 1 THEN 'D' || (seq - 1) WHEN 2 THEN 'D' || (seq + 700) ELSE supersedes END supersedes FROM rep2),
+one AS (SELECT did, min(target_id) of_, min(seq) of_seq, count(*) n FROM w GROUP BY 1), l AS (SELECT w.did, w.target_id, w.seq, of_, of_seq FROM w LEFT JOIN one ON one.did = w.supersedes WHERE w.supersedes IS NOT NULL)
 SELECT kind, count(*) AS n FROM (SELECT CASE WHEN of_ IS NULL THEN 'dangling' WHEN of_ <> target_id THEN 'cross_slot' WHEN of_seq >= seq THEN 'forward' END kind FROM l
- UNION ALL SELECT 'duplicate_id' FROM rep2 GROUP BY did HAVING count(*) > 1) WHERE kind IS NOT NULL GROUP BY 1""")
+ UNION ALL SELECT 'duplicate_id' FROM one WHERE n > 1) WHERE kind IS NOT NULL GROUP BY 1""")
 def v17(spark, d):
-    return ledger.chain_faults(repaired(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    """The ledger with entries that name another slot's, a later one, or an id that was given before."""
+    seq, named = F.col("seq"), lambda n: F.concat(F.lit("D"), (F.col("seq") + n).cast("string"))
+    rows = repaired(spark, d).withColumns({
+        "decision_id": F.when(seq % 97 == 3, named(-700)).otherwise(F.col("decision_id")), "supersedes": F.when(seq % 97 == 1, named(-1)).when(seq % 97 == 2, named(700)).otherwise(F.col("supersedes")),
+    })
+    return ledger.chain_faults(rows).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("v16_hash_chains", """WITH c AS (SELECT conv_id chain_id, turn seq, sha256(conv_id || '|' || turn || '|' || coalesce(text, '')) digest FROM conversations),
@@ -232,10 +238,32 @@ def j15(spark, d):
     return ledger.claim_faults(made, claims).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("j16_projection_check", routed_sql("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN d.status IN ('confirmed_absent', 'policy_confirmed_absent') AND s.v IS NOT NULL THEN 'absent_with_value'
- WHEN d.status = 'accepted' AND s.v IS NULL THEN 'accepted_without_value' END kind FROM dl d JOIN slots s USING (doc_id, field)) WHERE kind IS NOT NULL GROUP BY 1""", _DELIVER))
+_KINDS16 = ("accepted", "corrected", "rejected", "confirmed_absent", "policy_confirmed_absent", "policy_accepted", "unreviewed_corroborated", "not_applicable", "accepted_unbound", "pending")
+_VALUE16 = "CASE WHEN {k} IN ('rejected', 'confirmed_absent', 'policy_confirmed_absent', 'not_applicable') AND l_suppkey % 7 <> 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'other' WHEN {k} = 'corrected' THEN 'new' || l_partkey ELSE 'v' || l_partkey END"
+
+
+@query("j16_projection_check", f"""WITH k AS (SELECT *, ({list(_KINDS16)})[l_partkey % 10 + 1] status, l_orderkey * 10 + l_linenumber id FROM lineitem),
+dl AS (SELECT l_orderkey doc_id, l_linenumber field, status, {_VALUE16.format(k="status")} AS value, CASE WHEN status IN ('accepted', 'corrected') THEN 'D' || id WHEN status LIKE 'policy%' AND l_suppkey % 5 <> 0 THEN 'policy:r' END source, CASE WHEN l_suppkey % 3 = 0 THEN id END claim_id FROM k),
+cl AS (SELECT id claim_id, l_orderkey doc_id, l_linenumber field, CASE WHEN status = 'corrected' THEN 'new' || l_partkey ELSE 'v' || l_partkey END AS value FROM k WHERE l_suppkey % 13 <> 0),
+de AS (SELECT 'D' || id decision_id, id claim_id, 'new' || l_partkey corrected_value FROM k WHERE l_suppkey % 17 <> 0),
+j AS (SELECT dl.*, r.value rv, r.claim_id rc, d.decision_id di, d.corrected_value nv, c.claim_id cc, c.value cv, f.claim_id fc, f.value fv FROM dl LEFT JOIN cl r ON r.claim_id = dl.claim_id LEFT JOIN de d ON d.decision_id = dl.source LEFT JOIN cl c ON c.claim_id = d.claim_id LEFT JOIN cl f ON f.doc_id = dl.doc_id AND f.field = dl.field),
+x AS (SELECT unnest([CASE WHEN rc IS NOT NULL AND value IS DISTINCT FROM rv THEN 'row_not_of_claim' END, CASE WHEN status = 'accepted' AND cc IS NULL THEN 'accepted_without_claim' END, CASE WHEN status = 'accepted' AND cc IS NOT NULL AND value IS DISTINCT FROM cv THEN 'accepted_not_of_claim' END,
+ CASE WHEN status = 'corrected' AND (di IS NULL OR value IS DISTINCT FROM nv) THEN 'corrected_not_of_decision' END, CASE WHEN status IN ('rejected', 'confirmed_absent', 'not_applicable', 'abstained') AND value IS NOT NULL THEN 'value_where_none_may_be' END,
+ CASE WHEN status = 'policy_confirmed_absent' AND (value IS NOT NULL OR source IS NULL OR source NOT LIKE 'policy:%') THEN 'absence_not_of_policy' END, CASE WHEN status IN ('policy_accepted', 'unreviewed_corroborated') AND (fc IS NULL OR value IS DISTINCT FROM fv) THEN 'release_not_of_claim' END,
+ CASE WHEN status = 'accepted_unbound' THEN 'accepted_unbound' END]) kind FROM j)
+SELECT kind, count(*) AS n FROM x WHERE kind IS NOT NULL GROUP BY 1""")
 def j16(spark, d):
-    return ledger.projection_faults(delivered(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    """Lines as delivered slots of every status against claims and decisions, some of which are gone or say something else."""
+    rows = table(spark, d, "lineitem").withColumns({
+        "status": F.get(F.array(*[F.lit(k) for k in _KINDS16]), (F.col("l_partkey") % 10).cast("int")), "id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "doc_id": F.col("l_orderkey"), "field": F.col("l_linenumber"),
+    })
+    policy = F.when(F.col("status").startswith("policy") & (F.col("l_suppkey") % 5 != 0), "policy:r")
+    own = F.concat(F.lit("D"), F.col("id").cast("string"))
+    delivered = rows.select("doc_id", "field", "status", F.expr(_VALUE16.format(k="status")).alias("value"), F.when(F.col("status").isin("accepted", "corrected"), own).otherwise(policy).alias("source"), F.when(F.col("l_suppkey") % 3 == 0, F.col("id")).alias("claim_id"))
+    said = F.concat(F.when(F.col("status") == "corrected", "new").otherwise("v"), F.col("l_partkey").cast("string"))
+    claims = rows.where("l_suppkey % 13 <> 0").select(F.col("id").alias("claim_id"), "doc_id", "field", said.alias("value"), F.lit(True).alias("primary"))
+    made = rows.where("l_suppkey % 17 <> 0").select(own.alias("decision_id"), F.col("id").alias("claim_id"), F.concat(F.lit("new"), F.col("l_partkey").cast("string")).alias("corrected_value"))
+    return ledger.projection_faults(delivered, claims, made).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 _SEEN = f"""en AS (SELECT event_id, ({_NAMES})[event_id % 10 + 1] field, {_CASE} decision, CASE WHEN event_id % 3 <> 0 THEN event_id - event_id % 2 END claim_id, CASE WHEN event_type = 'purchase' THEN event_id % 5 || '.50' END cv,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
-from slotforge.operators import gates, metrics, routing, text
+from slotforge.operators import gates, metrics, routing, tables, text
 from slotforge.queries import base, query
 from slotforge.queries.base import table, with_sql
 from slotforge.queries.ledger import _CASE, KINDS
@@ -49,7 +49,7 @@ def a9(spark, d):
  AND len(list_filter(fails0, lambda x: x <> 'extraction_present')) = 0 ok FROM ts WHERE policy_id = 'P1') GROUP BY 1""", TRUTH))
 def a17(spark, d):
     """What an absence rule on each field would do to the first policy, all candidates in one pass."""
-    s = routable(spark, d)
+    s = tables.cut(routable(spark, d))
     return metrics.rule_search(s, truth(s), truth_docs(spark, d), POLICIES[0], V.NAMES, 0.07)
 
 
@@ -149,7 +149,7 @@ _CF = """cf AS (SELECT a.field, a.v, a.route IN ('auto_accept', 'auto_absent') o
 
 
 def _evaluation(spark, d):
-    s = routable(spark, d)
+    s = tables.cut(routable(spark, d))
     return metrics.counterfactual(routing.route(s, POLICIES[0]), routing.route(s, POLICIES[2]), truth(s))
 
 
@@ -167,7 +167,7 @@ cd AS (SELECT c.*, b.review r0, b.sa sa0, b.sw sw0 FROM ev2 c, (SELECT * FROM ev
  CASE WHEN sa > sa0 THEN 'silent_absent_rose' END, CASE WHEN sw > sw0 THEN 'silent_wrong_rose' END, CASE WHEN review > r0 THEN 'review_rose' END], lambda x: x IS NOT NULL), ',') AS refusals, 'truth_replay' AS basis FROM cd""", TRUTH + ",\n" + _EV2))
 def a20(spark, d):
     """Whether the second and the third policy may take the place of the first."""
-    s = routable(spark, d)
+    s = tables.cut(routable(spark, d))
     return metrics.gate(metrics.evaluate(s, truth(s), truth_docs(spark, d), POLICIES[0], POLICIES[1:]))
 
 

@@ -256,7 +256,8 @@ def a3(spark, d):
 @query("v4_r4_triage_order", routed_sql("""SELECT doc_id, field, row_number() OVER (ORDER BY CASE strength WHEN 'unsupported' THEN 0 WHEN 'single_source' THEN 1 ELSE 2 END,
  CAST(route NOT IN ('review', 'block') AS INT), doc_id, field) - 1 AS position FROM routed WHERE policy_id = 'P2'"""))
 def v4(spark, d):
-    return routing.triage(routing.route(routable(spark, d), POLICIES[1])).select("doc_id", "field", "position")
+    order = routing.route(routable(spark, d), POLICIES[1]).select("doc_id", "field", "strength", "route")
+    return routing.triage(order).select("doc_id", "field", "position")
 
 
 @query("a18_policy_replay", routed_sql("""SELECT policy_id, coalesce(doc_class, 'all') AS stratum, count_if(route = 'review') AS review, count_if(route = 'auto_accept') AS auto_accept,

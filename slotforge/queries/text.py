@@ -148,13 +148,19 @@ def f16(spark, d):
     return c.groupBy(F.when(F.col("strong") >= 2, "strong").when(F.col("strong") + F.col("weak") > 0, "weak").otherwise("none").alias("evidence")).agg(F.count("*").alias("docs"))
 
 
-GEO = """pts AS (SELECT vec_id word_id, vec_id % 50 page, 'w' || label AS value, label, CAST(floor((embedding[1] + 1) * 500) AS BIGINT) x, CAST(floor((embedding[2] + 1) * 500) AS BIGINT) y FROM embeddings)"""
+GEO = """sz AS (SELECT greatest(count(*) // 20, 1) pages, greatest(count(*) // 20 * 2 // 5, 1) docs FROM embeddings), pts AS (SELECT vec_id word_id, docs, vec_id % pages page, 'w' || label AS value, label, CAST(floor((embedding[1] + 1) * 500) AS BIGINT) x, CAST(floor((embedding[2] + 1) * 500) AS BIGINT) y FROM embeddings, sz)"""
+
+
+def _pages(spark, d):
+    """(pages, documents): twenty words a page and two or three pages a document, whatever the size of the table."""
+    pages = max(1, table(spark, d, "embeddings").count() // 20)
+    return pages, max(1, pages * 2 // 5)
 
 
 def _points(spark, d):
-    """Vectors as words of 50 pages: two components as a place on a grid of thousandths."""
+    """Vectors as words of pages: two components as a place on a grid of thousandths."""
     grid = lambda i: F.floor((F.get("embedding", F.lit(i)) + 1) * 500)
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("word_id"), (F.col("vec_id") % 50).alias("page"), F.concat(F.lit("w"), F.col("label").cast("string")).alias("value"), "label", grid(0).alias("x"), grid(1).alias("y"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("word_id"), (F.col("vec_id") % _pages(spark, d)[0]).alias("page"), F.concat(F.lit("w"), F.col("label").cast("string")).alias("value"), "label", grid(0).alias("x"), grid(1).alias("y"))
 
 
 def _words(spark, d):
@@ -215,7 +221,7 @@ def a33(spark, d):
 
 
 LABEL_PHRASES = [("seller_a", ["w1", "w2"], "seller", 0), ("buyer_a", ["w3"], "buyer", 1), ("seller_b", ["w4", "w5"], "seller", 2), ("buyer_b", ["w6", "w7"], "buyer", 3)]
-_LOCATED = f"""WITH {GEO}, wd AS (SELECT *, page % 20 doc_id, page // 20 pg, row_number() OVER (PARTITION BY page % 20 ORDER BY page // 20, y, x, word_id) - 1 pos FROM pts),
+_LOCATED = f"""WITH {GEO}, wd AS (SELECT *, page % docs doc_id, page // docs pg, row_number() OVER (PARTITION BY page % docs ORDER BY page // docs, y, x, word_id) - 1 pos FROM pts),
 lex(phrase_id, toks, side, ord) AS (VALUES {", ".join(f"('{i}', {t!r}, '{s}', {o})" for i, t, s, o in LABEL_PHRASES)}),
 ah AS (SELECT *, [value, lead(value) OVER w] run, [pg, lead(pg) OVER w] pgs, [x, lead(x) OVER w] xs, [y, lead(y) OVER w] ys FROM wd WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 hits AS (SELECT phrase_id, side, ord, doc_id, pos, pg page, list_min(xs[1:len(toks)]) x0, list_min(ys[1:len(toks)]) y0, list_max(xs[1:len(toks)]) + 20 x1, list_max(ys[1:len(toks)]) + 10 y1 FROM ah, lex WHERE run[1:len(toks)] = toks AND pgs[len(toks)] = pg)"""
@@ -223,7 +229,8 @@ hits AS (SELECT phrase_id, side, ord, doc_id, pos, pg page, list_min(xs[1:len(to
 
 def _located(spark, d):
     """Words of pages in reading order, and where the labels of two sides stand among them."""
-    grid = _grid(spark, d).withColumns({"doc_id": F.col("page") % 20, "page": F.floor(F.col("page") / 20)})
+    docs = _pages(spark, d)[1]
+    grid = _grid(spark, d).withColumns({"doc_id": F.col("page") % docs, "page": F.floor(F.col("page") / docs)})
     words = grid.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "word_id")) - 1).cast("int"))
     stream = words.select("doc_id", "pos", F.col("value").alias("tok"))
     return text.locate(text.phrase_hits(stream, _lexicon(spark, [p[:2] for p in LABEL_PHRASES]), 2), words)
@@ -243,11 +250,12 @@ def p1_first(spark, d):
     return text.first_hit(_located(spark, d), order).select("doc_id", "phrase_id", "page", "pos", "x0", "y0", "x1", "y1")
 
 
-@query("s1_words", f"""WITH {GEO} SELECT word_id, page % 20 AS doc_id, page // 20 AS page_idx, label // 5 AS block_idx, label % 5 AS line_idx,
+@query("s1_words", f"""WITH {GEO} SELECT word_id, page % docs AS doc_id, page // docs AS page_idx, label // 5 AS block_idx, label % 5 AS line_idx,
  row_number() OVER (PARTITION BY page, label ORDER BY word_id) - 1 AS word_idx, value, x AS x0, y + 10 AS y1 FROM pts WHERE word_id % 9 <> 0""")
 def s1(spark, d):
     """Words nested in pages, blocks and lines, some blank, and flattened again."""
-    w = _words(spark, d).withColumns({"doc_id": F.col("page") % 20, "page_idx": F.floor(F.col("page") / 20).cast("int"), "block_idx": F.floor(F.col("label") / 5), "line_idx": F.col("label") % 5})
+    docs = _pages(spark, d)[1]
+    w = _words(spark, d).withColumns({"doc_id": F.col("page") % docs, "page_idx": F.floor(F.col("page") / docs).cast("int"), "block_idx": F.floor(F.col("label") / 5), "line_idx": F.col("label") % 5})
     word = F.struct(F.when(F.col("word_id") % 9 != 0, F.col("value")).otherwise(" ").alias("value"), F.array(F.array("x0", "y0"), F.array("x1", "y1")).alias("geometry"), "word_id")
     nest = lambda rows, name, keys, item, order: rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("i")))), lambda x: x["i"]).alias(name))
     none = F.lit(None).cast("long")
