@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def gate(evaluation: DataFrame) -> DataFrame:
 
     ``evaluation`` has one row for each candidate: class_rules and evidence_rules (how many it has), probes_available,
     rule_truth (``scored`` or why not), rule_conflicts, scored, and silent_absent, silent_wrong and review of the
-    baseline (``_old``) and the candidate (``_new``). Without truth only the first checks can refuse.
+    baseline (``_old``) and the candidate (``_new``). Without truth only the first checks can refuse. Slots whose truth is
+    disputed are in none of these counts.
     """
     rules, rose = (F.col("class_rules") > 0) | ((F.col("evidence_rules") > 0) & F.col("probes_available")), lambda c: F.col("scored") & (F.col(f"{c}_new") > F.col(f"{c}_old"))
     checks = [
@@ -152,25 +154,71 @@ def gate(evaluation: DataFrame) -> DataFrame:
     return evaluation.select("candidate", F.array_join(F.array_compact(F.array(*checks)), ",").alias("refusals"), basis.alias("basis"))
 
 
-def evaluate(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, baseline: routing.Policy, candidates: list[routing.Policy], probes_available: bool = True) -> DataFrame:
-    """The rows that ``gate`` reads: each candidate against the baseline, all routed in one pass."""
-    policies = [baseline, *candidates]
-    rows = with_truth(routing.route_all(slots, policies), truth, truth_docs)
-    hit = (F.col("extraction_present") == "fail") & F.col("rule_id").isNotNull()
-    judged = rows.withColumn("__hit", hit).groupBy("policy_id").agg(
-        *[c.alias(n) for n, c in silent_counts().items() if n in ("review", "silent_absent", "silent_wrong")], F.max("scored").alias("scored"), F.count_if("__hit").alias("hits"),
-        F.count_if(F.col("__hit") & F.col("scored") & F.col("want").isNotNull()).alias("rule_conflicts"), F.count_if(F.col("__hit") & ~F.col("scored")).alias("blind"),
-    )
-    listed = slots.sparkSession.createDataFrame([(p.policy_id, len(p.absent), len(p.evidenced)) for p in candidates], "policy_id string, class_rules int, evidence_rules int")
-    measures = ("review", "silent_absent", "silent_wrong")
+def run_scores(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, policies: list[routing.Policy], probes: DataFrame | None = None, disputes: DataFrame | None = None) -> DataFrame:
+    """(run, policy_id, probes_available, review, silent_absent, silent_wrong, disputed, scored, hits, rule_conflicts,
+    rule_disputes, blind): each run of ``slots`` under each policy, in one pass over the slots.
+
+    ``hits`` are missing values that a rule expects, before sampling; of those with a value in truth, ``rule_disputes``
+    are the slots of ``disputes`` (doc_id, field), whose truth can be read in two ways, and ``rule_conflicts`` the others;
+    so are ``disputed`` and ``silent_absent`` of what was released as absent. ``probes`` (run, available): in a run
+    without absence probes no page-evidence rule can match. Without that table all runs have them.
+    """
+    have = probes.select("run", F.col("available").alias("probes_available")) if probes is not None else None
+    rows = slots.join(have, "run", "left") if have is not None else slots.withColumn("probes_available", F.lit(True))
+    rows = rows.withColumn("probes_available", F.coalesce("probes_available", F.lit(False)))
+    rows = rows.withColumn("absence_evidence", F.when(F.col("probes_available"), F.col("absence_evidence")))
+    rows = with_truth(routing.route_all(rows, policies), truth, truth_docs)
+    if disputes is not None:
+        rows = rows.join(disputes.select("doc_id", "field", F.lit(True).alias("__open")).distinct(), ["doc_id", "field"], "left")
+    else:
+        rows = rows.withColumn("__open", F.lit(None).cast("boolean"))
+    hit, open_ = (F.col("extraction_present") == "fail") & F.col("rule_id").isNotNull(), F.col("__open").isNotNull()
+    against, absent = F.col("scored") & F.col("want").isNotNull(), F.col("route") == "auto_absent"
+    counts = {n: c for n, c in silent_counts().items() if n in ("review", "silent_wrong")} | {
+        "silent_absent": F.count_if(absent & against & ~open_), "disputed": F.count_if(absent & against & open_), "hits": F.count_if(hit),
+        "rule_conflicts": F.count_if(hit & against & ~open_), "rule_disputes": F.count_if(hit & against & open_), "blind": F.count_if(hit & ~F.col("scored")),
+    }
+    return rows.groupBy("run", "policy_id").agg(F.bool_and("probes_available").alias("probes_available"), F.bool_or("scored").alias("scored"), *[c.alias(n) for n, c in counts.items()])
+
+
+def score_new_runs(slots: DataFrame, path: str, *given, **options) -> DataFrame:
+    """The scores of all runs, of which those stored at ``path`` are not computed again; new ones are added to it.
+
+    A run's slots do not change once it is written, so its scores hold as long as the policies are the same: there is a
+    path for each set of policies. Where ``slots`` lies in folders by run, the slots of stored runs are not read.
+    """
+    spark = slots.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = None
+    fresh = slots if stored is None else slots.join(stored.select("run").distinct(), "run", "left_anti")
+    run_scores(fresh, *given, **options).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def against_baseline(scores: DataFrame, baseline: routing.Policy, candidates: list[routing.Policy]) -> DataFrame:
+    """The rows that ``gate`` reads: each candidate against the baseline, over all runs of ``run_scores``."""
+    measures = ("review", "silent_absent", "silent_wrong", "disputed")
+    judged = scores.groupBy("policy_id").agg(*[F.sum(c).alias(c) for c in (*measures, "hits", "rule_conflicts", "rule_disputes", "blind")], F.bool_or("scored").alias("scored"), F.bool_and("probes_available").alias("probes_available"))
+    listed = scores.sparkSession.createDataFrame([(p.policy_id, len(p.absent), len(p.evidenced)) for p in candidates], "policy_id string, class_rules int, evidence_rules int")
     old = judged.where(F.col("policy_id") == baseline.policy_id).select(*[F.col(c).alias(f"{c}_old") for c in measures])
     new = judged.join(F.broadcast(listed), "policy_id").select(
-        F.col("policy_id").alias("candidate"), "class_rules", "evidence_rules", F.lit(probes_available).alias("probes_available"),
-        F.when(F.col("hits") == 0, "no_match").when(F.col("blind") > 0, "incomplete").otherwise("scored").alias("rule_truth"), "rule_conflicts", "scored", *[F.col(c).alias(f"{c}_new") for c in measures],
+        F.col("policy_id").alias("candidate"), "class_rules", "evidence_rules", "probes_available",
+        F.when(F.col("hits") == 0, "no_match").when(F.col("blind") > 0, "incomplete").otherwise("scored").alias("rule_truth"), "rule_conflicts", "rule_disputes", "scored", *[F.col(c).alias(f"{c}_new") for c in measures],
     )
     return new.crossJoin(F.broadcast(old))  # one row
 
 
+def evaluate(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, baseline: routing.Policy, candidates: list[routing.Policy], probes_available: bool = True, disputes: DataFrame | None = None) -> DataFrame:
+    """The rows that ``gate`` reads for slots of one run."""
+    probes = slots.sparkSession.createDataFrame([(0, probes_available)], "run int, available boolean")
+    scores = tables.cut(run_scores(slots.withColumn("run", F.lit(0)), truth, truth_docs, [baseline, *candidates], probes, disputes))  # a row for each policy
+    return against_baseline(scores, baseline, candidates)
+
+
 def rule_search(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, baseline: routing.Policy, fields: tuple[str, ...], empty_rate: float = 0.9) -> DataFrame:
     """(field, saved, cost, empty, documents, gated, blind): what an absence rule on each further field would do.
 
@@ -181,7 +229,7 @@ def rule_search(slots: DataFrame, truth: DataFrame, truth_docs: DataFrame, basel
     tried = [n for n in fields if n not in have]
     arms = [replace(baseline, policy_id=f"+{n}", absent=(*baseline.absent, (f"try_{n}", n))) for n in tried]
     rows = with_truth(routing.route_all(slots, [baseline, *arms]), truth, truth_docs)
-    scores = rows.groupBy("policy_id").agg(*[c.alias(n) for n, c in silent_counts().items() if n in ("review", "silent_absent")])
+    scores = tables.cut(rows.groupBy("policy_id").agg(*[c.alias(n) for n, c in silent_counts().items() if n in ("review", "silent_absent")]))  # a row for each field
     base = scores.where(F.col("policy_id") == baseline.policy_id).select(F.col("review").alias("r0"), F.col("silent_absent").alias("s0"))
     empty = slots.groupBy("field").agg(F.count_if(F.col("extraction_present") == "fail").alias("empty"), F.count("*").alias("documents"))
     out = scores.where(F.col("policy_id") != baseline.policy_id).crossJoin(F.broadcast(base)).select(F.substring("policy_id", 2, 100).alias("field"), (F.col("r0") - F.col("review")).alias("saved"), (F.col("silent_absent") - F.col("s0")).alias("cost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
@@ -158,17 +160,34 @@ def a19(spark, d):
     return _evaluation(spark, d)
 
 
-_EV2 = """ev2 AS (SELECT policy_id, count_if(route = 'review') review, count_if(scored AND route = 'auto_absent' AND want IS NOT NULL) sa, count_if(scored AND route = 'auto_accept' AND v IS DISTINCT FROM want) sw, bool_or(scored) scored,
- count_if(extraction_present = 'fail' AND rule_id IS NOT NULL) hits, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND scored AND want IS NOT NULL) conflicts, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND NOT scored) blind FROM ts GROUP BY 1),
+_EV2 = """ev2 AS (SELECT policy_id, count_if(route = 'review') review, count_if(scored AND route = 'auto_absent' AND want IS NOT NULL AND doc_id % 3 <> 1) sa, count_if(scored AND route = 'auto_accept' AND v IS DISTINCT FROM want) sw, bool_or(scored) scored,
+ count_if(extraction_present = 'fail' AND rule_id IS NOT NULL) hits, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND scored AND want IS NOT NULL AND doc_id % 3 <> 1) conflicts, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND NOT scored) blind FROM ts GROUP BY 1),
 cd AS (SELECT c.*, b.review r0, b.sa sa0, b.sw sw0 FROM ev2 c, (SELECT * FROM ev2 WHERE policy_id = 'P1') b WHERE c.policy_id <> 'P1')"""
 
 
 @query("a20_promotion_gate", routed_sql("""SELECT policy_id AS candidate, array_to_string(list_filter([CASE WHEN hits = 0 OR blind > 0 THEN 'rules_without_truth' END, CASE WHEN hits > 0 AND blind = 0 AND conflicts > 0 THEN 'rules_against_truth' END,
  CASE WHEN sa > sa0 THEN 'silent_absent_rose' END, CASE WHEN sw > sw0 THEN 'silent_wrong_rose' END, CASE WHEN review > r0 THEN 'review_rose' END], lambda x: x IS NOT NULL), ',') AS refusals, 'truth_replay' AS basis FROM cd""", TRUTH + ",\n" + _EV2))
 def a20(spark, d):
-    """Whether the second and the third policy may take the place of the first."""
+    """Whether the second and the third policy may take the place of the first; of a third of the documents truth is disputed."""
     s = tables.cut(routable(spark, d))
-    return metrics.gate(metrics.evaluate(s, truth(s), truth_docs(spark, d), POLICIES[0], POLICIES[1:]))
+    disputes = s.where("doc_id % 3 = 1").select("doc_id", "field")
+    return metrics.gate(metrics.evaluate(s, truth(s), truth_docs(spark, d), POLICIES[0], POLICIES[1:], disputes=disputes))
+
+
+_RUNS = routed_sql("""SELECT doc_id % 4 AS run, policy_id, doc_id % 4 <> 3 AS probes_available, bool_or(scored) AS scored, count_if(route = 'review') AS review, count_if(scored AND route = 'auto_accept' AND v IS DISTINCT FROM want) AS silent_wrong,
+ count_if(scored AND route = 'auto_absent' AND want IS NOT NULL AND doc_id % 3 <> 1) AS silent_absent, count_if(scored AND route = 'auto_absent' AND want IS NOT NULL AND doc_id % 3 = 1) AS disputed,
+ count_if(extraction_present = 'fail' AND rule_id IS NOT NULL) AS hits, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND scored AND want IS NOT NULL AND doc_id % 3 <> 1) AS rule_conflicts,
+ count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND scored AND want IS NOT NULL AND doc_id % 3 = 1) AS rule_disputes, count_if(extraction_present = 'fail' AND rule_id IS NOT NULL AND NOT scored) AS blind FROM ts GROUP BY 1, 2, 3""", TRUTH)
+
+
+@query("a19_evaluation_runs", _RUNS.replace("(doc_id + ord) % 3 = 0 corroborated", "(doc_id + ord) % 3 = 0 AND doc_id % 4 <> 3 corroborated"))
+def a19_runs(spark, d):
+    """Four runs under three policies, the last without absence probes; two of them were scored before."""
+    s = tables.cut(routable(spark, d).withColumn("run", F.col("doc_id") % 4))
+    probes = spark.createDataFrame([(0, True), (1, True), (2, True), (3, False)], "run long, available boolean")
+    path, given = f"{tables.shared_folder(spark)}/slotforge-scores-{uuid.uuid4().hex}", (truth(s), truth_docs(spark, d), POLICIES, probes, s.where("doc_id % 3 = 1").select("doc_id", "field"))
+    metrics.score_new_runs(s.where("run < 2"), path, *given)
+    return metrics.score_new_runs(s, path, *given)
 
 
 AXIS = ("accept", "confirm_absent", "not_applicable", "reject", "correct", "abstain")
