@@ -41,8 +41,8 @@ _U = np.uint64
 LONGEST, SALTS = 5, 16
 #: Lookups of one prefix that one copy of its transducer answers; entries of a task's counters before it writes them.
 LOOKUPS, HELD = 5_000, 1_000_000
-#: Keys of phrases in filters; entries of a task's counts of keys before it writes them; text of a shard of them.
-KEY_BITS, FLUSH, SHARD_BYTES = 48, 2_000_000, 8 << 20
+#: Bits of keys of phrases in filters, and where the second place begins; entries of a task's counts of keys before it writes them; text of a shard of them.
+KEY_BITS, SECOND, FLUSH, SHARD_BYTES = 48, 20, 2_000_000, 8 << 20
 NEEDED = np.uint64(0xD6E8FEB86659FD93)
 _BREAK, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -79,23 +79,25 @@ class Pieces(Words):
 
 
 class Filter(textops.IdBits):
-    """Which hashes may be of frequent phrases."""
+    """Which keys may be of frequent phrases: two bits tell, so that few others pass."""
+
+    def __init__(self, keys: DataFrame):
+        super().__init__(keys.select(F.explode(F.array("key", F.shiftright("key", SECOND))).alias("key")), each=64)
 
     def slot(self, ids):
         return F.pmod(ids, F.lit(self.size)) + 1
 
-    def may(self, hashes: np.ndarray) -> np.ndarray:
-        return self.has((hashes & _U(self.size - 1)).astype(np.int64) + 1)
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        place = lambda k: self.has((k & _U(self.size - 1)).astype(np.int64) + 1)
+        return place(keys) & place(keys >> _U(SECOND))
 
 
 def _possible(pieces: Pieces, size: int, filters: dict[int, Filter]) -> np.ndarray:
     """The words at which a phrase of ``size`` words begins that may be frequent, as far as the filters tell."""
     at = np.flatnonzero(pieces.room >= size)
-    own = max((known for known in filters if known <= size), default=None)
-    if own:
-        ok = filters[own].may(pieces.keys(own))
+    for own in sorted(f for f in filters if f <= size):
         for k in range(size - own + 1):
-            at = at[ok[at + k]]
+            at = at[filters[own].may(pieces.keys(own)[at + k])]
     return at
 
 

@@ -184,14 +184,14 @@ def cut(frame: DataFrame) -> DataFrame:
 class IdBits:
     """A bitmap of hashes of ids, broadcast: it tells which ids are surely not among the given ones.
 
-    It has 16 bits for an id and at most ``most`` bits (32 MB) in all; where ids outgrow that it tells less, so what
+    It has ``each`` bits for an id and at most ``most`` bits (32 MB) in all; where ids outgrow that it tells less, so what
     follows must be exact without it.
     """
 
-    def __init__(self, ids: DataFrame, most: int = 1 << 28):
+    def __init__(self, ids: DataFrame, most: int = 1 << 28, each: int = 16):
         spark, column = ids.sparkSession, ids.columns[0]
         self.size = 1 << 20
-        while self.size < min(most, 16 * ids.count()):
+        while self.size < min(most, each * ids.count()):
             self.size *= 2
         slot = self.slot(F.col(f"`{column}`"))
         marked = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
