@@ -73,14 +73,23 @@ def corroboration(slots: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def evidence(first: DataFrame, second: DataFrame, readings: DataFrame, citations: DataFrame) -> DataFrame:
-    """All that is known of slots in one table (doc_id, field, source, value, holds), dealt by document.
+    """All that is known of slots in one table (doc_id, field, source, value, holds).
 
     ``source`` is first, second, reading or citation; the first three tables have (doc_id, field, value), the last
     (doc_id, field, holds).
     """
     said = [f.select("doc_id", "field", F.lit(n).alias("source"), "value", F.lit(None).cast("boolean").alias("holds")) for n, f in (("first", first), ("second", second), ("reading", readings))]
     cited = citations.select("doc_id", "field", F.lit("citation").alias("source"), F.lit(None).cast("string").alias("value"), "holds")
-    return reduce(lambda a, b: a.unionByName(b), [*said, cited]).repartition("doc_id")
+    return reduce(lambda a, b: a.unionByName(b), [*said, cited])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The evidence by document, in as many parts as the session shuffles to.
+
+    What comes next is work on each value, not bytes: parts that are put together because they are small would leave
+    cores idle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 #: What may be missing of a document, as columns of ``docs`` in ``slot_facts``.
@@ -95,6 +104,7 @@ def slot_facts(evidence: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     first response no gate ran; without page text no citation; without the second response no agreement. The first two
     block the document, the third leaves a finding unless that response is optional.
     """
+    evidence = dealt(evidence)
     kinds, tiers = (F.create_map(*[F.lit(x) for f in V.FIELDS for x in (f[0], f[i])]) for i in (1, 2))
     value, source, name = F.col("value"), F.col("source"), F.col("field")
     said = F.when(source == "reading", V.blank_to_null(value)).otherwise(value)

@@ -120,6 +120,9 @@ def role_suggestions(readings: DataFrame) -> DataFrame:
 class AlreadyWritten(Exception):
     """Another writer's table stands at the path, or is being put there."""
 
+    def __init__(self, path: str):
+        super().__init__(f"[PATH_ALREADY_EXISTS] {path}")
+
 
 def _store(spark: SparkSession, path: str):
     """(file system, a function that makes its paths) of a path of any store that Spark can write to."""
