@@ -15,8 +15,8 @@ the phrase times all words of the language over the product of its parts' counts
 4. Composition: a candidate's first part begins like the candidate, and is looked up where it lies; the other part is
    sent to the transducer of its own first word, the hot ones dealt in several copies.
 
-Within a slice of a few megabytes of text, equal phrases are found by 64-bit hashes: with a million different phrases
-in each, two of one slice are taken for each other once in 40 million slices.
+Filters tell by 48 bits of a hash, so more than the frequent phrases pass; what passes is counted as itself, and equal
+phrases of a slice of text are found by two hashes of 64 bits.
 
 Cases: A-Z count as lower case; null texts are empty; a null language is ``und``; rows with equal ids and repeated rows
 count as often as they occur; ties of score and count go by the phrase's UTF-8 bytes; an empty table gives an empty
@@ -70,12 +70,24 @@ class Pieces(Words):
             for k in range(1, size):
                 out[:-k] = out[:-k] * _STEP + self.hashes[k:]
                 out[:-k] ^= out[:-k] >> _U(29)
-            self.made[size] = mix(out) & _U((1 << KEY_BITS) - 1)
+            self.made[size] = mix(out)
         return self.made[size]
 
     def needed(self) -> np.ndarray:
         """Keys that tell of each word that it is in a frequent phrase."""
-        return mix(self.keys(1) + NEEDED) & _U((1 << KEY_BITS) - 1)
+        return mix(self.keys(1) + NEEDED)
+
+    def groups(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first places, numbers) of the equal phrases of ``size`` words among those at the given places.
+
+        Equal keys are checked by a second hash of their words.
+        """
+        key, row = self.keys(size)[at], mix(self.langs[at])
+        other = sum((mix(self.hashes[at + k] ^ _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)) for k in range(size)), row)
+        _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if (other != other[first][back]).any():
+            _, first, n = np.unique(np.stack((key, other), axis=1), axis=0, return_index=True, return_counts=True)
+        return at[first], n
 
 
 class Filter(textops.IdBits):
@@ -137,7 +149,7 @@ def _filter(docs: DataFrame, sizes: tuple[int, ...], filters: dict[int, Filter],
         keys, counts, held = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, n = _summed(keys, counts)
+            key, n = _summed([k & _U((1 << KEY_BITS) - 1) for k in keys], counts)
             shard = (key >> _U(bits)).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
             for first in range(0, len(cuts) - 1, 4096):
@@ -292,8 +304,8 @@ def _count(pieces: Pieces, langs: list[str], filters: dict[int, Filter], held: d
     starts, ends = pieces.starts.tolist(), pieces.ends.tolist()
     for size in range(1, longest + 1):
         at = np.flatnonzero(filters[max(filters)].may(pieces.needed())) if size == 1 else _possible(pieces, size, filters)
-        _, first, n = np.unique(pieces.keys(size)[at], return_index=True, return_counts=True)
-        for k, times in zip(at[first].tolist(), n.tolist(), strict=True):
+        first, n = pieces.groups(size, at)
+        for k, times in zip(first.tolist(), n.tolist(), strict=True):
             words = tuple([text[a:b] for a, b in zip(starts[k : k + size], ends[k : k + size], strict=True)])
             held[langs[row[k]]][words] += times
 

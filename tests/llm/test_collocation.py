@@ -95,6 +95,16 @@ def test_pieces():
     assert len(set(pieces.keys(1).tolist())) == 7
 
 
+def test_phrases_of_one_key_are_told_apart(spark, monkeypatch):
+    """Keys that all collide: the second hash separates them, and the filters let everything pass."""
+    keys = collocation.Pieces.keys
+    monkeypatch.setattr(collocation.Pieces, "keys", lambda self, size: keys(self, size) & collocation._U(3))
+    pieces = collocation.Pieces(pa.array(["a b a b c d", "a b. c"]), ["en", "fr"])
+    first, n = pieces.groups(1, pieces.starts.argsort())
+    found = sorted((bytes(pieces.data[pieces.starts[k] : pieces.ends[k]]), int(pieces.row()[k]), times) for k, times in zip(first.tolist(), n.tolist(), strict=True))
+    assert found == [(b"a", 0, 2), (b"a", 1, 1), (b"b", 0, 2), (b"b", 1, 1), (b"c", 0, 1), (b"c", 1, 1), (b"d", 0, 1)]
+
+
 def test_scores_pass_64_bits(spark):
     row = [("en", [b"a", b"b"], 2, 4 * 10**12, 1, 5 * 10**12, 6 * 10**12)]
     cuts = spark.createDataFrame(row, collocation.CUTS)
