@@ -346,6 +346,7 @@ def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_column: s
     again = textops.cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     bits, own = textops.IdBits(gone.union(again)), F.col(f"`{id_column}`")
     passed, doubtful = docs.where(~bits.among(own)), docs.where(bits.among(own))
-    rest = doubtful.join(gone.toDF("__gone"), own.cast("long") == F.col("__gone"), "left_anti")
-    twice, repeats = again.toDF("__again"), own.cast("long") == F.col("__again")
-    return passed.unionByName(rest.join(twice, repeats, "left_anti")).unionByName(rest.join(twice, repeats, "left_semi").dropDuplicates())
+    name = textops.free_name(docs)
+    listed = own.cast("long") == F.col(name)
+    rest, twice = doubtful.join(gone.toDF(name), listed, "left_anti"), again.toDF(name)
+    return passed.unionByName(rest.join(twice, listed, "left_anti")).unionByName(rest.join(twice, listed, "left_semi").dropDuplicates())

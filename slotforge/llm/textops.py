@@ -218,15 +218,21 @@ class IdBits:
         return doubtful(F.when(ids.isNotNull(), self.slot(ids)))
 
 
+def free_name(frame: DataFrame) -> str:
+    """A name that none of the frame's columns has."""
+    return "_" * (1 + max(map(len, frame.columns)))
+
+
 def without_ids(frame: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
     """The rows whose id is not in the one column of ``gone``; rows with a null id stay.
 
     Only rows that the bitmap cannot clear are shuffled to an exact join; the others pass where they lie.
     """
-    gone = cut(gone.toDF("__gone").where("__gone IS NOT NULL").distinct())
+    name = free_name(frame)
+    gone = cut(gone.toDF(name).where(F.col(name).isNotNull()).distinct())
     bits, own = IdBits(gone), F.col(f"`{id_column}`")
     passed, doubtful = frame.where(~bits.among(own)), frame.where(bits.among(own))
-    return passed.unionByName(doubtful.join(gone, own.cast("long") == F.col("__gone"), "left_anti"))
+    return passed.unionByName(doubtful.join(gone, own.cast("long") == F.col(name), "left_anti"))
 
 
 def releasing(run):
