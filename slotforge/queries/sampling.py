@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slotforge.functions import dates
 from slotforge.functions import values as V
-from slotforge.operators import blocks, routing, sampling, text
+from slotforge.operators import blocks, routing, sampling, tables, text
 from slotforge.queries import base, query
 from slotforge.queries.base import table
 from slotforge.queries.slots import POLICIES, routable, routed, routed_sql
@@ -317,3 +319,16 @@ def r11(spark, d):
     risk = F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in V.TIER1]))
     need = F.when(F.col("doc_id") % 3 == 0, "required").when(F.size(risk) > 0, "escalated").otherwise("optional_skipped")
     return base.wide(spark, d).groupBy(need.alias("requirement")).agg(F.count("*").alias("docs"))
+
+
+@query("s11_write_once", "SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, true AS refused FROM orders GROUP BY 1")
+def s11(spark, d):
+    """An artifact of all orders; a second writer of the same artifact is refused and changes nothing."""
+    rows = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders"), F.sum(base.cents(F.col("o_totalprice"))).alias("cents"))
+    path, refused = f"{tables.shared_folder(spark)}/slotforge-artifact-{uuid.uuid4().hex}", False
+    readers.write_once(rows, path)
+    try:
+        readers.write_once(rows.withColumn("orders", F.lit(0).cast("long")), path)
+    except readers.AlreadyWritten:
+        refused = True
+    return readers.read_once(spark, path).withColumn("refused", F.lit(refused))
