@@ -39,10 +39,12 @@ from slotforge.llm.textops import Words, mix
 
 _U = np.uint64
 LONGEST, SALTS = 5, 16
+#: Text that is hashed at a time: a slice takes some fifty times as much memory.
+SLICE = 1 << 20
 #: Lookups of one prefix that one copy of its transducer answers; entries of a task's counters before it writes them.
-LOOKUPS, HELD = 5_000, 1_000_000
+LOOKUPS, HELD = 5_000, 300_000
 #: Bits of keys of phrases in filters, and where the second place begins; entries of a task's counts of keys before it writes them; text of a shard of them.
-KEY_BITS, SECOND, FLUSH, SHARD_BYTES = 48, 20, 2_000_000, 8 << 20
+KEY_BITS, SECOND, FLUSH, SHARD_BYTES = 48, 20, 1_000_000, 8 << 20
 NEEDED = np.uint64(0xD6E8FEB86659FD93)
 _BREAK, _GAP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -158,7 +160,7 @@ def _filter(docs: DataFrame, sizes: tuple[int, ...], filters: dict[int, Filter],
                 yield pa.RecordBatch.from_arrays([pa.array(shard[part[:-1]]), pa.array(packed, pa.binary())], ["shard", "data"])
 
         for batch in batches:
-            for part in textops.slices(batch, 1):
+            for part in textops.slices(batch, 1, SLICE):
                 pieces = Pieces(part.column(1), part.column(0).to_pylist())
                 for size in sizes:
                     key, n = np.unique(pieces.keys(size)[_possible(pieces, size, filters)], return_counts=True)
@@ -328,7 +330,7 @@ def shards(docs: DataFrame, filters: dict[int, Filter], longest: int) -> DataFra
             yield _shard_rows(rows)
 
         for batch in batches:
-            for part in textops.slices(batch, 1):
+            for part in textops.slices(batch, 1, SLICE):
                 langs = part.column(0).to_pylist()
                 for lang in langs:
                     held.setdefault(lang, Counter())
@@ -388,7 +390,7 @@ def _candidates(unions: DataFrame) -> DataFrame:
                     columns = list(zip(*rows[at : at + 5000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
 
-    return unions.select("lang", "data").mapInArrow(run, schema)
+    return unions.select("lang", "data").mapInArrow(textops.releasing(run), schema)
 
 
 def _composed(unions: DataFrame, asked: DataFrame) -> DataFrame:
