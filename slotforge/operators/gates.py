@@ -87,7 +87,9 @@ def dealt(rows: DataFrame) -> DataFrame:
     """The evidence by document, in as many parts as the session shuffles to.
 
     What comes next is work on each value, not bytes: parts that are put together because they are small would leave
-    cores idle.
+    cores idle. Where the evidence already lies by document Spark leaves this shuffle out, and the parts are those of the
+    shuffle before it; a session over small tables should then set a small
+    ``spark.sql.adaptive.coalescePartitions.minPartitionSize``.
     """
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
@@ -107,13 +109,16 @@ def slot_facts(evidence: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     evidence = dealt(evidence)
     kinds, tiers = (F.create_map(*[F.lit(x) for f in V.FIELDS for x in (f[0], f[i])]) for i in (1, 2))
     value, source, name = F.col("value"), F.col("source"), F.col("field")
-    said = F.when(source == "reading", V.blank_to_null(value)).otherwise(value)
-    rows = evidence.withColumn("norm", V.normalised(name, said))
-    of = lambda kind, column: F.when(source == kind, F.col(column))
-    rows = rows.groupBy("doc_id", "field").agg(
-        F.max(of("first", "value")).alias("value"), F.max(of("first", "norm")).alias("v"), F.max(of("second", "norm")).alias("v2"), F.collect_list(of("reading", "norm")).alias("read"),
-        F.bool_or(of("citation", "holds")).alias("holds"),
+    of = lambda kind: F.when(source == kind, value)
+    rows = evidence.groupBy("doc_id", "field").agg(
+        F.max(of("first")).alias("value"), F.max(of("second")).alias("second"), F.collect_list(V.blank_to_null(of("reading"))).alias("said"),
+        F.bool_or(F.when(source == "citation", F.col("holds"))).alias("holds"),
     )
+    # sources mostly say the same: a slot's equal values are normalised once
+    rows = rows.select("*", V.normalised(name, value).alias("v"))
+    rows = rows.select("*", F.when(F.col("second").eqNullSafe(value), F.col("v")).otherwise(V.normalised(name, F.col("second"))).alias("v2"))
+    other = F.array_distinct(F.filter("said", lambda x: ~x.eqNullSafe(value)))
+    rows = rows.select("*", F.size(F.filter("said", lambda x: x.eqNullSafe(value))).alias("__same"), F.transform(other, lambda x: V.normalised(name, x)).alias("__other"))
     # each value is parsed once, in its own row; a document's slots then share what came of it
     kind = kinds[name]
     rows = rows.select("*", F.when(name.isin(*_AMOUNTS), F.col("v").cast("decimal(38,2)")).alias("__amount"), F.when(kind == "date", V.date_parts(value)).alias("__date"))
@@ -129,7 +134,9 @@ def slot_facts(evidence: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     ran = lambda verdict: F.when(state["first_missing"], "unavailable").otherwise(verdict)
     # a present value that its kind's reading made nothing of
     unread = F.when(kind == "date", F.col("__date").isNull()).otherwise(kind.isin("amount", "code") & F.col("v").isNull())
-    live, equal = F.size("read") > 0, F.coalesce(F.array_contains("read", F.col("v")), F.lit(False))
+    # readings that normalise to nothing are not live
+    live = F.col("__same").cast("boolean") & F.col("v").isNotNull() | F.exists("__other", lambda x: x.isNotNull())
+    equal = (F.col("__same") > 0) | F.coalesce(F.array_contains("__other", F.col("v")), F.lit(False))
     rows = rows.select(
         "doc_id", (F.array_position(F.lit(list(V.NAMES)), name) - 1).cast("int").alias("ord"), "field", "value", "v", kinds[name].alias("kind"), tiers[name].alias("tier"),
         ran(F.when(F.coalesce(F.trim(value), F.lit("")) == "", "fail").otherwise("pass")).alias("extraction_present"),
