@@ -117,6 +117,17 @@ def date_ymd(parts: Column, prefer: Column) -> Column:
     return F.when(F.size(parts) == 2, F.when(a > 31, F.array(a, b)).otherwise(F.array(b, a))).when(F.size(parts) == 3, three)
 
 
+def date_keys(parts: Column) -> Column:
+    """Three parts as numbers that compare like dates: (sure, day, month), what the date itself says of the order, and its
+    number read with the day and with the month first; null for fewer parts."""
+    a, b, c = (F.get(parts, F.lit(i)).cast("long") for i in range(3))
+    key = lambda y, m, d: y * 100_000_000 + m * 10_000 + d
+    # a year or a day above twelve in front leaves no choice
+    both = F.when(a > 31, key(a, b, c)).when(a > 12, key(c, b, a))
+    day = both.when(b > 12, key(c, a, b)).otherwise(key(c, b, a))
+    return F.when(F.size(parts) == 3, F.struct(date_order(parts).alias("sure"), day.alias("day"), both.otherwise(key(c, a, b)).alias("month")))
+
+
 def coverage(tokens: Column, hay: Column) -> Column:
     """Share of the distinct tokens that occur in the other set; 0 for none."""
     own = F.array_distinct(tokens)

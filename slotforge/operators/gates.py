@@ -24,14 +24,13 @@ STRENGTH_RANK = {"unsupported": 0, "single_source": 1, "corroborated": 2}
 
 def identity_columns(net: Column, vat: Column, gross: Column, due: Column, issue: Column, limit: Column) -> dict[str, Column]:
     """The sum (c1), the equality (c2) and the order of dates (c3), null where a side is missing; and whether the amount
-    due is the net total while the gross one differs. Takes amounts and the parts of dates."""
-    prefer = V.date_order(issue, limit)
-    a, b = V.date_ymd(issue, prefer), V.date_ymd(limit, prefer)
+    due is the net total while the gross one differs. Takes amounts and the keys of dates."""
+    month_first = F.coalesce(issue["sure"], limit["sure"]) == "month"
     near = lambda x, y: F.abs(x - y) <= EPSILON
     return {
         "c1": near(net + vat, gross),
         "c2": near(gross, due),
-        "c3": F.when((F.size(a) == 3) & (F.size(b) == 3), a <= b),
+        "c3": F.when(month_first, issue["month"] <= limit["month"]).otherwise(issue["day"] <= limit["day"]),
         "disputed": F.coalesce(near(due, net) & ~near(due, gross) & (gross != net), F.lit(False)),
     }
 
@@ -43,7 +42,7 @@ _DISPUTABLE = ("total_net", "total_gross", "amount_due")
 
 def identities(wide: DataFrame) -> DataFrame:
     """(doc_id, c1, c2, c3, disputed) of documents with a column for each field."""
-    parts = wide.select("doc_id", *[(V.amount(F.col(n)) if n in _AMOUNTS else V.date_parts(F.col(n))).alias(n) for n in IDENTITY_FIELDS])
+    parts = wide.select("doc_id", *[(V.amount(F.col(n)) if n in _AMOUNTS else V.date_keys(V.date_parts(F.col(n)))).alias(n) for n in IDENTITY_FIELDS])
     return parts.select("doc_id", *[c.alias(n) for n, c in identity_columns(*[F.col(n) for n in IDENTITY_FIELDS]).items()])
 
 
@@ -122,8 +121,9 @@ def slot_facts(evidence: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     # each value is parsed once, in its own row; a document's slots then share what came of it
     kind = kinds[name]
     rows = rows.select("*", F.when(name.isin(*_AMOUNTS), F.col("v").cast("decimal(38,2)")).alias("__amount"), F.when(kind == "date", V.date_parts(value)).alias("__date"))
+    rows = rows.withColumn("__keys", V.date_keys(F.col("__date")))
     whole = Window.partitionBy("doc_id")
-    parts = [F.max(F.when(name == n, F.col("__amount" if n in _AMOUNTS else "__date"))).over(whole).alias(f"__{n}") for n in IDENTITY_FIELDS]
+    parts = [F.max(F.when(name == n, F.col("__amount" if n in _AMOUNTS else "__keys"))).over(whole).alias(f"__{n}") for n in IDENTITY_FIELDS]
     rows = rows.select("*", *parts)
     # an identity is looked at where it matters only
     matters = FEEDS | {"disputed": _DISPUTABLE}
