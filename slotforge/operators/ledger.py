@@ -265,12 +265,15 @@ def projection_faults(delivered: DataFrame, claims: DataFrame, decisions: DataFr
 def feedback(entries: DataFrame, probes: DataFrame) -> DataFrame:
     """The entries of this snapshot with the flags that decide whether they count for mining.
 
-    ``entries`` as ``repair`` gives them, and with ``wellfounded``; ``probes`` (decision_id) were drawn at random.
+    ``entries`` as ``repair`` gives them, and with ``wellfounded``; ``probes`` (decision_id and, where they are known,
+    target_id and seq) were drawn at random. An id made from 32 bits of content is another entry's too now and then, in a
+    ledger of millions: a probe with its slot and number is that one entry.
     """
     own = entries.where("NOT orphan")
     gone = own.where("supersedes IS NOT NULL").select("target_id", F.col("supersedes").alias("decision_id"), F.lit(True).alias("__gone")).distinct()
-    drawn = probes.select("decision_id", F.lit(True).alias("__drawn")).distinct()
-    rows = own.join(gone, ["target_id", "decision_id"], "left").join(drawn, "decision_id", "left")
+    of = [c for c in ("target_id", "seq", "decision_id") if c in probes.columns]
+    drawn = probes.select(*of, F.lit(True).alias("__drawn")).distinct()
+    rows = own.join(gone, ["target_id", "decision_id"], "left").join(drawn, of, "left")
     rows = rows.withColumns({"superseded": F.col("__gone").isNotNull(), "actionable": (F.col("decision") != "abstain") & F.col("wellfounded"), "random_qa": F.col("__drawn").isNotNull()}).drop("__gone", "__drawn")
     return rows.withColumn("qualified", F.col("actionable") & ~F.col("superseded") & ~F.col("random_qa"))
 

@@ -216,7 +216,7 @@ def a13(spark, d):
 def feedback(spark, d):
     """Entries with the flags that decide whether they count for mining."""
     own = repaired(spark, d)
-    return ledger.feedback(own.withColumn("wellfounded", F.col("seq") % 6 != 0), own.where("seq % 20 = 0").select("decision_id"))
+    return ledger.feedback(own.withColumn("wellfounded", F.col("seq") % 6 != 0), own.where("seq % 20 = 0").select("target_id", "seq", "decision_id"))
 
 
 @query("a14_cohort_mining", f"""WITH {_TIPS} SELECT ({_NAMES})[seq % 10 + 1] AS field, reviewer % 3 AS route, count(*) AS reviewed, count_if(decision = 'accept') AS accepted, count_if(decision = 'correct') AS corrected,
