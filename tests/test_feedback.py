@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from slotforge.operators import ledger
+from slotforge.queries import ledger as ledger_queries
 
 
 def _flags(spark, *keys):
@@ -20,3 +21,13 @@ def test_probe_is_one_entry(spark):
 
 def test_probes_by_id_alone(spark):
     assert _flags(spark, "decision_id")[0][21] == (True, False, False)
+
+
+def test_cohorts_keep_an_entry_with_a_drawn_ones_id(spark, tmp_path):
+    # both get the same id from their content; the first is drawn at random
+    rows = [(10903320, 1, "signup"), (73269, 4, "signup")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumn("ts", F.current_timestamp()).write.parquet(f"{tmp_path}/events.parquet")
+    ids = [r.decision_id for r in ledger_queries.repaired(spark, str(tmp_path)).collect()]
+    assert len(set(ids)) == 1 and ids[0].startswith("legacy-")
+    found = [(r.field, r.route, r.reviewed, r.accepted) for r in ledger_queries.a14(spark, str(tmp_path)).collect()]
+    assert found == [("due_date", 1, 1, 1)]
