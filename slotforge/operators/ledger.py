@@ -179,10 +179,7 @@ def documents(delivered: DataFrame, profile: str | None = None) -> DataFrame:
     ready; a ready one whose page text or responses were missing is ready with caveats, which are named."""
     tier, status, name = F.col("tier"), F.col("status"), F.col("field")
     policy = status.isin(*POLICY_STATUS)
-    bits = {n: 1 << i for i, n in enumerate(sorted(V.NAMES))}
-    bit = F.create_map(*[F.lit(x) for kv in bits.items() for x in kv])[name]
-    mask = lambda c: F.coalesce(F.bit_or(F.when(c, bit)), F.lit(0))
-    named = lambda m: F.array_join(F.array_compact(F.array(*[F.when(F.col(m).bitwiseAND(F.lit(b)) != 0, n) for n, b in bits.items()])), "+")
+    mask, named = V.field_bits, lambda m: F.array_join(V.fields_of(m), "+")
     flags = [c for c in ("ocr_missing", "first_missing", "second_missing") if c in delivered.columns]
     rows = delivered.groupBy("doc_id").agg(
         F.bool_or(reject_blocks(name, tier, profile) & (status == "rejected")).alias("rejected"), F.bool_or(blocks_posting(name, status, profile)).alias("open"),
