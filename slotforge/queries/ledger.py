@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotforge.functions import values as V
-from slotforge.operators import ledger, ordered, routing
+from slotforge.operators import ledger, ordered, routing, tables
 from slotforge.queries import base, query
 from slotforge.queries.base import table
 from slotforge.queries.slots import POLICIES, routable, routed_sql
@@ -143,7 +143,7 @@ dd AS (SELECT doc_id, CASE WHEN bool_or(tier = 'TIER1' AND status = 'rejected')
 
 
 def delivered(spark, d):
-    return ledger.deliver(routing.route(routable(spark, d), POLICIES[1]), tips(spark, d))
+    return ledger.deliver(routing.route(routable(spark, d), POLICIES[1], explain=False), tips(spark, d))
 
 
 @query("r6_deliverable_slots", routed_sql("SELECT field, status, count(*) AS n FROM dl GROUP BY 1, 2", _DELIVER))
@@ -175,7 +175,8 @@ def a6(spark, d):
 def v14(spark, d):
     """One or two approvals of each document, of which even ones signed another digest."""
     digest = lambda status: F.sha2(F.concat(status, F.lit("|"), F.col("policy_disposed")), 256)
-    docs = ledger.documents(delivered(spark, d))
+    # written, as approvals and their state both read it: a row for each document
+    docs = tables.cut(ledger.documents(delivered(spark, d)).select("doc_id", "status", "policy_disposed"))
     docs = docs.withColumn("digest", digest(F.col("status")))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("seq"))
     signed = o.union(o.where("doc_id % 2 = 0").select("doc_id", F.col("seq") + 1))
